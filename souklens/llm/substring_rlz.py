@@ -110,7 +110,7 @@ def _send_windows(table: pa.Table, facts: pa.Table, *, buckets: int, **at) -> pa
     own = own[np.argsort(bucket_of(w["seed"][own], buckets), kind="stable")]
     found, cut = np.unique(bucket_of(w["seed"][own], buckets), return_index=True)
     chunk = table.column("_chunk")[0].as_py()
-    return _rows(SEND, [(int(k), chunk, pack(w["seed"][p]), pack(w["print"][p]), pack(w["id"][p]), pack(w["pos"][p].astype(np.int32))) for k, x, y in zip(found, cut, [*cut[1:], len(own)], strict=True) if len(p := own[x:y])])
+    return _rows(SEND, [(int(k), chunk, pack(w["seed"][p]), pack(w["print"][p]), pack(w["id"][p]), pack(w["pos"][p].astype(np.int32))) for k, x, y in zip(found, cut, [*cut[1:], len(own)], strict=False) if len(p := own[x:y])])
 
 
 def _index_windows(table: pa.Table) -> pa.Table:
