@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .substring_bwt import bwt_dedup
 from .substring_rlz import rlz_dedup
 
 
@@ -18,6 +19,12 @@ def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), F.size("factors").alias("n_factors"))
 
 
+def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bwt_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rlz_dedup": op1_rlz_dedup,
+    "op10_bwt_dedup": op10_bwt_dedup,
 }
