@@ -1 +1,26 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the numbered queries that SQL can express."""
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+OP8 = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap,
+    sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE AS budget FROM s),
+o AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+l AS (SELECT arg_min((budget - before) / rest, cap / w) AS level FROM o WHERE (budget - before) / rest * w <= cap),
+t AS (SELECT source, source_size, least(cap, coalesce(level, 0) * w)::DOUBLE AS target FROM w, l),
+c AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS goal, greatest(t.source_size, 1) AS whole,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (goal // whole * size + greatest(0, least(size, goal % whole - before)))::BIGINT AS taken FROM c
+"""
+
+ORACLES: dict[str, str] = {
+    "op8_mix_sources": OP8,
+}

@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .media_tiff import read_tiff, store_as_tiff
+from .mixing import mix_sources
+from .pieces import digests, encode_pieces
 from .substring_bwt import bwt_dedup
 from .substring_rlz import rlz_dedup
 
@@ -19,6 +22,23 @@ def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), F.size("factors").alias("n_factors"))
 
 
+def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = store_as_tiff(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    read = read_tiff(files.select("doc_id", "n_bytes", "media", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")))
+    read = read.withColumn("payload", F.reduce("pages", F.lit(b""), lambda all_, page: F.concat(all_, page["pixels"])))
+    return read.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", F.size("pages").alias("n_pages"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_pieces(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *digests(out))
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bwt_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
@@ -26,5 +46,8 @@ def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rlz_dedup": op1_rlz_dedup,
+    "op2_tiff_pages": op2_tiff_pages,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_mix_sources": op8_mix_sources,
     "op10_bwt_dedup": op10_bwt_dedup,
 }
