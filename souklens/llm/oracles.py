@@ -21,6 +21,42 @@ c AS (
 SELECT doc_id, size, source_size, target, (goal // whole * size + greatest(0, least(size, goal % whole - before)))::BIGINT AS taken FROM c
 """
 
+def op9() -> str:
+    """Signals by list functions and windows; cutoffs by the binomial distribution through lgamma."""
+    from .quality import GRID
+
+    tests = sum(map(len, GRID.values()))
+    counts = ", ".join(f"sum(({s} > {c!r}::DOUBLE)::INT)::BIGINT AS k_{s}_{i}" for s, cuts in GRID.items() for i, c in enumerate(cuts))
+    arms = " UNION ALL ".join(f"SELECT stratum, n, strata, '{s}' AS signal, {c!r}::DOUBLE AS cut, k_{s}_{i} AS k FROM g" for s, cuts in GRID.items() for i, c in enumerate(cuts))
+    above = " OR ".join(f"coalesce({s} > c_{s}, false)" for s in GRID)
+    cuts = ", ".join(f"min(cut) FILTER (signal = '{s}' AND p <= 0.05 / (strata * {tests})) AS c_{s}" for s in GRID)
+    p = 0.02 / len(GRID)
+    return rf"""
+WITH a AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+b AS (SELECT *, row_number() OVER () AS r, regexp_extract_all(t, '{WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM a),
+u AS (SELECT r, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM b),
+m AS (SELECT r, i, lead(x, 4) OVER o IS NOT NULL AS fits, concat_ws(' ', x, lead(x) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS five FROM u WINDOW o AS (PARTITION BY r ORDER BY i)),
+v AS (SELECT r, i, count(*) OVER (PARTITION BY r, five) AS n FROM m WHERE fits),
+x AS (SELECT r, least(5, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 5)) AS c FROM v WHERE n > 1),
+y AS (SELECT r, sum(c)::BIGINT AS n FROM x GROUP BY r),
+f AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(y.n, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(w, lambda z: length(z) = 1)) AS lone, len(l) AS n_lines FROM b LEFT JOIN y USING (r)),
+s AS (
+  SELECT *, n_symbols / greatest(word_chars, 1) AS symbol_share, n_dup_lines / greatest(n_lines, 1) AS dup_line_share, n_repeat_words / greatest(n_words, 1) AS repeat_share,
+    word_chars / greatest(n_words, 1) AS mean_word, lone / greatest(n_words, 1) AS lone_share FROM f),
+q AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+g AS (SELECT stratum, count(*) AS n, count(*) OVER () AS strata, {counts} FROM s SEMI JOIN q USING (doc_id) GROUP BY stratum),
+e AS ({arms}),
+h AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - (CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END) - lgamma(n - i + 1) + i * ln({p!r}) + (n - i) * ln(1 - {p!r})))) AS p FROM e),
+c AS (SELECT stratum, {cuts} FROM h GROUP BY stratum),
+o AS (SELECT s.*, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, ({above}) AS above FROM s LEFT JOIN c USING (stratum))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT above AS kept FROM o
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op9_quality_rules": op9(),
     "op8_mix_sources": OP8,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .media_tiff import read_tiff, store_as_tiff
 from .mixing import mix_sources
 from .pieces import digests, encode_pieces
+from .quality import quality_verdicts
 from .substring_bwt import bwt_dedup
 from .substring_rlz import rlz_dedup
 
@@ -39,6 +40,11 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_verdicts(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _read(spark, sf_dir, "labels"), keep_text=False)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bwt_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
@@ -49,5 +55,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tiff_pages": op2_tiff_pages,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_mix_sources": op8_mix_sources,
+    "op9_quality_rules": op9_quality_rules,
     "op10_bwt_dedup": op10_bwt_dedup,
 }
