@@ -67,6 +67,5 @@ def test_query_equals_sql(spark):
     key = lambda x: tuple(map(str, x))
     want = sorted((tuple(x) for x in con.sql(op9()).fetchall()), key=key)
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    for keep in (True, False):
-        assert sorted((tuple(x) for x in quality_verdicts(docs, labels, keep_text=keep).select(*cols).collect()), key=key) == want
-    assert quality_verdicts(docs.limit(0), labels).count() == 0 and quality_verdicts(docs, labels.limit(0)).where("kept").count() > 0
+    assert sorted((tuple(x) for x in quality_verdicts(docs.repartition(4), labels).select(*cols).collect()), key=key) == want
+    assert quality_verdicts(docs.limit(0), labels.limit(0), keep_text=False).count() == 0
