@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .licenses import scan_licenses
 from .media_tiff import read_tiff, store_as_tiff
 from .mixing import mix_sources
 from .pieces import digests, encode_pieces
@@ -30,6 +31,12 @@ def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", F.size("pages").alias("n_pages"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.array_join(F.array_sort(F.array_distinct("base.label")), ",")
+    return out.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base.start").cast("long").alias("first_word"), F.array_max("base.start").cast("long").alias("last_word"), base.alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_pieces(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", *digests(out))
@@ -53,6 +60,7 @@ def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rlz_dedup": op1_rlz_dedup,
     "op2_tiff_pages": op2_tiff_pages,
+    "op4_license_scan": op4_license_scan,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_rules": op9_quality_rules,
