@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .licenses import scan_licenses
 from .media_tiff import read_tiff, store_as_tiff
 from .mixing import mix_sources
+from .near_dup import near_duplicates
 from .pieces import digests, encode_pieces
 from .quality import quality_verdicts
 from .substring_bwt import bwt_dedup
@@ -31,6 +32,10 @@ def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", F.size("pages").alias("n_pages"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_licenses(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.array_join(F.array_sort(F.array_distinct("base.label")), ",")
@@ -60,6 +65,7 @@ def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rlz_dedup": op1_rlz_dedup,
     "op2_tiff_pages": op2_tiff_pages,
+    "op3_minhash": op3_minhash,
     "op4_license_scan": op4_license_scan,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_mix_sources": op8_mix_sources,
