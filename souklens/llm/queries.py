@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .licenses import scan_licenses
+from .lm_score import lm_scores
 from .media_tiff import read_tiff, store_as_tiff
 from .mixing import mix_sources
 from .near_dup import near_duplicates
@@ -42,6 +43,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base.start").cast("long").alias("first_word"), F.array_max("base.start").cast("long").alias("last_word"), base.alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_pieces(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", *digests(out))
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tiff_pages": op2_tiff_pages,
     "op3_minhash": op3_minhash,
     "op4_license_scan": op4_license_scan,
+    "op6_lm_score": op6_lm_score,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_rules": op9_quality_rules,
