@@ -15,6 +15,7 @@ from .pieces import digests, encode_pieces
 from .quality import quality_verdicts
 from .substring_bwt import bwt_dedup
 from .substring_rlz import rlz_dedup
+from .wrappers import extract_main_text
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +44,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base.start").cast("long").alias("first_word"), F.array_max("base.start").cast("long").alias("last_word"), base.alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
 
+def op5_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_main_text(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", "n_chars")
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tiff_pages": op2_tiff_pages,
     "op3_minhash": op3_minhash,
     "op4_license_scan": op4_license_scan,
+    "op5_wrapper_text": op5_wrapper_text,
     "op6_lm_score": op6_lm_score,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_mix_sources": op8_mix_sources,
