@@ -8,6 +8,10 @@ longer before the shorter and, of equal ones, that of the rule which comes first
 
 from __future__ import annotations
 
+import json
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -93,6 +97,15 @@ def rules() -> list[tuple[int, str, str, str, float]]:
     return [(k, label, keyword, pattern, weight) for k, (label, keyword, pattern, weight) in enumerate(out)]
 
 
+def _literal(pattern: str, label: str) -> str:
+    """A piece of plain words that any match of a rule contains: the name that the rule is about, as far as it is plain."""
+    if pattern.startswith("(?:"):
+        name = next((n for f, names, _ in FAMILIES if f == label for n in sorted(names, key=len, reverse=True) if n in pattern), pattern.partition(")")[2])
+    else:
+        name = next((n for f, names, _ in FAMILIES if f == label for n in sorted(names, key=len, reverse=True) if n in pattern), pattern)
+    return re.match(r"[a-z0-9 ]*", name.strip())[0].rpartition(" ")[0] or re.match(r"[a-z0-9]*", name.strip())[0]
+
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LETTER = r"[0-9A-Za-z[^\x00-\x7F]]+"
 
@@ -128,16 +141,22 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     new = ("n_words", "base", "detections", "labels", "score")
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    d = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new), F.regexp_count(t, F.lit(_LETTER)).cast("long").alias("n_words"), F.when(t.rlike("(?i)" + "|".join(KEYWORDS)), t).alias("_hit"))
+    d = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new), F.regexp_count(t, F.lit(_LETTER)).cast("long").alias("n_words"), t.alias("_t"), F.lower(t).alias("_low"))
+    d = d.withColumn("_hit", F.when(reduce(lambda a, b: a | b, [F.contains(F.col("_low"), F.lit(k)) for k in KEYWORDS]), F.col("_t")))
     d = d.withColumn("_hit", F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("_hit", _UPPER, _UPPER.lower()), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" ")))
-    table = F.array(*[F.struct(F.lit(k).alias("r"), F.lit(label).alias("l"), F.lit(key).alias("k"), F.lit(pattern).alias("p"), F.lit(weight).alias("w")) for k, label, key, pattern, weight in rules()])
+    groups: dict[str, list] = {}
+    for k, label, key, pattern, weight in rules():
+        groups.setdefault(_literal(pattern, label), []).append({"r": k, "l": label, "k": key, "p": pattern, "w": weight})
+    # one literal: the optimizer folds it once
+    table = F.from_json(F.lit(json.dumps([{"name": name, "rules": own} for name, own in groups.items()])), "array<struct<name:string,rules:array<struct<r:int,l:string,k:string,p:string,w:double>>>>")
     phrases = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(label).alias("l")) for p, label in BASE])
     hit = F.col("_hit")
-    fired = F.filter(table, lambda r: F.contains(hit, r["k"]) & F.regexp_like(hit, F.concat(F.lit(" (?:"), r["p"], F.lit(") "))))
+    named = F.flatten(F.transform(F.filter(table, lambda g: F.contains(hit, g["name"])), lambda g: g["rules"]))
+    fired = F.filter(named, lambda r: F.contains(hit, r["k"]) & F.regexp_like(hit, F.concat(F.lit(" (?:"), r["p"], F.lit(") "))))
     spans = F.flatten(F.transform(fired, lambda r: F.transform(_spans(hit, r["p"]), lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), r["r"].alias("r"), r["l"].alias("l"), r["w"].alias("w")))))
     base = F.flatten(F.transform(F.filter(phrases, lambda r: F.contains(hit, r["p"])), lambda r: F.transform(_spans(hit, r["p"]), lambda x: F.struct(x["s"].alias("start"), r["l"].alias("label")))))
     d = d.withColumns({"base": F.coalesce(F.when(hit.isNotNull(), base), F.array().cast("array<struct<start:int,label:string>>")), "_spans": F.when(hit.isNotNull(), spans)})
     d = d.withColumn("detections", F.coalesce(_suppressed(F.col("_spans")), F.array().cast("array<struct<start:int,length:int,label:string,weight:double>>")))
     labels = F.array_sort(F.array_union(F.col("base.label"), F.col("detections.label")))
     score = F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.array_max("detections.weight"), F.lit(0.0)))
-    return d.withColumns({"labels": labels, "score": score}).drop("_hit", "_spans")
+    return d.withColumns({"labels": labels, "score": score}).drop("_hit", "_spans", "_t", "_low")
