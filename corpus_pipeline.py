@@ -1,6 +1,64 @@
-STAGES = []
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, mixing, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from souklens.llm.blocks import settled
+from souklens.llm.mixing import WORD, mix_sources
+from souklens.llm.near_dup import near_duplicates
+from souklens.llm.pieces import digests, encode_pieces
+from souklens.llm.quality import quality_verdicts
+from souklens.llm.substring_rlz import rlz_dedup
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_verdicts(docs.select(*COLUMNS), labels).where("kept").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id. A repeated id stays once."""
+    kept = near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null")).distinct()
+    return docs.select(*COLUMNS).withColumns({"_id": F.coalesce("doc_id", F.lit(-1)), "_null": F.col("doc_id").isNull()}).join(kept, ["_id", "_null"], "left_semi").select(*COLUMNS)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that stand earlier; a document of which nothing is left stays, empty."""
+    out = rlz_dedup(docs.select(*COLUMNS))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return out.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; the last copy of a document at a source's cut ends at the budget."""
+    d = mix_sources(docs.select(*COLUMNS)).where("taken > 0")
+    d = d.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")).cast("long"))))
+    words = F.least("size", F.col("taken") - (F.col("_copy") - 1) * F.col("size")).cast("int")
+    text = F.when(words < F.col("size"), F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, words), " ")).otherwise(F.col("text"))
+    return d.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each row."""
+    out = encode_pieces(docs.select("doc_id", "source", "text"))
+    return out.select("doc_id", "source", *digests(out))
+
+
+STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("substring dedup", passages), ("mixing", mixing), ("sentencepiece", tokens)]
+
+#: The SentencePiece stage can't be expressed in SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = settled(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
