@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from souklens.functions.text import fold_for_compare
+from souklens.plans.lineage import settled
 
 
 def matches_category(path: Column, wanted: str) -> Column:
@@ -14,7 +15,7 @@ def matches_category(path: Column, wanted: str) -> Column:
     parts = [p.strip() for p in wanted.split(">") if p.strip()]
     if not parts:
         return F.lit(True)
-    folded, want = F.transform(path, fold_for_compare), F.transform(F.array(*map(F.lit, parts)), fold_for_compare)
+    folded, want = F.transform(path, lambda x: fold_for_compare(x)), F.array(*[fold_for_compare(F.lit(p)) for p in parts])
     head = F.slice(folded, 1, len(parts)) == want
     return F.coalesce(head | F.array_contains(folded, want[0]) if len(parts) == 1 else head, F.lit(False))
 
@@ -103,9 +104,10 @@ def overlap_audit(log: DataFrame, *, most: int = 2, scope: str = "scan_id", star
 def walk_pagination(pages: DataFrame, seeds: DataFrame, *, max_pages: int = 20) -> DataFrame:
     """(seed, url, hop): pages (url, next_url) followed from seeds (seed, url), each once, at most max_pages a seed."""
     at = seeds.select("seed", "url", F.lit(1).alias("hop"))
-    seen = at
+    pages, seen = settled(pages.select("url", "next_url")), at
     for hop in range(2, max_pages + 1):
         at = at.join(pages.select("url", "next_url"), "url").where("next_url is not null").select("seed", F.col("next_url").alias("url"), F.lit(hop).alias("hop")).join(seen.select("seed", "url"), ["seed", "url"], "left_anti")
+        at = settled(at)
         if at.isEmpty():
             break
         seen = seen.unionByName(at)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from souklens.functions.text import canonical_url, fold_for_compare
+from souklens.plans.lineage import settled
 
 
 def resolve_claims(claims: DataFrame, key: str = "product_key") -> DataFrame:
@@ -73,6 +74,7 @@ def category_paths(products: DataFrame, tree: DataFrame, depth: int = 32) -> Dat
     every, edges = level, tree.select(F.col("id").alias("child"), "parent", "name")
     for _ in range(depth):
         level = edges.join(level, edges["parent"] == level["id"]).select(F.col("child").alias("id"), F.concat("path", F.array("name")).alias("path"))
+        level = settled(level)
         if level.isEmpty():
             break
         every = every.unionByName(level)

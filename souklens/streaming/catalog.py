@@ -13,7 +13,7 @@ def landed(spark: SparkSession, path: str, glob: str = "*.parquet", files: int =
 
 def stream_progress(events: DataFrame, *, scope: str = "user_id", delay: str = "1 hour", width: str = "1 day", ts: str = "ts") -> DataFrame:
     """Events and their kinds per scope and window, closed by a watermark."""
-    return events.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"), scope).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"), scope).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 def stream_dedupe(sightings: DataFrame, fields: list[str], *, key: str, seq: str) -> DataFrame:
