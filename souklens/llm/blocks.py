@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from souklens.plans.lineage import settled  # noqa: F401
+
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 NULL_ID = np.iinfo(np.int64).max
@@ -189,20 +191,3 @@ def one(f, **known):
 def two(f, **known):
     """f of a group's two tables, with its parameters bound."""
     return lambda left, right: f(left, right, **known)
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder that the session names, and read from there.
-
-    Only where the session names none (as in tests on one machine) a folder of its own is set.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
