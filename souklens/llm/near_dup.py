@@ -4,7 +4,7 @@ Texts with the same set of shingles are one class from the start. Each class get
 shingle: its bin and the least value in each bin; an empty bin borrows from the bin that a universal hash sequence reaches
 first. Bands of the signature are bucket keys. In a bucket no pairs are made: members get edges to a *centre*, the member
 that meets most others over all its buckets. Edges are confirmed on the full sets of shingles. Where a bucket's members
-are not yet in one component, further rounds take further centres (1, then 2, 4, ... a round) and test them against the
+are not yet in one component, further rounds take further centres (2, then 6, 18, ... a round) and test them against the
 members of other components, until no bucket has a pair of components left untested. Edges and components are Spark
 tables; each round's are written to the checkpoint folder.
 """
@@ -122,20 +122,19 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
-    """(id, component) for the ids in links (a, b): large-star and small-star steps until the edges no longer change."""
-    edges, before = settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), None
+    """(id, component) for the ids in links (a, b): large-star and small-star steps until every id but the roots has one
+    edge, to its root."""
+    edges = settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(most):
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or (up = 1 and root = 1)").isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = settled(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == before:
-            break
-        before = now
-    # every id but the roots has one edge to its root now
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
@@ -152,9 +151,12 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, bins: int = BINS, row
     full = signed.where("n_shingles > 0")
     classes = full.groupBy("set_a", "set_b").agg(F.min("_id").alias("rep"), F.min("n_shingles").alias("n"), F.min_by("bands", "_id").alias("bands"))
     members = classes.select(F.col("rep").alias("_id"), "n", F.explode("bands").alias("bucket")).distinct()
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # buckets of the same members say the same; one of them stays, with their number
+    print_of = [F.bit_xor(F.xxhash64("_id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *print_of).where("size > 1")
+    shared = shared.groupBy("size", "x1", "x2").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times")).select("bucket", (F.col("size") * F.col("times")).alias("weight"))
     members = settled(members.join(shared, "bucket"))
-    members = members.join(members.groupBy("_id").agg(F.sum("size").alias("degree")), "_id")
+    members = settled(members.join(members.groupBy("_id").agg(F.sum("weight").alias("degree")), "_id").drop("weight"))
     texts = settled(d.join(members.select("_id").distinct(), "_id", "left_semi"))
     same = full.join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).where("_id <> rep").select(F.col("_id").alias("a"), F.col("rep").alias("b"))
 
@@ -166,25 +168,27 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, bins: int = BINS, row
 
     best = members.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("_id")).alias("m"), "n")).alias("c")).select("bucket", (-F.col("c.m")).alias("y"), F.col("c.n").alias("ny"))
     found = confirmed(members.join(best, "bucket").select(F.col("_id").alias("x"), F.col("n").alias("nx"), "y", "ny"))
-    tested, links, turns = found.select("a", "b"), found.where("linked").select("a", "b"), None
-    done = 1
+    tested, turns, done = found.select("a", "b"), None, 1
+    label = components(found.where("linked").select("a", "b").unionByName(same))
     while True:
-        label = components(links)
-        links = label.select(F.col("id").alias("a"), F.col("component").alias("b"))
         where = members.join(label, members["_id"] == label["id"], "left").select("bucket", "_id", "n", "degree", F.coalesce("component", "_id").alias("component"))
         mixed = where.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
         if turns is None:
             turns = settled(where.join(mixed, "bucket").select("bucket", "_id", F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("degree"), "_id")).alias("turn")))
         active = settled(where.join(mixed, "bucket").join(turns, ["bucket", "_id"]).select("bucket", "_id", "n", "component", "turn"))
-        if (active.agg(F.max("turn")).first()[0] or 0) <= done:
+        last = active.agg(F.max("turn")).first()[0] or 0
+        linked = None
+        while last > done and linked is None:  # components change only with a new link
+            centre = active.where((F.col("turn") > done) & (F.col("turn") <= 3 * done)).select("bucket", F.col("_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
+            edges = active.join(centre, "bucket").where("component <> cy").select(F.col("_id").alias("x"), F.col("n").alias("nx"), "y", "ny")
+            new = edges.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")}).join(tested, ["a", "b"], "left_anti")
+            found = confirmed(new.select("x", "nx", "y", "ny"))
+            tested, done = tested.unionByName(found.select("a", "b")), 3 * done
+            linked = found.where("linked").select("a", "b")
+            linked = None if linked.isEmpty() else linked
+        if linked is None:
             break
-        centre = active.where((F.col("turn") > done) & (F.col("turn") <= 2 * done)).select("bucket", F.col("_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-        edges = active.join(centre, "bucket").where("component <> cy").select(F.col("_id").alias("x"), F.col("n").alias("nx"), "y", "ny")
-        new = edges.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")}).join(tested, ["a", "b"], "left_anti")
-        found = confirmed(new.select("x", "nx", "y", "ny"))
-        tested, links = tested.unionByName(found.select("a", "b")), links.unionByName(found.where("linked").select("a", "b"))
-        done *= 2
-    label = components(links.unionByName(same))
+        label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(linked))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     out = signed.join(label, signed["_id"] == label["id"], "left").select("_id", "n_shingles", F.coalesce("component", "_id").alias("component"))
     return out.select(real("_id").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("_id") == F.col("component")).alias("kept"))
