@@ -31,6 +31,7 @@ START, END = np.uint64(0x1234567890ABCDEF), np.uint64(0x0FEDCBA987654321)
 W40 = np.uint64(24)
 SENT = "shard long, block long, kind long, a binary, b binary, c binary, d binary, e binary"
 TOKENS, HEAD, UNSEEN, COUNTS, SUMS, TOTALS = range(6)
+SUM_TYPES = (np.float64, np.uint32, np.float32, np.uint8)
 
 
 class Stored:
@@ -201,16 +202,17 @@ def _shard(table: pa.Table, *, shards: int) -> pa.Table:
         return _rows(SENT, out)
     lengths = [len(x) for x in got["e"]]
     known, context = np.unique(np.concatenate(got["a"]), return_inverse=True)
-    context = np.repeat(context, np.concatenate(got["b"]))
+    context = np.repeat(context.astype(np.int32), np.concatenate(got["b"]))
     word = (np.concatenate(got["c"]).astype(np.uint64) << np.uint64(8)) | np.concatenate(got["d"])
     mark = np.concatenate(got["e"])
     if len(known) >= 1 << 24:
         raise ValueError("too many contexts in a shard: take more shards")
-    train, doc = mark >> 15 == 1, (mark & 0x7FFF).astype(np.int64)
-    del got, mark
+    train, doc = mark >> 15 == 1, mark & np.uint16(0x7FFF)
+    del got, mark, table
     key = (context.astype(np.uint64) << np.uint64(40)) | word
     uniq, inverse = np.unique(key, return_inverse=True)
-    del key
+    inverse = inverse.astype(np.int32)
+    del key, word
     counts = np.bincount(inverse[train], minlength=len(uniq))
     store = Stored()
     trie = Trie(uniq[counts > 0], counts[counts > 0], len(known), store)
@@ -226,9 +228,9 @@ def _shard(table: pa.Table, *, shards: int) -> pa.Table:
         d, c, u = doc[x:y], context[x:y], inverse[x:y]
         n = int(d.max()) + 1
         new = ~seen[u]
-        sums = [np.bincount(d, w, n) for w in (base[c], ((total[c] > 0) & real[c]).astype(float), score[u], (new & ends[u]).astype(float))]
+        sums = [np.bincount(d, w, n) for w in (base[c], (total[c] > 0) & real[c], score[u], new & ends[u])]
         here = np.flatnonzero(np.bincount(d, minlength=n))
-        out.append((mine, block, SUMS, pack(here.astype(np.uint16)), *(pack(s[here]) for s in sums)))
+        out.append((mine, block, SUMS, pack(here.astype(np.uint16)), *(pack(s[here].astype(t)) for s, t in zip(sums, SUM_TYPES, strict=True))))
         far = np.flatnonzero(new & ~ends[u])
         if len(far):
             w = uniq[u[far]] & np.uint64((1 << 40) - 1)
@@ -263,7 +265,7 @@ def _summed(table: pa.Table, *, names: tuple[str, ...]) -> pa.Table:
     _, head = _arrays(table, HEAD, {"a": np.int64, "b": bool, "c": np.int64})
     ids, train, n = (head[c][0] for c in "abc")
     base, known, score, ends, far, extra = (np.zeros(len(ids)) for _ in range(6))
-    _, got = _arrays(table, SUMS, {"a": np.uint16, "b": float, "c": float, "d": float, "e": float})
+    _, got = _arrays(table, SUMS, {"a": np.uint16, **dict(zip("bcde", SUM_TYPES, strict=True))})
     for k, here in enumerate(got["a"]):
         for to, c in ((base, "b"), (known, "c"), (score, "d"), (ends, "e")):
             to[here] += got[c][k]
@@ -275,7 +277,7 @@ def _summed(table: pa.Table, *, names: tuple[str, ...]) -> pa.Table:
     return pa.table(cols, names=list(names))
 
 
-def lm_scores(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", folds: int = 7, held: int = 2, shard_mb: float = 40) -> DataFrame:
+def lm_scores(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", folds: int = 7, held: int = 2, shard_mb: float = 14) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents whose crc32(doc_id as text) mod folds is `held` are left out of training; a null id counts as an empty text
