@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from souklens.functions.text import canonical_url, short_hash, slugify
+from souklens.plans.lineage import settled
 
 
 def _suffix_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -21,7 +22,7 @@ def _suffix_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_row": pdf["_row"].to_numpy(), "_unique": out})
 
 
-def unique_in_order(rows: DataFrame, candidate: str, *, scope: list[str] | None = None, late: str | None = None, rounds: int = 8) -> DataFrame:
+def unique_in_order(rows: DataFrame, candidate: str, *, scope: list[str] | None = None, late: str | None = None, rounds: int = 64) -> DataFrame:
     """rows (with a seq) and unique: each candidate as it is if it is free, else with the first free suffix; case is ignored.
 
     A candidate can only meet candidates that are its root and a number. Roots are found by taking a last number off while
@@ -34,9 +35,9 @@ def unique_in_order(rows: DataFrame, candidate: str, *, scope: list[str] | None
     roots = d.select(*scope, "_key").distinct().withColumn("_root", F.col("_key"))
     numbered = F.regexp_extract("_root", r"^(.+)-\d+$", 1)
     for _ in range(rounds):
-        step = roots.withColumn("_stem", numbered).join(names.withColumn("_is", F.lit(True)), [*scope, "_stem"], "left")
+        step = settled(roots.withColumn("_stem", numbered).join(names.withColumn("_is", F.lit(True)), [*scope, "_stem"], "left"))
         roots = step.select(*scope, "_key", F.when(F.col("_is"), F.col("_stem")).otherwise(F.col("_root")).alias("_root"))
-        if rounds > 1 and step.where("_is").isEmpty():
+        if step.where("_is").isEmpty():
             break
     mixed = roots.where("_root <> _key").select(*scope, "_root").distinct().withColumn("_mixed", F.lit(True))
     d = d.join(roots, [*scope, "_key"]).join(mixed, [*scope, "_root"], "left")

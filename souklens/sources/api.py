@@ -48,10 +48,10 @@ def filter_sitemap_urls(urls: DataFrame, hints: list[str]) -> DataFrame:
 def read_profiles(docs: DataFrame) -> DataFrame:
     """(profile_id, domain, container, fields, violations) of rule documents (profile_id, json): every violation is listed."""
     p = F.from_json("json", "struct<version:int,domain:string,card:struct<container:string,fields:map<string,struct<selector:string,`from`:string,attribute:string>>>>")
-    d = docs.select("profile_id", p.alias("p"))
+    d = docs.select("profile_id", p.alias("p"), F.try_parse_json("json").isNull().alias("bad"))
     f = F.col("p.card.fields")
     bad = F.array_compact(F.array(
-        F.when(F.col("p").isNull(), "json"), F.when(F.coalesce(F.col("p.version"), F.lit(0)) != 1, "version"), F.when(F.coalesce(F.trim("p.domain"), F.lit("")) == "", "domain"),
+        F.when(F.col("bad"), "json"), F.when(F.coalesce(F.col("p.version"), F.lit(0)) != 1, "version"), F.when(F.coalesce(F.trim("p.domain"), F.lit("")) == "", "domain"),
         F.when(F.coalesce(F.trim("p.card.container"), F.lit("")) == "", "container"), F.when(f.isNull() | ~F.coalesce(F.map_contains_key(f, F.lit("name")), F.lit(False)), "name"),
         F.when(F.exists(F.map_values(f), lambda x: (x["from"] == "attribute") & x["attribute"].isNull()), "attribute"),
     ))
