@@ -56,7 +56,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+OP1 = rf"""
+WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS l FROM documents),
+w AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM l),
+g AS (SELECT doc_id, i, count(*) OVER o AS n, md5(string_agg(x, ' ') OVER o) AS s FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS again FROM g WHERE n = 20),
+c AS (SELECT w.doc_id, w.i, w.x, coalesce(bool_or(f.again) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone FROM w LEFT JOIN f ON w.doc_id = f.doc_id AND w.i = f.i),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(x, ' ' ORDER BY i) FILTER (NOT gone) AS t FROM c GROUP BY doc_id)
+SELECT l.doc_id, len(l.l)::BIGINT AS n_words, coalesce(k.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM l LEFT JOIN k USING (doc_id)
+"""
+
+OP3 = rf"""
+WITH RECURSIVE l AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS l FROM documents),
+w AS (SELECT doc_id, len(l) AS n, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM l),
+g AS (SELECT doc_id, n, i, count(*) OVER o AS c, md5(string_agg(x, ' ') OVER o) AS s FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+t AS (SELECT DISTINCT doc_id, s FROM g WHERE c = 5 OR (n < 5 AND i = 1)),
+z AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM t a JOIN t b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * p.n >= 85 * (x.n + y.n - p.n)),
+sides AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a AS id, a AS nd FROM sides UNION SELECT r.id, sides.b FROM r JOIN sides ON r.nd = sides.a),
+m AS (SELECT id, min(nd) AS c FROM r GROUP BY id)
+SELECT l.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, coalesce(m.c, l.doc_id) AS component_id, coalesce(m.c, l.doc_id) = l.doc_id AS kept FROM l LEFT JOIN z USING (doc_id) LEFT JOIN m ON m.id = l.doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_rlz_dedup": OP1,
+    "op3_minhash": OP3,
     "op9_quality_rules": op9(),
     "op8_mix_sources": OP8,
 }

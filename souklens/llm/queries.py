@@ -24,7 +24,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rlz_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), F.size("factors").alias("n_factors"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
