@@ -18,16 +18,16 @@ def woo_rows(products: DataFrame, attributes: DataFrame | None = None) -> DataFr
     """
     priced = F.col("kind") != "variable"
     d = products.select(
-        "sku", "seq", F.col("kind").alias("Type"), F.col("sku").alias("SKU"), text(F.col("name")).alias("Name"), F.lit("1").alias("Published"),
+        F.col("sku").alias("_sku"), "seq", F.col("kind").alias("Type"), F.col("sku").alias("SKU"), text(F.col("name")).alias("Name"), F.lit("1").alias("Published"),
         F.when(F.coalesce("in_stock", F.lit(True)), "1").otherwise("0").alias("In stock?"),
         F.when(priced, format_decimal(F.col("sale"))).otherwise("").alias("Sale price"), F.when(priced, format_decimal(F.col("regular"))).otherwise("").alias("Regular price"),
         F.coalesce(F.array_join("category_path", " > "), F.lit("")).alias("Categories"), F.coalesce(multi_value(F.col("images")), F.lit("")).alias("Images"), text(F.col("parent_sku")).alias("Parent"),
     )
     if attributes is None:
-        return d.drop("sku")
+        return d.drop("_sku")
     width = attributes.agg(F.max("slot")).first()[0] or 0
-    cells = attributes.groupBy("sku").agg(*[c for k in range(1, width + 1) for c in (F.max(F.when(F.col("slot") == k, F.col("name"))).alias(f"Attribute {k} name"), F.max(F.when(F.col("slot") == k, multi_value(F.col("values")))).alias(f"Attribute {k} value(s)"))])
-    return d.join(cells, "sku", "left").drop("sku").fillna("", [c for c in cells.columns if c != "sku"])
+    cells = attributes.groupBy(F.col("sku").alias("_sku")).agg(*[c for k in range(1, width + 1) for c in (F.max(F.when(F.col("slot") == k, F.col("name"))).alias(f"Attribute {k} name"), F.max(F.when(F.col("slot") == k, multi_value(F.col("values")))).alias(f"Attribute {k} value(s)"))])
+    return d.join(cells, "_sku", "left").drop("_sku").fillna("", [c for c in cells.columns if c != "_sku"])
 
 
 def shopify_rows(products: DataFrame, *, handle: str = "handle") -> DataFrame:

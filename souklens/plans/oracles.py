@@ -66,3 +66,27 @@ ORACLES: dict[str, str] = {
     "stream_progress": "SELECT date_trunc('day', ts)::TIMESTAMP AS day, user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_dedupe": "SELECT user_id AS key, arg_max(event_type, {'a': round(value, 2), 'b': -event_id}) AS kind, min(event_id) AS first_seq, count(*) AS n FROM events GROUP BY 1",
 }
+
+# column names of import tables have blanks, hence apart
+ORACLES["woo_rows"] = r"""
+WITH a AS (SELECT *, p_partkey AS seq, CASE WHEN p_partkey % 4 > 0 THEN 'B' || regexp_extract(p_brand, '(\d+)$', 1) END AS own, ('0x' || substr(sha256('https://shop.example.com/p/' || p_partkey), 1, 16))::UBIGINT::HUGEINT % 2821109907456 AS v FROM part),
+b AS (SELECT *, coalesce(own, 'SKU-' || lpad(lower(to_base(v::BIGINT, 36)), 8, '0')) AS c FROM a),
+d AS (SELECT *, c || CASE WHEN row_number() OVER (PARTITION BY lower(c) ORDER BY seq) > 1 THEN '-' || row_number() OVER (PARTITION BY lower(c) ORDER BY seq) ELSE '' END AS sku FROM b)
+SELECT seq, 'simple' AS "Type", sku AS "SKU", p_name AS "Name", '1' AS "Published", CASE WHEN p_partkey % 7 > 0 THEN '1' ELSE '0' END AS "In stock?",
+  CASE WHEN p_partkey % 5 = 0 THEN regexp_replace(regexp_replace(((floor(p_retailprice / 2 * 1000000 + 0.5) / 1000000)::DECIMAL(30, 6))::VARCHAR, '0+$', ''), '\.$', '') ELSE '' END AS "Sale price",
+  regexp_replace(regexp_replace(((floor(p_retailprice * 1000000 + 0.5) / 1000000)::DECIMAL(30, 6))::VARCHAR, '0+$', ''), '\.$', '') AS "Regular price",
+  replace(p_type, ' ', ' > ') AS "Categories", 'a\,b' || seq || ', c' AS "Images", '' AS "Parent", 'Brand' AS "Attribute 1 name", p_brand AS "Attribute 1 value(s)",
+  CASE WHEN p_size > 25 THEN 'Size' ELSE '' END AS "Attribute 2 name", CASE WHEN p_size > 25 THEN p_size || ', x' ELSE '' END AS "Attribute 2 value(s)" FROM d
+"""
+ORACLES["shopify_rows"] = r"""
+WITH a AS (SELECT *, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_partkey) = 1 AS first FROM part),
+m AS (SELECT *, regexp_replace(regexp_replace(((floor(p_retailprice * 1000000 + 0.5) / 1000000)::DECIMAL(30, 6))::VARCHAR, '0+$', ''), '\.$', '') AS full_, regexp_replace(regexp_replace(((floor(p_retailprice / 2 * 1000000 + 0.5) / 1000000)::DECIMAL(30, 6))::VARCHAR, '0+$', ''), '\.$', '') AS half FROM a)
+SELECT lower(p_brand) AS "Handle", p_partkey AS seq, CASE WHEN first THEN p_name ELSE '' END AS "Title", CASE WHEN first THEN p_brand ELSE '' END AS "Vendor", CASE WHEN first THEN 'TRUE' ELSE '' END AS "Published",
+  'Title' AS "Option1 Name", p_size::VARCHAR AS "Option1 Value", CASE WHEN p_partkey % 4 > 0 THEN 'B' || regexp_extract(p_brand, '(\d+)$', 1) ELSE '' END AS "Variant SKU",
+  CASE WHEN p_partkey % 5 = 0 THEN half ELSE full_ END AS "Variant Price", CASE WHEN p_partkey % 5 = 0 THEN full_ ELSE '' END AS "Variant Compare At Price" FROM m
+"""
+ORACLES["dedupe_products"] = f"""
+WITH p AS ({ORACLES['canonical_urls']}), u AS (SELECT page_id, url_key FROM p),
+s AS (SELECT url_key, page_id AS seq FROM u UNION ALL SELECT url_key, page_id + 1000000 FROM u)
+SELECT url_key AS product_key, 'n' || arg_max(seq, {{'a': CASE WHEN seq % 2 = 0 THEN 0.9 ELSE 0.5 END, 'b': -seq}}) AS name, min(seq) AS first_seq, count(*) - 1 AS duplicates FROM s GROUP BY url_key
+"""
