@@ -223,7 +223,7 @@ def _shard(table: pa.Table, *, shards: int) -> pa.Table:
     base = np.where(real, np.log10(total + 1.0), 0.0)
     out.append((mine, -1, COUNTS, pack(known[(total > 0) & real] >> W40), pack(total[(total > 0) & real]), None, None, None))
     out.append((mine, -1, TOTALS, pack(np.array([np.count_nonzero((total > 0) & real), total[real].sum()])), None, None, None, None))
-    edge = np.cumsum([0, *lengths])
+    edge, gone = np.cumsum([0, *lengths]), []
     for block, x, y in zip(blocks, edge, edge[1:], strict=False):
         d, c, u = doc[x:y], context[x:y], inverse[x:y]
         n = int(d.max()) + 1
@@ -233,11 +233,13 @@ def _shard(table: pa.Table, *, shards: int) -> pa.Table:
         out.append((mine, block, SUMS, pack(here.astype(np.uint16)), *(pack(s[here].astype(t)) for s, t in zip(sums, SUM_TYPES, strict=True))))
         far = np.flatnonzero(new & ~ends[u])
         if len(far):
-            w = uniq[u[far]] & np.uint64((1 << 40) - 1)
-            to = bucket_of(w, shards)
-            o = np.argsort(to, kind="stable")
-            found, cut = np.unique(to[o], return_index=True)
-            out += [(int(s), block, UNSEEN, pack(w[o[p:q]]), pack(d[far][o[p:q]].astype(np.uint16)), None, None, None) for s, p, q in zip(found, cut, [*cut[1:], len(o)], strict=False)]
+            gone.append((uniq[u[far]] & np.uint64((1 << 40) - 1), d[far], np.full(len(far), block, np.int64)))
+    if gone:  # one row to each shard, whatever the number of blocks
+        w, d, b = (np.concatenate(x) for x in zip(*gone, strict=True))
+        to = bucket_of(w, shards)
+        o = np.argsort(to, kind="stable")
+        found, cut = np.unique(to[o], return_index=True)
+        out += [(int(s), -1, UNSEEN, pack(w[o[p:q]]), pack(d[o[p:q]]), pack(b[o[p:q]]), None, None) for s, p, q in zip(found, cut, [*cut[1:], len(o)], strict=False)]
     return _rows(SENT, out)
 
 
@@ -248,9 +250,16 @@ def _unseen(table: pa.Table) -> pa.Table:
     number = np.concatenate(counts["b"]) if counts["b"] else np.zeros(0, np.int64)
     o = np.argsort(word, kind="stable")
     word, number = word[o], number[o]
-    blocks, got = _arrays(table, UNSEEN, {"a": np.uint64, "b": np.uint16})
-    out = []
-    for block, w, d in zip(blocks, got["a"], got["b"], strict=True):
+    _, got = _arrays(table, UNSEEN, {"a": np.uint64, "b": np.uint16, "c": np.int64})
+    out: list[tuple] = []
+    if not got["a"]:
+        return _rows(SENT, out)
+    words, docs, block_of = (np.concatenate(got[c]) for c in "abc")
+    o = np.argsort(block_of, kind="stable")
+    words, docs, block_of = words[o], docs[o], block_of[o]
+    blocks, cut = np.unique(block_of, return_index=True)
+    for block, x, y in zip(blocks.tolist(), cut, [*cut[1:], len(words)], strict=True):
+        w, d = words[x:y], docs[x:y]
         at = np.searchsorted(word, w)
         at[at == len(word)] = 0
         c = np.where(word[at] == w, number[at], 0) if len(word) else np.zeros(len(w), np.int64)
