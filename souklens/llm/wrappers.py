@@ -5,7 +5,9 @@ expression over such trees: pages are folded in one after another, the children
 that one side lacks become optional, and runs of equal children (or of equal groups of up to four) become repeated. Pages of
 a host mostly have a few shapes, so equal shapes are counted together where they are read, then folded in two steps (host
 and salt, then host): a host of any size meets as its distinct shapes. The wrapper knows how many characters its slots hold,
-and from that and the elements' names, which of its parts is the article. Pages are then read through their host's wrapper.
+and from that and the elements' names, which of its parts is the article. A host may have several templates: its shapes are
+kept apart by the path of the article that each page alone would give, and those that the host's path does not fit get a path
+of their own. Pages are then read through the paths of their host, and where none of them has text, through their own wrapper.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ STOPS = frozenset("ul ol dl table div article section main body".split())
 OUT_TAGS = frozenset("nav footer aside form menu dialog head button header figcaption".split())
 OUT_WORDS = regex.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adslot|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumb\w*|sidebar|side|footer|header|masthead|topbar|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|comment\w*|reply|replies|disqus|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|widget|pagination|pager|skip|copyright|legal)(?:$|[\s_-])", regex.I)
 MAIN_WORDS = regex.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?:$|[\s_-])", regex.I)
+# names that differ from page to page, but for those of a grid's columns
+VOLATILE = regex.compile(r"^(?!(?:col|grid|span|row|cell|size|large|medium|small|[wmhp][trblxy]?)[-_]).*\d{2,}|^(?:post|postid|entry|article|item|node|page|story|content|id|p|t|comment)[-_]?\d+$", regex.I)
+ONCE = frozenset("html body article main".split())
 
 
 class Node:
@@ -91,7 +96,8 @@ def read_tree(page: str) -> Node:
         out = (tag in OUT_TAGS and not (tag in ("header", "figcaption") and inside)) or bool(words and OUT_WORDS.search(words)) or names.get("role", "") in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
         if tag in ("body", "html", "article", "main") and tag not in OUT_TAGS:
             out = tag == "article" and bool(regex.search(r"comment|reply", words, regex.I))
-        label = tag + ("." + ".".join(sorted(names["class"].split())[:3]) if names.get("class") else "") + ("#" + names["id"] if names.get("id") else "")
+        classes, name = ([x for x in sorted(names.get("class", "").split()) if not VOLATILE.search(x)][:3], names.get("id", "")) if tag not in ONCE else ([], "")
+        label = ".".join([tag, *classes]) + ("#" + name if name and not VOLATILE.search(name) else "")
         node = Node("main" if names.get("role") == "main" else label, out)
         stack[-1].parts.append(node)
         if tag not in VOID:
@@ -237,19 +243,62 @@ def blocks_of(page: Node, article: str) -> list[str]:
     return out
 
 
+def _merged(shapes: list[str]) -> Node:
+    wrapper = load(json.loads(shapes[0]))
+    for shape in shapes[1:]:
+        merge_into(wrapper, load(json.loads(shape)), pages=True)
+    return wrapper
+
+
+def _at(wrapper: Node, path: str) -> list[Node]:
+    """The elements of a wrapper at a path, none of them left out."""
+    found = [wrapper]
+    for label in path.split("/")[1:]:
+        kids = [k for n in found for k in n.kids]
+        while any(k.label == "()" for k in kids):
+            kids = [x for k in kids for x in (k.kids if k.label == "()" else [k])]
+        found = [k for k in kids if k.label == label and not k.out]
+    return found
+
+
+def _fits(path: str, template: str, of: Node, wrapper: Node) -> bool:
+    """Whether pages of a template (their wrapper: of) are read by the path found in the wrapper of more. Not so if they lack
+    it, or if it only encloses their article: one that is named, or the part of a fifth of the pages that others lack."""
+    if not _at(of, path):
+        return False
+    if template == path or not template.startswith(path + "/"):
+        return True
+    step = template[len(path) + 1 :].split("/")
+    if any(x.split(".")[0] in ("article", "main") for x in step):
+        return any(x.split(".")[0] in ("article", "main") for x in path.split("/"))
+    part = _at(wrapper, f"{path}/{step[0]}")
+    return not (of.pages > 1 and of.pages * 5 >= wrapper.pages and part and all(k.opt for k in part))
+
+
+def articles_of(templates: dict[str, Node], wrapper: Node) -> list[tuple[str | None, str]]:
+    """(template, path of its article) for all templates that the path of the whole wrapper does not fit; it comes first, as (None, path)."""
+    path, rest = article_of(wrapper), dict(templates)
+    out: list[tuple[str | None, str]] = [(None, path)]
+    while True:
+        left = {t: n for t, n in rest.items() if not _fits(path, t, n, wrapper)}
+        out += [(t, path) for t in rest if t not in left and path != out[0][1]]
+        if not left:
+            return out
+        if len(left) == len(rest) or len(left) == 1:  # each by the path that its pages have alone
+            return out + [(t, t) for t in left]
+        rest = left
+        wrapper = _merged([json.dumps(dump(n)) for n in rest.values()])
+        path = article_of(wrapper)
+
+
 def _fold(pdf: pd.DataFrame, *, last: bool) -> pd.DataFrame:
-    wrapper = None
-    for shape in sorted(pdf["wrapper"]):
-        n = load(json.loads(shape))
-        if wrapper is None:
-            wrapper = n
-        else:
-            merge_into(wrapper, n, pages=True)
     host = pdf["host"].iloc[0]
-    row = {"host": host, "wrapper": json.dumps(dump(wrapper))}
-    if last:
-        row |= {"pattern": pattern(wrapper), "article": article_of(wrapper), "pages": wrapper.pages}
-    return pd.DataFrame([row])
+    if not last:
+        return pd.DataFrame([{"host": host, "template": pdf["template"].iloc[0], "wrapper": json.dumps(dump(_merged(sorted(pdf["wrapper"]))))}])
+    wrapper = _merged(sorted(pdf["wrapper"]))
+    templates = {t: _merged(sorted(g)) for t, g in sorted(pdf.groupby("template")["wrapper"], key=lambda x: x[0])}
+    row = {"host": host, "wrapper": json.dumps(dump(wrapper)), "pattern": pattern(wrapper), "article": article_of(wrapper), "pages": wrapper.pages}
+    return pd.DataFrame([row | {"articles": json.dumps(articles_of(templates, wrapper))}])
 
 
 def host_of(url):
@@ -258,35 +307,44 @@ def host_of(url):
 
 
 def infer_wrappers(pages: DataFrame, *, url: str = "url", page: str = "html") -> DataFrame:
-    """One row per host: host, wrapper (as JSON), pattern, article (the path of its main part), pages."""
+    """One row per host: host, wrapper (as JSON), pattern, article (the path of its main part), pages, articles (JSON: that path
+    and those of the templates that it does not fit)."""
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[tuple[str, str], Node] = {}
+            seen: dict[tuple[str, str, str], Node] = {}
             for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 n = shape_of(read_tree(text or ""))
-                key = (host, pattern(n))
+                key = (host, article_of(n), pattern(n))
                 if key in seen:
                     merge_into(seen[key], n, pages=True)
                 else:
                     seen[key] = n
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([s for _, s in seen], pa.string()), pa.array([json.dumps(dump(n)) for n in seen.values()], pa.string())], names=["host", "shape", "wrapper"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[c] for k in seen], pa.string()) for c in range(3)), pa.array([json.dumps(dump(n)) for n in seen.values()], pa.string())], names=["host", "template", "shape", "wrapper"])
 
     d = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{page}`").alias("html"))
-    rows = d.mapInArrow(shapes, "host string, shape string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("shape", F.spark_partition_id()), F.lit(16)))
-    part = rows.groupBy("host", "salt").applyInPandas(one(_fold, last=False), "host string, wrapper string")
-    return part.groupBy("host").applyInPandas(one(_fold, last=True), "host string, wrapper string, pattern string, article string, pages long")
+    rows = d.mapInArrow(shapes, "host string, template string, shape string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("shape", F.spark_partition_id()), F.lit(16)))
+    part = rows.groupBy("host", "template", "salt").applyInPandas(one(_fold, last=False), "host string, template string, wrapper string")
+    return part.groupBy("host").applyInPandas(one(_fold, last=True), "host string, wrapper string, pattern string, article string, pages long, articles string")
+
+
+def main_blocks(page: Node, articles: list[tuple[str | None, str]]) -> list[str]:
+    """The blocks of a page by its template's path, else by the host's; where that finds none, by the page's own wrapper."""
+    paths, own = dict(articles), None
+    if len(paths) > 1:
+        own = article_of(shape_of(page))
+    return blocks_of(page, paths.get(own, paths[None])) or blocks_of(page, article_of(shape_of(page)) if own is None else own)
 
 
 def extract_main_text(pages: DataFrame, *, url: str = "url", page: str = "html", broadcast_mb: int = 32) -> DataFrame:
     """pages with text and n_chars (code points).
 
     Defined cases: a null or empty page has an empty text; a null or broken URL belongs to the host ''; a host of one page
-    has the wrapper of that page; columns of the added names are replaced, others pass through; an empty table gives an
+    has the wrapper of that page, and so has a page on which its host's paths find no text; columns of the added names are replaced, others pass through; an empty table gives an
     empty table. The paths of the hosts' articles are broadcast only if they measure less than broadcast_mb; beyond that
     they are joined by host, each host dealt over 64 salts.
     """
-    found = settled(infer_wrappers(pages, url=url, page=page).select(F.col("host").alias("_host"), F.col("article").alias("_article")))
+    found = settled(infer_wrappers(pages, url=url, page=page).select(F.col("host").alias("_host"), F.col("articles").alias("_article")))
     size = found.agg(F.sum(F.length("_host") + F.length("_article"))).first()[0] or 0
     d = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c not in ("text", "n_chars", "_host", "_article"))).withColumn("_host", host_of(F.col(f"`{url}`")))
     if size <= broadcast_mb * 1_000_000:
@@ -295,8 +353,10 @@ def extract_main_text(pages: DataFrame, *, url: str = "url", page: str = "html",
         d = d.withColumn("_salt", F.pmod(F.xxhash64(F.col(f"`{page}`")), F.lit(64)).cast("int")).join(found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(63)))), ["_host", "_salt"], "left").drop("_salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list] = {}
         for batch in _bounded(batches, page):
-            text = ["\n".join(blocks_of(read_tree(h or ""), a or "")) for h, a in zip(batch.column(page).to_pylist(), batch.column("_article").to_pylist(), strict=True)]
+            known = {a: known.get(a) or (json.loads(a) if a else [(None, "")]) for a in set(batch.column("_article").to_pylist())}
+            text = ["\n".join(main_blocks(read_tree(h or ""), known[a])) for h, a in zip(batch.column(page).to_pylist(), batch.column("_article").to_pylist(), strict=True)]
             yield _plus(batch, {"text": pa.array(text, pa.string()), "n_chars": pa.array([len(t) for t in text], pa.int64())})
 
     return d.mapInArrow(run, _schema(d, {"text": T.StringType(), "n_chars": T.LongType()})).drop("_host", "_article")

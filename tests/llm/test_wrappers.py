@@ -44,3 +44,29 @@ def test_wrapper_is_union_free(spark):
     rows = corpus(True)
     w = infer_wrappers(spark.createDataFrame([(k, u, page(k, t)) for k, u, t in rows], "page_id long, url string, html string").repartition(5)).collect()
     assert len(w) == 3 and sum(r.pages for r in w) == len(rows) and all(r.article == "/html/body/article" for r in w)
+
+
+def test_templates_ids_and_missing_urls(spark):
+    """Pages that the one path of a host would leave empty, or read with all that stands around their article."""
+    side = "<div class=col><p>quick facts and figures of the whole site</p></div>"
+    say = lambda k: f"text {k} of some length that makes it the article"
+    rows = []
+    for k in range(12):
+        rows.append((k, "http://two/", f"<html><body>{side}<article><h1>t{k}</h1><p>{say(k)}</article></body></html>" if k % 2 else f"<html><body><div class=shop>{side}<main><h1>t{k}</h1><p>{say(k)}</main></div></body></html>"))
+        rows.append((100 + k, "http://ids/", f"<html><body class='postid-{k}'>{side}<article id=post-{k} class='post-{k} category-{'abc'[k % 3]}'><h1>t{k}</h1><p>{say(k)}</article>"))
+        rows.append((200 + k, None if k % 2 else "no url", f"<html><body>{side}<article><h1>t{k}</h1><p>{say(k)}</article>" if k % 3 else f"<div><div id=main-text><h1>t{k}</h1><p>{say(k)}</div></div>"))
+    rows.append((300, "http://two/", f"<p>{say(0)}"))
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got.pop(300) == say(0)
+    assert got == {k: f"t{k % 100}\n{say(k % 100)}" for k in got}
+    both = spark.createDataFrame([(1, "http://a/", "<article>one<p>three</article>"), (2, "http://a/", "<p>x")], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract_main_text(both).collect()} == {1: "one\nthree", 2: "x"}
+
+
+def test_two_unnamed_templates(spark):
+    rows = []
+    for k in range(20):
+        text, part = f"text {k} of some length " * 9, "ab"[k % 2]
+        rows.append((k, "http://a/", f"<html><body><div class=facts><p>quick facts</p></div><div class={part}><h1>t{k}</h1><p>{text}</div></body></html>", f"t{k}\n{text.strip()}"))
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()}
+    assert got == {r[0]: r[3] for r in rows}
