@@ -35,3 +35,21 @@ def test_stages(spark, tmp_path):
     assert abs(sum(took.values()) - 1.5 * sum(size.values())) < 4 and all(took[s] <= 2 * size[s] for s in size)
     sp = sentencepiece.SentencePieceProcessor(model_file=default_model())
     assert sum(x.n_tokens for x in out["sentencepiece"]) == sum(len(sp.encode(x.text)) for x in out["mixing"])
+
+
+def test_near_dedup_from_80_percent(spark, tmp_path):
+    """Pairs of similarities between 0.75 and 0.9 against brute force: one of those from 0.8 on goes."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, want, between = [], set(), 0
+    for k in range(120):
+        a = [word() for _ in range(60 + k)]
+        n = r.randint(4, 16)
+        b = a[:-n] + [word() for _ in range(n)]
+        share = 100 * len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+        between += 80 <= share < 85
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        want |= {2 * k} if share >= 80 else {2 * k, 2 * k + 1}
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert between > 10 and {x.doc_id for x in p.near_dedup(spark, docs, str(tmp_path)).collect()} == want
