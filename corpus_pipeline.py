@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from souklens.llm.blocks import settled
 from souklens.llm.mixing import WORD, mix_sources
-from souklens.llm.near_dup import near_duplicates
+from souklens.llm.near_dup import near_groups, node_of
 from souklens.llm.pieces import digests, encode_pieces
 from souklens.llm.quality import quality_verdicts
 from souklens.llm.substring_rlz import rlz_dedup
@@ -26,9 +26,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (similarity of 0.8 or more): the one with the smallest id. A repeated id stays once."""
-    kept = near_duplicates(docs, **NEAR).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null")).distinct()
-    return docs.select(*COLUMNS).withColumns({"_id": F.coalesce("doc_id", F.lit(-1)), "_null": F.col("doc_id").isNull()}).join(kept, ["_id", "_null"], "left_semi").select(*COLUMNS)
+    """One row of each group of near copies (similarity of 0.8 or more): of the smallest id, if there is one. Groups are made by
+    id and text, so rows without an id are told apart; rows of the same id and text stay once. Texts without words are no copies."""
+    found = near_groups(docs, **NEAR).where("first").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("size"))
+    found = settled(found.select(F.col("node").alias("_node"), ((F.col("n") > 1) & (F.col("size") > 0)).alias("_again")))
+    d = docs.select(*COLUMNS).withColumn("_node", node_of())
+    out = d.join(found.where("not _again"), "_node", "left_semi")
+    again = found.where("_again")
+    if not again.isEmpty():
+        out = out.unionByName(d.join(again, "_node", "left_semi").dropDuplicates(["_node"]))
+    return out.select(*COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ def signatures(value: np.ndarray, first: np.ndarray, bins: int = BINS) -> np.nda
 
 
 def _signed(batches: Iterator[pa.RecordBatch], doc_id: str, text: str, rows: int, bins: int) -> Iterator[pa.RecordBatch]:
-    """(_id, n_shingles, set_a, set_b, bands): a 128-bit name of each set, and its bucket keys (none for an empty set)."""
+    """(_id, doc, n_shingles, set_a, set_b, bands): a 128-bit name of each set, and its bucket keys (none for an empty set)."""
     count = bins // rows
     for batch in batches:
         ids = ids_of(batch.column(doc_id))
@@ -101,7 +101,7 @@ def _signed(batches: Iterator[pa.RecordBatch], doc_id: str, text: str, rows: int
             b = np.concatenate([[np.uint64(0)], np.cumsum(mix(value * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)))])
             names = [pa.array((x[first[1:]] - x[first[:-1]]).view(np.int64)) for x in (a, b)]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * count)]).astype(np.int32)), pa.array(bands.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(n), *names, lists], names=["_id", "n_shingles", "set_a", "set_b", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), batch.column("doc").slice(i, j - i), pa.array(n), *names, lists], names=["_id", "doc", "n_shingles", "set_a", "set_b", "bands"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -138,16 +138,32 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 85, bins: int = BINS, rows: int = ROWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def node_of(doc_id: str = "doc_id", text: str = "text"):
+    """The key of a row among the links: rows of the same id (or of none) and text have the same."""
+    number = F.col(f"`{doc_id}`").cast("long")
+    return F.xxhash64(F.lit(3), number.isNull(), F.coalesce(number, F.lit(0)), F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
+def near_duplicates(docs: DataFrame, *, percent: int = 85, bins: int = BINS, rows: int = ROWS, text: str = "text", doc_id: str = "doc_id", apart: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that links reach) and kept (doc_id is it).
 
     Words are runs of other than ASCII white space, A-Z lower-cased; a set holds the five-word shingles, or the whole
-    sequence of a shorter text. Defined cases: null and blank texts are empty sets, linked with nothing; a null id comes
-    back as null, is never the smallest, and is kept if it stands alone; rows of one id are one node of the links, each row
-    with its own n_shingles; an empty table gives an empty table; other columns are not read.
+    sequence of a shorter text. Defined cases: null and blank texts are empty sets; a null id comes back as null and is never
+    the smallest; an empty table gives an empty table; other columns are not read. Rows of one id, and all those without an
+    id, are one node of the links, each row with its own n_shingles. With apart, each id and text is a node of its own:
+    empty sets are then linked with nothing, texts that share an id (or have none) only by likeness, and a component without
+    ids keeps the rows of one node.
     """
-    d = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID)).alias("_id"), F.col(f"`{text}`").alias("text"))
-    signed = settled(d.mapInArrow(lambda it: _signed(it, "_id", "text", rows, bins), "_id long, n_shingles long, set_a long, set_b long, bands array<long>"))
+    out = near_groups(docs, percent=percent, bins=bins, rows=rows, text=text, doc_id=doc_id, apart=apart)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def near_groups(docs: DataFrame, *, percent: int = 85, bins: int = BINS, rows: int = ROWS, text: str = "text", doc_id: str = "doc_id", apart: bool = True) -> DataFrame:
+    """near_duplicates with node (see node_of, with apart), component (the key of its group; its own for a row linked with
+    nothing) and first (of the rows of its group, those of one node; all rows of empty sets)."""
+    number = F.col(f"`{doc_id}`").cast("long")
+    d = docs.select((node_of(doc_id, text) if apart else F.coalesce(number, F.lit(NULL_ID))).alias("_id"), number.alias("doc"), F.col(f"`{text}`").alias("text"))
+    signed = settled(d.mapInArrow(lambda it: _signed(it, "_id", "text", rows, bins), "_id long, doc long, n_shingles long, set_a long, set_b long, bands array<long>"))
     full = signed.where("n_shingles > 0")
     classes = full.groupBy("set_a", "set_b").agg(F.min("_id").alias("rep"), F.min("n_shingles").alias("n"), F.min_by("bands", "_id").alias("bands"))
     members = classes.select(F.col("rep").alias("_id"), "n", F.explode("bands").alias("bucket")).distinct()
@@ -157,7 +173,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, bins: int = BINS, row
     shared = shared.groupBy("size", "x1", "x2").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times")).select("bucket", (F.col("size") * F.col("times")).alias("weight"))
     members = settled(members.join(shared, "bucket"))
     members = settled(members.join(members.groupBy("_id").agg(F.sum("weight").alias("degree")), "_id").drop("weight"))
-    texts = settled(d.join(members.select("_id").distinct(), "_id", "left_semi"))
+    texts = d.select("_id", "text").join(members.select("_id").distinct(), "_id", "left_semi")
+    texts = settled(texts.dropDuplicates(["_id"]) if apart else texts)
     same = full.join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).where("_id <> rep").select(F.col("_id").alias("a"), F.col("rep").alias("b"))
 
     def confirmed(edges: DataFrame) -> DataFrame:
@@ -189,6 +206,15 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, bins: int = BINS, row
         if linked is None:
             break
         label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(linked))
-    real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    out = signed.join(label, signed["_id"] == label["id"], "left").select("_id", "n_shingles", F.coalesce("component", "_id").alias("component"))
-    return out.select(real("_id").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("_id") == F.col("component")).alias("kept"))
+    if not apart:
+        real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+        out = signed.join(label, signed["_id"] == label["id"], "left").select("_id", "n_shingles", F.coalesce("component", "_id").alias("component"))
+        return out.select(real("_id").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("_id") == F.col("component")).alias("kept"), F.col("_id").alias("node"), "component", (F.col("_id") == F.col("component")).alias("first"))
+    names = signed.select("_id", "doc").distinct().join(label, F.col("_id") == F.col("id")).select("_id", "doc", "component")
+    least = names.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "_id")).alias("least"))
+    found = names.join(least, "component").select("_id", "component", F.col("least.doc").alias("least"), F.col("least._id").alias("least_id"))
+    out = signed.select("_id", "doc", "n_shingles").join(found, "_id", "left")
+    alone = F.col("component").isNull()
+    first = alone | (F.col("_id") == F.col("least_id"))
+    kept = F.when(alone | F.col("least").isNull(), first).otherwise(F.coalesce(F.col("doc") == F.col("least"), F.lit(False)))
+    return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.when(alone, F.col("doc")).otherwise(F.col("least")).alias("component_id"), kept.alias("kept"), F.col("_id").alias("node"), F.coalesce("component", "_id").alias("component"), first.alias("first"))

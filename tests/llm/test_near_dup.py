@@ -76,3 +76,15 @@ def test_densified_bins_match_as_often_as_the_sets():
         s = signatures(np.concatenate([a, b]), np.array([0, 100, 200]))
         hits.append((s[0] == s[1]).mean())
     assert abs(np.mean(hits) - 90 / 110) < 0.03
+
+
+def test_rows_without_id_are_told_apart(spark):
+    t, u, v = "one two three four five six", "seven eight nine ten eleven", "words of a third text stand here"
+    rows = [(None, t), (4, t), (4, t), (7, u), (None, u), (None, "clean and different words stand here"), (None, v), (None, v), (9, None), (None, None), (2, v + " now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((99 if r.doc_id is None else r.doc_id), r.n_shingles, (99 if r.component_id is None else r.component_id), r.kept) for r in near_duplicates(df, apart=True).collect())
+    assert got == [(2, 4, 2, True), (4, 2, 4, True), (4, 2, 4, True), (7, 1, 7, True), (9, 0, 9, True), (99, 0, 99, True), (99, 1, 7, False), (99, 2, 4, False), (99, 2, 99, True), (99, 3, 99, True), (99, 3, 99, True)]
+    for seed in (1, 2):
+        rows = corpus(seed)
+        assert sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), apart=True).collect()) == brute(rows)
+    assert near_duplicates(df.limit(0), apart=True).count() == 0

@@ -53,3 +53,11 @@ def test_near_dedup_from_80_percent(spark, tmp_path):
         want |= {2 * k} if share >= 80 else {2 * k, 2 * k + 1}
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert between > 10 and {x.doc_id for x in p.near_dedup(spark, docs, str(tmp_path)).collect()} == want
+
+
+def test_near_dedup_rows_without_id(spark, tmp_path):
+    a, b, c, d = ("one two three four five six", "seven eight nine ten eleven", "clean and different words stand here", "a fourth text of its own")
+    rows = [(4, a), (4, a), (None, a), (7, b), (None, b), (None, c), (None, c), (None, d), (4, d + " more words than that here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((99 if x.doc_id is None else x.doc_id), x.text) for x in p.near_dedup(spark, docs, str(tmp_path)).collect())
+    assert got == sorted([(4, a), (7, b), (99, c), (99, d), (4, d + " more words than that here")])
