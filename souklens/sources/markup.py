@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from souklens.functions.numbers import availability, parse_number
 from souklens.functions.text import canonical_url, clean_text, normalize_type
+from souklens.plans.lineage import settled
 
 NODE = "page_id long, node_id int, parent_id int, depth int, tag string, attrs map<string,string>, text string"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -114,19 +115,25 @@ def claims_of(rows: DataFrame, key: Column, fields: dict[str, Column], source: s
 
 
 def microdata_properties(nodes: DataFrame, depth: int = 12) -> DataFrame:
-    """(page_id, item_id, type, prop, value): each property belongs to its nearest element with itemscope, found level by level."""
+    """(page_id, item_id, type, prop, value): each property belongs to its nearest element with itemscope, however far up it is.
+
+    Found level by level; after each depth levels what is still open is written to the checkpoint folder, until nothing is.
+    """
     item = nodes.where(F.map_contains_key("attrs", F.lit("itemscope"))).select("page_id", F.col("node_id").alias("item_id"), F.col("attrs")["itemtype"].alias("type"))
     up = nodes.select("page_id", F.col("node_id").alias("at"), F.col("parent_id").alias("up"), F.map_contains_key("attrs", F.lit("itemscope")).alias("scope"))
     a = F.col("attrs")
     value = F.coalesce(a["content"], F.when(F.col("tag").isin("img", "source", "video", "audio"), F.coalesce(a["src"], a["data-src"], a["data-lazy-src"])), F.when(F.col("tag").isin("a", "link", "area"), a["href"]), F.when(F.col("tag") == "time", a["datetime"]), F.when(F.col("tag").isin("data", "meter"), a["value"]), clean_text(F.col("text")))
     open_ = nodes.where(F.map_contains_key("attrs", F.lit("itemprop"))).select("page_id", "node_id", F.explode(F.split(a["itemprop"], r"\s+")).alias("prop"), value.alias("value"), F.col("parent_id").alias("at"))
     done = None
-    for _ in range(depth):
-        step = open_.join(up, ["page_id", "at"])
-        hit = step.where("scope").select("page_id", "node_id", "prop", "value", F.col("at").alias("item_id"))
-        done = hit if done is None else done.unionByName(hit)
-        open_ = step.where("not scope").select("page_id", "node_id", "prop", "value", F.col("up").alias("at"))
-    return done.join(item, ["page_id", "item_id"])
+    while True:
+        for _ in range(depth):
+            step = open_.join(up, ["page_id", "at"])
+            hit = step.where("scope").select("page_id", "node_id", "prop", "value", F.col("at").alias("item_id"))
+            done = hit if done is None else done.unionByName(hit)
+            open_ = step.where("not scope").select("page_id", "node_id", "prop", "value", F.col("up").alias("at"))
+        open_ = settled(open_.where("at is not null"))
+        if open_.isEmpty():
+            return done.join(item, ["page_id", "item_id"])
 
 
 def meta_tags(nodes: DataFrame) -> DataFrame:

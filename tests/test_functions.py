@@ -87,3 +87,10 @@ def test_reports_and_profiles(spark):
 def test_csv_is_ordered(spark):
     df = spark.createDataFrame([(k, f"n,{k}") for k in range(100)], "seq long, name string").repartition(7)
     assert [r.value for r in X.csv_lines(df, ["seq"]).collect()] == [f'"n,{k}"' for k in range(100)]
+
+
+def test_microdata_far_below_its_item(spark):
+    deep = lambda n, x: "<div>" * n + x + "</div>" * n
+    pages = [(n, f"<div itemscope itemtype='Product'>{deep(n, '<span itemprop=name>n</span>')}</div>" + deep(3, "<b itemprop=lost>x</b>")) for n in (0, 11, 12, 30)]
+    got = M.microdata_properties(M.dom_nodes(spark.createDataFrame(pages, "page_id long, html string"))).collect()
+    assert sorted((r.page_id, r.type, r.prop, r.value) for r in got) == [(n, "Product", "name", "n") for n in (0, 11, 12, 30)]
