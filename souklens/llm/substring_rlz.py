@@ -5,7 +5,8 @@ indexed by *seeds*: of the 13 eight-word grams in a 20-word window, the one with
 equal seeds at equal places, so whichever block holds an earlier copy of a window is found through the seed alone; the
 seed index is hash-partitioned, and every block's seeds are in it. Three exchanges, each of packed arrays:
 
-1. each block sends its distinct seeds to the index; the index tells each block which of them occur again anywhere;
+1. each block sends its distinct seeds, counted, to the index; the index tells each block which of them occur again anywhere,
+   and which are so common that their windows must be dealt by window: only equal windows have to meet;
 2. around those seeds, each block sends the fingerprints of the windows with their place (the first place in the block);
    the index answers with the earliest place in the whole corpus, runs of consecutive places folded into one;
 3. each document is parsed greedily from left to right: a factor begins at the first window with an earlier place and is
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .blocks import NULL_ID, block_ranges, bucket_of, by_bucket, chunked, ids_of, in_sorted, one, pack, rolling, sized, sliding_argmin, texts_of, two, word_hashes, word_spans
+from .blocks import NULL_ID, block_ranges, bucket_of, by_bucket, chunked, ids_of, in_sorted, mix, one, pack, rolling, sized, sliding_argmin, texts_of, two, word_hashes, word_spans
 
 SEND = "bucket long, _chunk long, a binary, b binary, c binary, d binary"
 ANSWER = "_chunk long, a binary, b binary, c binary, d binary, e binary"
@@ -64,7 +65,7 @@ def _send_seeds(table: pa.Table, *, text: str, doc_id: str, width: int, gram: in
     seeds, n = np.unique(np.concatenate(seeds) if seeds else np.zeros(0, np.uint64), return_counts=True)
     order, found, at = by_bucket(seeds, buckets)
     chunk = table.column("_chunk")[0].as_py()
-    return _rows(SEND, [(int(k), chunk, pack(seeds[order[x:y]]), pack(n[order[x:y]] > 1), None, None) for k, x, y in zip(found, at, at[1:], strict=False)])
+    return _rows(SEND, [(int(k), chunk, pack(seeds[order[x:y]]), pack(n[order[x:y]].astype(np.uint32)), None, None) for k, x, y in zip(found, at, at[1:], strict=False)])
 
 
 def _index_seeds(table: pa.Table) -> pa.Table:
@@ -76,8 +77,23 @@ def _index_seeds(table: pa.Table) -> pa.Table:
     return _rows(ANSWER, [(c, pack(x), None, None, None, None) for c, s in zip(chunks, seeds, strict=True) if len(x := s[in_sorted(s, repeated)])])
 
 
+def _index_counted(table: pa.Table, *, common: int) -> pa.Table:
+    """As _index_seeds, of counted seeds; and those of them that stand at more than common places."""
+    chunks = table.column("_chunk").to_pylist()
+    seeds = [np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()]
+    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("b").to_pylist()])
+    every, at = np.unique(np.concatenate(seeds), return_inverse=True)
+    total = np.bincount(at, counts, len(every))
+    repeated, hot = every[total > 1], every[total > common]
+    return _rows(ANSWER, [(c, pack(x), None, None, None, pack(x[in_sorted(x, hot)])) for c, s in zip(chunks, seeds, strict=True) if len(x := s[in_sorted(s, repeated)])])
+
+
 def _repeated(table: pa.Table, facts: pa.Table) -> np.ndarray:
-    return np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in facts.column("a").to_pylist()] or [np.zeros(0, np.uint64)]))
+    return _seeds(facts, "a")
+
+
+def _seeds(facts: pa.Table, column: str) -> np.ndarray:
+    return np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in facts.column(column).to_pylist()] or [np.zeros(0, np.uint64)]))
 
 
 def _candidates(table: pa.Table, repeated: np.ndarray, **at) -> dict[str, np.ndarray]:
@@ -107,8 +123,11 @@ def _send_windows(table: pa.Table, facts: pa.Table, *, buckets: int, **at) -> pa
     w = _candidates(table, _repeated(table, facts), **at)
     order, first = _first_of(w["seed"], w["print"], w["id"], w["pos"])
     own = order[first == np.arange(len(order))]
-    own = own[np.argsort(bucket_of(w["seed"][own], buckets), kind="stable")]
-    found, cut = np.unique(bucket_of(w["seed"][own], buckets), return_index=True)
+    seed, prints = w["seed"][own], w["print"][own]
+    to = bucket_of(np.where(in_sorted(seed, _seeds(facts, "e")), mix(seed ^ mix(prints)), seed), buckets)
+    order = np.argsort(to, kind="stable")
+    own = own[order]
+    found, cut = np.unique(to[order], return_index=True)
     chunk = table.column("_chunk")[0].as_py()
     return _rows(SEND, [(int(k), chunk, pack(w["seed"][p]), pack(w["print"][p]), pack(w["id"][p]), pack(w["pos"][p].astype(np.int32))) for k, x, y in zip(found, cut, [*cut[1:], len(own)], strict=False) if len(p := own[x:y])])
 
@@ -199,20 +218,20 @@ def _parse_blocks(table: pa.Table, facts: pa.Table, *, names: list[str], **at) -
     return pa.table(out)
 
 
-def rlz_dedup(docs: DataFrame, *, width: int = 20, gram: int = 8, text: str = "text", doc_id: str = "doc_id", chunk_mb: float = 8, bucket_mb: float = 16) -> DataFrame:
+def rlz_dedup(docs: DataFrame, *, width: int = 20, gram: int = 8, text: str = "text", doc_id: str = "doc_id", chunk_mb: float = 8, bucket_mb: float = 16, common: int = 4096) -> DataFrame:
     """docs with n_words, n_removed, kept_text and factors (start, length, ref_doc, ref_start, in words).
 
     A word goes if a window of `width` words over it also starts earlier: in a document of smaller id, or earlier in its
     own. Windows are judged on the input. Defined cases: a null text is empty; a null id sorts last; rows of one id are one
     place, so neither is earlier than the other; texts shorter than a window stay whole; an empty table gives an empty
     table; other columns pass through, but for columns of the names that are added, which are replaced. Kept words are
-    joined by one space.
+    joined by one space. Windows around a seed that stands at more than `common` places are dealt over all buckets.
     """
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", "factors", "_chunk")]
     chunks, buckets = sized(docs, text, chunk_mb, bucket_mb)
     at = {"text": text, "doc_id": doc_id, "width": width, "gram": gram}
     dealt = chunked(docs.select(*(f"`{c}`" for c in names)), chunks, doc_id, text).groupBy("_chunk")
-    seeds = dealt.applyInArrow(one(_send_seeds, buckets=buckets, **at), SEND).groupBy("bucket").applyInArrow(one(_index_seeds), ANSWER)
+    seeds = dealt.applyInArrow(one(_send_seeds, buckets=buckets, **at), SEND).groupBy("bucket").applyInArrow(one(_index_counted, common=common), ANSWER)
     windows = dealt.cogroup(seeds.groupBy("_chunk")).applyInArrow(two(_send_windows, buckets=buckets, **at), SEND)
     places = windows.groupBy("bucket").applyInArrow(one(_index_windows), ANSWER)
     kinds = T.StructType([docs.schema[c] for c in names] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("factors", FACTOR)])

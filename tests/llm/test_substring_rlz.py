@@ -1,9 +1,13 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from souklens.llm import substring_rlz as z
+from souklens.llm.blocks import rolling, word_hashes, word_spans
 from souklens.llm.substring_rlz import rlz_dedup
 
 SCHEMA = "doc_id long, text string, n_words string"
@@ -66,3 +70,26 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id if r.doc_id is not None else 99, r.n_words, r.n_removed) for r in rlz_dedup(df).collect())
     assert got == [(5, 30, 0), (5, 30, 0), (9, 30, 30), (99, 0, 0), (99, 30, 30)]
     assert rlz_dedup(df.limit(0)).count() == 0
+
+
+def test_windows_of_a_common_seed_are_spread(spark):
+    """A phrase that stands in every document, between different words: its windows don't meet in one bucket."""
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(10**6)}"
+    while True:  # a phrase that is the seed of all windows over it
+        phrase = " ".join(word() for _ in range(8))
+        b = np.frombuffer(phrase.encode(), np.uint8)
+        starts, ends, _ = word_spans(b, np.array([0, len(b)]))
+        if rolling(word_hashes(b, starts, ends), 8)[0] >> np.uint64(54) == 0:
+            break
+    rows = [(k, " ".join(word() for _ in range(30)) + f" {phrase} " + " ".join(word() for _ in range(30))) for k in range(300)]
+    at = {"text": "text", "doc_id": "doc_id", "width": 20, "gram": 8}
+    table = pa.table({"doc_id": [k for k, _ in rows], "text": [x for _, x in rows], "_chunk": [0] * len(rows)})
+    sent = z._send_seeds(table, buckets=8, **at)
+    for common, most in ((100, 0.25), (10**6, 1.0)):
+        facts = pa.concat_tables([z._index_counted(sent.slice(k, 1), common=common) for k in range(sent.num_rows)])
+        size = [len(x) for x in z._send_windows(table, facts, buckets=8, **at).column("a").to_pylist()]
+        assert sum(size) > 8 * 3000 and max(size) / sum(size) <= most
+    rows += [(1000 + k, x) for k, x in rows[:9]]
+    got = rlz_dedup(spark.createDataFrame(rows, "doc_id long, text string"), chunk_mb=0.002, bucket_mb=0.003, common=20).withColumn("h", F.sha2(F.col("kept_text").cast("binary"), 256))
+    assert {x.doc_id: (x.n_words, x.n_removed, x.h) for x in got.collect()} == brute(rows)
