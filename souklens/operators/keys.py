@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from souklens.functions.text import canonical_url, short_hash, slugify
 from souklens.plans.lineage import settled
 
 
-def _suffix_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    taken, out = set(), []
-    pdf = pdf.sort_values(["_late", "seq"], kind="stable")
-    for c in pdf["_candidate"]:
-        k, name = 1, c
+def _suffix_group(table: pa.Table) -> pa.Table:
+    keys = table.select(["_late", "seq", "_candidate"]).to_pandas().sort_values(["_late", "seq"], kind="stable")
+    taken, last, out = set(), {}, [""] * len(keys)
+    for row, c in zip(keys.index.tolist(), keys["_candidate"], strict=True):
+        k = last.get(c.lower(), 1)  # names are never given back, so the search goes on where it ended
+        name = c if k == 1 else f"{c}-{k}"
         while name.lower() in taken:
             k += 1
             name = f"{c}-{k}"
+        last[c.lower()] = k
         taken.add(name.lower())
-        out.append(name)
-    return pd.DataFrame({"_row": pdf["_row"].to_numpy(), "_unique": out})
+        out[row] = name
+    return table.append_column("unique", pa.array(out, pa.string()))
 
 
 def unique_in_order(rows: DataFrame, candidate: str, *, scope: list[str] | None = None, late: str | None = None, rounds: int = 64) -> DataFrame:
@@ -27,10 +29,10 @@ def unique_in_order(rows: DataFrame, candidate: str, *, scope: list[str] | None
 
     A candidate can only meet candidates that are its root and a number. Roots are found by taking a last number off while
     what remains is a candidate itself. Where no candidate of a root ends in a number, the suffix is a row number, native
-    and spread by the row's root; only roots with both go to a group function, and those are few and small.
+    and spread by the row's root; only roots with both go to a group function, each whole to one task.
     """
     scope = scope or []
-    d = rows.withColumns({"_candidate": F.col(candidate), "_key": F.lower(candidate), "_late": F.col(late).cast("int") if late else F.lit(0), "_row": F.xxhash64(*scope, F.col("seq"), F.col(candidate))})
+    d = rows.withColumns({"_candidate": F.col(candidate), "_key": F.lower(candidate), "_late": F.col(late).cast("int") if late else F.lit(0)})
     names = d.select(*scope, F.col("_key").alias("_stem")).distinct()
     roots = d.select(*scope, "_key").distinct().withColumn("_root", F.col("_key"))
     numbered = F.regexp_extract("_root", r"^(.+)-\d+$", 1)
@@ -44,9 +46,8 @@ def unique_in_order(rows: DataFrame, candidate: str, *, scope: list[str] | None
     n = F.row_number().over(W.partitionBy(*scope, "_key").orderBy("_late", "seq"))
     plain = d.where("_mixed is null").withColumn("unique", F.when(n == 1, F.col("_candidate")).otherwise(F.concat("_candidate", F.lit("-"), n.cast("string"))))
     few = d.where("_mixed")
-    named = few.groupBy(*scope, "_root").applyInPandas(_suffix_group, "_row long, _unique string")
-    fixed = few.join(named, "_row").withColumn("unique", F.col("_unique")).drop("_unique")
-    return plain.unionByName(fixed).drop("_candidate", "_key", "_late", "_row", "_root", "_mixed")
+    fixed = few.groupBy(*scope, "_root").applyInArrow(_suffix_group, T.StructType([*few.schema, T.StructField("unique", T.StringType())]))
+    return plain.unionByName(fixed).drop("_candidate", "_key", "_late", "_root", "_mixed")
 
 
 def assign_skus(products: DataFrame, *, prefix: str = "SKU", scope: list[str] | None = None) -> DataFrame:

@@ -94,3 +94,9 @@ def test_microdata_far_below_its_item(spark):
     pages = [(n, f"<div itemscope itemtype='Product'>{deep(n, '<span itemprop=name>n</span>')}</div>" + deep(3, "<b itemprop=lost>x</b>")) for n in (0, 11, 12, 30)]
     got = M.microdata_properties(M.dom_nodes(spark.createDataFrame(pages, "page_id long, html string"))).collect()
     assert sorted((r.page_id, r.type, r.prop, r.value) for r in got) == [(n, "Product", "name", "n") for n in (0, 11, 12, 30)]
+
+
+def test_suffixes_of_repeated_rows(spark):
+    """Rows of the same seq and candidate stay as many as they are, also where a candidate ends in a number."""
+    df = spark.createDataFrame([(1, "X"), (1, "X"), (1, "X"), (2, "X-2"), (3, "x")], "seq long, c string")
+    assert sorted(r.unique for r in K.unique_in_order(df, "c").collect()) == ["X", "X-2", "X-2-2", "X-3", "x-4"]
