@@ -1,12 +1,16 @@
 """Near-duplicate documents by MinHash: one-permutation hashing with optimal densification, banded buckets, star edges.
 
 Texts with the same set of shingles are one class from the start. Each class gets a signature from one hash of each
-shingle: its bin and the least value in each bin; an empty bin borrows from the bin that a universal hash sequence reaches
-first. Bands of the signature are bucket keys. In a bucket no pairs are made: members get edges to a *centre*, the member
-that meets most others over all its buckets. Edges are confirmed on the full sets of shingles. Where a bucket's members
-are not yet in one component, further rounds take further centres (2, then 6, 18, ... a round) and test them against the
-members of other components, until no bucket has a pair of components left untested. Edges and components are Spark
-tables; each round's are written to the checkpoint folder.
+shingle: its bin and the least value in each bin; an empty bin borrows from the first full bin in an order of bins of its
+own. Bands of the signature are bucket keys. In a bucket no pairs are made: members get edges to a *centre*, the member
+that meets most others over all its buckets. Edges are confirmed on the full sets of shingles.
+
+A bucket whose members are then still in several components holds pairs that the star left out. Those members are dealt to
+*tiles* of bounded size (the largest such bucket of each member, salted), and two tiles meet in one task if a bucket has
+members of both: the smaller one visits the larger one. A task compares its members on their full sets at once, by counting
+common shingles, and returns a spanning forest of the links that it finds: at most one row for each member, whatever the
+number of pairs. Every pair that shares a bucket is thus either in one component by the stars or tested. Edges and
+components are Spark tables; each step's are written to the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -15,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .blocks import NULL_ID, block_ranges, ids_of, lower_ascii, mix, rolling, settled, texts_of, word_hashes, word_spans
+from .blocks import block_ranges, ids_of, lower_ascii, mix, one, rolling, settled, texts_of, word_hashes, word_spans
 
 SHINGLE, BINS, ROWS = 5, 240, 6
-_SEQ = mix(np.arange(1, 64 * 1024 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(-1, 1024)
+#: A tile holds about so many members, and about so many shingles, whichever is reached first.
+TILE, TILE_SHINGLES = 256, 1 << 19
 
 
 def shingle_sets(column, size: int = SHINGLE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -50,8 +55,16 @@ def shingle_sets(column, size: int = SHINGLE) -> Iterator[tuple[int, int, np.nda
         yield i, j, value, np.searchsorted(doc_of, np.arange(j - i + 1))
 
 
-def signatures(value: np.ndarray, first: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """One row of bins per set (sets must not be empty)."""
+def _orders(bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each bin its own order of all bins, and the place of each bin in that order."""
+    cell = np.arange(1, bins * bins + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(mix(cell).reshape(bins, bins), axis=1)
+    return order, np.argsort(order, axis=1)
+
+
+def signatures(value: np.ndarray, first: np.ndarray, bins: int = BINS, draws: int = 12) -> np.ndarray:
+    """One row of bins per set (sets must not be empty). An empty bin takes the value of the full bin that comes first in
+    the bin's own order; the first `draws` places are tried for all sets together, the rest for each set by itself."""
     n = len(first) - 1
     h = mix(value ^ np.uint64(0xD6E8FEB86659FD93))
     key = np.repeat(np.arange(n), np.diff(first)) * bins + (h % np.uint64(bins)).astype(np.int64)
@@ -65,18 +78,19 @@ def signatures(value: np.ndarray, first: np.ndarray, bins: int = BINS) -> np.nda
     full = np.zeros((n, bins), bool)
     full.reshape(-1)[key[head]] = True
     row, col = np.nonzero(~full)
-    for step in range(_SEQ.shape[0]):
-        if not len(row):
-            break
-        source = (_SEQ[step, col % 1024] % np.uint64(bins)).astype(np.int64)
+    if not len(row):
+        return sig
+    order, place = _orders(bins)
+    for step in range(draws):
+        source = order[col, step]
         ok = full[row, source]
         sig[row[ok], col[ok]] = sig[row[ok], source[ok]]
         row, col = row[~ok], col[~ok]
-    if len(row):  # sets of very few shingles: the next full bin to the right
-        for r in np.unique(row):
-            c = np.flatnonzero(full[r])
-            own = col[row == r]
-            sig[r, own] = sig[r, c[np.searchsorted(c, own) % len(c)]]
+    cut = np.flatnonzero(np.diff(row, prepend=-1))
+    for x, y in zip(cut, np.append(cut, len(row))[1:], strict=True):
+        r, empty = row[x], col[x:y]
+        some = np.flatnonzero(full[r])
+        sig[r, empty] = sig[r, some[np.argmin(place[empty][:, some], axis=1)]]
     return sig
 
 
@@ -121,13 +135,67 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok)], names=["a", "b", "linked"])
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def _common(sets: list[np.ndarray], own: int, dense: int = 24) -> np.ndarray:
+    """How many shingles each of the first `own` sets shares with each set. Shingles of many sets are counted by a product of
+    0/1 matrices, a slab of shingles at a time; those of few sets pair by pair."""
+    n = len(sets)
+    who = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in sets])
+    value = np.concatenate(sets)
+    order = np.argsort(value, kind="stable")
+    value, who = value[order], who[order]
+    head = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(value)))
+    same = np.zeros((own, n), np.float32)
+    many = np.flatnonzero(size > dense)
+    for k in range(0, len(many), 4096):
+        slab = many[k : k + 4096]
+        at = np.repeat(head[slab] - (np.cumsum(size[slab]) - size[slab]), size[slab]) + np.arange(size[slab].sum())
+        has = np.zeros((n, len(slab)), np.float32)
+        has[who[at], np.repeat(np.arange(len(slab)), size[slab])] = 1
+        same += has[:own] @ has.T
+    flat = same.reshape(-1)
+    for c in np.unique(size[(size > 1) & (size <= dense)]):
+        members = who[head[size == c][:, None] + np.arange(c)]  # ascending in each row
+        for i in range(c):
+            for j in range(c):
+                if i != j:
+                    hit = members[:, i] < own
+                    flat += np.bincount(members[hit, i].astype(np.int64) * n + members[hit, j], minlength=own * n).astype(np.float32)
+    return same
+
+
+def _linked_in_tile(table: pa.Table, *, percent: int) -> pa.Table:
+    """A spanning forest (a, b) of the links between the members of a tile, and between them and its visitors, that stand in
+    different components so far."""
+    table = table.take(pa.compute.sort_indices(table.column("guest")))
+    own = int(pa.compute.sum(pa.compute.invert(table.column("guest"))).as_py() or 0)
+    ids, component = table.column("_id").to_numpy(), table.column("component").to_numpy()
+    sets = []
+    for i, j, value, first in shingle_sets(table.column("text")):
+        sets += [value[first[k] : first[k + 1]] for k in range(j - i)]
+    n = np.array([len(x) for x in sets], np.int64)
+    same = _common(sets, own)
+    a, b = np.nonzero((100 * same >= percent * (n[:own, None] + n[None, :] - same)) & (component[:own, None] != component[None, :]))
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[a], root[b])
+        if (root[a] == low).all() and (root[b] == low).all():
+            break
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+    tied = np.flatnonzero(root != np.arange(len(ids)))
+    return pa.table({"a": pa.array(ids[tied]), "b": pa.array(ids[root[tied]])})
+
+
+def components(links: DataFrame) -> DataFrame:
     """(id, component) for the ids in links (a, b): large-star and small-star steps until every id but the roots has one
     edge, to its root."""
     edges = settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    for _ in range(most):
-        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root")))
-        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or (up = 1 and root = 1)").isEmpty():
+    while True:
+        up = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root"))
+        down = edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root"))
+        ends = up.unionByName(down).groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+        if ends.where("up > 1 or (up = 1 and root = 1)").isEmpty():
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -135,81 +203,87 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = settled(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
 def node_of(doc_id: str = "doc_id", text: str = "text"):
-    """The key of a row among the links: rows of the same id (or of none) and text have the same."""
+    """The key of a row among the links: rows of the same id (or of none) and text have the same. It has 64 bits: among n
+    different rows two meet with odds of about n * n / 2**65."""
     number = F.col(f"`{doc_id}`").cast("long")
     return F.xxhash64(F.lit(3), number.isNull(), F.coalesce(number, F.lit(0)), F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 85, bins: int = BINS, rows: int = ROWS, text: str = "text", doc_id: str = "doc_id", apart: bool = False) -> DataFrame:
+def _memberships(classes: DataFrame) -> DataFrame:
+    """(bucket, _id, n, degree) of the buckets with two members or more. Buckets of the same members say the same: one of
+    them stays; degree, how many members a class meets, counts them all."""
+    members = classes.select(F.col("rep").alias("_id"), "n", F.explode("bands").alias("bucket")).repartition("bucket")
+    print_of = [F.bit_xor(F.xxhash64("_id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *print_of).where("size > 1")
+    shared = shared.groupBy("size", "x1", "x2").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times"))
+    members = settled(members.join(shared.select("bucket", (F.col("size") * F.col("times")).alias("weight")), "bucket"))
+    return settled(members.join(members.groupBy("_id").agg(F.sum("weight").alias("degree")), "_id").drop("weight"))
+
+
+def _star_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the confirmed edges between the members of each bucket and its centre."""
+    centre = members.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("_id")).alias("m"), "n")).alias("c"))
+    centre = centre.select("bucket", (-F.col("c.m")).alias("y"), F.col("c.n").alias("ny"))
+    edges = members.join(centre, "bucket").where(f"_id <> y and 100 * least(n, ny) >= {percent} * greatest(n, ny)")
+    edges = edges.select(F.least("_id", "y").alias("a"), F.greatest("_id", "y").alias("b")).distinct()
+    pairs = edges.join(texts.select(F.col("_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("_id").alias("b"), F.col("text").alias("text_b")), "b")
+    found = pairs.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, percent), "a long, b long, linked boolean")
+    return settled(found.where("linked").select("a", "b"))
+
+
+def _tile_links(members: DataFrame, label: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of a spanning forest of the links among the members of buckets that still hold several components."""
+    where = members.join(label, members["_id"] == label["id"], "left").select("bucket", "_id", "n", F.coalesce("component", "_id").alias("component"))
+    mixed = where.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+    active = settled(where.join(mixed.select("bucket", "size"), "bucket"))
+    home = active.groupBy("_id").agg(F.max(F.struct("size", "bucket"))["bucket"].alias("home"), F.first("n").alias("n"), F.first("component").alias("component"))
+    salts = home.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).alias("salts"))
+    tile = F.xxhash64("home", F.pmod(F.xxhash64("_id"), F.col("salts")))
+    tiled = settled(home.join(salts, "home").select("_id", "n", "component", tile.alias("tile")))
+    size = tiled.groupBy("tile").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    tiles_of = active.select("bucket", "_id").join(tiled.select("_id", "tile"), "_id").select("bucket", "tile").distinct().join(size.select("tile", "size"), "tile")
+    visits = tiles_of.select("bucket", F.struct("size", "tile").alias("guest")).join(tiles_of.select("bucket", F.struct("size", "tile").alias("host")), "bucket").where("guest < host")
+    visits = settled(visits.select(F.col("guest.tile").alias("tile"), F.col("host.tile").alias("host")).distinct())
+    guests = visits.join(tiled, "tile").select("host", "_id", "n", "component")
+    shares = guests.groupBy("host").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).alias("shares"))
+    guests = guests.join(shares, "host").select(F.col("host").alias("tile"), F.pmod(F.xxhash64(F.lit(5), "_id"), "shares").alias("share"), F.lit(True).alias("guest"), "_id", "component")
+    hosts = tiled.join(shares.withColumnRenamed("host", "tile"), "tile", "left").join(size.select("tile", "size"), "tile").where("size > 1 or shares is not null")
+    hosts = hosts.select("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1).cast("long")) - 1)).alias("share"), F.lit(False).alias("guest"), "_id", "component")
+    rows = hosts.unionByName(guests).join(texts, "_id")
+    return settled(rows.groupBy("tile", "share").applyInArrow(one(_linked_in_tile, percent=percent), "a long, b long"))
+
+
+def near_duplicates(docs: DataFrame, *, percent: int = 80, bins: int = BINS, rows: int = ROWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that links reach) and kept (doc_id is it).
 
     Words are runs of other than ASCII white space, A-Z lower-cased; a set holds the five-word shingles, or the whole
-    sequence of a shorter text. Defined cases: null and blank texts are empty sets; a null id comes back as null and is never
-    the smallest; an empty table gives an empty table; other columns are not read. Rows of one id, and all those without an
-    id, are one node of the links, each row with its own n_shingles. With apart, each id and text is a node of its own:
-    empty sets are then linked with nothing, texts that share an id (or have none) only by likeness, and a component without
-    ids keeps the rows of one node.
+    sequence of a shorter text. Each id and text is a node of its own: texts that share an id (or have none) are linked only by
+    likeness. Defined cases: null and blank texts are empty sets, linked with nothing; a null id comes back as null and is never
+    the smallest; a component without ids keeps the rows of one node; repeated rows are one node and each comes back; an empty
+    table gives an empty table; other columns are not read.
     """
-    out = near_groups(docs, percent=percent, bins=bins, rows=rows, text=text, doc_id=doc_id, apart=apart)
-    return out.select("doc_id", "n_shingles", "component_id", "kept")
+    return near_groups(docs, percent=percent, bins=bins, rows=rows, text=text, doc_id=doc_id).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def near_groups(docs: DataFrame, *, percent: int = 85, bins: int = BINS, rows: int = ROWS, text: str = "text", doc_id: str = "doc_id", apart: bool = True) -> DataFrame:
-    """near_duplicates with node (see node_of, with apart), component (the key of its group; its own for a row linked with
-    nothing) and first (of the rows of its group, those of one node; all rows of empty sets)."""
-    number = F.col(f"`{doc_id}`").cast("long")
-    d = docs.select((node_of(doc_id, text) if apart else F.coalesce(number, F.lit(NULL_ID))).alias("_id"), number.alias("doc"), F.col(f"`{text}`").alias("text"))
+def near_groups(docs: DataFrame, *, percent: int = 80, bins: int = BINS, rows: int = ROWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """near_duplicates with node (see node_of), component (the key of its group; its own for a row linked with nothing) and
+    first (of the rows of its group, those of one node; all rows of empty sets)."""
+    d = docs.select(node_of(doc_id, text).alias("_id"), F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     signed = settled(d.mapInArrow(lambda it: _signed(it, "_id", "text", rows, bins), "_id long, doc long, n_shingles long, set_a long, set_b long, bands array<long>"))
     full = signed.where("n_shingles > 0")
     classes = full.groupBy("set_a", "set_b").agg(F.min("_id").alias("rep"), F.min("n_shingles").alias("n"), F.min_by("bands", "_id").alias("bands"))
-    members = classes.select(F.col("rep").alias("_id"), "n", F.explode("bands").alias("bucket")).distinct()
-    # buckets of the same members say the same; one of them stays, with their number
-    print_of = [F.bit_xor(F.xxhash64("_id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *print_of).where("size > 1")
-    shared = shared.groupBy("size", "x1", "x2").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times")).select("bucket", (F.col("size") * F.col("times")).alias("weight"))
-    members = settled(members.join(shared, "bucket"))
-    members = settled(members.join(members.groupBy("_id").agg(F.sum("weight").alias("degree")), "_id").drop("weight"))
-    texts = d.select("_id", "text").join(members.select("_id").distinct(), "_id", "left_semi")
-    texts = settled(texts.dropDuplicates(["_id"]) if apart else texts)
+    members = _memberships(classes)
+    texts = settled(d.select("_id", "text").join(members.select("_id").distinct(), "_id", "left_semi").dropDuplicates(["_id"]))
     same = full.join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).where("_id <> rep").select(F.col("_id").alias("a"), F.col("rep").alias("b"))
-
-    def confirmed(edges: DataFrame) -> DataFrame:
-        """edges (x, nx, y, ny) of sets near enough in size, each once, confirmed on the full sets."""
-        fits = edges.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-        pairs = fits.join(texts.select(F.col("_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("_id").alias("b"), F.col("text").alias("text_b")), "b")
-        return settled(pairs.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, percent), "a long, b long, linked boolean"))
-
-    best = members.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("_id")).alias("m"), "n")).alias("c")).select("bucket", (-F.col("c.m")).alias("y"), F.col("c.n").alias("ny"))
-    found = confirmed(members.join(best, "bucket").select(F.col("_id").alias("x"), F.col("n").alias("nx"), "y", "ny"))
-    tested, turns, done = found.select("a", "b"), None, 1
-    label = components(found.where("linked").select("a", "b").unionByName(same))
-    while True:
-        where = members.join(label, members["_id"] == label["id"], "left").select("bucket", "_id", "n", "degree", F.coalesce("component", "_id").alias("component"))
-        mixed = where.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        if turns is None:
-            turns = settled(where.join(mixed, "bucket").select("bucket", "_id", F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("degree"), "_id")).alias("turn")))
-        active = settled(where.join(mixed, "bucket").join(turns, ["bucket", "_id"]).select("bucket", "_id", "n", "component", "turn"))
-        last = active.agg(F.max("turn")).first()[0] or 0
-        linked = None
-        while last > done and linked is None:  # components change only with a new link
-            centre = active.where((F.col("turn") > done) & (F.col("turn") <= 3 * done)).select("bucket", F.col("_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-            edges = active.join(centre, "bucket").where("component <> cy").select(F.col("_id").alias("x"), F.col("n").alias("nx"), "y", "ny")
-            new = edges.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")}).join(tested, ["a", "b"], "left_anti")
-            found = confirmed(new.select("x", "nx", "y", "ny"))
-            tested, done = tested.unionByName(found.select("a", "b")), 3 * done
-            linked = found.where("linked").select("a", "b")
-            linked = None if linked.isEmpty() else linked
-        if linked is None:
-            break
-        label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(linked))
-    if not apart:
-        real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-        out = signed.join(label, signed["_id"] == label["id"], "left").select("_id", "n_shingles", F.coalesce("component", "_id").alias("component"))
-        return out.select(real("_id").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("_id") == F.col("component")).alias("kept"), F.col("_id").alias("node"), "component", (F.col("_id") == F.col("component")).alias("first"))
+    label = components(_star_links(members, texts, percent).unionByName(same))
+    more = _tile_links(members, label, texts, percent)
+    if not more.isEmpty():
+        label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     names = signed.select("_id", "doc").distinct().join(label, F.col("_id") == F.col("id")).select("_id", "doc", "component")
     least = names.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "_id")).alias("least"))
     found = names.join(least, "component").select("_id", "component", F.col("least.doc").alias("least"), F.col("least._id").alias("least_id"))

@@ -35,7 +35,7 @@ def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), apart=True)
+    return near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,14 +50,15 @@ def test_equals_brute_force(spark):
     for seed in (1, 2):
         rows = corpus(seed)
         df = spark.createDataFrame([(d, t, "own") for d, t in rows], "doc_id long, text string, n_shingles string").repartition(4)
-        assert sorted(tuple(r) for r in near_duplicates(df).collect()) == brute(rows)
+        assert sorted(tuple(r) for r in near_duplicates(df, percent=85).collect()) == brute(rows)
 
 
 def test_odd_rows(spark):
     t = "one two three four five six"
     df = spark.createDataFrame([(None, t), (4, t), (4, t), (4, "other words stand here now"), (9, None), (None, None)], "doc_id long, text string")
     got = sorted(((r.doc_id if r.doc_id is not None else 99), r.n_shingles, r.component_id if r.component_id is not None else 99, r.kept) for r in near_duplicates(df).collect())
-    assert got == [(4, 1, 4, True), (4, 2, 4, True), (4, 2, 4, True), (9, 0, 9, True), (99, 0, 4, False), (99, 2, 4, False)]
+    # a null text is linked with nothing, with an id or without
+    assert got == [(4, 1, 4, True), (4, 2, 4, True), (4, 2, 4, True), (9, 0, 9, True), (99, 0, 99, True), (99, 2, 4, False)]
     assert near_duplicates(df.limit(0)).count() == 0
 
 
@@ -82,9 +83,47 @@ def test_rows_without_id_are_told_apart(spark):
     t, u, v = "one two three four five six", "seven eight nine ten eleven", "words of a third text stand here"
     rows = [(None, t), (4, t), (4, t), (7, u), (None, u), (None, "clean and different words stand here"), (None, v), (None, v), (9, None), (None, None), (2, v + " now")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(((99 if r.doc_id is None else r.doc_id), r.n_shingles, (99 if r.component_id is None else r.component_id), r.kept) for r in near_duplicates(df, apart=True).collect())
+    got = sorted(((99 if r.doc_id is None else r.doc_id), r.n_shingles, (99 if r.component_id is None else r.component_id), r.kept) for r in near_duplicates(df).collect())
     assert got == [(2, 4, 2, True), (4, 2, 4, True), (4, 2, 4, True), (7, 1, 7, True), (9, 0, 9, True), (99, 0, 99, True), (99, 1, 7, False), (99, 2, 4, False), (99, 2, 99, True), (99, 3, 99, True), (99, 3, 99, True)]
     for seed in (1, 2):
         rows = corpus(seed)
-        assert sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), apart=True).collect()) == brute(rows)
-    assert near_duplicates(df.limit(0), apart=True).count() == 0
+        assert sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()) == brute(rows)
+    assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_pairs_that_the_stars_leave_out(spark, monkeypatch):
+    """A group whose copies drift: most pairs are too far apart, links run from neighbour to neighbour, over many tiles."""
+    from souklens.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "TILE", 7)
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for group in range(3):
+        base = [word() for _ in range(90)]
+        for k in range(40):
+            w = base[:]
+            for _ in range(r.choice([1, 2, 3, 4])):
+                w[r.randrange(90)] = word()
+            rows.append(" ".join(w))
+            if k % 5 == 0:
+                base = w
+    rows = [(k, t) for k, t in enumerate(rows)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), percent=85)
+    assert sorted(tuple(x) for x in got.collect()) == brute(rows)
+
+
+def test_every_likeness_of_85_percent_is_found(spark):
+    """Recall: pairs at about 0.85 to 0.87, sets of 7 to 500 shingles."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows, want = [], set()
+    for size in (7, 14, 20, 60, 150, 500):
+        for k in range(60):
+            w = [word() for _ in range(size + 4)]
+            cut = int(size * 0.15 / 1.85)
+            rows += [(len(rows), " ".join(w[: size + 4])), (len(rows) + 1, " ".join(w[: size + 4 - cut] + [word() for _ in range(cut)]))]
+            if 100 * (size - cut) >= 85 * (size + cut):
+                want.add(len(rows) - 1)
+    got = {x.doc_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect() if not x.kept}
+    assert len(want) > 300 and got == want
