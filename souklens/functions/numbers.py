@@ -6,7 +6,7 @@ from itertools import chain
 
 from pyspark.sql import Column, functions as F
 
-from .text import fold_for_compare
+from .text import clean_text, fold_for_compare
 
 DIGITS = "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789"
 # Fixed values, in order: token, currency, unit, whether it must stand as a word.
@@ -30,16 +30,16 @@ def parse_number(c: Column, ambiguous: str = "grouping") -> Column:
     Of two kinds of separators the right-most is the decimal one; a repeated one groups; a lone one before exactly three
     digits, behind one to three that don't start with 0, is read as `ambiguous` says, and marked.
     """
-    s = F.translate(to_ascii_digits(c), "٫٬،", ".,,")
-    s = F.regexp_replace(s, "(?<=\\d)[\\s\\u00A0\\u202F'’](?=\\d)", "")
-    tok = F.regexp_replace(F.regexp_extract(s, r"-?\d[\d.,]*", 0), "[.,]+$", "")
+    s = F.translate(to_ascii_digits(clean_text(c)), "٫٬،", ".,,")
+    s = F.regexp_replace(s, "(?<=\\d)[\\s'’](?=\\d)", ",")
+    tok = F.regexp_replace(F.regexp_extract(s, r"-?\d[\d.,]*|-?[.,]\d+", 0), "[.,]+$", "")
     dots, commas = F.length(F.regexp_replace(tok, "[^.]", "")), F.length(F.regexp_replace(tok, "[^,]", ""))
     plain = F.regexp_replace(tok, "[.,]", "")
     last_dot = F.locate(".", F.reverse(tok)) < F.locate(",", F.reverse(tok))
     point = F.replace(tok, F.lit(","), F.lit("."))
-    lone = ((dots + commas) == 1) & tok.rlike(r"^-?[1-9]\d{0,2}[.,]\d{3}$")
+    lone = ((dots + commas) == 1) & tok.rlike(r"^-?(?!0[.,])\d{1,3}[.,]\d{3}$")
     text = (
-        F.when(tok == "", None)
+        F.when(tok.isin("", "-"), None)
         .when((dots > 0) & (commas > 0), F.when(last_dot, F.replace(tok, F.lit(","), F.lit(""))).otherwise(F.replace(F.replace(tok, F.lit("."), F.lit("")), F.lit(","), F.lit("."))))
         .when((dots > 1) | (commas > 1), plain)
         .when(lone, plain if ambiguous == "grouping" else point)
@@ -49,14 +49,17 @@ def parse_number(c: Column, ambiguous: str = "grouping") -> Column:
 
 
 def round_to(c: Column, places: int = 6) -> Column:
-    """Half up on the double as it is."""
-    return F.floor(c * 10**places + 0.5) / 10**places
+    """Half up on the double as it is. From 2**53 / 10**places on, the scaled double has no fraction left to round."""
+    return F.when(F.abs(c) < 2.0**53 / 10**places, F.floor(c * 10**places + 0.5) / 10**places).otherwise(c)
 
 
 def format_decimal(c: Column, places: int = 6) -> Column:
-    """No exponent, no zeros at the end; empty for null and what isn't finite."""
-    text = round_to(c, places).cast(f"decimal(30,{places})").cast("string")
-    text = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """No exponent, no zeros at the end; empty for null and what isn't finite. Whole numbers beyond 38 digits are left as the
+    double's own text."""
+    rounded = round_to(c, places)
+    text = F.when(F.abs(rounded) < 1e30, rounded.try_cast(f"decimal(38,{places})").cast("string")).otherwise(rounded.cast("string"))
+    text = F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")).otherwise(text)
+    text = F.when(text == "-0", "0").otherwise(text)
     return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), "").otherwise(text)
 
 
@@ -72,12 +75,12 @@ def detect_currency(c: Column) -> Column:
     return hit.otherwise(F.lit(None).cast(kind))
 
 
-def parse_money(c: Column, default_currency: str | None = None, default_unit: str | None = None, ambiguous: str = "grouping") -> Column:
-    """struct(amount, currency, unit, ambiguous), null where the text has no number. The default unit is for IRR without one."""
+def parse_money(c: Column, default_currency: str | Column | None = None, default_unit: str | None = None, ambiguous: str = "grouping") -> Column:
+    """struct(amount, currency, unit, ambiguous, unit_stated), null where the text has no number; without a currency it is empty. The default unit is for IRR without one."""
     n, d = parse_number(c, ambiguous), detect_currency(c)
-    currency = F.coalesce(d["currency"], F.lit(default_currency))
+    currency = F.coalesce(d["currency"], default_currency if isinstance(default_currency, Column) else F.lit(default_currency), F.lit(""))
     unit = F.coalesce(d["unit"], F.when(currency.isin("IRR", "IRT"), F.lit(default_unit)))
-    return F.when(n["value"].isNotNull(), F.struct(n["value"].alias("amount"), currency.alias("currency"), unit.alias("unit"), n["ambiguous"].alias("ambiguous")))
+    return F.when(n["value"].isNotNull(), F.struct(n["value"].alias("amount"), currency.alias("currency"), unit.alias("unit"), n["ambiguous"].alias("ambiguous"), d["unit"].isNotNull().alias("unit_stated")))
 
 
 def convert_currency_unit(amount: Column, currency: Column, unit: Column, target: str) -> Column:
@@ -100,21 +103,47 @@ def convert_dimension(value: Column, unit: Column, target: str = "cm") -> Column
     return _convert(value, unit, target, MILLIMETRES)
 
 
-# Words for units.
-UNIT_WORDS = {"g": "g", "gr": "g", "gram": "g", "grams": "g", "گرم": "g", "kg": "kg", "kilogram": "kg", "kilograms": "kg", "کیلوگرم": "kg", "کیلو": "kg", "lb": "lbs", "lbs": "lbs", "pound": "lbs", "pounds": "lbs", "oz": "oz", "ounce": "oz", "ounces": "oz", "mm": "mm", "cm": "cm", "سانتی متر": "cm", "m": "m", "meter": "m", "متر": "m", "in": "in", "inch": "in", "inches": "in", '"': "in", "yd": "yd", "yard": "yd", "yards": "yd"}
+# Codes and words for units.
+UNIT_CODES = {"GRM": "g", "KGM": "kg", "LBR": "lbs", "ONZ": "oz", "MMT": "mm", "CMT": "cm", "MTR": "m", "INH": "in", "YRD": "yd"}
+UNIT_WORDS = {
+    "g": "g", "gr": "g", "gm": "g", "gram": "g", "grams": "g", "gramme": "g", "grammes": "g", "گرم": "g",
+    "kg": "kg", "kgs": "kg", "kilo": "kg", "kilos": "kg", "kilogram": "kg", "kilograms": "kg", "کیلو": "kg", "کیلوگرم": "kg",
+    "lb": "lbs", "lbs": "lbs", "pound": "lbs", "pounds": "lbs", "oz": "oz", "ounce": "oz", "ounces": "oz",
+    "mm": "mm", "millimeter": "mm", "millimetre": "mm", "millimeters": "mm", "millimetres": "mm", "میلیمتر": "mm",
+    "cm": "cm", "centimeter": "cm", "centimetre": "cm", "centimeters": "cm", "centimetres": "cm", "سانتیمتر": "cm", "سانت": "cm",
+    "m": "m", "meter": "m", "metre": "m", "meters": "m", "metres": "m", "متر": "m",
+    "in": "in", "inch": "in", "inches": "in", '"': "in", "yd": "yd", "yard": "yd", "yards": "yd",
+}
 
 
-def read_measure(c: Column) -> Column:
-    """struct(value, unit) of a text such as `1.5 kg`; null without a unit that is known. A lone separator is decimal."""
-    word = F.regexp_replace(fold_for_compare(F.regexp_extract(c, r'([\p{L}"]+)\.?\s*$', 1)), r"\.$", "")
-    unit = F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in UNIT_WORDS.items())), word)
-    n = parse_number(c, "decimal")["value"]
+def _named(table: dict[str, str], c: Column) -> Column:
+    return F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in table.items())), c)
+
+
+def read_unit(text: Column, code: Column | None = None, unit_text: Column | None = None) -> Column:
+    """A unit by its code, else by the word at the end of unit_text, else of the text itself; null if none is known."""
+    word = lambda c: _named(UNIT_WORDS, fold_for_compare(F.regexp_extract(c, r'([\p{L}"]+)\.?\s*$', 1)))
+    found = [] if code is None else [_named(UNIT_CODES, F.upper(F.trim(code)))]
+    return F.coalesce(*found, *([] if unit_text is None else [word(unit_text)]), word(text))
+
+
+def read_measure(c: Column, code: Column | None = None, unit_text: Column | None = None) -> Column:
+    """struct(value, unit) of a text such as `1.5 kg`, or of a number with a unit code or text beside it; null without a unit
+    that is known. A lone separator is decimal."""
+    unit, n = read_unit(c, code, unit_text), parse_number(c, "decimal")["value"]
     return F.when(n.isNotNull() & unit.isNotNull(), F.struct(n.alias("value"), unit.alias("unit")))
 
 
+def minor_unit_money(c: Column, minor_unit: Column, currency: Column, prefix: Column, suffix: Column) -> Column:
+    """struct(amount, currency, unit) of an integer string in minor units; the unit from what stands around prices."""
+    unit = detect_currency(F.concat_ws(" ", prefix, suffix))["unit"]
+    amount = minor_unit_price(c, minor_unit)
+    return F.when(amount.isNotNull(), F.struct(amount.alias("amount"), currency.alias("currency"), F.when(currency.isin("IRR", "IRT"), unit).alias("unit")))
+
+
 def minor_unit_price(c: Column, minor_unit: Column) -> Column:
     """An integer string in minor units as a price; null for an empty one."""
-    return round_to(c.try_cast("double") / F.pow(F.lit(10.0), F.coalesce(minor_unit, F.lit(2))))
+    return round_to(F.when(F.trim(c).rlike(r"^-?\d+$"), F.trim(c)).try_cast("double") / F.pow(F.lit(10.0), F.coalesce(minor_unit, F.lit(2))))
 
 
 # Availability words.

@@ -3,40 +3,41 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from souklens.functions.text import canonical_url, short_hash, slugify
 from souklens.plans.lineage import settled
 
 
 def _suffix_group(table: pa.Table) -> pa.Table:
-    keys = table.select(["_late", "seq", "_candidate"]).to_pandas().sort_values(["_late", "seq"], kind="stable")
+    keys = table.select(["_late", "seq", "_candidate", "_key"]).to_pandas().sort_values(["_late", "seq"], kind="stable")
     taken, last, out = set(), {}, [""] * len(keys)
-    for row, c in zip(keys.index.tolist(), keys["_candidate"], strict=True):
-        k = last.get(c.lower(), 1)  # names are never given back, so the search goes on where it ended
-        name = c if k == 1 else f"{c}-{k}"
-        while name.lower() in taken:
+    for row, c, key in zip(keys.index.tolist(), keys["_candidate"], keys["_key"], strict=True):
+        k = last.get(key, 1)  # names are never given back, so the search goes on where it ended
+        tail = "" if k == 1 else f"-{k}"
+        while key + tail in taken:
             k += 1
-            name = f"{c}-{k}"
-        last[c.lower()] = k
-        taken.add(name.lower())
-        out[row] = name
+            tail = f"-{k}"
+        last[key] = k
+        taken.add(key + tail)
+        out[row] = c + tail
     return table.append_column("unique", pa.array(out, pa.string()))
 
 
-def unique_in_order(rows: DataFrame, candidate: str, *, scope: list[str] | None = None, late: str | None = None, rounds: int = 64) -> DataFrame:
-    """rows (with a seq) and unique: each candidate as it is if it is free, else with the first free suffix; case is ignored.
+def unique_in_order(rows: DataFrame, candidate: str, *, scope: list[str] | None = None, late: str | None = None, fold_case: bool = False) -> DataFrame:
+    """rows (with a seq) and unique: each candidate as it is if it is free, else with the first free suffix. fold_case: names that
+    differ only in case are the same.
 
     A candidate can only meet candidates that are its root and a number. Roots are found by taking a last number off while
     what remains is a candidate itself. Where no candidate of a root ends in a number, the suffix is a row number, native
     and spread by the row's root; only roots with both go to a group function, each whole to one task.
     """
     scope = scope or []
-    d = rows.withColumns({"_candidate": F.col(candidate), "_key": F.lower(candidate), "_late": F.col(late).cast("int") if late else F.lit(0)})
+    d = rows.withColumns({"_candidate": F.col(candidate), "_key": F.lower(candidate) if fold_case else F.col(candidate), "_late": F.col(late).cast("int") if late else F.lit(0)})
     names = d.select(*scope, F.col("_key").alias("_stem")).distinct()
     roots = d.select(*scope, "_key").distinct().withColumn("_root", F.col("_key"))
     numbered = F.regexp_extract("_root", r"^(.+)-\d+$", 1)
-    for _ in range(rounds):
+    while True:
         step = settled(roots.withColumn("_stem", numbered).join(names.withColumn("_is", F.lit(True)), [*scope, "_stem"], "left"))
         roots = step.select(*scope, "_key", F.when(F.col("_is"), F.col("_stem")).otherwise(F.col("_root")).alias("_root"))
         if step.where("_is").isEmpty():
@@ -50,16 +51,46 @@ def unique_in_order(rows: DataFrame, candidate: str, *, scope: list[str] | None
     return plain.unionByName(fixed).drop("_candidate", "_key", "_late", "_root", "_mixed")
 
 
-def assign_skus(products: DataFrame, *, prefix: str = "SKU", scope: list[str] | None = None) -> DataFrame:
-    """products with sku_out: the own SKU, else PREFIX-hash of the canonical URL; parents before variations; unique by suffixes."""
-    made = F.concat(F.lit(prefix + "-"), short_hash(canonical_url(F.col("source_url"))))
-    d = products.withColumns({"_c": F.when(F.trim("sku") != "", F.trim("sku")).otherwise(made), "_v": F.col("kind") == "variation"})
-    return unique_in_order(d, "_c", scope=scope, late="_v").withColumnRenamed("unique", "sku_out").withColumns({"sku_generated": F.coalesce(F.trim("sku"), F.lit("")) == "", "sku_changed": F.col("sku_out") != F.col("_c")}).drop("_c", "_v")
+def parent_sku(url: Column, prefix: str = "P123") -> Column:
+    return F.concat(F.lit(prefix + "-"), short_hash(canonical_url(url)))
 
 
-def assign_handles(products: DataFrame, *, scope: list[str] | None = None) -> DataFrame:
-    """products with handle: slug of the name, else of the SKU, else a hash of the URL; a-z, 0-9 and dashes, at most 255, unique."""
-    slug = lambda c: F.regexp_replace(F.regexp_replace(slugify(c, ascii_only=True), "[^a-z0-9-]+", "-"), "^-+|-+$", "")
-    pick = lambda c: F.when(slug(c) != "", slug(c))
-    base = F.coalesce(pick(F.col("name")), pick(F.col("sku")), short_hash(canonical_url(F.col("source_url")), 12))
-    return unique_in_order(products.withColumn("_h", F.substring(base, 1, 255)), "_h", scope=scope).withColumnRenamed("unique", "handle").drop("_h")
+def variation_sku(parent: Column, values: Column, ascii_only: bool = False) -> Column:
+    """PARENT-slug of the values; a hash where there is no slug, and for the tail of one of more than 40 characters."""
+    joined = F.trim(F.array_join(values, " "))
+    tail = F.when(joined == "", short_hash(parent, 6)).otherwise(slugify(joined, ascii_only, 6))
+    tail = F.when(tail == "", short_hash(joined, 6)).otherwise(tail)
+    tail = F.when(F.length(tail) > 40, F.concat(F.substring(tail, 1, 33), F.lit("-"), short_hash(joined, 6))).otherwise(tail)
+    return F.concat(parent, F.lit("-"), tail)
+
+
+def assign_skus(products: DataFrame, *, prefix: str = "P123", ascii_only: bool = False, scope: list[str] | None = None) -> DataFrame:
+    """products with sku_out, sku_generated, sku_changed; parents first, then variations, unique by suffixes (case counts).
+
+    A parent has its own SKU, else PREFIX-hash of its canonical URL. A variation has its own, else its parent's with a slug of its
+    attribute values (attribute_values, if there is such a column); its parent_sku, where blank, is that of the last parent with
+    the same canonical URL."""
+    scope = scope or []
+    own = F.when(F.trim("sku") != "", F.trim("sku"))
+    d = products.withColumns({"_own": own, "_url": canonical_url(F.col("source_url"))})
+    parents = d.where("kind <> 'variation'").withColumn("_c", F.coalesce("_own", parent_sku(F.col("source_url"), prefix))).withColumn("_late", F.lit(0))
+    kids = d.where("kind = 'variation'")
+    values = F.col("attribute_values") if "attribute_values" in products.columns else F.array().cast("array<string>")
+    done = unique_in_order(parents, "_c", scope=scope).withColumnRenamed("unique", "sku_out")
+    by_url = done.groupBy(*scope, "_url").agg(F.max_by("sku_out", "seq").alias("_by_url"))
+    kids = kids.join(by_url, [*scope, "_url"], "left").withColumn("parent_sku", F.coalesce(F.when(F.trim("parent_sku") != "", F.trim("parent_sku")), "_by_url")).drop("_by_url")
+    kids = kids.withColumn("_c", F.coalesce("_own", variation_sku(F.coalesce("parent_sku", parent_sku(F.col("source_url"), prefix)), values, ascii_only))).withColumn("_late", F.lit(1))
+    every = parents.unionByName(kids).withColumnRenamed("_late", "_v")
+    out = unique_in_order(every, "_c", scope=scope, late="_v").withColumnRenamed("unique", "sku_out")
+    return out.withColumns({"sku_generated": F.col("_own").isNull(), "sku_changed": F.col("sku_out") != F.col("_c")}).drop("_c", "_v", "_own", "_url")
+
+
+def assign_handles(products: DataFrame, *, prefix: str | None = None, scope: list[str] | None = None) -> DataFrame:
+    """Parents with handle: slug of the name (a hash of it where the slug isn't ASCII), else of the SKU, else a hash of the URL;
+    a-z, 0-9 and dashes, at most 255, unique."""
+    clean = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9-]+", "-"), "^-+|-+$", "")
+    pick = lambda c: F.when(clean(slugify(c, True, 10)) != "", clean(slugify(c, True, 10)))
+    base = F.coalesce(pick(F.col("name")), pick(F.col("sku")), short_hash(F.col("source_url"), 12))
+    base = base if prefix is None else F.concat(clean(F.lit(prefix)), F.lit("-"), base)
+    d = products.where("kind <> 'variation'").withColumn("_h", F.regexp_replace(F.substring(base, 1, 255), "-+$", ""))
+    return unique_in_order(d, "_h", scope=scope).withColumnRenamed("unique", "handle").drop("_h")

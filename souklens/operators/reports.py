@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from souklens.functions.text import fold_for_compare
+from souklens.functions.numbers import to_ascii_digits
+from souklens.functions.text import clean_text, fold_for_compare, url_part
 from souklens.plans.lineage import settled
 
 
@@ -57,30 +58,39 @@ def currency_unit_counts(products: DataFrame, prices: list[str]) -> DataFrame:
 
 def score_signals(pages: DataFrame, rules: DataFrame, *, page_id: str = "page_id", html: str = "html", least: float = 0.3) -> DataFrame:
     """(page_id, target, confidence, labels, rank) from rules (target, rule_no, label, needle, weight): sum of weights found in the
-    page, at most 1, at least `least`. The rules are collected (a table of at most some hundreds) and become one array literal,
-    so pages aren't multiplied before a rule fires."""
-    table = [r.asDict() for r in rules.orderBy("target", "rule_no").limit(10_000).collect()]
-    lit = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("target", "rule_no", "label", "needle", "weight")]) for r in table])
-    low = pages.select(page_id, F.lower(html).alias("_h"))
-    d = low.select(page_id, F.explode(F.filter(lit, lambda r: F.contains(F.col("_h"), r["needle"]))).alias("r"))
+    page, at most 1, at least `least`. Rules are dealt to blocks of 500, each one row with an array; a page meets every block
+    once and is multiplied only by the rules that fire."""
+    block = F.floor((F.row_number().over(W.orderBy("target", "rule_no")) - 1) / 500)
+    blocks = rules.withColumn("_b", block).groupBy("_b").agg(F.collect_list(F.struct("target", "rule_no", "label", "needle", "weight")).alias("_rules")).select("_rules")
+    low = pages.select(page_id, F.lower(html).alias("_h")).join(F.broadcast(blocks), F.lit(True))
+    d = low.select(page_id, F.explode(F.filter("_rules", lambda r: F.contains(F.col("_h"), r["needle"]))).alias("r"))
     d = d.groupBy(page_id, "r.target").agg(F.least(F.lit(1.0), F.round(F.sum("r.weight"), 2)).alias("confidence"), F.transform(F.array_sort(F.collect_list(F.struct("r.rule_no", "r.label"))), lambda x: x["label"]).alias("labels"))
     d = d.where(F.col("confidence") >= least)
     return d.withColumn("rank", F.row_number().over(W.partitionBy(page_id).orderBy(F.desc("confidence"), "target")))
 
 
-# Marks of challenge pages, in the first 4,096 characters.
-CHALLENGES = ("/cdn-cgi/challenge-platform/", "cf-browser-verification", "cf_chl_opt", "just a moment...", "attention required! | cloudflare", "checking your browser before accessing", "g-recaptcha", "h-captcha", "_incapsula_resource", "captcha-delivery.com", "px-captcha", "/_sec/cp_challenge/")
+# Marks of challenge pages, in the first 4,096 characters, and what each is evidence of.
+CHALLENGES = (
+    ("/cdn-cgi/challenge-platform/", "Cloudflare challenge platform script"), ("cf-browser-verification", "Cloudflare browser verification"), ("cf_chl_opt", "Cloudflare challenge options"),
+    ("just a moment...", 'Cloudflare "Just a moment..." interstitial'), ("attention required! | cloudflare", "Cloudflare block page"), ("checking your browser before accessing", "browser-check interstitial"),
+    ("g-recaptcha", "reCAPTCHA widget"), ("h-captcha", "hCaptcha widget"), ("_incapsula_resource", "Imperva/Incapsula challenge"), ("captcha-delivery.com", "DataDome challenge"),
+    ("px-captcha", "PerimeterX challenge"), ("/_sec/cp_challenge/", "Akamai challenge"),
+)
 
 
 def detect_blocks(responses: DataFrame) -> DataFrame:
-    """responses (status, headers, body) with block: null where the site hasn't refused. 404 and 500 are no refusals."""
+    """responses (status, headers, body) with block and evidence: null where the site hasn't refused. Header names are matched in
+    any case; 404 and 500 are no refusals."""
     head = F.lower(F.substring(F.coalesce("body", F.lit("")), 1, 4096))
-    challenge = reduce(lambda a, b: a | b, [F.contains(head, F.lit(m)) for m in CHALLENGES])
+    mark = F.coalesce(*[F.when(F.contains(head, F.lit(m)), F.lit(label)) for m, label in CHALLENGES])
+    named = F.filter(F.map_entries("headers"), lambda e: F.lower(e["key"]) == "cf-mitigated")
+    mitigated = F.coalesce(F.lower(F.try_element_at(named, F.lit(1))["value"]) == "challenge", F.lit(False))
+    http = F.concat(F.lit("HTTP "), F.col("status").cast("string"))
     block = (
-        F.when(F.col("headers")["cf-mitigated"].isNotNull(), "challenge").when(F.col("status") == 429, "rate-limited").when(F.col("status") == 401, "login-required")
-        .when(F.col("status") == 403, F.when(challenge, "captcha").otherwise("forbidden")).when(F.col("status").isin(200, 503) & challenge, "challenge")
+        F.when(mitigated, F.struct(F.lit("captcha"), F.lit("cf-mitigated: challenge"))).when(F.col("status") == 429, F.struct(F.lit("rate-limited"), http)).when(F.col("status") == 401, F.struct(F.lit("login-required"), http))
+        .when(F.col("status") == 403, F.struct(F.when(mark.isNotNull(), "captcha").otherwise("forbidden"), F.coalesce(mark, http))).when(F.col("status").isin(200, 503) & mark.isNotNull(), F.struct(F.lit("captcha"), mark))
     )
-    return responses.withColumn("block", block)
+    return responses.withColumn("_b", block).withColumns({"block": F.col("_b")["col1"], "evidence": F.col("_b")["col2"]}).drop("_b")
 
 
 def block_latch(responses: DataFrame, *, scope: str = "scan_id", seq: str = "seq") -> DataFrame:
@@ -126,13 +136,30 @@ def usage_rollup(calls: DataFrame) -> DataFrame:
 
 def verify_answers(answers: DataFrame, fragments: DataFrame) -> DataFrame:
     """answers (request_id, field, value) against the text that was sent (request_id, fragment): present says whether the value
-    stands in it, by folded text, or by its digits alone (also ten times or a tenth of them) where it is a number."""
-    d = answers.join(fragments, "request_id", "left").withColumn("_f", fold_for_compare(F.col("fragment")))
-    digits = F.regexp_replace("value", r"\D", "")
-    number = F.col("value").rlike(r"^\d[\d.,]*$")
-    inside = F.regexp_replace("_f", r"[^\d]", "")
-    by_digits = (F.length(digits) <= 2) | F.contains(inside, digits) | F.contains(inside, F.regexp_replace(digits, "0$", ""))
-    return d.withColumn("present", F.coalesce(F.when(number, by_digits).otherwise(F.contains(F.col("_f"), fold_for_compare(F.col("value")))), F.lit(False))).drop("_f", "fragment")
+    stands in it.
+
+    Prices and quantities (regular, sale, stock_quantity) by the digits of their integer part, also ten times or a tenth of
+    them; one or two digits prove nothing and pass; a price must be above 0. images by the path of their URL, never data:.
+    Names and descriptions are taken by length alone (500 and 8,000 characters); everything else by its folded text, of at
+    most 500. Each fragment is folded once, before the join; a value without a fragment isn't present."""
+    folded = F.when(F.col("fragment").isNotNull(), F.struct(fold_for_compare(F.col("fragment")).alias("text"), F.regexp_replace(to_ascii_digits(F.col("fragment")), "[^0-9]", "").alias("digits")))
+    d = answers.join(fragments.select("request_id", folded.alias("_f")), "request_id", "left")
+    value, text, digits = clean_text(F.col("value")), F.col("_f.text"), F.col("_f.digits")
+    amount = F.col("value").try_cast("double")
+    whole = F.floor(F.abs(amount)).cast("decimal(38,0)")
+    own = whole.cast("string")
+    tenth = F.when(whole % 10 == 0, F.contains(digits, F.substring(own, F.lit(1), F.length(own) - 1))).otherwise(False)
+    by_digits = amount.isNotNull() & ((F.length(own) <= 2) | F.contains(digits, own) | tenth | F.contains(digits, F.concat(own, F.lit("0"))))
+    inside = lambda c: F.contains(text, fold_for_compare(c)) & (fold_for_compare(c) != "")
+    path = F.when(value.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), url_part(value, 3)).otherwise(F.regexp_extract(value, r"^([^?#]*)", 1))
+    by_path = ~F.startswith(value, F.lit("data:")) & ((F.length(path) <= 1) | inside(path))
+    field = F.col("field")
+    ok = (
+        F.when(value == "", False).when(field == "name", F.length(value) <= 500).when(field.isin("description", "short_description"), F.length(value) <= 8000)
+        .when(field.isin("regular", "sale"), by_digits & (amount > 0)).when(field == "stock_quantity", by_digits & (amount >= 0)).when(field == "images", by_path)
+        .otherwise((F.length(value) <= 500) & inside(value))
+    )
+    return d.withColumn("present", F.coalesce(ok & F.col("_f").isNotNull(), F.lit(False))).drop("_f")
 
 
 def fill_empty(products: DataFrame, answers: DataFrame, field: str, key: str = "product_key") -> DataFrame:

@@ -1,8 +1,8 @@
-"""Cutting lineage in the shared checkpoint folder."""
+"""Cutting lineage in the shared checkpoint folder, and connected components, which need it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -18,3 +18,23 @@ def settled(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(id, component) for the ids in links (a, b): large-star and small-star steps until every id but the roots has one
+    edge, to its root."""
+    edges = settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    while True:
+        up = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root"))
+        down = edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root"))
+        ends = up.unionByName(down).groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+        if ends.where("up > 1 or (up = 1 and root = 1)").isEmpty():
+            break
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = settled(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+    roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

@@ -24,7 +24,7 @@ ORACLES: dict[str, str] = {
       b AS (SELECT *, row_number() OVER (PARTITION BY product_key ORDER BY c DESC, seq) AS r FROM a)
       SELECT product_key, round(coalesce(regular, sale), 3) AS regular, round(CASE WHEN sale < regular THEN sale END, 3) AS sale FROM b WHERE r = 1""",
     "assign_skus": """WITH a AS (SELECT p_partkey AS seq, CASE WHEN p_partkey % 4 > 0 THEN 'B' || regexp_extract(p_brand, '(\\d+)$', 1) END AS own, ('0x' || substr(sha256('https://shop.example.com/p/' || p_partkey), 1, 16))::UBIGINT::HUGEINT % 2821109907456 AS v FROM part),
-      b AS (SELECT seq, own IS NULL AS g, coalesce(own, 'SKU-' || lpad(lower(to_base(v::BIGINT, 36)), 8, '0')) AS c FROM a), d AS (SELECT *, row_number() OVER (PARTITION BY lower(c) ORDER BY seq) AS n FROM b)
+      b AS (SELECT seq, own IS NULL AS g, coalesce(own, 'P123-' || lpad(lower(to_base(v::BIGINT, 36)), 8, '0')) AS c FROM a), d AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY seq) AS n FROM b)
       SELECT seq, c || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS sku_out, g AS sku_generated FROM d""".replace("\\\\", "\\"),
     "assign_handles": r"""WITH a AS (SELECT p_partkey AS seq, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS h FROM part), b AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY seq) AS n FROM a)
       SELECT seq, h || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS handle FROM b""",
@@ -70,8 +70,8 @@ ORACLES: dict[str, str] = {
 # column names of import tables have blanks, hence apart
 ORACLES["woo_rows"] = r"""
 WITH a AS (SELECT *, p_partkey AS seq, CASE WHEN p_partkey % 4 > 0 THEN 'B' || regexp_extract(p_brand, '(\d+)$', 1) END AS own, ('0x' || substr(sha256('https://shop.example.com/p/' || p_partkey), 1, 16))::UBIGINT::HUGEINT % 2821109907456 AS v FROM part),
-b AS (SELECT *, coalesce(own, 'SKU-' || lpad(lower(to_base(v::BIGINT, 36)), 8, '0')) AS c FROM a),
-d AS (SELECT *, c || CASE WHEN row_number() OVER (PARTITION BY lower(c) ORDER BY seq) > 1 THEN '-' || row_number() OVER (PARTITION BY lower(c) ORDER BY seq) ELSE '' END AS sku FROM b)
+b AS (SELECT *, coalesce(own, 'P123-' || lpad(lower(to_base(v::BIGINT, 36)), 8, '0')) AS c FROM a),
+d AS (SELECT *, c || CASE WHEN row_number() OVER (PARTITION BY c ORDER BY seq) > 1 THEN '-' || row_number() OVER (PARTITION BY c ORDER BY seq) ELSE '' END AS sku FROM b)
 SELECT seq, 'simple' AS "Type", sku AS "SKU", p_name AS "Name", '1' AS "Published", CASE WHEN p_partkey % 7 > 0 THEN '1' ELSE '0' END AS "In stock?",
   CASE WHEN p_partkey % 5 = 0 THEN regexp_replace(regexp_replace(((floor(p_retailprice / 2 * 1000000 + 0.5) / 1000000)::DECIMAL(30, 6))::VARCHAR, '0+$', ''), '\.$', '') ELSE '' END AS "Sale price",
   regexp_replace(regexp_replace(((floor(p_retailprice * 1000000 + 0.5) / 1000000)::DECIMAL(30, 6))::VARCHAR, '0+$', ''), '\.$', '') AS "Regular price",
@@ -90,3 +90,12 @@ WITH p AS ({ORACLES['canonical_urls']}), u AS (SELECT page_id, url_key FROM p),
 s AS (SELECT url_key, page_id AS seq FROM u UNION ALL SELECT url_key, page_id + 1000000 FROM u)
 SELECT url_key AS product_key, 'n' || arg_max(seq, {{'a': CASE WHEN seq % 2 = 0 THEN 0.9 ELSE 0.5 END, 'b': -seq}}) AS name, min(seq) AS first_seq, count(*) - 1 AS duplicates FROM s GROUP BY url_key
 """
+
+
+def _structured() -> dict[str, str]:
+    from souklens.plans.structured_queries import ORACLES as more
+
+    return more
+
+
+ORACLES |= _structured()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from souklens.functions.numbers import minor_unit_price
-from souklens.functions.text import canonical_url, clean_text
+from souklens.functions.text import canonical_url, clean_text, resolve_url
 
 STORE = "array<struct<id:long,name:string,type:string,permalink:string,sku:string,parent:long,is_in_stock:boolean,on_sale:boolean,prices:struct<currency_code:string,currency_minor_unit:int,regular_price:string,sale_price:string>,images:array<struct<src:string>>,categories:array<struct<id:long,name:string>>>>"
 COLLECTION = "struct<products:array<struct<id:long,title:string,handle:string,vendor:string,product_type:string,images:array<struct<src:string>>,variants:array<struct<id:long,title:string,sku:string,price:string,compare_at_price:string,available:boolean>>>>>"
@@ -33,10 +33,24 @@ def collection_products(responses: DataFrame, base: str = "") -> DataFrame:
 
 
 def sitemap_urls(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, loc): locations of urlsets and sitemap indexes, http(s) only, each once a document."""
-    locs = lambda kind, path: docs.select("doc_id", F.lit(kind).alias("kind"), F.explode(F.expr(f"xpath(xml, '{path}')")).alias("loc"))
-    d = locs("url", "//url/loc/text()").unionByName(locs("sitemap", "//sitemap/loc/text()"))
-    return d.withColumn("loc", F.trim("loc")).where(F.col("loc").rlike("^https?://")).distinct()
+    """(doc_id, kind, loc, lastmod): locations of urlsets (url) and sitemap indexes (sitemap), absolute by the document's base_url
+    if it has one, http(s) only, each once a document, the first one's lastmod.
+
+    Entries are found by their tags, not by an XML parser, so a broken document gives what it holds and fails nothing."""
+    base = F.col("base_url") if "base_url" in docs.columns else F.lit(None).cast("string")
+    d = docs.select("doc_id", base.alias("base_url"), F.regexp_replace("xml", r"(?s)<!--.*?-->", "").alias("xml"))
+    entry = F.regexp_extract_all("xml", F.lit(r"(?is)<(?:\w+:)?(?:url|sitemap)\b[^>]*>.*?</(?:\w+:)?(?:url|sitemap)\s*>"), F.lit(0))
+    d = d.select("doc_id", "base_url", F.posexplode(entry).alias("pos", "entry"))
+    within = lambda tag: F.regexp_extract("entry", rf"(?is)<(?:\w+:)?{tag}\b[^>]*>(.*?)</(?:\w+:)?{tag}\s*>", 1)
+    plain = lambda c: clean_text(F.regexp_replace(F.replace(F.replace(F.replace(F.replace(F.regexp_replace(c, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&")), r"&#0*39;|&apos;", "'"))
+    d = d.select("doc_id", "pos", F.when(F.lower("entry").rlike(r"^<(?:\w+:)?sitemap\b"), "sitemap").otherwise("url").alias("kind"), plain(within("loc")).alias("loc"), plain(within("lastmod")).alias("lastmod"), "base_url")
+    d = d.withColumn("loc", F.when(F.col("base_url").isNotNull(), F.coalesce(resolve_url(F.col("loc"), F.col("base_url")), "loc")).otherwise(F.col("loc"))).where(F.col("loc").rlike("(?i)^https?:"))
+    return d.groupBy("doc_id", "kind", "loc").agg(F.min_by(F.when(F.col("lastmod") != "", F.col("lastmod")), "pos").alias("lastmod"))
+
+
+def sitemap_issues(docs: DataFrame, urls: DataFrame) -> DataFrame:
+    """(doc_id, severity, code): sitemaps that hold no entry."""
+    return docs.select("doc_id").join(urls, "doc_id", "left_anti").select("doc_id", F.lit("warning").alias("severity"), F.lit("sitemap-empty").alias("code"))
 
 
 def filter_sitemap_urls(urls: DataFrame, hints: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from souklens.functions.numbers import availability, parse_number
-from souklens.functions.text import canonical_url, clean_text, normalize_type
+from souklens.functions.text import canonical_url, clean_text, fold_for_compare, normalize_type
 from souklens.plans.lineage import settled
 
 NODE = "page_id long, node_id int, parent_id int, depth int, tag string, attrs map<string,string>, text string"
@@ -24,6 +24,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[list] = []
         self.open: list[int] = []
+        self.stream: list[tuple[int, str]] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         while self.open and self.nodes[self.open[-1]][3] in AUTO.get(tag, ()):
@@ -48,6 +49,31 @@ class _Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.open:
             self.nodes[self.open[-1]][5].append(data)
+            self.stream.append((self.open[-1], data))
+
+
+class PageTree(_Tree):
+    """A page's elements in page order: (id, parent, depth, tag, attributes, own texts), their children, the first element of each
+    id, and the whole text below an element."""
+
+    def __init__(self, html: str) -> None:
+        super().__init__()
+        self.feed(html)
+        self.close()
+        self.children: list[list[int]] = [[] for _ in self.nodes]
+        self.ids: dict[str, int] = {}
+        self.end = list(range(1, len(self.nodes) + 1))
+        for n, parent, *_, attrs, _ in self.nodes:
+            if parent is not None:
+                self.children[parent].append(n)
+            if attrs.get("id"):
+                self.ids.setdefault(attrs["id"], n)
+        for n in range(len(self.nodes) - 1, -1, -1):
+            if self.children[n]:
+                self.end[n] = self.end[self.children[n][-1]]
+
+    def text_of(self, n: int) -> str:
+        return "".join(data for at, data in self.stream if n <= at < self.end[n])
 
 
 def dom_nodes(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
@@ -84,7 +110,8 @@ def jsonld_blocks(nodes: DataFrame) -> DataFrame:
 
 OFFER = "struct<price:string,priceCurrency:string,availability:string,lowPrice:string,highPrice:string,sku:string,priceType:string>"
 PRODUCT = f"struct<`@type`:string,name:string,sku:string,url:string,description:string,image:string,category:string,gtin13:string,brand:struct<name:string>,offers:array<{OFFER}>>"
-PRODUCT_TYPES = ("product", "productgroup", "productmodel", "individualproduct", "someproducts", "vehicle", "car")
+# Types of product nodes.
+PRODUCT_TYPES = ("product", "productgroup", "productmodel", "individualproduct", "book", "vehicle", "car")
 
 
 def jsonld_products(blocks: DataFrame) -> DataFrame:
@@ -161,12 +188,29 @@ def page_links(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("tag").isin("a", "link") & a["href"].isNotNull()).select("page_id", "node_id", a["href"].alias("href"), a["rel"].alias("rel"), clean_text(F.col("text")).alias("text"))
 
 
+# Names of a shop's front page in breadcrumbs.
+HOME_NAMES = ("home", "homepage", "index", "main", "خانه", "صفحه اصلی", "صفحه نخست", "accueil", "inicio", "startseite", "главная")
+
+
+def is_home_crumb(name: Column, url: Column) -> Column:
+    return fold_for_compare(name).isin(*HOME_NAMES) | F.coalesce(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/?(?:[?#]|$)"), F.lit(False))
+
+
+def without_home(crumbs: Column) -> Column:
+    """The names of crumbs (structs of name and url, in order) behind all leading ones of the front page."""
+    state = F.reduce(
+        crumbs,
+        F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("path")),
+        lambda at, x: F.struct((at["inside"] | ~is_home_crumb(x["name"], x["url"])).alias("inside"), F.when(at["inside"] | ~is_home_crumb(x["name"], x["url"]), F.array_append(at["path"], x["name"])).otherwise(at["path"]).alias("path")),
+    )
+    return state["path"]
+
+
 def breadcrumb_paths(items: DataFrame) -> DataFrame:
-    """(page_id, category_path) of crumbs (page_id, list_id, position, name, url): home left out, the longest list of a page."""
-    home = F.lower("name").isin("home", "homepage", "خانه", "صفحه اصلی", "صفحه نخست", "accueil", "inicio", "startseite", "главная") | F.col("url").rlike(r"^[a-z]+://[^/]+/?$")
-    d = items.withColumn("_home", F.coalesce(home, F.lit(False))).groupBy("page_id", "list_id").agg(F.array_sort(F.collect_list(F.struct("position", "name", "_home"))).alias("c"))
-    path = F.transform(F.filter("c", lambda x, i: ~((i == 0) & x["_home"])), lambda x: x["name"])
-    return d.select("page_id", "list_id", path.alias("p")).groupBy("page_id").agg(F.max_by("p", F.struct(F.size("p"), -F.col("list_id"))).alias("category_path"))
+    """(page_id, category_path) of crumbs (page_id, list_id, position, name, url): leading front pages left out, the longest list
+    of a page, the first of equals."""
+    d = items.groupBy("page_id", "list_id").agg(F.array_sort(F.collect_list(F.struct("position", "name", "url"))).alias("c"))
+    return d.select("page_id", "list_id", without_home(F.col("c")).alias("p")).groupBy("page_id").agg(F.max_by("p", F.struct(F.size("p"), -F.col("list_id"))).alias("category_path"))
 
 
 def item_list_order(items: DataFrame) -> DataFrame:
