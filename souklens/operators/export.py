@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from souklens.functions.numbers import format_decimal
-from souklens.functions.text import csv_field, multi_value
+from souklens.functions.numbers import convert_currency_unit, convert_dimension, convert_weight, format_decimal
+from souklens.functions.text import category_cell, clean_text, csv_field, escape_description, multi_value
+from souklens.operators.resolve import link_variations
 
 text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
 
@@ -69,3 +70,73 @@ def export_catalog(products: DataFrame, target: str, **how) -> DataFrame:
 def content_policy(description: Column, url: Column, mode: str) -> Column:
     """structured: no descriptions; reference: the text and where it is from; else as it is."""
     return F.lit("") if mode == "structured" else F.concat(description, F.lit("\n<!-- "), url, F.lit(" -->")) if mode == "reference" else description
+
+
+# The columns of a WooCommerce import, in order; {w} and {d} are the units of weight and size.
+WOO_COLUMNS = (
+    "ID", "Type", "SKU", "GTIN, UPC, EAN, or ISBN", "Name", "Published", "Is featured?", "Visibility in catalog", "Short description", "Description", "In stock?", "Stock",
+    "Weight ({w})", "Length ({d})", "Width ({d})", "Height ({d})", "Sale price", "Regular price", "Categories", "Tags", "Images", "Parent", "Position", "Brands",
+)
+
+
+def money_cell(price: Column, currency: str, unit: str, strict: bool = False) -> Column:
+    """struct(cell, code) of a price (amount, currency, unit): foreign ones unconverted (currency-mismatch), toman and rial in the shop's
+    unit, without a unit as they are (currency-unit-assumed, or an error if strict)."""
+    ours = F.upper(price["currency"]).isin("IRR", "IRT")
+    plain = format_decimal(price["amount"])
+    unknown = F.when(F.lit(strict), F.raise_error(F.lit("a price without a toman or rial unit")).cast("string")).otherwise(plain)
+    cell = F.when(price.isNull(), "").when(~ours, plain).when(price["unit"].isNull(), unknown).otherwise(format_decimal(convert_currency_unit(price["amount"], price["currency"], price["unit"], unit)))
+    code = F.when(price.isNull(), None).when(~ours & (price["currency"] != "") & (price["currency"] != currency), "currency-mismatch").when(ours & price["unit"].isNull(), "currency-unit-assumed")
+    return F.struct(cell.alias("cell"), code.alias("code"))
+
+
+def woo_import(products: DataFrame, *, currency: str = "USD", unit: str = "toman", weight: str = "kg", dimension: str = "cm", mode: str = "structured-only", default_in_stock: bool = True, published: str = "1", keep_orphans: bool = False, source_column: str | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, issues, stats) of products as finalize_products and assign_skus give them, with weight, dimensions, attributes and seq:
+    24 columns, four for each attribute of the widest product, one for the source if asked for.
+
+    Variations stand with their parent (parent_sku), position from 0; a parent with variations is variable and has no price;
+    variations without a parent are dropped or kept, and reported. The width is one aggregate over the table."""
+    d = link_variations(products.withColumn("sku", F.col("sku_out")))
+    parents = products.where("kind <> 'variation'").withColumn("sku", F.col("sku_out"))
+    has = d.where("parent_key is not null").select(F.col("parent_key").alias("sku")).distinct().withColumn("_has", F.lit(True))
+    parents = parents.join(has, "sku", "left").withColumns({"_type": F.when(F.col("_has") | (F.col("kind") == "variable"), "variable").otherwise("simple"), "_parent": F.lit(""), "_position": F.lit("")}).drop("_has")
+    place = F.when(F.col("parent_key").isNotNull(), F.row_number().over(W.partitionBy("parent_key").orderBy("seq")) - 1)
+    kids = d.withColumns({"_type": F.lit("variation"), "_parent": F.coalesce("parent_key", "parent_sku", F.lit("")), "_position": text(place), "_orphan": F.col("parent_key").isNull()}).drop("parent_key")
+    every = parents.withColumn("_orphan", F.lit(False)).unionByName(kids)
+    every = every.withColumns({"_sale": money_cell(F.col("price.sale"), currency, unit, strict), "_regular": money_cell(F.col("price.regular"), currency, unit, strict)})
+    rows = every if keep_orphans else every.where("not _orphan")
+    priced = F.col("_type") != "variable"
+    describe = (lambda c: F.lit("")) if mode == "structured-only" else (lambda c: escape_description(text(c)))
+    flag = lambda c: F.when(c, "1").otherwise("0")
+    size = lambda k: F.coalesce(format_decimal(convert_dimension(F.col(f"dimensions.{k}.value"), F.col(f"dimensions.{k}.unit"), dimension)), F.lit(""))
+    cells = [
+        F.lit(""), F.col("_type"), text(F.col("sku")), text(F.col("gtin")), clean_text(text(F.col("name"))), F.lit(published), F.lit("0"), F.lit("visible"), describe(F.col("short_description")), describe(F.col("description")), flag(F.coalesce("in_stock", F.lit(default_in_stock))),
+        F.coalesce(format_decimal(F.col("stock_quantity").cast("double")), F.lit("")), F.coalesce(format_decimal(convert_weight(F.col("weight.value"), F.col("weight.unit"), weight)), F.lit("")), size("length"), size("width"), size("height"),
+        F.when(priced, F.col("_sale.cell")).otherwise(""), F.when(priced, F.col("_regular.cell")).otherwise(""), F.coalesce(category_cell(F.col("category_path")), F.lit("")), F.coalesce(multi_value(F.col("tags")), F.lit("")), F.coalesce(multi_value(F.col("images")), F.lit("")), F.col("_parent"), F.col("_position"), text(F.col("brand")),
+    ]
+    width = rows.agg(F.max(F.size("attributes"))).first()[0] or 0
+    slot = lambda k: F.try_element_at("attributes", F.lit(k))
+    for k in range(1, width + 1):
+        used = F.coalesce(F.size(slot(k)["values"]) > 0, F.lit(False))
+        cells += [F.when(used, slot(k)["name"]).otherwise(""), F.when(used, multi_value(slot(k)["values"])).otherwise(""), F.when(used, "1").otherwise(""), F.when(used, "0").otherwise("")]
+    names = [c.format(w=weight, d=dimension) for c in WOO_COLUMNS] + [f"Attribute {k} {what}" for k in range(1, width + 1) for what in ("name", "value(s)", "visible", "global")]
+    out = rows.select("seq", *[c.alias(n) for c, n in zip(cells, names, strict=True)], *([] if source_column is None else [F.col("source_url").alias(source_column)]))
+    found = F.array_compact(F.array(
+        F.when(F.col("sku_changed"), "sku-deduplicated"), F.when(F.col("_orphan"), "orphan-variation"), F.when(~F.col("_orphan") & F.col("in_stock").isNull(), "stock-status-assumed"), F.when(priced, F.col("_sale.code")), F.when(priced, F.col("_regular.code")),
+        F.when(F.exists("category_path", lambda x: F.contains(x, F.lit(">"))), "category-separator-in-name"),
+    ))
+    issues = every.select("seq", "sku", "source_url", F.explode(found).alias("code"))
+    stats = rows.agg(*[F.count(F.when(F.col("_type") == k, 1)).alias(k) for k in ("simple", "variable", "variation")], F.count(F.when(F.col("sku_generated"), 1)).alias("skus_generated"), F.count(F.when(F.col("sku_changed"), 1)).alias("skus_deduplicated"), F.coalesce(F.max(F.size("attributes")), F.lit(0)).alias("attribute_columns"))
+    return out, issues, stats
+
+
+def csv_header(rows: DataFrame, order: list[str], *, delimiter: str = ",", bom: bool = True) -> str:
+    """The first line of a CSV file of these rows."""
+    quoted = [c if not any(x in c for x in (delimiter, '"', "\n", "\r")) else '"' + c.replace('"', '""') + '"' for c in rows.columns if c not in order]
+    return ("\ufeff" if bom else "") + delimiter.join(quoted)
+
+
+def json_envelope(products: DataFrame, *, version: int = 1) -> DataFrame:
+    """One row: the manifest of an export as JSON lines: format, version, counts of products and variations, keys sorted."""
+    d = products.agg(F.count(F.when(F.col("kind") != "variation", 1)).alias("products"), F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("kind") == "variation", 1)).alias("variations"))
+    return d.select(F.to_json(F.struct(F.struct("products", "rows", "variations").alias("counts"), F.lit("catalogue").alias("format"), F.lit(version).alias("version"))).alias("value"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from souklens.functions.numbers import to_ascii_digits
-from souklens.functions.text import clean_text, fold_for_compare, url_part
+from souklens.functions.text import clean_text, describe_confidence, fold_for_compare, url_part
 from souklens.plans.lineage import settled
 
 
@@ -167,3 +167,78 @@ def fill_empty(products: DataFrame, answers: DataFrame, field: str, key: str = "
     d = products.join(answers.select(key, F.col("value").alias("_v")), key, "left")
     empty = F.coalesce(F.trim(field), F.lit("")) == ""
     return d.withColumn("filled", empty & F.col("_v").isNotNull()).withColumn(field, F.when(empty, F.col("_v")).otherwise(F.col(field))).drop("_v")
+
+
+# Fields that decide whether a product needs more, kinds of errors that end a scan, names of layers.
+TIER_1 = ("name", "regular", "category_path", "images", "description", "in_stock")
+BLOCKING = ("network", "site-blocked", "parse-failed", "structure-changed")
+LAYERS = {"A": "the shop’s own product API", "B": "the page’s structured data", "C": "the layout you taught it", "D": "the AI fallback"}
+
+
+def has_value(c: str, kind: str) -> Column:
+    """Whether a field says something: blanks and empty lists don't, 0 and false do."""
+    return F.coalesce(F.size(c) > 0, F.lit(False)) if kind.startswith("array") else F.coalesce(F.trim(F.col(c)) != "", F.lit(False)) if kind == "string" else F.col(c).isNotNull()
+
+
+def missing_tier1(products: DataFrame, wanted: list[str]) -> DataFrame:
+    """products with missing (wanted fields of the first tier that are empty; attributes too for variable ones) and needs_more,
+    which variations never do."""
+    kinds = dict(products.dtypes)
+    gate = [F.when(~has_value(f, kinds[f]), F.lit(f)) for f in TIER_1 if f in wanted and f in kinds]
+    gate += [F.when((F.col("kind") == "variable") & ~has_value("attributes", kinds["attributes"]), F.lit("attributes"))] if "attributes" in wanted and "attributes" in kinds else []
+    d = products.withColumn("missing", F.array_compact(F.array(*gate)) if gate else F.array().cast("array<string>"))
+    return d.withColumn("needs_more", (F.col("kind") != "variation") & (F.size("missing") > 0))
+
+
+def field_sources(products: DataFrame, fields: list[str], *, scope: list[str] | None = None) -> DataFrame:
+    """(scope, field, sources): the layers (layer, field_confidence of the products) that filled a field, by their highest confidence
+    down, each with a word for it."""
+    kinds = dict(products.dtypes)
+    told = F.array(*[F.struct(F.lit(f).alias("field"), F.when(has_value(f, kinds[f]), F.coalesce(F.try_element_at("field_confidence", F.lit(f)), F.lit(0.0))).alias("c")) for f in fields])
+    d = products.select(*(scope or []), "layer", F.explode(told).alias("t")).where("t.c is not null")
+    d = d.groupBy(*(scope or []), "t.field", "layer").agg(F.max("t.c").alias("c"))
+    name = F.coalesce(*[F.when(F.col("layer") == k, F.lit(v)) for k, v in LAYERS.items()], F.concat(F.lit("layer "), "layer"))
+    line = F.concat(name, F.lit(" ("), describe_confidence(F.col("c")), F.lit(")"))
+    return d.groupBy(*(scope or []), "field").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "layer", line.alias("line")))), lambda s: s["line"]).alias("sources"))
+
+
+def blocking_issue(issues: DataFrame, *, scope: list[str] | None = None) -> DataFrame:
+    """(scope, code, message): the first error of each scan that ends it."""
+    d = issues.where((F.col("severity") == "error") & F.col("kind").isin(*BLOCKING)).groupBy(*(scope or [])).agg(F.min_by(F.struct("code", "message"), "seq").alias("b"))
+    return d.select(*(scope or []), "b.*")
+
+
+def explain_fields(coverage: DataFrame, blocking: DataFrame, *, scope: list[str]) -> DataFrame:
+    """coverage as field_coverage gives it, with scan-failed for empty fields of scans that an error ended, and its message."""
+    d = coverage.join(blocking.select(*scope, F.col("message").alias("_m")), scope, "left")
+    failed = (F.col("reason") == "not-published") & F.col("_m").isNotNull()
+    message = F.when(failed, F.concat(F.lit("Empty because the scan could not finish: "), "_m"))
+    return d.withColumns({"reason": F.when(failed, "scan-failed").otherwise(F.col("reason")), "message": message}).drop("_m")
+
+
+def top_warnings(issues: DataFrame, n: int = 5, scope: str = "scan_id") -> DataFrame:
+    """The first n warnings of each export."""
+    d = issues.where("severity = 'warning'")
+    return d.withColumn("rank", F.row_number().over(W.partitionBy(scope).orderBy("seq"))).where(F.col("rank") <= n)
+
+
+def scan_summary(products: DataFrame, pages: DataFrame, *, scope: str = "scan_id") -> DataFrame:
+    """(scope, rows, products, variations, pages, requests, status): one row per scan; a blocked one is so, else one that met its budget."""
+    p = products.groupBy(scope).agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("kind") != "variation", 1)).alias("products"), F.count(F.when(F.col("kind") == "variation", 1)).alias("variations"))
+    q = pages.groupBy(scope).agg(F.count(F.lit(1)).alias("requests"), F.count(F.when(F.col("block").isNull(), 1)).alias("pages"), F.max(F.col("block").isNotNull()).alias("_blocked"))
+    d = q.join(p, scope, "left").fillna(0, ["rows", "products", "variations"])
+    return d.withColumn("status", F.when(F.col("_blocked"), "blocked").otherwise("complete")).drop("_blocked")
+
+
+def parse_answers(raw: DataFrame) -> DataFrame:
+    """raw (text) with answer: the JSON object of a model's answer as it is, else within a fence, else between its outermost braces."""
+    text = F.trim("text")
+    fenced = F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)```", 1)
+    braced = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    found = [F.when(F.startswith(F.schema_of_variant(F.try_parse_json(x)), F.lit("OBJECT")), F.try_parse_json(x)) for x in (text, fenced, braced)]
+    return raw.withColumn("answer", F.coalesce(*found))
+
+
+def countable_units(currency: Column) -> Column:
+    """Whether a price of this currency needs a unit."""
+    return F.upper(currency).isin("IRR", "IRT")

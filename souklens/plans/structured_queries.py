@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from souklens.functions import graph as G
-from souklens.plans.queries import query, read
+from souklens.operators import detect as D, export as X, keys as K, reports as R
+from souklens.plans.queries import _log, query, read
 from souklens.sources import structured as S
 
 # what a page holds, by p_partkey % 6; {k} is the key, {b} the brand, {p} the price with two decimals
@@ -103,3 +104,130 @@ SELECT k AS page_id, row::BIGINT AS row, source_url, kind, parent_sku, name, sku
     "lenient_values": """SELECT event_id, [1, 1, 1, 2, 1, 0][(event_id % 6 + 1)::INT]::BIGINT AS n, CASE event_id % 6 WHEN 0 THEN event_type || ' x' WHEN 1 THEN event_id::VARCHAR END AS text, CASE WHEN event_id % 6 = 1 THEN event_id::DOUBLE END AS number,
       CASE event_id % 6 WHEN 1 THEN event_id <> 0 WHEN 2 THEN true END AS flag, CASE event_id % 6 WHEN 0 THEN event_type || ' x' WHEN 1 THEN event_id::VARCHAR WHEN 3 THEN event_type END AS name FROM events""",
 }
+
+
+@query
+def platforms(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of shops of several kinds; marks in scripts, classes, generators and ids."""
+    o = read(spark, d, "orders")
+    k = F.col("o_orderkey") % 5
+    html = F.when(k == 0, '<meta name="generator" content="WooCommerce 9"><body class="x Woocommerce-Page">').when(k == 1, '<div id="shopify-features"></div>').when(k == 2, '<script id="__NEXT_DATA__">{}</script><script src="/_NEXT/static/x.js">').when(k == 3, '<link rel="https://api.w.org/"><p>').otherwise('<a href="index.php?route=a">catalog/view/theme/ myshopify.com')
+    return D.detect_platforms(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html"))).select("page_id", "target", "confidence", F.array_join("labels", ",").alias("labels"), "adapter", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def pagination_plans(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that state their successor in every way there is."""
+    o = read(spark, d, "orders")
+    k, n = F.col("o_orderkey") % 7, (F.col("o_orderkey") % 3 + 1).cast("string")
+    nav = F.lit('<ul class="my-pagination"><li><a href="/c/">1</a><a href="/c/page/2/">2</a><a href="/c/page/3/?utm_source=x">3</a></li></ul>')
+    html = (
+        F.when(k == 0, '<link rel="next" href="/c/page/9/">').when(k == 1, nav).when(k == 2, '<button data-next="x?page=4">Load  MORE products</button>').when(k == 3, "<p class='infinite-scroll'>")
+        .when(k == 4, F.concat(F.lit('<a rel="prev next" href="'), F.lit("https://s.example.com/c/page/"), n, F.lit('/">'))).when(k == 5, '<a class="button">buy</a><div class="js-load-more">').otherwise("<p>x")
+    )
+    pages = o.select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("https://s.example.com/c/page/"), n, F.lit("/")).alias("url"), html.alias("html"))
+    return D.detect_pagination(pages)
+
+
+@query
+def import_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All columns of an import: parents of `part`, two variations each for a fourth of them, some without a parent."""
+    p = read(spark, d, "part").withColumn("k", F.col("p_partkey") % 4)
+    money = lambda c: F.struct(c.alias("amount"), F.when(F.col("p_partkey") % 3 == 0, "IRR").otherwise("EUR").alias("currency"), F.when(F.col("p_partkey") % 6 == 0, "rial").alias("unit"))
+    price = F.struct(money(F.col("p_retailprice")).alias("regular"), F.when(F.col("p_partkey") % 5 == 0, money(F.col("p_retailprice") / 2)).alias("sale"))
+    none = F.lit(None).cast("string")
+    axis = lambda name, *v: F.struct(F.lit(name).alias("name"), F.array(*v).alias("values"), F.lit(True).alias("is_variation_axis"))
+    measure = lambda v, u: F.struct(v.cast("double").alias("value"), F.lit(u).alias("unit"))
+    base = {"gtin": none, "name": F.col("p_name"), "description": F.lit("a\\nb"), "short_description": none, "brand": F.col("p_brand"), "stock_quantity": F.col("p_size").cast("long"), "images": F.array(F.lit("x,y"), F.lit("z")), "tags": F.array().cast("array<string>"), "category_path": F.array(F.lit("a"), F.lit("b > c")), "price": price, "weight": measure(F.col("p_size"), "g"), "dimensions": F.struct(measure(F.col("p_size"), "mm").alias("length"), measure(F.lit(None), None).cast("struct<value:double,unit:string>").alias("width"), measure(F.lit(1), "m").alias("height"))}
+    url = F.concat(F.lit("https://s.example.com/p/"), "p_partkey")
+    own = p.select(F.concat(F.lit("P"), "p_partkey").alias("sku"), none.alias("parent_sku"), F.lit("simple").alias("kind"), url.alias("source_url"), (F.col("p_partkey") * 10).alias("seq"), F.when(F.col("k") == 0, F.array(axis("Size", F.lit("S"), F.lit("M")))).otherwise(F.array(axis("Brand", F.col("p_brand")), axis("Kind", F.col("p_type")))).alias("attributes"), F.when(F.col("p_partkey") % 7 > 0, F.lit(True)).alias("in_stock"), *[v.alias(c) for c, v in base.items()])
+    kid = lambda n, size: p.where("k <= 1").select(none.alias("sku"), F.when(F.col("k") == 0, F.concat(F.lit("P"), "p_partkey")).otherwise("gone").alias("parent_sku"), F.lit("variation").alias("kind"), F.concat(F.lit("https://s.example.com/v/"), "p_partkey").alias("source_url"), (F.col("p_partkey") * 10 + n).alias("seq"), F.array(axis("Size", F.lit(size))).alias("attributes"), F.lit(True).alias("in_stock"), *[v.alias(c) for c, v in base.items()])
+    every = own.unionByName(kid(1, "S")).unionByName(kid(2, "M")).withColumn("attribute_values", F.flatten(F.transform("attributes", lambda a: a["values"])))
+    rows, issues, _ = X.woo_import(K.assign_skus(every), currency="EUR", unit="toman")
+    codes = issues.groupBy("seq").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
+    return codes.join(rows, "seq", "full").select("seq", "Type", "SKU", "Name", F.col("`In stock?`").alias("in_stock"), "Stock", F.col("`Weight (kg)`").alias("kg"), F.col("`Length (cm)`").alias("length"), F.col("`Width (cm)`").alias("width"), F.col("`Height (cm)`").alias("height"), F.col("`Sale price`").alias("sale"), F.col("`Regular price`").alias("regular"), "Categories", "Images", "Parent", "Position", F.col("`Attribute 1 name`").alias("a1"), F.col("`Attribute 1 value(s)`").alias("v1"), F.col("`Attribute 2 name`").alias("a2"), F.col("Description"), F.coalesce("codes", F.lit("")).alias("codes"))
+
+
+@query
+def missing_fields(spark: SparkSession, d: str) -> DataFrame:
+    """What products of the first tier lack, and the layers that filled what they have."""
+    p = read(spark, d, "part").select("p_brand", F.when(F.col("p_partkey") % 4 == 0, "variation").when(F.col("p_partkey") % 4 == 1, "variable").otherwise("simple").alias("kind"), "p_partkey", F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 3 > 0, F.lit(0.0)).alias("regular"), F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("images"), F.lit("  ").alias("description"), F.array().cast("array<string>").alias("attributes"))
+    return R.missing_tier1(p, ["name", "regular", "images", "attributes"]).select("p_partkey", F.array_join("missing", ",").alias("missing"), "needs_more")
+
+
+@query
+def field_sources(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "part").select("p_brand", F.when(F.col("p_partkey") % 2 == 0, "A").otherwise("B").alias("layer"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_name")).alias("name"), F.create_map(F.lit("name"), F.when(F.col("p_partkey") % 2 == 0, F.lit(1.0)).otherwise(F.lit(0.5))).alias("field_confidence"))
+    return R.field_sources(p, ["name"], scope=["p_brand"]).select("p_brand", "field", F.array_join("sources", " and ").alias("sources"))
+
+
+@query
+def scan_failures(spark: SparkSession, d: str) -> DataFrame:
+    """The first error that ended each user's scan, and their first warnings."""
+    k = F.pmod("seq", F.lit(4))
+    i = _log(spark, d).select("scan_id", "seq", F.col("event_type").alias("code"), F.concat(F.lit("m"), "seq").alias("message"), F.when(k < 2, "error").otherwise("warning").alias("severity"), F.when(k == 1, "network").otherwise("other").alias("kind"))
+    first = R.blocking_issue(i, scope=["scan_id"]).select("scan_id", F.lit("failed").alias("what"), "message")
+    return first.unionByName(R.top_warnings(i, 2).select("scan_id", F.lit("warning").alias("what"), "message"))
+
+
+@query
+def scan_summaries(spark: SparkSession, d: str) -> DataFrame:
+    e = _log(spark, d)
+    products = e.select("scan_id", F.when(F.col("seq") % 3 == 0, "variation").otherwise("simple").alias("kind"))
+    pages = e.select("scan_id", F.when((F.col("scan_id") % 10 == 0) & (F.col("seq") % 5 == 0), "captcha").alias("block"))
+    return R.scan_summary(products, pages)
+
+
+@query
+def model_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers as models give them: plain, fenced, wrapped in words, or none."""
+    k = F.col("event_id") % 5
+    body = F.concat(F.lit('{"name":"'), "event_type", F.lit('"}'))
+    text = F.when(k == 0, body).when(k == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Sure. "), body, F.lit(" Done."))).when(k == 3, F.concat(F.lit("["), body, F.lit("]"))).otherwise("no")
+    return R.parse_answers(read(spark, d, "events").select("event_id", text.alias("text"))).select("event_id", F.try_variant_get("answer", "$.name", "string").alias("name"))
+
+
+@query
+def verify_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values of several fields against whole documents: words of the text, numbers of it in other forms, invented ones."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("request_id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" ۱٬۲۵۰٬۰۰۰ <img src=/p/a.jpg>")).alias("fragment"))
+    asked = [("regular", "1250000.00"), ("regular", "0"), ("regular", "98989898989"), ("images", "https://x.example.com/p/a.jpg?v=2"), ("images", "data:image"), ("brand", "zzqqxxvv product"), ("sku", "IMG  SRC"), ("stock_quantity", "7")]
+    values = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(v).alias("value"), F.lit(k).alias("k")) for k, (f, v) in enumerate(asked)])
+    a = docs.select("request_id", F.explode(values).alias("v")).select("request_id", "v.*")
+    return R.verify_answers(a, docs).groupBy(F.col("k").cast("long").alias("k"), "present").agg(F.count(F.lit(1)).alias("n"))
+
+
+ORACLES |= {
+    "platforms": """WITH a AS (SELECT o_orderkey AS page_id, o_orderkey % 5 AS k FROM orders)
+      SELECT page_id, 'woocommerce' AS target, 0.9::DOUBLE AS confidence, 'generator meta names WooCommerce,body class woocommerce-page' AS labels, true AS adapter, 1::BIGINT AS rank FROM a WHERE k = 0
+      UNION ALL SELECT page_id, 'shopify', 0.3, 'shopify-features script', true, 1 FROM a WHERE k = 1 UNION ALL SELECT page_id, 'nextjs', 1.0, '__NEXT_DATA__ script,/_next/static asset path', true, 1 FROM a WHERE k = 2
+      UNION ALL SELECT page_id, 'unknown', 0.0, '', false, 1 FROM a WHERE k = 3 UNION ALL SELECT page_id, 'opencart', 0.8, 'catalog/view/theme asset,index.php?route= link', false, 1 FROM a WHERE k = 4 UNION ALL SELECT page_id, 'shopify', 0.4, 'myshopify.com host', true, 2 FROM a WHERE k = 4""",
+    "pagination_plans": """WITH a AS (SELECT o_orderkey AS page_id, o_orderkey % 7 AS k, o_orderkey % 3 + 1 AS n, 'https://s.example.com/c/page/' AS u FROM orders),
+      b AS (SELECT *, CASE k WHEN 0 THEN 'rel-next' WHEN 1 THEN CASE WHEN n < 3 THEN 'numbered' ELSE 'none' END WHEN 2 THEN 'load-more' WHEN 3 THEN 'infinite-scroll' WHEN 5 THEN 'load-more' ELSE 'none' END AS strategy,
+        CASE k WHEN 0 THEN u || '9' WHEN 1 THEN CASE WHEN n < 3 THEN u || (n + 1) END WHEN 2 THEN u || n || '/x?page=4' END AS next_url FROM a)
+      SELECT page_id, strategy, next_url, n AS current_page, CASE WHEN k = 1 THEN 3::BIGINT END AS last_page, next_url IS NOT NULL AS automatable FROM b""",
+    "missing_fields": """WITH a AS (SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 3 = 0 THEN 'regular' END, CASE WHEN p_partkey % 2 = 1 THEN 'images' END, CASE WHEN p_partkey % 4 = 1 THEN 'attributes' END) AS missing FROM part)
+      SELECT p_partkey, missing, p_partkey % 4 <> 0 AND missing <> '' AS needs_more FROM a""",
+    "field_sources": """WITH a AS (SELECT p_brand, bool_or(p_partkey % 2 = 0) AS a, bool_or(p_partkey % 2 = 1) AS b FROM part WHERE p_partkey % 3 > 0 GROUP BY 1)
+      SELECT p_brand, 'name' AS field, concat_ws(' and ', CASE WHEN a THEN 'the shop’s own product API (certain)' END, CASE WHEN b THEN 'the page’s structured data (probable)' END) AS sources FROM a""",
+    "scan_failures": """SELECT user_id AS scan_id, 'failed' AS what, 'm' || min(event_id) AS message FROM events WHERE event_id % 4 = 1 GROUP BY 1
+      UNION ALL SELECT user_id, 'warning', 'm' || event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events WHERE event_id % 4 >= 2) WHERE r <= 2""",
+    "scan_summaries": """SELECT user_id AS scan_id, count(*) AS requests, count(*) FILTER (NOT (user_id % 10 = 0 AND event_id % 5 = 0)) AS pages, count(*) AS rows, count(*) FILTER (event_id % 3 > 0) AS products, count(*) FILTER (event_id % 3 = 0) AS variations,
+      CASE WHEN bool_or(user_id % 10 = 0 AND event_id % 5 = 0) THEN 'blocked' ELSE 'complete' END AS status FROM events GROUP BY 1""",
+    "model_answers": "SELECT event_id, CASE WHEN event_id % 5 <= 3 THEN event_type END AS name FROM events",
+    "verify_values": """WITH a AS (SELECT doc_id, coalesce(text, '') || ' ۱٬۲۵۰٬۰۰۰ <img src=/p/a.jpg>' AS t FROM documents), b AS (SELECT *, regexp_replace(translate(t, '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789'), '[^0-9]', '', 'g') AS d FROM a),
+      c AS (SELECT 0 AS k, true AS present FROM b UNION ALL SELECT 1, false FROM b UNION ALL SELECT 2, contains(d, '98989898989') FROM b UNION ALL SELECT 3, true FROM b UNION ALL SELECT 4, false FROM b UNION ALL SELECT 5, contains(lower(t), 'zzqqxxvv product') FROM b UNION ALL SELECT 6, true FROM b UNION ALL SELECT 7, true FROM b)
+      SELECT k::BIGINT AS k, present, count(*) AS n FROM c GROUP BY 1, 2""",
+    "import_rows": """WITH p AS (SELECT *, p_partkey % 4 AS k, round(p_retailprice, 2) AS r FROM part),
+      f AS (SELECT *, regexp_replace(regexp_replace((floor(CASE WHEN p_partkey % 6 = 0 THEN p_retailprice * 0.1::DOUBLE ELSE p_retailprice END * 1000000 + 0.5) / 1000000)::DECIMAL(30, 6)::VARCHAR, '0+$', ''), '\\.$', '') AS full_,
+        CASE WHEN p_partkey % 5 = 0 THEN regexp_replace(regexp_replace((floor(CASE WHEN p_partkey % 6 = 0 THEN p_retailprice / 2 * 0.1::DOUBLE ELSE p_retailprice / 2 END * 1000000 + 0.5) / 1000000)::DECIMAL(30, 6)::VARCHAR, '0+$', ''), '\\.$', '') ELSE '' END AS half,
+        p_partkey % 3 = 0 AND p_partkey % 6 <> 0 AS assumed FROM p),
+      kid AS (SELECT *, unnest([1, 2]) AS n FROM f WHERE k <= 1),
+      codes AS (SELECT p_partkey * 10 AS seq, concat_ws(',', 'category-separator-in-name', CASE WHEN assumed AND k <> 0 THEN 'currency-unit-assumed' END, CASE WHEN assumed AND k <> 0 AND p_partkey % 5 = 0 THEN 'currency-unit-assumed' END, CASE WHEN p_partkey % 7 = 0 THEN 'stock-status-assumed' END) AS codes FROM f
+        UNION ALL SELECT p_partkey * 10 + n, concat_ws(',', 'category-separator-in-name', CASE WHEN assumed THEN 'currency-unit-assumed' END, CASE WHEN assumed AND p_partkey % 5 = 0 THEN 'currency-unit-assumed' END, CASE WHEN k = 1 THEN 'orphan-variation' END,
+          CASE WHEN k = 1 AND row_number() OVER (PARTITION BY k, n ORDER BY p_partkey) > 1 THEN 'sku-deduplicated' END) FROM kid),
+      g AS (SELECT p_partkey * 10 AS seq, CASE WHEN k = 0 THEN 'variable' ELSE 'simple' END AS "Type", 'P' || p_partkey AS "SKU", p_name, p_size, CASE WHEN k <> 0 THEN half ELSE '' END AS sale, CASE WHEN k <> 0 THEN full_ ELSE '' END AS regular, '' AS "Parent", '' AS "Position", CASE WHEN k = 0 THEN 'Size' ELSE 'Brand' END AS a1, CASE WHEN k = 0 THEN 'S, M' ELSE p_brand END AS v1, CASE WHEN k = 0 THEN '' ELSE 'Kind' END AS a2 FROM f
+        UNION ALL SELECT p_partkey * 10 + n, 'variation', 'P' || p_partkey || CASE WHEN n = 1 THEN '-s' ELSE '-m' END, p_name, p_size, half, full_, 'P' || p_partkey, (n - 1)::VARCHAR, 'Size', CASE WHEN n = 1 THEN 'S' ELSE 'M' END, '' FROM kid WHERE k = 0)
+      SELECT coalesce(g.seq, codes.seq) AS seq, "Type", "SKU", p_name AS "Name", CASE WHEN g.seq IS NOT NULL THEN '1' END AS in_stock, p_size::VARCHAR AS "Stock", regexp_replace(regexp_replace((p_size / 1000)::DECIMAL(30, 6)::VARCHAR, '0+$', ''), '\\.$', '') AS kg, regexp_replace(regexp_replace((p_size / 10)::DECIMAL(30, 6)::VARCHAR, '0+$', ''), '\\.$', '') AS length,
+        CASE WHEN g.seq IS NOT NULL THEN '' END AS width, CASE WHEN g.seq IS NOT NULL THEN '100' END AS height, sale, regular, CASE WHEN g.seq IS NOT NULL THEN 'a > b > c' END AS "Categories", CASE WHEN g.seq IS NOT NULL THEN 'x\\,y, z' END AS "Images", "Parent", "Position", a1, v1, a2, CASE WHEN g.seq IS NOT NULL THEN '' END AS "Description", codes FROM codes FULL JOIN g USING (seq)""",
+}
