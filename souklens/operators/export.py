@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from souklens.functions.numbers import convert_currency_unit, convert_dimension, convert_weight, format_decimal
 from souklens.functions.text import category_cell, clean_text, csv_field, escape_description, multi_value
 from souklens.operators.resolve import link_variations
+from souklens.plans.lineage import settled
 
 text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
 
@@ -96,6 +97,7 @@ def woo_import(products: DataFrame, *, currency: str = "USD", unit: str = "toman
 
     Variations stand with their parent (parent_sku), position from 0; a parent with variations is variable and has no price;
     variations without a parent are dropped or kept, and reported. The width is one aggregate over the table."""
+    products = settled(products)
     d = link_variations(products.withColumn("sku", F.col("sku_out")))
     parents = products.where("kind <> 'variation'").withColumn("sku", F.col("sku_out"))
     has = d.where("parent_key is not null").select(F.col("parent_key").alias("sku")).distinct().withColumn("_has", F.lit(True))
@@ -104,6 +106,7 @@ def woo_import(products: DataFrame, *, currency: str = "USD", unit: str = "toman
     kids = d.withColumns({"_type": F.lit("variation"), "_parent": F.coalesce("parent_key", "parent_sku", F.lit("")), "_position": text(place), "_orphan": F.col("parent_key").isNull()}).drop("parent_key")
     every = parents.withColumn("_orphan", F.lit(False)).unionByName(kids)
     every = every.withColumns({"_sale": money_cell(F.col("price.sale"), currency, unit, strict), "_regular": money_cell(F.col("price.regular"), currency, unit, strict)})
+    every = settled(every)  # rows, width, issues and stats are made of it
     rows = every if keep_orphans else every.where("not _orphan")
     priced = F.col("_type") != "variable"
     describe = (lambda c: F.lit("")) if mode == "structured-only" else (lambda c: escape_description(text(c)))

@@ -76,11 +76,12 @@ def assign_skus(products: DataFrame, *, prefix: str = "P123", ascii_only: bool =
     parents = d.where("kind <> 'variation'").withColumn("_c", F.coalesce("_own", parent_sku(F.col("source_url"), prefix))).withColumn("_late", F.lit(0))
     kids = d.where("kind = 'variation'")
     values = F.col("attribute_values") if "attribute_values" in products.columns else F.array().cast("array<string>")
+    parents = settled(parents)
     done = unique_in_order(parents, "_c", scope=scope).withColumnRenamed("unique", "sku_out")
     by_url = done.groupBy(*scope, "_url").agg(F.max_by("sku_out", "seq").alias("_by_url"))
     kids = kids.join(by_url, [*scope, "_url"], "left").withColumn("parent_sku", F.coalesce(F.when(F.trim("parent_sku") != "", F.trim("parent_sku")), "_by_url")).drop("_by_url")
     kids = kids.withColumn("_c", F.coalesce("_own", variation_sku(F.coalesce("parent_sku", parent_sku(F.col("source_url"), prefix)), values, ascii_only))).withColumn("_late", F.lit(1))
-    every = parents.unionByName(kids).withColumnRenamed("_late", "_v")
+    every = settled(parents.unionByName(kids).withColumnRenamed("_late", "_v"))  # read five times below
     out = unique_in_order(every, "_c", scope=scope, late="_v").withColumnRenamed("unique", "sku_out")
     return out.withColumns({"sku_generated": F.col("_own").isNull(), "sku_changed": F.col("sku_out") != F.col("_c")}).drop("_c", "_v", "_own", "_url")
 
