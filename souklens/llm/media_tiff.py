@@ -138,7 +138,7 @@ def lzw_decode(data: bytes) -> bytes:
     return bytes(out)
 
 
-_ENCODE = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda d: zlib.compress(d, 1), PACKBITS: pack_bits}
+_ENCODE = {NONE: bytes, LZW: lzw_encode, **dict.fromkeys((DEFLATE, OLD_DEFLATE), lambda d: zlib.compress(d, 1)), PACKBITS: pack_bits}
 _DECODE = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
 
 
@@ -217,15 +217,23 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]]) -> Page:
         raise ValueError("a kind of TIFF that isn't read here")
     tiled = 324 in tags
     w, h = (tags[322][0], tags[323][0]) if tiled else (width, min(height, tags.get(278, (height,))[0]))
+    if min(width, height, samples, w, h) < 1:
+        raise ValueError("a page without size")
     across = -(-width // w)
     starts, counts = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
+    if len(starts) != across * -(-height // h):
+        raise ValueError("strips or tiles are missing")
+    parts = []
+    for k, (s, c) in enumerate(zip(starts, counts, strict=True)):  # all are there before the page takes memory
+        rows = h if tiled else min(h, height - k * h)
+        part = np.frombuffer(_DECODE[compression](data[s : s + c]), np.uint8)
+        if len(part) < rows * w * samples:
+            raise ValueError("a strip or tile is too short")
+        part = part[: rows * w * samples].reshape(rows, w, samples)
+        parts.append(np.cumsum(part, axis=1, dtype=np.uint8) if predictor == 2 else part)
     image = np.empty((height, width, samples), np.uint8)
-    for k, (s, c) in enumerate(zip(starts, counts, strict=True)):
+    for k, part in enumerate(parts):
         y, x = k // across * h, k % across * w
-        rows = h if tiled else min(h, height - y)
-        part = np.frombuffer(_DECODE[compression](data[s : s + c]), np.uint8)[: rows * w * samples].reshape(rows, w, samples)
-        if predictor == 2:
-            part = np.cumsum(part, axis=1, dtype=np.uint8)
         image[y : y + h, x : x + w] = part[: height - y, : width - x]
     return Page(width, height, samples, compression, image.tobytes())
 
@@ -258,16 +266,24 @@ def _schema(df: DataFrame, new: dict[str, T.DataType]) -> T.StructType:
     return T.StructType([f for f in df.schema if f.name not in new] + [T.StructField(k, v) for k, v in new.items()])
 
 
-def store_as_tiff(df: DataFrame, column: str = "text", unit: int = 192, **how) -> DataFrame:
+#: Ways to store a file, all of which a reader meets: codecs, strips and tiles, predictors, byte orders, several pages.
+LAYOUTS = (
+    {"compression": LZW}, {"compression": PACKBITS, "predictor": 1}, {"compression": DEFLATE, "tile": 64}, {"compression": NONE, "order": ">"},
+    {"compression": DEFLATE}, {"compression": DEFLATE, "page_rows": 32, "strip_rows": 8}, {"compression": DEFLATE, "order": ">", "tile": 128, "predictor": 1}, {"compression": OLD_DEFLATE, "page_rows": 256},
+)
+
+
+def store_as_tiff(df: DataFrame, column: str = "text", unit: int = 192, layouts: tuple[dict, ...] = ({},)) -> DataFrame:
     """df with n_bytes and media: the column's UTF-8 bytes, filled up with blanks to a positive multiple of unit, as a TIFF file.
 
-    A null is empty: one row of blanks. Columns of the added names are replaced; others pass through.
+    The bytes' CRC-32 picks one of the layouts, so equal texts have equal files. A null is empty: one row of blanks. Columns of
+    the added names are replaced; others pass through.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _bounded(batches, column):
             texts = [(x or "").encode() if isinstance(x, str | None) else bytes(x) for x in batch.column(column).to_pylist()]
-            media = [encode_tiff(t.ljust(max(1, -(-len(t) // unit)) * unit), width=unit, **how) for t in texts]
+            media = [encode_tiff(t.ljust(max(1, -(-len(t) // unit)) * unit), width=unit, **layouts[zlib.crc32(t) % len(layouts)]) for t in texts]
             yield _plus(batch, {"n_bytes": pa.array([len(t) for t in texts], pa.int64()), "media": pa.array(media, pa.binary())})
 
     return df.mapInArrow(run, _schema(df, {"n_bytes": T.LongType(), "media": T.BinaryType()}))
@@ -286,7 +302,7 @@ def read_tiff(df: DataFrame, column: str = "media") -> DataFrame:
                 found, error = [], None
                 try:
                     found = decode_tiff(data) if data is not None else []
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                except (ValueError, KeyError, IndexError, ZeroDivisionError, OverflowError, MemoryError, struct.error, zlib.error) as e:
                     error = f"{type(e).__name__}: {e}"
                 pages.append([{"page": k, "width": p.width, "height": p.height, "samples": p.samples, "compression": p.compression, "pixels": p.pixels} for k, p in enumerate(found)])
                 features.append(feature_of(found) if found else None)
@@ -298,5 +314,6 @@ def read_tiff(df: DataFrame, column: str = "media") -> DataFrame:
 
 
 def tiff_pages(df: DataFrame, column: str = "media") -> DataFrame:
-    """One row per page of each file: df's columns without the file, and the page's."""
-    return read_tiff(df, column).withColumn("_page", F.explode("pages")).drop("pages", column).select("*", "_page.*").drop("_page")
+    """One row per page of each file: df's columns without the file, the page's, feature and error; a null file, or one that can't be
+    read, has one row without a page."""
+    return read_tiff(df, column).withColumn("_page", F.explode_outer("pages")).drop("pages", column).select("*", "_page.*").drop("_page")

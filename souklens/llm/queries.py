@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .licenses import scan_licenses
 from .lm_score import lm_scores
-from .media_tiff import read_tiff, store_as_tiff
+from .media_tiff import LAYOUTS, read_tiff, store_as_tiff
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .pieces import digests, encode_pieces
@@ -28,7 +28,7 @@ def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = store_as_tiff(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    files = store_as_tiff(_read(spark, sf_dir, "documents").select("doc_id", "text"), layouts=LAYOUTS)
     read = read_tiff(files.select("doc_id", "n_bytes", "media", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")))
     read = read.withColumn("payload", F.reduce("pages", F.lit(b""), lambda all_, page: F.concat(all_, page["pixels"])))
     return read.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", F.size("pages").alias("n_pages"))
