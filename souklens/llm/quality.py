@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .blocks import settled
 
@@ -73,19 +73,19 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.reduce(terms, start, step, lambda a: F.least(a["s"], F.lit(1.0)))
 
 
-def risk_controlled_cutoffs(signals: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", stratum: str = "lang", grid: dict = GRID, risk: float = 0.02, delta: float = 0.05, max_strata: int = 1000) -> DataFrame:
+def risk_controlled_cutoffs(signals: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", stratum: str = "lang", grid: dict = GRID, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """_stratum, then one cutoff column per signal (null: none is safe), for strata with labelled good documents.
 
     signals: a row per document with its id, its stratum and its signals. labels (doc_id, quality): a document labelled
-    more than once counts as good only if every label says so; null labels and labels of no document count nothing. At
-    most max_strata strata, those with most good documents, get cutoffs; the result has no more rows than that.
+    more than once counts as good only if every label says so; null labels and labels of no document count nothing.
     """
     good = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_q")).where("_q = 1")
     g = signals.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{stratum}`"), F.lit("")).alias("_stratum"), *grid).join(good, "_id", "left_semi")
     tried = [(name, float(cut)) for name, cuts in grid.items() for cut in cuts]
     rejected = F.array(*[F.struct(F.lit(name).alias("signal"), F.lit(cut).alias("cut"), F.sum((F.col(name) > cut).cast("long")).alias("k")) for name, cut in tried])
-    counts = g.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_n"), rejected.alias("_tried")).orderBy(F.desc("_n"), "_stratum").limit(max_strata)
-    counts = counts.withColumn("_error", F.lit(float(delta)) / (F.count(F.lit(1)).over(W.partitionBy()) * len(tried)))
+    counts = g.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_n"), rejected.alias("_tried"))
+    counts = settled(counts)
+    counts = counts.join(counts.agg(F.count(F.lit(1)).alias("_strata")), F.lit(True)).withColumn("_error", F.lit(float(delta)) / (F.col("_strata") * len(tried))).drop("_strata")
     tests = counts.select("_stratum", "_n", "_error", F.explode("_tried").alias("_t")).select("_stratum", "_t.*", (binomial_cdf(F.col("_t.k"), F.col("_n"), risk / len(grid)) <= F.col("_error")).alias("safe"))
     return tests.groupBy("_stratum").agg(*[F.min(F.when((F.col("signal") == name) & F.col("safe"), F.col("cut"))).alias(f"_cut_{name}") for name in grid])
 
@@ -93,7 +93,7 @@ def risk_controlled_cutoffs(signals: DataFrame, labels: DataFrame, *, doc_id: st
 def with_verdicts(signals: DataFrame, cutoffs: DataFrame, *, stratum: str = "lang", min_words: int = 10, max_repeat: int = 20) -> DataFrame:
     """signals with base_failed (fewer than min_words words, or more than max_repeat percent of them in repeated windows)
     and kept (not base_failed, and no signal above its stratum's cutoff). A stratum without a cutoff rejects nothing more."""
-    d = signals.withColumn("_stratum", F.coalesce(F.col(f"`{stratum}`"), F.lit(""))).join(F.broadcast(cutoffs), "_stratum", "left")
+    d = signals.withColumn("_stratum", F.coalesce(F.col(f"`{stratum}`"), F.lit(""))).join(cutoffs, "_stratum", "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     above = reduce(lambda a, b: a | b, [F.coalesce(F.col(s) > F.col(f"_cut_{s}"), F.lit(False)) for s in SIGNALS])
     return d.withColumns({"base_failed": failed, "kept": ~failed & ~above}).drop("_stratum", *(f"_cut_{s}" for s in SIGNALS))

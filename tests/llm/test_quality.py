@@ -69,3 +69,11 @@ def test_query_equals_sql(spark):
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     assert sorted((tuple(x) for x in quality_verdicts(docs.repartition(4), labels).select(*cols).collect()), key=key) == want
     assert quality_verdicts(docs.limit(0), labels.limit(0), keep_text=False).count() == 0
+
+
+def test_more_strata_than_any_bound(spark):
+    """1,200 strata: each has its tests, and an error of its share."""
+    d = spark.range(1200 * 60).selectExpr("id as doc_id", "concat('s', id % 1200) as lang", "double(0) as x")
+    labels = d.selectExpr("doc_id", "1 as quality")
+    got = risk_controlled_cutoffs(d, labels, grid={"x": (0.5,)}, risk=0.3).collect()
+    assert len(got) == 1200 and all(r["_cut_x"] == 0.5 for r in got)
