@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from souklens.functions import graph as G
-from souklens.operators import detect as D, export as X, keys as K, reports as R
+from souklens.operators import detect as D, export as X, keys as K, normalize as N, reports as R
 from souklens.plans.queries import _log, query, read
-from souklens.sources import structured as S
+from souklens.sources import api as A, structured as S
 
 # what a page holds, by p_partkey % 6; {k} is the key, {b} the brand, {p} the price with two decimals
 SHAPES = (
@@ -231,3 +231,65 @@ ORACLES |= {
       SELECT coalesce(g.seq, codes.seq) AS seq, "Type", "SKU", p_name AS "Name", CASE WHEN g.seq IS NOT NULL THEN '1' END AS in_stock, p_size::VARCHAR AS "Stock", regexp_replace(regexp_replace((p_size / 1000)::DECIMAL(30, 6)::VARCHAR, '0+$', ''), '\\.$', '') AS kg, regexp_replace(regexp_replace((p_size / 10)::DECIMAL(30, 6)::VARCHAR, '0+$', ''), '\\.$', '') AS length,
         CASE WHEN g.seq IS NOT NULL THEN '' END AS width, CASE WHEN g.seq IS NOT NULL THEN '100' END AS height, sale, regular, CASE WHEN g.seq IS NOT NULL THEN 'a > b > c' END AS "Categories", CASE WHEN g.seq IS NOT NULL THEN 'x\\,y, z' END AS "Images", "Parent", "Position", a1, v1, a2, CASE WHEN g.seq IS NOT NULL THEN '' END AS "Description", codes FROM codes FULL JOIN g USING (seq)""",
 }
+
+
+@query
+def normalized_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Price texts of line items in one unit, and what is to be said of them."""
+    li = read(spark, d, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("k"), "l_linenumber", F.floor("l_extendedprice").cast("long").alias("n"))
+    m = F.col("l_linenumber") % 5
+    text = F.when(m == 0, F.concat(F.col("n").cast("string"), F.lit(" toman"))).when(m == 1, F.concat(F.lit("IRR "), F.col("n").cast("string"))).when(m == 2, F.concat(F.lit("€"), (F.col("n") % 900 + 100).cast("string"), F.lit(",125"))).when(m == 3, F.col("n").cast("string")).otherwise("ask us")
+    out, issues = N.normalize_prices(li.select("k", text.alias("price")), ["price"], key="k", unit="rial")
+    codes = issues.groupBy("k").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
+    return out.join(codes, "k", "left").select("k", F.col("price.amount").alias("amount"), F.col("price.currency").alias("currency"), F.col("price.unit").alias("unit"), F.coalesce("codes", F.lit("")).alias("codes"))
+
+
+@query
+def normalized_measures(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("p_partkey") % 4
+    text = F.concat(F.col("p_size").cast("string"), F.when(m == 0, " kilos").when(m == 1, '"').when(m == 2, " میلیمتر").otherwise(" pieces"))
+    out = N.normalize_measures(read(spark, d, "part").select("p_partkey", text.alias("size")), ["size"], weight="g", dimension="mm")
+    return out.select("p_partkey", F.col("size.value").alias("value"), F.col("size.unit").alias("unit"))
+
+
+@query
+def log_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a log of JSON lines; a fourth of them below the level, some broken."""
+    e = read(spark, d, "events")
+    k = F.pmod("event_id", F.lit(5))
+    line = F.to_json(F.struct(F.when(k == 0, "debug").when(k == 1, "error").otherwise("info").alias("level"), F.col("event_type").alias("event"), F.col("event_id").alias("n"), F.lit("s").alias("auth_token"), F.lit("m").alias("monkey"), F.struct(F.lit("x").alias("password"), F.lit("y").alias("user")).alias("who")))
+    out = N.redact_log(e.select(F.when(k == 4, F.concat(F.lit("{"), line)).otherwise(line).alias("value")))
+    f = F.col("fields")
+    return out.select(f["n"].cast("long").alias("n"), f["event"].alias("event"), f["auth_token"].alias("auth_token"), f["monkey"].alias("monkey"), f["who"].alias("who"))
+
+
+@query
+def url_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses of orders in many spellings, to one key each; and their profiles by host."""
+    o, k = read(spark, d, "orders"), F.col("o_orderkey") % 3
+    n = F.col("o_orderkey").cast("string")
+    url = F.when(k == 0, F.concat(F.lit("HTTP://WWW.Shop.com:80/shop/کفش/"), n, F.lit("/page/2/?b=%20&utm_source=x&a=1#f"))).when(k == 1, F.concat(F.lit("https://shop.com/x/../product-category/"), n, F.lit("?page=7"))).otherwise(F.concat(F.lit("https://other.com/"), n))
+    keys = N.canonicalize_urls(o.select("o_orderkey", url.alias("url")), "url")
+    profiles = spark.createDataFrame([(1, "www.SHOP.com"), (2, "third.com")], "profile_id long, domain string")
+    found = N.profiles_for_pages(keys.select("o_orderkey", "url"), profiles).select("o_orderkey", "profile_id")
+    return keys.join(found, "o_orderkey", "left").select("o_orderkey", "url_key", "host", "page_no", "category_slug", "profile_id")
+
+
+@query
+def api_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of an endpoint: JSON, an error page, an error status; with the number of pages in a header."""
+    e, k = read(spark, d, "events"), F.pmod("event_id", F.lit(4))
+    r = e.select("event_id", F.when(k == 2, 404).otherwise(200).alias("status"), F.create_map(F.lit("X-WP-TotalPages"), F.when(k == 3, "many").otherwise(F.col("user_id").cast("string"))).alias("headers"), F.when(k == 1, "<html>off").otherwise('[{"id":1},{"id":2}]').alias("body"))
+    return A.read_api_responses(r).select("event_id", F.size(G.as_array(F.col("json"))).cast("long").alias("n"), F.col("total_pages").cast("long").alias("total_pages"))
+
+
+ORACLES |= {
+    "normalized_prices": """WITH a AS (SELECT l_orderkey * 100 + l_linenumber AS k, l_linenumber % 5 AS m, floor(l_extendedprice)::BIGINT AS n FROM lineitem)
+      SELECT k, CASE m WHEN 0 THEN n * 10.0::DOUBLE WHEN 1 THEN n::DOUBLE WHEN 2 THEN ((n % 900 + 100) * 1000 + 125)::DOUBLE WHEN 3 THEN n::DOUBLE END AS amount, CASE m WHEN 0 THEN 'IRR' WHEN 1 THEN 'IRR' WHEN 2 THEN 'EUR' WHEN 3 THEN '' END AS currency, CASE m WHEN 0 THEN 'rial' END AS unit,
+        CASE m WHEN 1 THEN 'price-unit-unknown' WHEN 2 THEN 'price-separator-ambiguous' WHEN 3 THEN 'price-currency-missing' ELSE '' END AS codes FROM a""",
+    "normalized_measures": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size * 1000.0::DOUBLE WHEN 1 THEN floor(p_size * 25.4::DOUBLE * 1000000 + 0.5) / 1000000 WHEN 2 THEN p_size::DOUBLE END AS value, CASE p_partkey % 4 WHEN 0 THEN 'g' WHEN 1 THEN 'mm' WHEN 2 THEN 'mm' END AS unit FROM part",
+    "log_lines": """SELECT event_id AS n, event_type AS event, '[redacted]' AS auth_token, 'm' AS monkey, '{"password":"[redacted]","user":"y"}' AS who FROM events WHERE event_id % 5 IN (1, 2, 3)""",
+    "url_keys": """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'http://www.shop.com/shop/%DA%A9%D9%81%D8%B4/' || o_orderkey || '/page/2?a=1&b=+' WHEN 1 THEN 'https://shop.com/product-category/' || o_orderkey || '?page=7' ELSE 'https://other.com/' || o_orderkey END AS url_key,
+      CASE WHEN o_orderkey % 3 < 2 THEN 'shop.com' ELSE 'other.com' END AS host, CASE o_orderkey % 3 WHEN 0 THEN 2::BIGINT WHEN 1 THEN 7 END AS page_no, CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey::VARCHAR END AS category_slug, CASE WHEN o_orderkey % 3 < 2 THEN 1::BIGINT END AS profile_id FROM orders""",
+    "api_responses": "SELECT event_id, CASE WHEN event_id % 4 IN (0, 3) THEN 2 ELSE 0 END::BIGINT AS n, CASE WHEN event_id % 4 <> 3 THEN user_id END::BIGINT AS total_pages FROM events",
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from souklens.functions.numbers import minor_unit_price
 from souklens.functions.text import canonical_url, clean_text, resolve_url
@@ -11,6 +11,19 @@ STORE = "array<struct<id:long,name:string,type:string,permalink:string,sku:strin
 COLLECTION = "struct<products:array<struct<id:long,title:string,handle:string,vendor:string,product_type:string,images:array<struct<src:string>>,variants:array<struct<id:long,title:string,sku:string,price:string,compare_at_price:string,available:boolean>>>>>"
 
 
+def read_pages(spark: SparkSession, path: str, *, stream: bool = False) -> DataFrame:
+    """Landed pages (page_id, url, html) of a Parquet folder, as a table or as a stream of the files that come."""
+    schema = "page_id long, url string, html string"
+    return (spark.readStream if stream else spark.read).schema(schema).parquet(path)
+
+
+def read_api_responses(responses: DataFrame) -> DataFrame:
+    """responses (url, status, headers, body) with json (null where the body is no JSON or the status no success: an endpoint that is
+    off is a normal answer) and total_pages, as the shop's header states it in any case."""
+    total = F.filter(F.map_entries("headers"), lambda e: F.lower(e["key"]) == "x-wp-totalpages")
+    return responses.withColumns({"json": F.when(F.col("status").between(200, 299), F.try_parse_json("body")), "total_pages": F.try_element_at(total, F.lit(1))["value"].try_cast("int")})
+
+
 def store_api_products(responses: DataFrame) -> DataFrame:
     """(url, pos, ...) one row per product of Store API answers; unknown types are simple; variable parents carry no price.
     A body that doesn't parse is no error: it yields nothing."""
