@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import re
+import tempfile
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written once to the checkpoint folder that the session names, and read from there. Only where the session names none
-    (as in tests on one machine) a folder of its own is set."""
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, on storage that all executors share. Only a session on one
+    machine (as in tests) may name none: it gets a folder of its own."""
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.match(r"local($|\[)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
 
-            folder = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written once to the shared checkpoint folder, and read from there."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -51,7 +51,7 @@ ORACLES: dict[str, str] = {
     "overlap_audit": """WITH e AS (SELECT user_id, ts AS moment, 1 AS s FROM events UNION ALL SELECT user_id, ts + INTERVAL 6 HOUR, -1 FROM events), r AS (SELECT user_id, sum(s) OVER (PARTITION BY user_id ORDER BY moment, s ROWS UNBOUNDED PRECEDING) AS n FROM e)
       SELECT user_id AS scan_id, max(n)::BIGINT AS most FROM r WHERE n > 2 GROUP BY 1""",
     "walk_pagination": r"WITH a AS (SELECT regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\.', '') AS seed, count(*) AS n FROM pages GROUP BY 1) SELECT seed, least(n, 10) AS n_pages, least(n, 10) AS last_hop FROM a",
-    "verify_answers": "WITH a AS (SELECT * FROM documents WHERE text IS NOT NULL AND length(text) > 40) SELECT 'name' AS field, true AS present, count(*) AS n FROM a WHERE regexp_matches(text, '[a-zA-Z]{4,}') UNION ALL SELECT 'invented', false, count(*) FROM a",
+    "verify_answers": "WITH a AS (SELECT * FROM documents) SELECT 'name' AS field, true AS present, count(*) AS n FROM a WHERE regexp_matches(text, '[a-zA-Z]{4,}') UNION ALL SELECT 'invented', false, count(*) FROM a",
     "fill_empty": "SELECT p_partkey AS product_key, CASE WHEN p_partkey % 4 > 0 THEN 'B' || regexp_extract(p_brand, '([0-9]+)$', 1) WHEN p_partkey % 8 = 0 THEN 'A' || p_partkey END AS sku, p_partkey % 8 = 0 AS filled FROM part",
     "usage_rollup": "SELECT event_type AS provider, (user_id % 3)::VARCHAR AS model, count(*) AS requests, sum(event_id)::BIGINT AS input_tokens, sum(event_id % 10)::BIGINT AS output_tokens FROM events GROUP BY 1, 2",
     "redact_log": "SELECT event_id AS seq, '[redacted]' AS api_key, json_extract_string(props, '$.k') AS k, CASE WHEN event_id % 2 = 1 THEN '[600 chars]' ELSE '' END AS note FROM events",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from souklens.functions import numbers as N, text as T
 from souklens.operators import export as X, keys as K, reports as R, resolve as V
 from souklens.sources import api as A, markup as M
+from souklens.plans.lineage import shared_folder
 from souklens.streaming import catalog as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -289,7 +290,7 @@ def walk_pagination(spark: SparkSession, d: str) -> DataFrame:
 @query
 def verify_answers(spark: SparkSession, d: str) -> DataFrame:
     """Answers that stand in the text, and ones that don't, checked against whole documents."""
-    docs = read(spark, d, "documents").where("text is not null and length(text) > 40").select(F.col("doc_id").alias("request_id"), F.col("text").alias("fragment"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("request_id"), F.col("text").alias("fragment"))
     true = docs.select("request_id", F.lit("name").alias("field"), F.upper(F.substring(F.regexp_extract("fragment", r"[a-zA-Z]{4,}", 0), 1, 20)).alias("value")).where("value <> ''")
     false = docs.select("request_id", F.lit("invented").alias("field"), F.lit("zzqqxxvv product").alias("value"))
     return R.verify_answers(true.unionByName(false), docs).groupBy("field", "present").agg(F.count(F.lit(1)).alias("n"))
@@ -386,11 +387,9 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, d: str, shape, name: str, mode: str = "complete") -> DataFrame:
     """Runs a stream to the end in complete mode; each run has its own folder in the checkpoint folder (or a new temporary one)."""
-    import tempfile
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    at = f"{base}/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     stream = shape(S.landed(spark, d, "events.parquet"))
 
     def keep(df: DataFrame, _: int) -> None:
