@@ -3,6 +3,7 @@
 ORACLES: dict[str, str] = {
     "jsonld_products": "SELECT p_partkey AS page_id, 'P-' || p_partkey AS sku, p_name AS name, p_brand AS brand, round(p_retailprice, 2) AS price, true AS in_stock, 5::BIGINT AS n_fields FROM part",
     "microdata_products": "SELECT p_partkey AS page_id, p_name AS name, p_brand AS brand, round(p_retailprice, 2) AS price FROM part",
+    "microdata_properties": "SELECT p_partkey AS page_id, 'Product' AS type, 'name' AS prop, p_name AS value FROM part",
     "opengraph_products": "SELECT p_partkey AS page_id, p_name AS name, 'http://shop.example.com/p/' || p_partkey AS url, CASE WHEN p_partkey % 2 = 0 THEN round(p_retailprice, 2) END AS price FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0",
     "dom_tag_counts": "WITH t AS (SELECT unnest(regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '', 'g'), '<(nav|article|footer|h1|meta|br)[ >]', 1)) AS tag FROM pages) SELECT tag, count(*) AS n FROM t GROUP BY tag",
     "page_links": "WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages) SELECT page_id, count(*) AS n_links, count(DISTINCT href) AS n_targets FROM t GROUP BY page_id",

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from souklens.functions import numbers as N, text as T
+from souklens.functions import graph as G, numbers as N, text as T
 from souklens.operators import export as X, keys as K, reports as R, resolve as V
 from souklens.sources import api as A, markup as M
+from souklens.sources.structured import read_markup
 from souklens.plans.lineage import shared_folder
 from souklens.streaming import catalog as S
 
@@ -50,9 +52,17 @@ def jsonld_products(spark: SparkSession, d: str) -> DataFrame:
 def microdata_products(spark: SparkSession, d: str) -> DataFrame:
     part = read(spark, d, "part")
     body = F.concat(F.lit('<div itemscope itemtype="https://schema.org/Product"><h1 itemprop="name">'), _text("p_name"), F.lit('</h1><meta itemprop="brand" content="'), _text("p_brand"), F.lit('"><div itemprop="offers" itemscope itemtype="https://schema.org/Offer"><span itemprop="price" content="'), F.format_string("%.2f", "p_retailprice"), F.lit('">x</span></div></div>'))
-    p = M.microdata_properties(M.dom_nodes(_pages(part, body))).withColumn("type", T.normalize_type(F.col("type")))
-    one = lambda t, k: F.max(F.when((F.col("type") == t) & (F.col("prop") == k), F.col("value")))
-    return p.groupBy("page_id").agg(one("product", "name").alias("name"), one("product", "brand").alias("brand"), one("offer", "price").cast("double").alias("price"))
+    pages = _pages(part, body).withColumn("url", F.lit("https://shop.example.com/"))
+    item = read_markup(pages).select("page_id", F.explode("items").alias("item")).select("page_id", F.parse_json("item").alias("v"))
+    get = lambda *keys: reduce(G.get, keys, F.col("v"))
+    return item.where(G.is_product_node(F.col("v"))).select("page_id", G.read_name(get("name")).alias("name"), G.read_name(get("brand")).alias("brand"), G.as_number(get("offers", "price")).alias("price"))
+
+
+@query
+def microdata_properties(spark: SparkSession, d: str) -> DataFrame:
+    """The same pages in long form: each property with its nearest item."""
+    pages = read(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("<div itemscope itemtype='Product'>"), F.repeat(F.lit("<div>"), F.col("p_size").cast("int")), F.lit("<b itemprop='name'>"), _text("p_name"), F.lit("</b></div></div>")).alias("html"))
+    return M.microdata_properties(M.dom_nodes(pages)).select("page_id", "type", "prop", "value")
 
 
 @query

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from souklens.functions import graph as G
 from souklens.functions.numbers import availability, parse_number
 from souklens.functions.text import canonical_url, clean_text, fold_for_compare, normalize_type
 from souklens.plans.lineage import settled
@@ -108,21 +109,18 @@ def jsonld_blocks(nodes: DataFrame) -> DataFrame:
     return d.select("page_id", "node_id", F.when(ok(F.col("_raw")), F.col("_raw")).when(ok(fixed), fixed).alias("doc"), F.when(ok(F.col("_raw")), "ok").when(ok(fixed), "repaired").otherwise("invalid").alias("status"))
 
 
-OFFER = "struct<price:string,priceCurrency:string,availability:string,lowPrice:string,highPrice:string,sku:string,priceType:string>"
-PRODUCT = f"struct<`@type`:string,name:string,sku:string,url:string,description:string,image:string,category:string,gtin13:string,brand:struct<name:string>,offers:array<{OFFER}>>"
-# Types of product nodes.
-PRODUCT_TYPES = ("product", "productgroup", "productmodel", "individualproduct", "book", "vehicle", "car")
-
-
 def jsonld_products(blocks: DataFrame) -> DataFrame:
-    """(page_id, node_id, product): product nodes of blocks: single ones, arrays and @graph containers; one offer counts as a list."""
-    doc = F.regexp_replace("doc", r'("offers"\s*:\s*)(\{[^{}]*\})', "$1[$2]")
-    one = F.from_json(doc, f"struct<`@graph`:array<{PRODUCT}>>")["@graph"]
-    many = F.from_json(doc, f"array<{PRODUCT}>")
-    single = F.array(F.from_json(doc, PRODUCT))
-    nodes = F.when(F.ltrim("doc").startswith("["), many).when(one.isNotNull(), one).otherwise(single)
-    d = blocks.where("doc is not null").select("page_id", "node_id", F.posexplode(nodes).alias("pos", "product"))
-    return d.where(normalize_type(F.col("product")["@type"]).isin(*PRODUCT_TYPES))
+    """(page_id, node_id, pos, product): product nodes of single blocks, @graph and lists opened, references within the block followed;
+    product: name, sku, url, description, brand (name) and offers, those within an offer in its stead. `structured.py` reads
+    whole pages and every field."""
+    d = blocks.where("doc is not null").withColumn("_docs", F.array(F.try_parse_json("doc")))
+    d = d.select("page_id", "node_id", G.id_index(F.col("_docs")).alias("_index"), F.posexplode(F.filter(G.flatten_graph(F.col("_docs")), G.is_product_node)).alias("pos", "_node"))
+    node, index = F.col("_node"), F.col("_index")
+    text = lambda o, k: G.as_text(G.get(o, k)).alias(k)
+    offer = lambda o: F.struct(*[text(o, k) for k in ("price", "priceCurrency", "availability", "lowPrice", "highPrice", "sku", "priceType")])
+    brand = F.struct(G.read_name(G.resolve(G.get(node, "brand"), index)).alias("name")).alias("brand")
+    offers = F.transform(G.nested_offers(G.get(node, "offers"), index), offer).alias("offers")
+    return d.select("page_id", "node_id", "pos", F.struct(*[text(node, k) for k in ("name", "sku", "url", "description")], brand, offers).alias("product"))
 
 
 def offers_of(products: DataFrame) -> DataFrame:
@@ -146,6 +144,7 @@ def microdata_properties(nodes: DataFrame, depth: int = 12) -> DataFrame:
 
     Found level by level; after each depth levels what is still open is written to the checkpoint folder, until nothing is.
     """
+    nodes = settled(nodes)  # the parse; the steps below join it again and again
     item = nodes.where(F.map_contains_key("attrs", F.lit("itemscope"))).select("page_id", F.col("node_id").alias("item_id"), F.col("attrs")["itemtype"].alias("type"))
     up = nodes.select("page_id", F.col("node_id").alias("at"), F.col("parent_id").alias("up"), F.map_contains_key("attrs", F.lit("itemscope")).alias("scope"))
     a = F.col("attrs")

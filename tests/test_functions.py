@@ -145,6 +145,14 @@ def test_jsonld_guards(spark):
     assert sorted(r.product.name for r in M.jsonld_products(blocks).collect()) == ["m", "n"]
 
 
+def test_jsonld_in_many_shapes(spark):
+    """Lists of types, a brand as text or by reference, offers within offers and with objects inside."""
+    page = '<script type="application/ld+json">{"@graph":[{"@type":["Thing","Product"],"name":"a","brand":"plain","offers":{"seller":{"name":"x"},"price":3}},{"@type":"Product","name":"b","brand":{"@id":"#b"},"offers":{"@type":"AggregateOffer","offers":[{"price":"5"},{"price":"4","availability":"InStock"}]}},{"@id":"#b","name":"B"}]}</script>'
+    blocks = M.jsonld_blocks(M.dom_nodes(spark.createDataFrame([(1, page)], "page_id long, html string")))
+    got = {r.product.name: (r.product.brand.name, r.price, r.n_offers, r.in_stock) for r in M.offers_of(M.jsonld_products(blocks)).collect()}
+    assert got == {"a": ("plain", 3.0, 1, None), "b": ("B", 4.0, 2, True)}
+
+
 def test_reports_and_profiles(spark):
     paths = spark.createDataFrame([(1, ["Home", "Shoes", "Red"]), (2, ["Shoes"])], "k int, p array<string>")
     assert [r.x for r in paths.select("k", R.matches_category(F.col("p"), "shoes").alias("x")).orderBy("k").collect()] == [True, True]
