@@ -257,8 +257,8 @@ def nested_offers(v: Column, index: Column) -> Column:
     """The offers of a node, those within an offer (to a depth of 3) in its stead."""
     within = lambda o: as_objects(get(o, "offers"))
     opened = lambda o: let(within(o), lambda inner: F.when(F.size(inner) > 0, inner).otherwise(F.array(o)))
-    level = F.reduce(F.sequence(F.lit(1), F.lit(3)), F.filter(resolve_all(v, index), is_object), lambda at, _: F.flatten(F.transform(at, opened)))
-    return F.filter(level, lambda o: F.size(within(o)) == 0)
+    deep = lambda first: F.filter(F.reduce(F.sequence(F.lit(1), F.lit(3)), first, lambda at, _: F.flatten(F.transform(at, opened))), lambda o: F.size(within(o)) == 0)
+    return let(F.filter(resolve_all(v, index), is_object), lambda first: F.when(F.exists(first, lambda o: get(o, "offers").isNotNull()), deep(first)).otherwise(first))
 
 
 def offer_texts(o: Column) -> dict[str, Column]:

@@ -6,7 +6,7 @@ from itertools import chain
 
 from pyspark.sql import Column, functions as F
 
-from .text import clean_text, fold_for_compare
+from .text import clean_text, fold_for_compare, let
 
 DIGITS = "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789"
 # Fixed values, in order: token, currency, unit, whether it must stand as a word.
@@ -33,19 +33,23 @@ def parse_number(c: Column, ambiguous: str = "grouping") -> Column:
     s = F.translate(to_ascii_digits(clean_text(c)), "٫٬،", ".,,")
     s = F.regexp_replace(s, "(?<=\\d)[\\s'’](?=\\d)", ",")
     tok = F.regexp_replace(F.regexp_extract(s, r"-?\d[\d.,]*|-?[.,]\d+", 0), "[.,]+$", "")
-    dots, commas = F.length(F.regexp_replace(tok, "[^.]", "")), F.length(F.regexp_replace(tok, "[^,]", ""))
-    plain = F.regexp_replace(tok, "[.,]", "")
-    last_dot = F.locate(".", F.reverse(tok)) < F.locate(",", F.reverse(tok))
-    point = F.replace(tok, F.lit(","), F.lit("."))
-    lone = ((dots + commas) == 1) & tok.rlike(r"^-?(?!0[.,])\d{1,3}[.,]\d{3}$")
-    text = (
-        F.when(tok.isin("", "-"), None)
-        .when((dots > 0) & (commas > 0), F.when(last_dot, F.replace(tok, F.lit(","), F.lit(""))).otherwise(F.replace(F.replace(tok, F.lit("."), F.lit("")), F.lit(","), F.lit("."))))
-        .when((dots > 1) | (commas > 1), plain)
-        .when(lone, plain if ambiguous == "grouping" else point)
-        .otherwise(point)
-    )
-    return F.struct(text.try_cast("double").alias("value"), F.coalesce(lone, F.lit(False)).alias("ambiguous"))
+
+    def read(tok: Column) -> Column:
+        without = lambda x: F.replace(tok, F.lit(x), F.lit(""))
+        point = F.replace(tok, F.lit(","), F.lit("."))
+        dots, commas = F.length(tok) - F.length(without(".")), F.length(tok) - F.length(without(","))
+        last_dot = F.locate(".", F.reverse(tok)) < F.locate(",", F.reverse(tok))
+        lone = ((dots + commas) == 1) & tok.rlike(r"^-?(?!0[.,])\d{1,3}[.,]\d{3}$")
+        text = (
+            F.when(tok.isin("", "-"), None)
+            .when((dots > 0) & (commas > 0), F.when(last_dot, without(",")).otherwise(F.replace(without("."), F.lit(","), F.lit("."))))
+            .when((dots > 1) | (commas > 1), F.translate(tok, ".,", ""))
+            .when(lone, F.translate(tok, ".,", "") if ambiguous == "grouping" else point)
+            .otherwise(point)
+        )
+        return F.struct(text.try_cast("double").alias("value"), F.coalesce(lone, F.lit(False)).alias("ambiguous"))
+
+    return let(tok, read)
 
 
 def round_to(c: Column, places: int = 6) -> Column:

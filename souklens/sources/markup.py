@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from souklens.functions import graph as G
 from souklens.functions.numbers import availability, parse_number
-from souklens.functions.text import canonical_url, clean_text, fold_for_compare, normalize_type
+from souklens.functions.text import canonical_url, clean_text, fold_for_compare, let, normalize_type
 from souklens.plans.lineage import settled
 
 NODE = "page_id long, node_id int, parent_id int, depth int, tag string, attrs map<string,string>, text string"
@@ -114,7 +114,8 @@ def jsonld_products(blocks: DataFrame) -> DataFrame:
     product: name, sku, url, description, brand (name) and offers, those within an offer in its stead. `structured.py` reads
     whole pages and every field."""
     d = blocks.where("doc is not null").withColumn("_docs", F.array(F.try_parse_json("doc")))
-    d = d.select("page_id", "node_id", G.id_index(F.col("_docs")).alias("_index"), F.posexplode(F.filter(G.flatten_graph(F.col("_docs")), G.is_product_node)).alias("pos", "_node"))
+    named = F.contains(F.col("doc"), F.lit('"@id"'))  # without names there is nothing to look up
+    d = d.select("page_id", "node_id", F.when(named, G.id_index(F.col("_docs"))).alias("_index"), F.posexplode(F.filter(G.flatten_graph(F.col("_docs")), G.is_product_node)).alias("pos", "_node"))
     node, index = F.col("_node"), F.col("_index")
     text = lambda o, k: G.as_text(G.get(o, k)).alias(k)
     offer = lambda o: F.struct(*[text(o, k) for k in ("price", "priceCurrency", "availability", "lowPrice", "highPrice", "sku", "priceType")])
@@ -126,7 +127,7 @@ def jsonld_products(blocks: DataFrame) -> DataFrame:
 def offers_of(products: DataFrame) -> DataFrame:
     """Per product node: the cheapest offer's price and currency, the range, and whether any offer is in stock."""
     price = lambda o: parse_number(F.coalesce(o["price"], o["lowPrice"]))["value"]
-    offers = F.transform(F.col("product.offers"), lambda o, i: F.struct(price(o).alias("amount"), i.alias("i"), o["priceCurrency"].alias("currency"), F.coalesce(parse_number(o["highPrice"])["value"], price(o)).alias("high"), availability(o["availability"]).alias("in_stock")))
+    offers = F.transform(F.col("product.offers"), lambda o, i: let(price(o), lambda p: F.struct(p.alias("amount"), i.alias("i"), o["priceCurrency"].alias("currency"), F.coalesce(parse_number(o["highPrice"])["value"], p).alias("high"), availability(o["availability"]).alias("in_stock"))))
     d = products.withColumn("_o", F.filter(offers, lambda o: o["amount"].isNotNull()))
     best = F.array_min("_o")
     return d.withColumns({"price": best["amount"], "currency": best["currency"], "high_price": F.array_max(F.col("_o.high")), "n_offers": F.size("_o"), "in_stock": F.when(F.exists("_o.in_stock", lambda x: x), True).when(F.exists("_o.in_stock", lambda x: ~x), False)}).drop("_o")
