@@ -14,6 +14,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .license_signatures import signatures
+
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
 #: label, ways to name it, versions (each a regular expression over words in canonical form).
@@ -66,25 +68,18 @@ FAMILIES = (
     ("proprietary", ("proprietary", "commercial"), ()),
 )
 
-#: Sentences of license texts.
-SENTENCES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission"),
-    ("mit", "the software is provided as is without warranty of any kind express or implied", "warranty"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification", "redistribution"),
-    ("bsd", "redistributions of source code must retain the above copyright notice", "redistributions"),
-    ("gpl", "this program is free software you can redistribute it and or modify it", "redistribute"),
-    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license", "license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered"),
-    ("public-domain", "(?:released|dedicated|placed) (?:in|into|to) the public domain", "domain"),
-    ("proprietary", "all rights reserved", "reserved"),
+#: A text with none of these words holds no match of any rule: each pattern has one of them in a part that isn't optional.
+KEYWORDS = (
+    "licen", "permission", "permit", "warrant", "redistribut", "distribut", "unencumbered", "domain", "reserved", "spdx", "copyright", "copyleft",
+    "liable", "damage", "software", "apache", "combined", "runtime", "skeleton", "font", "gpl", "derivative", "prominently", "invariant",
+    "misrepresented", "irrevocabl", "copied", "php", "fuck", "functionality", "service", "lppl", "retain", "beer", "unicode", "legend", "nasa", "gemma",
+    "contribution", "mozilla", "eclipse", "ofl", "confidential", "proprietary", "reproduced", "unauthori", "government",
 )
-KEYWORDS = ("licen", "permission", "warranty", "redistribut", "unencumbered", "domain", "reserved", "spdx")
 
 
 def rules() -> list[tuple[int, str, str, str, float]]:
-    """(order, label, keyword, pattern, weight): sentences first, then names with versions, identifiers and bare names."""
-    out = [(label, keyword, pattern, 1.0) for label, pattern, keyword in SENTENCES]
+    """(order, label, keyword, pattern, weight): signatures first, then names with versions, identifiers and bare names."""
+    out = [(label, _literal(pattern).strip(), pattern, weight) for label, pattern, weight in signatures()]
     lic = "licen[cs]e"
     for label, names, versions in FAMILIES:
         for name in names:
@@ -97,13 +92,19 @@ def rules() -> list[tuple[int, str, str, str, float]]:
     return [(k, label, keyword, pattern, weight) for k, (label, keyword, pattern, weight) in enumerate(out)]
 
 
-def _literal(pattern: str, label: str) -> str:
-    """A piece of plain words that any match of a rule contains: the name that the rule is about, as far as it is plain."""
-    if pattern.startswith("(?:"):
-        name = next((n for f, names, _ in FAMILIES if f == label for n in sorted(names, key=len, reverse=True) if n in pattern), pattern.partition(")")[2])
-    else:
-        name = next((n for f, names, _ in FAMILIES if f == label for n in sorted(names, key=len, reverse=True) if n in pattern), pattern)
-    return re.match(r"[a-z0-9 ]*", name.strip())[0].rpartition(" ")[0] or re.match(r"[a-z0-9]*", name.strip())[0]
+def _literal(pattern: str) -> str:
+    """The longest piece of plain characters that any match of a pattern contains: outside of groups, sets and repeats."""
+    depth, pieces, escaped = 0, [""], False
+    for c in pattern:
+        depth += (c in "([" and not escaped) - (c in ")]" and not escaped)
+        if depth == 0 and not escaped and re.match("[a-z0-9 ]", c):
+            pieces[-1] += c
+            continue
+        if c in "?*{" and depth == 0:
+            pieces[-1] = pieces[-1][:-1]
+        pieces.append("")
+        escaped = c == "\\" and not escaped
+    return max(pieces, key=len)
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -146,7 +147,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("_hit", F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("_hit", _UPPER, _UPPER.lower()), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" ")))
     groups: dict[str, list] = {}
     for k, label, key, pattern, weight in rules():
-        groups.setdefault(_literal(pattern, label), []).append({"r": k, "l": label, "k": key, "p": pattern, "w": weight})
+        groups.setdefault(_literal(pattern), []).append({"r": k, "l": label, "k": key, "p": pattern, "w": weight})
     # one literal: the optimizer folds it once
     table = F.from_json(F.lit(json.dumps([{"name": name, "rules": own} for name, own in groups.items()])), "array<struct<name:string,rules:array<struct<r:int,l:string,k:string,p:string,w:double>>>>")
     phrases = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(label).alias("l")) for p, label in BASE])

@@ -1,7 +1,8 @@
 import random
 import re
 
-from souklens.llm.licenses import BASE, rules, scan_licenses
+from souklens.llm.license_signatures import signatures
+from souklens.llm.licenses import BASE, KEYWORDS, rules, scan_licenses
 
 
 def words_of(t):
@@ -43,3 +44,28 @@ def test_equals_brute_force(spark):
         n += len(kept)
     assert n > 100 and len(rules()) > 300
     assert scan_licenses(df.limit(0)).count() == 0
+
+
+def sample(pattern):
+    """A shortest text that a signature matches: optional parts left out, the first of alternatives, one word for any word."""
+    t = re.sub(r"\(\?:\[\^ \]\+ \)\{(\d+),\d+\}", lambda m: "w " * int(m[1]), pattern)
+    t = re.sub(r"\[\^ \]\+", "w", t)
+    t = re.sub(r"\[([^]])[^]]*\]", r"\1", t)
+    while (m := re.search(r"\(\?:([^()]*)\)([?*]?)", t)) is not None:
+        t = t[: m.start()] + ("" if m[2] else m[1].partition("|")[0]) + t[m.end() :]
+    return re.sub(r".\?", "", t)
+
+
+def test_each_signature_is_found(spark):
+    """Each hand-written signature fires on a text of its own, or a longer or earlier one covers the place."""
+    rows = [(k, f"Intro. {sample(p).upper().replace(' ', ', ')} end", label) for k, (label, p, _) in enumerate(signatures())]
+    bare = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, want string").repartition(4)).collect()}
+    assert len(bare) == len(rows) > 200
+    for k, (label, p, _) in enumerate(signatures()):
+        s = sample(p)
+        assert re.fullmatch(p, s), (p, s)
+        assert any(w in s for w in KEYWORDS), p
+        words, _, kept = brute(bare[k].text)
+        assert bare[k].n_words == words and sorted((d.start, d.length, d.label) for d in bare[k].detections) == kept
+        assert any(start <= 1 and start + n >= words - 1 for start, n, _ in kept), p
+    assert sum(label in bare[k].labels for k, (label, _, _) in enumerate(signatures())) > 0.95 * len(rows)
