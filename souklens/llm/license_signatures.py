@@ -244,7 +244,8 @@ mit: license(?: type)? mit
 apache: license(?: type)? apache(?: 2 0)?
 isc: license(?: type)? isc
 unlicensed: license(?: type)? unlicensed
-proprietary: (?:this|the) (?:software|document|material|information) (?:is|contains) (?:the )?(?:confidential|proprietary)(?: and (?:confidential|proprietary))? (?:information|property|and)
+proprietary: (?:is|contains) (?:the )?confidential(?: and proprietary)? (?:information|property|and)
+proprietary: (?:is|contains) (?:the )?proprietary(?: and confidential)? (?:information|property|and)
 proprietary: unauthori[sz]ed (?:copying|reproduction|use|distribution)(?: or (?:copying|reproduction|use|distribution))* of (?:this|the) (?:file|software|program|document|material)
 proprietary: no part of this (?:publication|document|work|book|software) may be reproduced
 proprietary: this software is licensed not sold

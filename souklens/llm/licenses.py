@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
 Texts are put in one form (words of a-z, 0-9 and all that isn't ASCII, one blank between). Most texts have none of a few
-keywords and go no further. For the others, each rule whose own keyword occurs is matched as a regular expression, and its
-matches become intervals of words. Rules overlap on purpose; an interval is dropped when another one contains it, the
+keywords and go no further. For the others, the rules of each keyword that occurs are looked at; those whose own plain piece
+occurs are matched as regular expressions, and the matches become intervals of words. Rules overlap on purpose; an interval is dropped when another one contains it, the
 longer before the shorter and, of equal ones, that of the rule which comes first.
 """
 
@@ -92,8 +92,8 @@ def rules() -> list[tuple[int, str, str, str, float]]:
     return [(k, label, keyword, pattern, weight) for k, (label, keyword, pattern, weight) in enumerate(out)]
 
 
-def _literal(pattern: str) -> str:
-    """The longest piece of plain characters that any match of a pattern contains: outside of groups, sets and repeats."""
+def _pieces(pattern: str) -> list[str]:
+    """Plain characters that any match of a pattern contains: outside of groups, sets and repeats."""
     depth, pieces, escaped = 0, [""], False
     for c in pattern:
         depth += (c in "([" and not escaped) - (c in ")]" and not escaped)
@@ -104,7 +104,16 @@ def _literal(pattern: str) -> str:
             pieces[-1] = pieces[-1][:-1]
         pieces.append("")
         escaped = c == "\\" and not escaped
-    return max(pieces, key=len)
+    return pieces
+
+
+def _literal(pattern: str) -> str:
+    return max(_pieces(pattern), key=len)
+
+
+def _gate(pattern: str) -> str:
+    """The longest of the keywords that stands in a piece; empty where a keyword stands in alternatives only."""
+    return max((k for k in KEYWORDS for piece in _pieces(pattern) if k in piece), key=len, default="")
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -145,14 +154,17 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     d = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new), F.regexp_count(t, F.lit(_LETTER)).cast("long").alias("n_words"), t.alias("_t"), F.lower(t).alias("_low"))
     d = d.withColumn("_hit", F.when(reduce(lambda a, b: a | b, [F.contains(F.col("_low"), F.lit(k)) for k in KEYWORDS]), F.col("_t")))
     d = d.withColumn("_hit", F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("_hit", _UPPER, _UPPER.lower()), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" ")))
-    groups: dict[str, list] = {}
+    gates: dict[str, dict[str, list]] = {}
     for k, label, key, pattern, weight in rules():
-        groups.setdefault(_literal(pattern), []).append({"r": k, "l": label, "k": key, "p": pattern, "w": weight})
+        gates.setdefault(_gate(pattern) or key, {}).setdefault(_literal(pattern), []).append({"r": k, "l": label, "k": key, "p": pattern, "w": weight})
     # one literal: the optimizer folds it once
-    table = F.from_json(F.lit(json.dumps([{"name": name, "rules": own} for name, own in groups.items()])), "array<struct<name:string,rules:array<struct<r:int,l:string,k:string,p:string,w:double>>>>")
+    tree = [{"gate": gate, "groups": [{"name": name, "rules": own} for name, own in groups.items()]} for gate, groups in gates.items()]
+    rule = "array<struct<r:int,l:string,k:string,p:string,w:double>>"
+    table = F.from_json(F.lit(json.dumps(tree)), f"array<struct<gate:string,groups:array<struct<name:string,rules:{rule}>>>>")
     phrases = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(label).alias("l")) for p, label in BASE])
     hit = F.col("_hit")
-    named = F.flatten(F.transform(F.filter(table, lambda g: F.contains(hit, g["name"])), lambda g: g["rules"]))
+    open_ = F.flatten(F.transform(F.filter(table, lambda g: F.contains(hit, g["gate"])), lambda g: g["groups"]))
+    named = F.flatten(F.transform(F.filter(open_, lambda g: F.contains(hit, g["name"])), lambda g: g["rules"]))
     fired = F.filter(named, lambda r: F.contains(hit, r["k"]) & F.regexp_like(hit, F.concat(F.lit(" (?:"), r["p"], F.lit(") "))))
     spans = F.flatten(F.transform(fired, lambda r: F.transform(_spans(hit, r["p"]), lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), r["r"].alias("r"), r["l"].alias("l"), r["w"].alias("w")))))
     base = F.flatten(F.transform(F.filter(phrases, lambda r: F.contains(hit, r["p"])), lambda r: F.transform(_spans(hit, r["p"]), lambda x: F.struct(x["s"].alias("start"), r["l"].alias("label")))))
