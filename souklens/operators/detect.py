@@ -151,3 +151,32 @@ def shop_currency(html: Column, fallback: str | None = None) -> Column:
     """The currency a shop's page states in its scripts."""
     stated = [F.regexp_extract(html, r, 1) for r in (r"Shopify\.currency\s*=\s*\{[^}]*[\"']?active[\"']?\s*:\s*[\"']([A-Za-z]{3})[\"']", r"[\"']currencyCode[\"']\s*:\s*[\"']([A-Za-z]{3})[\"']")]
     return F.coalesce(*[F.when(x != "", F.upper(x)) for x in stated], F.lit(fallback))
+
+
+def choose_layer(candidates: DataFrame, page: str = "page_id") -> DataFrame:
+    """One row per page: which of its readings counts (layer, seq, n, incomplete, blocked).
+
+    candidates: layer (api, markup, profile), seq (the order in which APIs are asked), n products, incomplete, blocked. The first
+    API answer that is blocked or has products decides: blocked ends the page with nothing; a complete one counts; of an
+    incomplete one and the page's own reading the page counts only where it has strictly more, else the answer stays
+    marked incomplete. Without such an answer the page counts. A page is read from its markup, and by its profile only
+    where the markup gave nothing and the profile something. Null flags are false, a null n is 0, an API without seq comes
+    last, the fullest of repeated readings stands; pages without an id are one page. One aggregation, combined before the exchange.
+    """
+    layer, n = F.col("layer"), F.coalesce(F.col("n").cast("long"), F.lit(0).cast("long"))
+    blocked, incomplete = F.coalesce("blocked", F.lit(False)), F.coalesce("incomplete", F.lit(False))
+    answer = F.struct(F.col("seq").isNull().alias("late"), F.col("seq").cast("long").alias("seq"), (~blocked).alias("open"), (-n).alias("less"), incomplete.alias("incomplete"))
+    most = lambda name: F.coalesce(F.max(F.when(layer == name, n)), F.lit(0).cast("long"))
+    g = candidates.groupBy(F.col(page)).agg(F.min(F.when((layer == "api") & (blocked | (n > 0)), answer)).alias("_a"), most("markup").alias("_m"), most("profile").alias("_p"))
+    own, by_profile = F.when(F.col("_m") > 0, F.col("_m")).otherwise(F.col("_p")), (F.col("_m") == 0) & (F.col("_p") > 0)
+    a = F.col("_a")
+    stop = F.coalesce(~a["open"], F.lit(False))
+    api = stop | (a.isNotNull() & (~a["incomplete"] | (own <= -a["less"])))
+    return g.select(
+        page,
+        F.when(api, "api").when(by_profile, "profile").otherwise("markup").alias("layer"),
+        F.when(api, a["seq"]).alias("seq"),
+        F.when(stop, F.lit(0).cast("long")).when(api, -a["less"]).otherwise(own).alias("n"),
+        (stop | (api & a["incomplete"])).alias("incomplete"),
+        stop.alias("blocked"),
+    )

@@ -283,7 +283,22 @@ def api_responses(spark: SparkSession, d: str) -> DataFrame:
     return A.read_api_responses(r).select("event_id", F.size(G.as_array(F.col("json"))).cast("long").alias("n"), F.col("total_pages").cast("long").alias("total_pages"))
 
 
+@query
+def choose_layer(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as answers of an order's APIs, orders as its own readings: the reading that counts for each order."""
+    item, o = read(spark, d, "lineitem"), read(spark, d, "orders")
+    api = item.select(F.col("l_orderkey").alias("page_id"), F.lit("api").alias("layer"), F.col("l_linenumber").alias("seq"), (F.col("l_quantity").cast("long") % 4).alias("n"), (F.col("l_partkey") % 2 == 0).alias("incomplete"), (F.col("l_suppkey") % 5 == 0).alias("blocked"))
+    own = lambda name, n: o.select(F.col("o_orderkey").alias("page_id"), F.lit(name).alias("layer"), n.alias("n"))
+    markup, profile = own("markup", F.col("o_orderkey") % 3 * 2).where("n > 0 or page_id % 2 = 0"), own("profile", F.col("o_custkey") % 3)
+    return D.choose_layer(api.unionByName(markup, allowMissingColumns=True).unionByName(profile, allowMissingColumns=True))
+
+
 ORACLES |= {
+    "choose_layer": """WITH a AS (SELECT * FROM (SELECT l_orderkey AS k, l_linenumber AS seq, l_quantity::BIGINT % 4 AS n, l_partkey % 2 = 0 AS part, l_suppkey % 5 = 0 AS blocked FROM lineitem) WHERE blocked OR n > 0
+        QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq, blocked DESC, n DESC, part) = 1),
+      p AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 * 2 ELSE o_custkey % 3 END AS own, CASE WHEN o_orderkey % 3 = 0 AND o_custkey % 3 > 0 THEN 'profile' ELSE 'markup' END AS own_layer FROM orders),
+      j AS (SELECT coalesce(p.k, a.k) AS k, a.seq, a.n, a.part, a.blocked, coalesce(own, 0) AS own, coalesce(own_layer, 'markup') AS own_layer, coalesce(a.blocked OR NOT a.part OR coalesce(own, 0) <= a.n, FALSE) AS api FROM p FULL JOIN a ON p.k = a.k)
+      SELECT k AS page_id, CASE WHEN api THEN 'api' ELSE own_layer END AS layer, CASE WHEN api THEN seq::BIGINT END AS seq, CASE WHEN api AND blocked THEN 0 WHEN api THEN n ELSE own END::BIGINT AS n, api AND (blocked OR part) AS incomplete, coalesce(blocked, FALSE) AS blocked FROM j""",
     "normalized_prices": """WITH a AS (SELECT l_orderkey * 100 + l_linenumber AS k, l_linenumber % 5 AS m, floor(l_extendedprice)::BIGINT AS n FROM lineitem)
       SELECT k, CASE m WHEN 0 THEN n * 10.0::DOUBLE WHEN 1 THEN n::DOUBLE WHEN 2 THEN ((n % 900 + 100) * 1000 + 125)::DOUBLE WHEN 3 THEN n::DOUBLE END AS amount, CASE m WHEN 0 THEN 'IRR' WHEN 1 THEN 'IRR' WHEN 2 THEN 'EUR' WHEN 3 THEN '' END AS currency, CASE m WHEN 0 THEN 'rial' END AS unit,
         CASE m WHEN 1 THEN 'price-unit-unknown' WHEN 2 THEN 'price-separator-ambiguous' WHEN 3 THEN 'price-currency-missing' ELSE '' END AS codes FROM a""",

@@ -177,3 +177,25 @@ def test_suffixes_of_repeated_rows(spark):
     """Rows of the same seq and candidate stay as many as they are, also where a candidate ends in a number."""
     df = spark.createDataFrame([(1, "X"), (1, "X"), (1, "X"), (2, "X-2"), (3, "x")], "seq long, c string")
     assert sorted(r.unique for r in K.unique_in_order(df, "c", fold_case=True).collect()) == ["X", "X-2", "X-2-2", "X-3", "x-4"]
+
+
+def test_choose_layer(spark):
+    from souklens.operators.detect import choose_layer
+
+    rows = [
+        (1, "api", 1, 0, False, False), (1, "api", 2, 5, False, None), (1, "markup", None, 9, None, None),  # a complete answer counts
+        (2, "api", 1, 3, True, None), (2, "markup", None, 4, None, None),  # the page has strictly more
+        (3, "api", 1, 3, True, None), (3, "markup", None, 3, None, None),  # a tie: the answer stays, incomplete
+        (4, "api", 1, None, None, True), (4, "api", 2, 8, None, None), (4, "markup", None, 7, None, None),  # blocked: nothing
+        (5, "api", 1, 2, None, None), (5, "api", 2, 8, None, True),  # blocked later: not reached
+        (6, "markup", None, 0, None, None), (6, "profile", None, 2, None, None), (7, "profile", None, 0, None, None),
+        (8, "api", None, 1, None, None), (8, "api", 3, 2, True, None), (8, "profile", None, 2, None, None), (8, "api", 3, 2, True, None),
+        (None, "markup", None, 1, None, None),
+    ]
+    df = choose_layer(spark.createDataFrame(rows, "page_id long, layer string, seq int, n int, incomplete boolean, blocked boolean"))
+    assert {tuple(r) for r in df.collect()} == {
+        (1, "api", 2, 5, False, False), (2, "markup", None, 4, False, False), (3, "api", 1, 3, True, False), (4, "api", 1, 0, True, True),
+        (5, "api", 1, 2, False, False), (6, "profile", None, 2, False, False), (7, "markup", None, 0, False, False), (8, "api", 3, 2, True, False),
+        (None, "markup", None, 1, False, False),
+    }
+    assert choose_layer(df.limit(0)).count() == 0
