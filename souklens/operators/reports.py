@@ -124,6 +124,22 @@ def walk_pagination(pages: DataFrame, seeds: DataFrame, *, max_pages: int = 20)
     return seen
 
 
+def walk_statuses(walk: DataFrame, pages: DataFrame, *, max_pages: int = 20) -> DataFrame:
+    """One row per seed of a walk: n_pages and how it ended.
+
+    pages: url, next_url and, if there is one, blocked. blocked: a page of the walk said no; budget-reached: the last page
+    allowed names one that wasn't visited; page-unavailable: a visited address has no page; else complete, loops included.
+    """
+    flag = F.coalesce(F.col("blocked"), F.lit(False)) if "blocked" in pages.columns else F.lit(False)
+    links = pages.groupBy("url", "next_url").agg(F.max(flag).alias("_blocked"), F.lit(True).alias("_read"))
+    at = walk.select("seed", "url", "hop").join(links, "url", "left")
+    seen = walk.select("seed", F.col("url").alias("next_url"), F.lit(True).alias("_seen")).distinct()
+    at = at.join(seen, ["seed", "next_url"], "left")
+    more = (F.col("hop") >= max_pages) & F.col("next_url").isNotNull() & F.col("_seen").isNull()
+    status = F.when(F.max(F.coalesce("_blocked", F.lit(False))), "blocked").when(F.max(more), "budget-reached").when(F.max(F.col("_read").isNull()), "page-unavailable").otherwise("complete")
+    return at.groupBy("seed").agg(F.countDistinct("url").alias("n_pages"), status.alias("status"))
+
+
 def top_issues(issues: DataFrame, n: int = 6, scope: str = "scan_id") -> DataFrame:
     """The first n issues of each scan: errors, warnings, notes, as first seen."""
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from souklens.functions import graph as G
+from souklens.functions import graph as G, text as T
 from souklens.operators import detect as D, export as X, keys as K, normalize as N, reports as R
 from souklens.plans.queries import _log, query, read
 from souklens.sources import api as A, structured as S
@@ -293,7 +293,21 @@ def choose_layer(spark: SparkSession, d: str) -> DataFrame:
     return D.choose_layer(api.unionByName(markup, allowMissingColumns=True).unionByName(profile, allowMissingColumns=True))
 
 
+@query
+def walk_statuses(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of a host as a ring in order of their ids, some of them missing; how the walk from the first one ends after ten pages at most."""
+    p = read(spark, d, "pages").select("page_id", T.profile_domain(F.col("url")).alias("seed"), F.col("page_id").cast("string").alias("url"))
+    first = p.groupBy("seed").agg(F.min("page_id").cast("string").alias("first"))
+    ring = p.withColumn("next_url", F.lead("url").over(W.partitionBy("seed").orderBy("page_id"))).join(first, "seed").withColumn("next_url", F.coalesce("next_url", "first"))
+    there = ring.where(F.col("page_id") % 7 != 3)
+    walk = R.walk_pagination(there, first.select("seed", F.col("first").alias("url")), max_pages=10)
+    return R.walk_statuses(walk, there, max_pages=10)
+
+
 ORACLES |= {
+    "walk_statuses": """WITH p AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY page_id) AS rn FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^www\\.', '') AS seed FROM pages)),
+      s AS (SELECT seed, count(*) AS n, min(rn) FILTER (WHERE page_id % 7 = 3) AS gone FROM p GROUP BY seed)
+      SELECT seed, least(10, n, coalesce(gone, n))::BIGINT AS n_pages, CASE WHEN gone <= 10 THEN 'page-unavailable' WHEN n > 10 THEN 'budget-reached' ELSE 'complete' END AS status FROM s""",
     "choose_layer": """WITH a AS (SELECT * FROM (SELECT l_orderkey AS k, l_linenumber AS seq, l_quantity::BIGINT % 4 AS n, l_partkey % 2 = 0 AS part, l_suppkey % 5 = 0 AS blocked FROM lineitem) WHERE blocked OR n > 0
         QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq, blocked DESC, n DESC, part) = 1),
       p AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 * 2 ELSE o_custkey % 3 END AS own, CASE WHEN o_orderkey % 3 = 0 AND o_custkey % 3 > 0 THEN 'profile' ELSE 'markup' END AS own_layer FROM orders),
