@@ -80,9 +80,47 @@ m AS (SELECT id, min(nd) AS c FROM r GROUP BY id)
 SELECT l.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, coalesce(m.c, l.doc_id) AS component_id, coalesce(m.c, l.doc_id) = l.doc_id AS kept FROM l LEFT JOIN z USING (doc_id) LEFT JOIN m ON m.id = l.doc_id
 """
 
+#: CRC-32 bit by bit; the lower-cased text; each tree by recursion over its levels; siblings and foldings by level.
+OP13 = r"""
+WITH RECURSIVE d AS (
+  SELECT *, text AS own, doc_id::VARCHAR AS i, coalesce(xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END, xor(c, b)), 4294967295::BIGINT), 4294967295::BIGINT) % 3 = 0, false) AS hit FROM documents),
+h AS (SELECT *, CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS said FROM d),
+f AS (
+  SELECT doc_id, lang, concat(coalesce(strlen(i) || ':' || i, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-')) AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS own, coalesce(strlen(said) || ':' || said, '-') AS said FROM h),
+l AS (SELECT doc_id, lang, sha256(head || own) AS leaf, sha256(head || said) AS claimed FROM f),
+g AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS size FROM l),
+n AS (
+  SELECT tree, 0 AS level, pos, leaf AS h, size FROM g UNION ALL
+  SELECT tree, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), any_value((size + 7) // 8) FROM n WHERE size > 1 GROUP BY tree, level, pos // 8),
+s AS (SELECT tree, h AS subroot FROM n WHERE size = 1),
+t AS (
+  SELECT 0 AS level, tree - 1 AS pos, subroot AS h, count(*) OVER () AS size FROM s UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), any_value((size + 7) // 8) FROM t WHERE size > 1 GROUP BY level, pos // 8),
+a AS (SELECT tree, level, pos, size FROM n WHERE size > 1),
+b AS (
+  SELECT a.tree, a.level, a.pos, coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos < a.pos), '') AS l, coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos > a.pos), '') AS r
+  FROM a JOIN n ON n.tree = a.tree AND n.level = a.level AND n.pos // 8 = a.pos // 8 GROUP BY a.tree, a.level, a.pos),
+c AS (
+  SELECT a.level, a.pos, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < a.pos), '') AS l, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > a.pos), '') AS r
+  FROM (SELECT * FROM t WHERE size > 1) a JOIN t ON t.level = a.level AND t.pos // 8 = a.pos // 8 GROUP BY a.level, a.pos),
+o AS (
+  SELECT tree, pos AS leaf_pos, 0 AS level, pos, claimed AS node, '' AS beside FROM g UNION ALL
+  SELECT o.tree, leaf_pos, o.level + 1, o.pos // 8, sha256(b.l || node || b.r), beside || b.l || b.r FROM o JOIN b ON b.tree = o.tree AND b.level = o.level AND b.pos = o.pos),
+p AS (SELECT tree, leaf_pos, arg_max(node, level) AS node, arg_max(beside, level) AS beside FROM o GROUP BY tree, leaf_pos),
+q AS (
+  SELECT tree, leaf_pos, 0 AS level, tree - 1 AS pos, node, beside FROM p UNION ALL
+  SELECT tree, leaf_pos, q.level + 1, q.pos // 8, sha256(c.l || node || c.r), beside || c.l || c.r FROM q JOIN c ON c.level = q.level AND c.pos = q.pos),
+z AS (SELECT tree, leaf_pos, arg_max(node, level) AS node, arg_max(beside, level) AS beside FROM q GROUP BY tree, leaf_pos)
+SELECT doc_id, leaf, subroot, root, sha256(beside) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM g JOIN s USING (tree) JOIN z ON z.tree = g.tree AND z.leaf_pos = g.pos, (SELECT h AS root FROM t WHERE size = 1)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_rlz_dedup": OP1,
     "op3_minhash": OP3,
     "op9_quality_rules": op9(),
     "op8_mix_sources": OP8,
+    "op13_merkle_manifest": OP13,
 }
