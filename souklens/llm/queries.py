@@ -16,6 +16,7 @@ from .pieces import digests, encode_pieces
 from .quality import quality_verdicts
 from .substring_bwt import bwt_dedup
 from .substring_rlz import rlz_dedup
+from .token_counts import token_counts
 from .wrappers import extract_main_text
 
 
@@ -74,6 +75,10 @@ def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 def tampered() -> Column:
     """What a holder says that the text is: where 3 divides the id's CRC-32, with A-Z in lower case."""
     hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
@@ -97,5 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_rules": op9_quality_rules,
     "op10_bwt_dedup": op10_bwt_dedup,
+    "op12_token_counts": op12_token_counts,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
