@@ -16,6 +16,7 @@ from .pieces import digests, encode_pieces
 from .quality import quality_verdicts
 from .substring_bwt import bwt_dedup
 from .substring_rlz import rlz_dedup
+from .token_align import align_tokens
 from .token_counts import token_counts
 from .wrappers import extract_main_text
 
@@ -75,6 +76,10 @@ def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(_read(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 1024)
 
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_rules": op9_quality_rules,
     "op10_bwt_dedup": op10_bwt_dedup,
+    "op11_token_align": op11_token_align,
     "op12_token_counts": op12_token_counts,
     "op13_merkle_manifest": op13_merkle_manifest,
 }

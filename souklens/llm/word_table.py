@@ -13,7 +13,7 @@ import numpy as np
 import regex
 
 #: White space, and what some tables of Unicode take for it, other than blank and line feed: behind these no word ends.
-ODD = r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]"
+ODD = r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"
 WORDS = regex.compile(rf"[ \n]*[^ \n]+(?:(?<={ODD})[ \n]+[^ \n]*)*|[ \n]+")
 
 
