@@ -94,9 +94,10 @@ SELECT url_key AS product_key, 'n' || arg_max(seq, {{'a': CASE WHEN seq % 2 = 0
 
 
 def _structured() -> dict[str, str]:
+    from souklens.plans.page_queries import ORACLES as pages
     from souklens.plans.structured_queries import ORACLES as more
 
-    return more
+    return more | pages
 
 
 ORACLES |= _structured()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from souklens.functions.numbers import minor_unit_price
 from souklens.functions.text import canonical_url, clean_text, resolve_url
+from souklens.sources.profiles import read_profiles  # noqa: F401
 
 STORE = "array<struct<id:long,name:string,type:string,permalink:string,sku:string,parent:long,is_in_stock:boolean,on_sale:boolean,prices:struct<currency_code:string,currency_minor_unit:int,regular_price:string,sale_price:string>,images:array<struct<src:string>>,categories:array<struct<id:long,name:string>>>>"
 COLLECTION = "struct<products:array<struct<id:long,title:string,handle:string,vendor:string,product_type:string,images:array<struct<src:string>>,variants:array<struct<id:long,title:string,sku:string,price:string,compare_at_price:string,available:boolean>>>>>"
@@ -71,15 +72,3 @@ def filter_sitemap_urls(urls: DataFrame, hints: list[str]) -> DataFrame:
     path = F.lower(F.coalesce(F.try_url_decode(F.regexp_extract("loc", r"^[a-z]+://[^/]*(.*)$", 1)), F.col("loc")))
     return urls if not hints else urls.where(F.exists(F.array(*map(F.lit, hints)), lambda h: F.contains(path, h)))
 
-
-def read_profiles(docs: DataFrame) -> DataFrame:
-    """(profile_id, domain, container, fields, violations) of rule documents (profile_id, json): every violation is listed."""
-    p = F.from_json("json", "struct<version:int,domain:string,card:struct<container:string,fields:map<string,struct<selector:string,`from`:string,attribute:string>>>>")
-    d = docs.select("profile_id", p.alias("p"), F.try_parse_json("json").isNull().alias("bad"))
-    f = F.col("p.card.fields")
-    bad = F.array_compact(F.array(
-        F.when(F.col("bad"), "json"), F.when(F.coalesce(F.col("p.version"), F.lit(0)) != 1, "version"), F.when(F.coalesce(F.trim("p.domain"), F.lit("")) == "", "domain"),
-        F.when(F.coalesce(F.trim("p.card.container"), F.lit("")) == "", "container"), F.when(f.isNull() | ~F.coalesce(F.map_contains_key(f, F.lit("name")), F.lit(False)), "name"),
-        F.when(F.exists(F.map_values(f), lambda x: (x["from"] == "attribute") & x["attribute"].isNull()), "attribute"),
-    ))
-    return d.select("profile_id", F.col("p.domain").alias("domain"), F.col("p.card.container").alias("container"), f.alias("fields"), bad.alias("violations"))

@@ -26,26 +26,41 @@ class _Tree(HTMLParser):
         self.nodes: list[list] = []
         self.open: list[int] = []
         self.stream: list[tuple[int, str]] = []
+        self.span: list[list[int]] = []  # of each element, where its text begins and ends in the stream
+
+    def _shut(self, k: int) -> None:
+        """Ends the open elements from the k-th on."""
+        for n in self.open[k:]:
+            self.span[n][1] = len(self.stream)
+        del self.open[k:]
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i, report)  # what isn't markup here is a comment, whatever it says
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         while self.open and self.nodes[self.open[-1]][3] in AUTO.get(tag, ()):
-            self.open.pop()
+            self._shut(len(self.open) - 1)
         kept: dict[str, str] = {}
         for k, v in attrs:
             kept.setdefault(k, v or "")
         self.nodes.append([len(self.nodes), self.open[-1] if self.open else None, len(self.open), tag, kept, []])
+        self.span.append([len(self.stream)] * 2)
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open:
-            self.open.pop()
+            self._shut(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         k = next((i for i in range(len(self.open) - 1, -1, -1) if self.nodes[self.open[i]][3] == tag), None)
         if k is not None:
-            del self.open[k:]
+            self._shut(k)
+
+    def close(self) -> None:
+        super().close()
+        self._shut(0)
 
     def handle_data(self, data: str) -> None:
         if self.open:
@@ -73,8 +88,10 @@ class PageTree(_Tree):
             if self.children[n]:
                 self.end[n] = self.end[self.children[n][-1]]
 
-    def text_of(self, n: int) -> str:
-        return "".join(data for at, data in self.stream if n <= at < self.end[n])
+    def text_of(self, n: int, shown: bool = False) -> str:
+        """The whole text below an element; shown: without scripts and styles."""
+        begin, end = self.span[n]
+        return "".join(data for at, data in self.stream[begin:end] if not shown or self.nodes[at][3] not in ("script", "style"))
 
 
 def dom_nodes(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:

@@ -29,6 +29,14 @@ LAZY = ("data-src", "data-lazy-src", "data-original", "data-lazy")
 ADDRESS = {"a": "href", "area": "href", "link": "href", "object": "data", **dict.fromkeys(("audio", "embed", "iframe", "source", "track", "video"), "src")}
 
 
+def _joined(url: str, href: str) -> str:
+    """A link against its page, or as it is written if it is no address."""
+    try:
+        return urljoin(url, href.strip())
+    except ValueError:
+        return href.strip()
+
+
 def _property(tree: PageTree, n: int, url: str) -> str:
     """The value of a microdata property that is no item itself."""
     tag, attrs = tree.nodes[n][3], tree.nodes[n][4]
@@ -38,9 +46,9 @@ def _property(tree: PageTree, n: int, url: str) -> str:
         src = attrs.get("src")
         late = [attrs[a] for a in LAZY if attrs.get(a)] + [attrs[a].split(",")[0].split()[0] for a in ("srcset", "data-srcset") if attrs.get(a, "").split(",")[0].strip()]
         src = src if src and not src.lower().startswith("data:") else (late or [src])[0]
-        return urljoin(url, src.strip()) if src else ""
+        return _joined(url, src) if src else ""
     if tag in ADDRESS:
-        return urljoin(url, attrs[ADDRESS[tag]].strip()) if ADDRESS[tag] in attrs else ""
+        return _joined(url, attrs[ADDRESS[tag]]) if ADDRESS[tag] in attrs else ""
     if tag in ("data", "meter") and "value" in attrs:
         return attrs["value"]
     return attrs["datetime"] if tag == "time" and "datetime" in attrs else tree.text_of(n)
