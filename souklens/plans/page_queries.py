@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from souklens.functions import text as T
 from souklens.plans.queries import query, read
-from souklens.sources import profiles as P
+from souklens.sources import embedded as E, profiles as P
 
 PROFILES = (
     (1, '{"version":1,"domain":"www.Shop.example.com","card":{"container":"ul.grid > li.card","fields":{"name":{"selector":".title a","from":"text"},"url":{"selector":".title > a","from":"attribute","attribute":"href"},"image":{"selector":"li img[src]","from":"attribute","attribute":"src"},"regularPrice":{"selector":"s.was","from":"text"},"salePrice":{"selector":".price","from":"text"},"availability":{"selector":"[data-stock]","from":"attribute","attribute":"data-stock"}}}}'),
@@ -78,7 +78,65 @@ def profile_menus(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", (F.col("profile_id") % 2).alias("kind"), F.col("card").cast("long").alias("card"), "name", own.alias("own_host"))
 
 
+STATES = (
+    """<script id="__NEXT_DATA__" type="application/json">{"props":{"collections":[{"id":"c","title":"All","handle":"all"}],"products":[{"title":"Item {k}","handle":"i-{k}","body_html":"<p>a</p>","vendor":"{b}","product_type":"Goods","tags":["x","y"],"images":[{"src":"/i/{k}.jpg"},{"src":"/i/{k}.jpg"}],
+      "options":[{"name":"Size","values":["S","M"]},{"name":"Tint","values":[]}],"variants":[{"option1":"S","option2":"red","sku":"{k}-S","price":"{p}","compare_at_price":"9{p}","available":true,"grams":250,"featured_image":"/v.jpg"},{"option1":"M","sku":"{k}-M","price":"{p}","compare_at_price":"0.5","available":false,"grams":0}]},
+      {"title":"Second","handle":"i-{k}","variants":[{"price":"1"}]}]}}</script>""",
+    """<script>window.__INITIAL_STATE__ = {"a":"br } { \\" ace","list":{"edges":[{"node":{"id":"g{k}","title":"Front {k}","slug":"f-{k}","descriptionHtml":"d","availableForSale":true,"priceRange":{"minVariantPrice":{"amount":"{p}","currencyCode":"EUR"}},"compareAtPrice":"9{p}","images":{"edges":[{"node":{"originalSrc":"f.jpg"}}]}}}]},}; go();</script>""",
+    """<script>Shopify.currency = {"active":"CAD","rate":"1.0"};</script><script id="__NUXT_DATA__" type="application/json">[1,{"title":"Lone {k}","handle":"l-{k}","options":[{"name":"Title","values":["Default Title"]}],"variants":[{"option1":"Default Title","sku":"L{k}","price":"{p}","available":true}]},{"name":"tile","price":3}]</script>""",
+    """<script>window.__NUXT__ = {"title":"Open {k}","id":"x","price":"{p}"</script><script id="__APOLLO_STATE__">{broken {k}}</script>""",
+)
+
+
+def _rendered(spark: SparkSession, d: str, shapes: tuple[str, ...]) -> DataFrame:
+    """A page for each part, in turn of each shape; every fifth has no id, and others' ids repeat."""
+    part, k = read(spark, d, "part"), F.col("p_partkey")
+    html = F.element_at(F.array(*map(F.lit, shapes)), (k % len(shapes) + 1).cast("int"))
+    for mark, value in (("{k}", k.cast("string")), ("{b}", F.col("p_brand")), ("{p}", F.format_string("%.2f", "p_retailprice"))):
+        html = F.replace(html, F.lit(mark), value)
+    return part.select(F.when(k % 5 > 0, k - F.when(k % 5 == 2, 1).otherwise(0)).alias("page_id"), F.concat(F.lit("https://s.example.com/c/"), k.cast("string")).alias("url"), html.alias("html"))
+
+
+def _attributes(c: str) -> Column:
+    return F.array_join(F.transform(c, lambda a: F.concat_ws("=", a["name"], F.array_join(a["values"], "|"))), ";")
+
+
+@query
+def embedded_products(spark: SparkSession, d: str) -> DataFrame:
+    """Products that pages carry in their scripts' state, of both shapes, with states that are half open, broken or hold no product."""
+    p = E.read_embedded_state(E.embedded_states(_rendered(spark, d, STATES)))
+    return p.select(
+        "page_id", "url", "label", F.col("row").cast("long").alias("row"), "source_url", "kind", "name", "description", "brand", F.array_join("category_path", ">").alias("category"), F.array_join("tags", ",").alias("tags"), F.array_join("images", " ").alias("images"), _attributes("attributes").alias("attributes"), "sku", "in_stock",
+        F.round("regular.amount", 2).alias("regular"), F.round("sale.amount", 2).alias("sale"), F.col("regular.currency").alias("currency"), F.col("weight.value").alias("grams"), F.col("confidence").cast("double").alias("confidence"),
+    )
+
+
+@query
+def collection_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Collection answers of parts by brand and size, a variant for each part, with pages that repeat products: each product once, as first seen."""
+    part = read(spark, d, "part").withColumn("g", F.concat(F.lit("h"), F.regexp_extract("p_brand", r"(\d+)$", 1), F.lit("-"), F.col("p_size").cast("string")))
+    variant = F.struct(F.col("p_partkey").alias("id"), F.col("p_type").alias("option1"), F.concat(F.lit("V"), "p_partkey").alias("sku"), F.format_string("%.2f", "p_retailprice").alias("price"), F.lit(True).alias("available"), F.col("p_size").alias("grams"))
+    made = part.groupBy("g", "p_size").agg(F.sort_array(F.collect_list(variant)).alias("variants"))
+    product = lambda title: F.struct(F.lit(title).alias("title"), F.col("g").alias("handle"), F.lit("Brand").alias("vendor"), F.array(F.struct(F.lit("Type").alias("name"), F.col("variants.option1").alias("values"))).alias("options"), "variants")
+    pages = made.select("p_size", F.explode(F.array(F.struct(F.lit(1).alias("seq"), product("First").alias("p")), F.struct(F.lit(2).alias("seq"), product("Again").alias("p")))).alias("x")).select((F.col("p_size") * 2 + F.col("x.seq")).alias("seq"), "x.p")
+    body = pages.groupBy("seq").agg(F.to_json(F.struct(F.collect_list("p").alias("products"))).alias("body")).withColumn("url", F.lit("https://s.example.com/collections/all/products.json"))
+    p = E.read_collection_json(body, default_currency="EUR")
+    return p.select("source_url", F.col("row").cast("long").alias("row"), "kind", "name", "sku", F.round("regular.amount", 2).alias("regular"), F.col("regular.currency").alias("currency"), F.size(F.coalesce(F.col("attributes")[0]["values"], F.array())).cast("long").alias("n_values"), F.col("weight.value").alias("grams"), "in_stock")
+
+
 ORACLES = {
+    "embedded_products": """WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 2 THEN p_partkey - 1 WHEN p_partkey % 5 > 0 THEN p_partkey END AS page_id, 'https://s.example.com/c/' || p_partkey AS url, p_brand AS b, printf('%.2f', p_retailprice) AS t FROM part),
+      c AS (SELECT page_id, url, '__NEXT_DATA__' AS label, 0 AS row, 'https://s.example.com/products/i-' || k AS source_url, 'variable' AS kind, 'Item ' || k AS name, '<p>a</p>' AS description, b AS brand, 'Goods' AS category, 'x,y' AS tags, 'https://s.example.com/i/' || k || '.jpg' AS images, 'Size=S|M' AS attributes,
+          NULL AS sku, NULL AS in_stock, NULL AS regular, NULL AS sale, NULL AS currency, NULL AS grams, 1.0 AS confidence FROM p WHERE k % 4 = 0 UNION ALL
+        SELECT page_id, url, '__NEXT_DATA__', 1, 'https://s.example.com/products/i-' || k, 'variation', 'Item ' || k, NULL, NULL, '', '', 'https://s.example.com/v.jpg', 'Size=S;Tint=red', k || '-S', true, ('9' || t)::DOUBLE, t::DOUBLE, '', 250, 1.0 FROM p WHERE k % 4 = 0 UNION ALL
+        SELECT page_id, url, '__NEXT_DATA__', 2, 'https://s.example.com/products/i-' || k, 'variation', 'Item ' || k, NULL, NULL, '', '', '', 'Size=M', k || '-M', false, t::DOUBLE, NULL, '', NULL, 1.0 FROM p WHERE k % 4 = 0 UNION ALL
+        SELECT page_id, url, 'window.__INITIAL_STATE__', 0, 'https://s.example.com/products/f-' || k, 'simple', 'Front ' || k, 'd', NULL, '', '', 'https://s.example.com/c/f.jpg', '', NULL, true, ('9' || t)::DOUBLE, t::DOUBLE, 'EUR', NULL, 0.8 FROM p WHERE k % 4 = 1 UNION ALL
+        SELECT page_id, url, '__NUXT_DATA__', 0, 'https://s.example.com/products/l-' || k, 'simple', 'Lone ' || k, NULL, NULL, '', '', '', '', 'L' || k, true, t::DOUBLE, NULL, 'CAD', NULL, 1.0 FROM p WHERE k % 4 = 2)
+      SELECT page_id, url, label, row::BIGINT AS row, source_url, kind, name, description, brand, category, tags, images, attributes, sku, in_stock::BOOLEAN AS in_stock, regular::DOUBLE AS regular, sale::DOUBLE AS sale, currency, grams::DOUBLE AS grams, confidence::DOUBLE AS confidence FROM c""",
+    "collection_catalog": """WITH a AS (SELECT *, 'https://s.example.com/products/h' || regexp_extract(p_brand, '([0-9]+)$', 1) || '-' || p_size AS source_url FROM part),
+      v AS (SELECT source_url, row_number() OVER (PARTITION BY source_url ORDER BY p_partkey) AS row, p_partkey AS k, p_retailprice AS v, p_size AS s FROM a)
+      SELECT source_url, 0::BIGINT AS row, 'variable' AS kind, 'First' AS name, NULL::VARCHAR AS sku, NULL::DOUBLE AS regular, NULL::VARCHAR AS currency, count(*) AS n_values, NULL::DOUBLE AS grams, NULL::BOOLEAN AS in_stock FROM v GROUP BY source_url UNION ALL
+      SELECT source_url, row, 'variation', 'First', 'V' || k, round(v, 2), 'EUR', 1, CASE WHEN s > 0 THEN s::DOUBLE END, true FROM v""",
     "profile_products": """WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 2 THEN p_partkey - 1 WHEN p_partkey % 5 > 0 THEN p_partkey END AS page_id, round(p_retailprice, 2) AS v, printf('%.2f', p_retailprice) AS t FROM part),
       c AS (SELECT k, page_id, 1 AS profile_id, 0 AS card, 'https://shop.example.com/p/' || k AS source_url, 'Item ' || k AS name, 'https://shop.example.com/c/i/' || k || '.jpg' AS images, v AS regular, NULL AS sale, 'EUR' AS currency, NULL AS in_stock, 4 AS n_stated FROM p WHERE k % 2 = 0 UNION ALL
         SELECT k, page_id, 1, 1, 'https://shop.example.com/c/' || k, 'Second ' || k, '', ('1' || t)::DOUBLE, v, 'EUR', true, 4 FROM p WHERE k % 2 = 0 UNION ALL

@@ -37,8 +37,9 @@ def store_api_products(responses: DataFrame) -> DataFrame:
 
 def collection_products(responses: DataFrame, base: str = "") -> DataFrame:
     """One row per variant of products.json answers; products need a title; one "Default Title" variant makes a simple product;
-    a product seen on two pages stays once. A compare-at price above the price makes a sale."""
-    d = responses.select(F.posexplode(F.from_json("body", COLLECTION)["products"]).alias("pos", "p")).where("trim(p.title) <> ''").dropDuplicates(["p"])
+    a product (by its handle) seen on two pages stays once, as first seen. A compare-at price above the price makes a sale."""
+    d = responses.select(F.posexplode(F.from_json("body", COLLECTION)["products"]).alias("pos", "p")).where("trim(p.title) <> ''")
+    d = d.withColumn("_at", F.monotonically_increasing_id()).groupBy(F.coalesce("p.handle", F.concat(F.lit("\n"), F.col("p.id").cast("string"))).alias("_key")).agg(F.min_by("p", "_at").alias("p"))
     d = d.select("p", F.posexplode("p.variants").alias("vpos", "v"))
     single = (F.size("p.variants") == 1) & (F.coalesce("v.title", F.lit("Default Title")) == "Default Title")
     price, compare = F.col("v.price").try_cast("double"), F.col("v.compare_at_price").try_cast("double")
