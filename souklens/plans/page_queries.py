@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from souklens.functions import text as T
+from souklens.plans.lineage import shared_folder
 from souklens.plans.queries import query, read
 from souklens.sources import embedded as E, profiles as P
+from souklens.streaming import state as S
 
 PROFILES = (
     (1, '{"version":1,"domain":"www.Shop.example.com","card":{"container":"ul.grid > li.card","fields":{"name":{"selector":".title a","from":"text"},"url":{"selector":".title > a","from":"attribute","attribute":"href"},"image":{"selector":"li img[src]","from":"attribute","attribute":"src"},"regularPrice":{"selector":"s.was","from":"text"},"salePrice":{"selector":".price","from":"text"},"availability":{"selector":"[data-stock]","from":"attribute","attribute":"data-stock"}}}}'),
@@ -124,7 +128,53 @@ def collection_catalog(spark: SparkSession, d: str) -> DataFrame:
     return p.select("source_url", F.col("row").cast("long").alias("row"), "kind", "name", "sku", F.round("regular.amount", 2).alias("regular"), F.col("regular.currency").alias("currency"), F.size(F.coalesce(F.col("attributes")[0]["values"], F.array())).cast("long").alias("n_values"), F.col("weight.value").alias("grams"), "in_stock")
 
 
+def _in_thirds(spark: SparkSession, d: str, columns: list[Column], shape, *, mode: str) -> DataFrame:
+    """The events in three steps by their ids, each landed and streamed to its end before the next, from one checkpoint; what each run
+    emitted, with its number in batch."""
+    events = read(spark, d, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    third = F.floor((F.col("event_id") - (low or 0)) * 3 / ((high or 0) - (low or 0) + 1))
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    S.landed_in_steps([events.where(third == k).select(*columns) for k in range(3)], at, S.stream_session(spark), shape, mode=mode)
+    return spark.read.parquet(f"{at}/out")
+
+
+def _block() -> Column:
+    return F.when(F.col("event_id") % 13 == 0, "captcha").alias("block")
+
+
+@query
+def stream_latched(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each user before the first that is blocked, streamed in three runs."""
+    columns = [F.col("user_id").alias("scan_id"), F.col("event_id").alias("seq"), "event_type", _block()]
+    return _in_thirds(spark, d, columns, S.stream_block_latch, mode="append").select("scan_id", "seq", "event_type")
+
+
+@query
+def stream_scan_state(spark: SparkSession, d: str) -> DataFrame:
+    """How far each user's scan came in three runs: pages read once, repeats, products, and whether it was blocked."""
+    columns = [F.col("user_id").alias("scan_id"), F.col("event_id").alias("seq"), F.concat("event_type", (F.col("event_id") % 3).cast("string")).alias("url"), (F.col("event_id") % 4).alias("n_products"), _block()]
+    out = _in_thirds(spark, d, columns, S.stream_scans, mode="update")
+    return out.groupBy("scan_id").agg(F.max_by(F.struct("pages", "repeats", "products", "last_seq", "status"), "batch").alias("s")).select("scan_id", "s.*")
+
+
+@query
+def stream_product_state(spark: SparkSession, d: str) -> DataFrame:
+    """The surest kind of each user's events after three runs, and how often it was emitted: once for each run that changed it."""
+    columns = [F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), F.round("value", 2).alias("kind_conf")]
+    out = _in_thirds(spark, d, columns, lambda e: S.stream_products(e, ["kind"], key="key", seq="seq"), mode="update")
+    return out.groupBy("key").agg(F.max_by("kind", "batch").alias("kind"), F.min("first_seq").alias("first_seq"), F.count(F.lit(1)).alias("n_emitted"))
+
+
 ORACLES = {
+    "stream_latched": """SELECT user_id AS scan_id, event_id AS seq, event_type FROM events JOIN (SELECT user_id, min(event_id) FILTER (event_id % 13 = 0) AS b FROM events GROUP BY 1) USING (user_id) WHERE b IS NULL OR event_id < b""",
+    "stream_scan_state": """WITH e AS (SELECT user_id AS k, event_id AS s, event_type || (event_id % 3) AS url, event_id % 4 AS n, min(CASE WHEN event_id % 13 = 0 THEN event_id END) OVER (PARTITION BY user_id) AS b FROM events),
+      f AS (SELECT *, row_number() OVER (PARTITION BY k, url ORDER BY s) = 1 AS fresh FROM e WHERE b IS NULL OR s < b)
+      SELECT k AS scan_id, count(url) FILTER (fresh) AS pages, count(url) FILTER (NOT fresh) AS repeats, coalesce(sum(n) FILTER (fresh), 0)::BIGINT AS products, coalesce(any_value(x.b), max(s)) AS last_seq, CASE WHEN any_value(x.b) IS NULL THEN 'running' ELSE 'blocked' END AS status
+      FROM (SELECT DISTINCT k, b FROM e) x LEFT JOIN (SELECT k, s, url, n, fresh FROM f) USING (k) GROUP BY k""",
+    "stream_product_state": """WITH e AS (SELECT user_id AS key, event_id AS s, event_type AS kind, round(value, 2) AS c, (event_id - min(event_id) OVER ()) * 3 // (max(event_id) OVER () - min(event_id) OVER () + 1) AS step FROM events),
+      b AS (SELECT key, t, arg_max(s, {'a': c, 'b': -s}) AS best, arg_max(kind, {'a': c, 'b': -s}) AS kind, min(s) AS first_seq FROM e JOIN (SELECT unnest([0, 1, 2]) AS t) ON step <= t GROUP BY key, t)
+      SELECT key, arg_max(kind, t) AS kind, min(first_seq) AS first_seq, count(DISTINCT best) AS n_emitted FROM b GROUP BY key""",
     "embedded_products": """WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 2 THEN p_partkey - 1 WHEN p_partkey % 5 > 0 THEN p_partkey END AS page_id, 'https://s.example.com/c/' || p_partkey AS url, p_brand AS b, printf('%.2f', p_retailprice) AS t FROM part),
       c AS (SELECT page_id, url, '__NEXT_DATA__' AS label, 0 AS row, 'https://s.example.com/products/i-' || k AS source_url, 'variable' AS kind, 'Item ' || k AS name, '<p>a</p>' AS description, b AS brand, 'Goods' AS category, 'x,y' AS tags, 'https://s.example.com/i/' || k || '.jpg' AS images, 'Size=S|M' AS attributes,
           NULL AS sku, NULL AS in_stock, NULL AS regular, NULL AS sale, NULL AS currency, NULL AS grams, 1.0 AS confidence FROM p WHERE k % 4 = 0 UNION ALL
