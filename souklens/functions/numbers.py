@@ -79,12 +79,18 @@ def detect_currency(c: Column) -> Column:
     return hit.otherwise(F.lit(None).cast(kind))
 
 
-def parse_money(c: Column, default_currency: str | Column | None = None, default_unit: str | None = None, ambiguous: str = "grouping") -> Column:
-    """struct(amount, currency, unit, ambiguous, unit_stated), null where the text has no number; without a currency it is empty. The default unit is for IRR without one."""
+def parse_money(c: Column, default_currency: str | Column | None = None, default_unit: str | None = None, ambiguous: str = "grouping", once: bool = False) -> Column:
+    """struct(amount, currency, unit, ambiguous, unit_stated), null where the text has no number; without a currency it is empty. The
+    default unit is for IRR without one. once: each step is computed once, which within lambdas nothing else sees to."""
+    from .text import let
+
+    def read(n: Column, d: Column) -> Column:
+        currency = F.coalesce(d["currency"], default_currency if isinstance(default_currency, Column) else F.lit(default_currency), F.lit(""))
+        unit = F.coalesce(d["unit"], F.when(currency.isin("IRR", "IRT"), F.lit(default_unit)))
+        return F.when(n["value"].isNotNull(), F.struct(n["value"].alias("amount"), currency.alias("currency"), unit.alias("unit"), n["ambiguous"].alias("ambiguous"), d["unit"].isNotNull().alias("unit_stated")))
+
     n, d = parse_number(c, ambiguous), detect_currency(c)
-    currency = F.coalesce(d["currency"], default_currency if isinstance(default_currency, Column) else F.lit(default_currency), F.lit(""))
-    unit = F.coalesce(d["unit"], F.when(currency.isin("IRR", "IRT"), F.lit(default_unit)))
-    return F.when(n["value"].isNotNull(), F.struct(n["value"].alias("amount"), currency.alias("currency"), unit.alias("unit"), n["ambiguous"].alias("ambiguous"), d["unit"].isNotNull().alias("unit_stated")))
+    return let(F.struct(n.alias("n"), d.alias("d")), lambda s: read(s["n"], s["d"])) if once else read(n, d)
 
 
 def convert_currency_unit(amount: Column, currency: Column, unit: Column, target: str) -> Column:

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from souklens.functions import text as T
+from souklens.plans import structured_queries as Q
 from souklens.plans.lineage import shared_folder
 from souklens.plans.queries import query, read
 from souklens.sources import embedded as E, profiles as P
-from souklens.streaming import state as S
+from souklens.streaming import catalog as C, state as S
 
 PROFILES = (
     (1, '{"version":1,"domain":"www.Shop.example.com","card":{"container":"ul.grid > li.card","fields":{"name":{"selector":".title a","from":"text"},"url":{"selector":".title > a","from":"attribute","attribute":"href"},"image":{"selector":"li img[src]","from":"attribute","attribute":"src"},"regularPrice":{"selector":"s.was","from":"text"},"salePrice":{"selector":".price","from":"text"},"availability":{"selector":"[data-stock]","from":"attribute","attribute":"data-stock"}}}}'),
@@ -166,7 +167,19 @@ def stream_product_state(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("key").agg(F.max_by("kind", "batch").alias("kind"), F.min("first_seq").alias("first_seq"), F.count(F.lit(1)).alias("n_emitted"))
 
 
+@query
+def stream_extracted(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of all shapes as a stream of landed files, with null and repeated ids and malformed markup behind each page: products and variations."""
+    at, k = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", F.col("page_id")
+    pages = Q.shaped_pages(spark, d).select(F.when(k % 5 > 0, k - F.when(k % 5 == 2, 1).otherwise(0)).alias("page_id"), "url", F.concat("html", F.lit("<![foo[x]]><![ x")).alias("html"))
+    pages.write.parquet(f"{at}/in")
+    C.run_to_end(C.stream_extract(C.landed(spark, f"{at}/in")), f"{at}/out", f"{at}/state")
+    p = spark.read.parquet(f"{at}/out")
+    return p.select("page_id", F.coalesce(F.col("variant") + 1, F.lit(0)).cast("long").alias("row"), "source_url", "kind", "name", "sku", F.round("price.regular.amount", 2).alias("regular"))
+
+
 ORACLES = {
+    "stream_extracted": f"""SELECT CASE WHEN page_id % 5 = 2 THEN page_id - 1 WHEN page_id % 5 > 0 THEN page_id END AS page_id, row, source_url, kind, name, sku, regular FROM ({Q.ORACLES["extract_structured"]})""",
     "stream_latched": """SELECT user_id AS scan_id, event_id AS seq, event_type FROM events JOIN (SELECT user_id, min(event_id) FILTER (event_id % 13 = 0) AS b FROM events GROUP BY 1) USING (user_id) WHERE b IS NULL OR event_id < b""",
     "stream_scan_state": """WITH e AS (SELECT user_id AS k, event_id AS s, event_type || (event_id % 3) AS url, event_id % 4 AS n, min(CASE WHEN event_id % 13 = 0 THEN event_id END) OVER (PARTITION BY user_id) AS b FROM events),
       f AS (SELECT *, row_number() OVER (PARTITION BY k, url ORDER BY s) = 1 AS fresh FROM e WHERE b IS NULL OR s < b)

@@ -56,7 +56,7 @@ def structured_issues(spark: SparkSession, d: str) -> DataFrame:
 @query
 def offers_graph(spark: SparkSession, d: str) -> DataFrame:
     """Offers of every product node as they are, with what is to be said of their prices."""
-    offers = S.read_offers(S.product_nodes(S.scan_schema_nodes(S.read_markup(shaped_pages(spark, d)))))
+    offers = S.node_offers(S.read_markup(shaped_pages(spark, d)))
     issues = S.price_issues(offers).groupBy("page_id", "source", "pos", "variant").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
     o, i = offers.alias("o"), issues.alias("i")
     same = (F.col("o.page_id") == F.col("i.page_id")) & (F.col("o.source") == F.col("i.source")) & (F.col("o.pos") == F.col("i.pos")) & F.col("o.variant").eqNullSafe(F.col("i.variant"))

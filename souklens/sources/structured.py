@@ -118,84 +118,117 @@ def parse_blocks(read: DataFrame) -> DataFrame:
     return read.withColumn("blocks", F.transform(both, lambda b: F.struct(F.coalesce(b["first"], b["second"]).alias("doc"), status(b).alias("status"))))
 
 
-def schema_pages(read: DataFrame) -> DataFrame:
-    """(page_id, url, source, nodes, index): the schema.org nodes of each page by source, @graph opened, what pages are about
-    taken from their wrappers."""
-    d = parse_blocks(read)
-    docs = F.array(
-        F.struct(F.lit(0).alias("source"), F.transform(F.filter("blocks", lambda b: b["doc"].isNotNull()), lambda b: b["doc"]).alias("docs")),
-        F.struct(F.lit(1).alias("source"), F.array_compact(F.transform("items", lambda t: F.try_parse_json(t))).alias("docs")),
-    )
-    d = d.select("page_id", "url", F.explode(docs).alias("d")).select("page_id", "url", "d.source", "d.docs").where(F.size("docs") > 0)
-    d = d.withColumn("index", G.id_index(F.col("docs"))).withColumn("nodes", G.flatten_graph(F.col("docs"))).drop("docs")
-    about = F.flatten(F.transform(F.filter("nodes", lambda n: ~G.is_product_node(n)), lambda n: F.flatten(F.array(*[G.resolve_all(G.get(n, k), F.col("index")) for k in ("mainEntity", "mainEntityOfPage", "about")]))))
-    return d.withColumn("nodes", F.concat("nodes", F.filter(about, G.is_object)))
-
-
-def scan_schema_nodes(read: DataFrame) -> DataFrame:
-    """(page_id, url, source, index, products, discovered, breadcrumb): product nodes of each source in order, without those that
-    are another's variants; addresses of lists; the longest trail."""
-    d = schema_pages(read)
-    index, url = F.col("index"), F.col("url")
-    products = F.flatten(F.transform("nodes", lambda n: F.when(G.is_product_node(n), F.array(n)).when(G.is_type(n, "itemlist", "offercatalog"), G.list_products(n, index)).otherwise(G._nothing())))
-    lists = F.filter("nodes", lambda n: ~G.is_product_node(n) & G.is_type(n, "itemlist", "offercatalog"))
-    trails = F.transform(F.filter("nodes", lambda n: ~G.is_product_node(n) & G.is_type(n, "breadcrumblist")), lambda n: without_home(G.crumbs_of(n, index, url)))
-    longest = F.reduce(trails, F.array().cast("array<string>"), lambda best, p: F.when(F.size(p) > F.size(best), p).otherwise(best))
-    d = d.select("page_id", "url", "source", "index", products.alias("products"), F.array_distinct(F.flatten(F.transform(lists, lambda n: G.list_urls(n, index, url)))).alias("discovered"), longest.alias("breadcrumb"))
+def _docs(source: int) -> Column:
+    """The documents of a page (blocks and items of read_markup) in one source."""
+    blocks = F.transform(F.filter("blocks", lambda b: b["doc"].isNotNull()), lambda b: b["doc"])
+    return blocks if source == 0 else F.array_compact(F.transform("items", lambda t: F.try_parse_json(t)))
+
+
+def with_subjects(nodes: Column, index: Column) -> Column:
+    """Schema.org nodes, and behind them what those that are no products are about."""
+    about = F.flatten(F.transform(F.filter(nodes, lambda n: ~G.is_product_node(n)), lambda n: F.flatten(F.array(*[G.resolve_all(G.get(n, k), index) for k in ("mainEntity", "mainEntityOfPage", "about")]))))
+    return F.concat(nodes, F.filter(about, G.is_object))
+
+
+def _both(name: str, f) -> dict[str, Column]:
+    """A column for each source: name0 and name1."""
+    return {f"{name}{k}": f(k) for k in range(2)}
+
+
+def _scanned(read: DataFrame) -> DataFrame:
+    """read with, for each source k: index{k}, products{k} (product nodes in order, without those that are another's variants),
+    discovered{k} (addresses of lists), breadcrumb{k} (the longest trail). Each step is a column, computed once."""
+    url = F.col("url")
     names = lambda v: F.try_variant_get(v, "$['@id']", "string")
-    d = d.withColumn("_json", F.transform("products", lambda p: F.to_json(p)))  # a node reached twice counts once
-    d = d.withColumn("products", F.filter("products", lambda p, i: F.array_position("_json", F.col("_json")[i]) == i + 1)).drop("_json")
-    taken = F.array_compact(F.flatten(F.transform(F.filter("products", G.is_product_group), lambda p: F.transform(G.resolve_all(G.get(p, "hasVariant"), index), names))))
-    return d.withColumn("_taken", taken).withColumn("products", F.filter("products", lambda p: ~F.coalesce(F.array_contains(F.col("_taken"), names(p)), F.lit(False)))).drop("_taken")
-
-
-def product_nodes(scanned: DataFrame) -> DataFrame:
-    """One row per product node (variant null) and per node of its hasVariant (variant from 0), with the attributes that variants give."""
-    d = scanned.select("page_id", "url", "source", "index", F.posexplode("products").alias("pos", "node"))
-    index = F.col("index")
-    d = d.withColumn("variants", F.when(G.is_product_group(F.col("node")), F.filter(G.resolve_all(G.get(F.col("node"), "hasVariant"), index), G.is_object)).otherwise(G._nothing()))
-    d = d.withColumn("axes", F.when(F.size("variants") > 0, G.axis_names(F.col("node"), F.col("variants"))).otherwise(F.array().cast("array<string>")))
-    value = lambda v, a: F.struct(G.axis_label(a).alias("name"), G.axis_value(v, a, index).alias("value"))
-    stated = F.transform("variants", lambda v: F.filter(F.transform("axes", lambda a: value(v, a)), lambda p: p["value"].isNotNull()))
-    d = d.withColumn("stated", stated)
-    rows = F.concat(
-        F.array(F.struct(F.lit(None).cast("int").alias("variant"), F.col("node").alias("node"), G.axis_options(F.col("stated")).alias("axis_attributes"))),
-        F.transform("variants", lambda v, i: F.struct(i.alias("variant"), v.alias("node"), F.transform(F.col("stated")[i], lambda p: F.struct(p["name"].alias("name"), F.array(p["value"]).alias("values"), F.lit(True).alias("is_variation_axis"))).alias("axis_attributes"))),
-    )
-    return d.select("page_id", "url", "source", "index", "pos", (F.size("variants") > 0).alias("has_variants"), F.explode(rows).alias("r")).select("page_id", "url", "source", "index", "pos", "has_variants", "r.*")
-
-
-def offer_rows(nodes: DataFrame, default_currency: str | None = None, default_unit: str | None = None) -> DataFrame:
-    """nodes multiplied by their offers (one row without any): regular, sale and high price, stock, quantity, SKU of each."""
-    keep = [c for c in nodes.columns if c not in ("node", "index")]
-    d = nodes.withColumn("_offers", G.nested_offers(G.get(F.col("node"), "offers"), F.col("index")))
-    d = d.select(*keep, F.posexplode_outer("_offers").alias("opos", "_o"))
-    d = d.select(*keep, "opos", *[v.alias(k) for k, v in G.offer_texts(F.col("_o")).items()])
-    money = lambda text, currency: parse_money(F.col(text), F.coalesce(F.col(currency), F.lit(default_currency)), default_unit)
-    d = d.withColumns({"_now": money("now_text", "now_currency"), "_list": money("list_text", "list_currency"), "_high": money("high_text", "now_currency")})
-    reduced = F.col("_list.amount") > F.col("_now.amount")
-    d = d.withColumns({"regular": F.when(reduced, F.col("_list")).otherwise(F.coalesce("_now", "_list")), "sale": F.when(reduced, F.col("_now"))})
-    return d.withColumn("high", F.when(F.col("_high.amount") > F.col("regular.amount"), F.col("_high.amount"))).drop("_now", "_list", "_high", "now_text", "now_currency", "list_text", "list_currency", "high_text")
-
-
-def read_offers(nodes: DataFrame, default_currency: str | None = None, default_unit: str | None = None) -> DataFrame:
-    """One row per product node: its cheapest offer's price (the first of equals), the range, whether any offer is in stock, the
-    first stated quantity and SKU. The other columns of nodes stay."""
-    keys = ["page_id", "source", "pos", "variant"]
-    rest = [c for c in nodes.columns if c not in [*keys, "node", "index"]]
-    d = offer_rows(nodes, default_currency, default_unit)
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("opos")))
-    pair = F.struct("regular", "sale")
-    d = d.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in rest], F.min_by(pair, F.when(F.col("regular").isNotNull(), F.struct("regular.amount", "opos"))).alias("_pair"), F.max(F.coalesce("high", "regular.amount")).alias("_high"),
-        F.bool_or("offer_stock").alias("in_stock"), first("quantity").alias("stock_quantity"), first("offer_sku").alias("offer_sku"), F.count("regular").alias("n_priced"),
-    )
-    regular = F.col("_pair.regular")
-    return d.withColumns({"regular": regular, "sale": F.when(F.col("_pair.sale.amount") < regular["amount"], F.col("_pair.sale")), "high_price": F.when(F.col("_high") > regular["amount"], F.col("_high")), "is_range": F.coalesce(F.col("_high") > regular["amount"], F.lit(False))}).drop("_pair", "_high")
+    is_list = lambda n: G.is_type(n, "itemlist", "offercatalog")
+    d = parse_blocks(read).withColumns(_both("_docs", lambda k: _docs(k)))
+    d = d.withColumns(_both("index", lambda k: G.id_index(F.col(f"_docs{k}"))) | _both("_flat", lambda k: G.flatten_graph(F.col(f"_docs{k}"))))
+    d = d.withColumns(_both("_nodes", lambda k: with_subjects(F.col(f"_flat{k}"), F.col(f"index{k}"))))
+    index = lambda k: F.col(f"index{k}")
+    others = lambda k: F.filter(f"_nodes{k}", lambda n: ~G.is_product_node(n))
+    trails = lambda k: F.transform(F.filter(others(k), lambda n: G.is_type(n, "breadcrumblist")), lambda n: without_home(G.crumbs_of(n, index(k), url)))
+    new = _both("_found", lambda k: F.flatten(F.transform(f"_nodes{k}", lambda n: F.when(G.is_product_node(n), F.array(n)).when(is_list(n), G.list_products(n, index(k))).otherwise(G._nothing()))))
+    new |= _both("discovered", lambda k: F.array_distinct(F.flatten(F.transform(F.filter(others(k), is_list), lambda n: G.list_urls(n, index(k), url)))))
+    new |= _both("breadcrumb", lambda k: F.reduce(trails(k), F.array().cast("array<string>"), lambda best, p: F.when(F.size(p) > F.size(best), p).otherwise(best)))
+    d = d.withColumns(new)
+    d = d.withColumns(_both("_json", lambda k: F.transform(f"_found{k}", lambda p: F.to_json(p))))  # a node reached twice counts once
+    d = d.withColumns(_both("_once", lambda k: F.filter(f"_found{k}", lambda p, i: F.array_position(F.col(f"_json{k}"), F.col(f"_json{k}")[i]) == i + 1)))
+    taken = lambda k: F.array_compact(F.flatten(F.transform(F.filter(f"_once{k}", G.is_product_group), lambda p: F.transform(G.resolve_all(G.get(p, "hasVariant"), F.col(f"index{k}")), names))))
+    d = d.withColumns(_both("_taken", lambda k: taken(k)))
+    d = d.withColumns(_both("products", lambda k: F.filter(f"_once{k}", lambda p: ~F.coalesce(F.array_contains(F.col(f"_taken{k}"), names(p)), F.lit(False)))))
+    return d.drop(*[f"{c}{k}" for c in ("_docs", "_flat", "_nodes", "_found", "_json", "_once", "_taken") for k in (0, 1)])
+
+
+def _with_rows(d: DataFrame) -> DataFrame:
+    """_scanned with nodes: an array of (source, pos, has_variants, variant, node, axis_attributes), each product node (variant null) and
+    behind it each node of its hasVariant (variant from 0), with the attributes that variants give."""
+    c = lambda name, k: F.col(f"{name}{k}")
+    value = lambda v, a, index: F.struct(G.axis_label(a).alias("name"), G.axis_value(v, a, index).alias("value"))
+    row = lambda k, pos, has, variant, node, axes: F.struct(F.lit(k).alias("source"), pos.alias("pos"), has.alias("has_variants"), variant.alias("variant"), node.alias("node"), axes.alias("axis_attributes"))
+    axis = lambda p: F.struct(p["name"].alias("name"), F.array(p["value"]).alias("values"), F.lit(True).alias("is_variation_axis"))
+    d = d.withColumns(_both("_variants", lambda k: F.transform(f"products{k}", lambda p: F.when(G.is_product_group(p), F.filter(G.resolve_all(G.get(p, "hasVariant"), c("index", k)), G.is_object)).otherwise(G._nothing()))))
+    d = d.withColumns(_both("_axes", lambda k: F.transform(f"products{k}", lambda p, i: F.when(F.size(c("_variants", k)[i]) > 0, G.axis_names(p, c("_variants", k)[i])).otherwise(F.array().cast("array<string>")))))
+    stated = lambda v, axes, index: F.filter(F.transform(axes, lambda a: value(v, a, index)), lambda p: p["value"].isNotNull())
+    d = d.withColumns(_both("_stated", lambda k: F.transform(f"_variants{k}", lambda vs, i: F.transform(vs, lambda v: stated(v, c("_axes", k)[i], c("index", k))))))
+    d = d.withColumns(_both("_options", lambda k: F.transform(f"_stated{k}", lambda st: G.axis_options(st))))
+
+    def rows(p: Column, i: Column, k: int) -> Column:
+        vs = c("_variants", k)[i]
+        return F.concat(F.array(row(k, i, F.size(vs) > 0, F.lit(None).cast("int"), p, c("_options", k)[i])), F.transform(vs, lambda v, j: row(k, i, F.size(vs) > 0, j, v, F.transform(c("_stated", k)[i][j], axis))))
+
+    of = lambda k: F.flatten(F.transform(f"products{k}", lambda p, i: rows(p, i, k)))
+    d = d.withColumn("nodes", F.concat(of(0), of(1)))
+    return d.drop(*[f"{x}{k}" for x in ("_variants", "_axes", "_stated", "_options") for k in (0, 1)])
+
+
+def _index(r: Column) -> Column:
+    """The index of a row's source."""
+    return F.when(r["source"] == 0, F.col("index0")).otherwise(F.col("index1"))
+
+
+def _with_offers(d: DataFrame, default_currency: str | None = None, default_unit: str | None = None) -> DataFrame:
+    """_with_rows with offers: what the offers of each node come to: the cheapest one's regular and sale price (the first of equals), the
+    range, whether any is in stock, the first stated quantity and SKU, and how many have a price."""
+    money = lambda text, currency: parse_money(text, F.coalesce(currency, F.lit(default_currency)), default_unit, once=True)
+    texts = lambda o: F.struct(*[v.alias(x) for x, v in G.offer_texts(o).items()])
+    moneys = lambda t: F.struct(t.alias("t"), money(t["now_text"], t["now_currency"]).alias("now"), money(t["list_text"], t["list_currency"]).alias("list"), money(t["high_text"], t["now_currency"]).alias("high"))
+
+    def priced(m: Column, i: Column) -> Column:
+        t, reduced = m["t"], m["list"]["amount"] > m["now"]["amount"]
+        regular, sale = F.when(reduced, m["list"]).otherwise(F.coalesce(m["now"], m["list"])), F.when(reduced, m["now"])
+        return F.struct(regular["amount"].alias("amount"), i.alias("i"), regular.alias("regular"), sale.alias("sale"), F.when(m["high"]["amount"] > regular["amount"], m["high"]["amount"]).alias("high"), t["offer_stock"].alias("stock"), t["quantity"].alias("quantity"), t["offer_sku"].alias("sku"))
+
+    def best(offers: Column) -> Column:
+        stated = F.filter(offers, lambda o: o["regular"].isNotNull())
+        first = lambda name: F.try_element_at(F.filter(F.transform(offers, lambda o: o[name]), lambda x: x.isNotNull()), F.lit(1))
+        stock = F.when(F.exists(offers, lambda o: F.coalesce(o["stock"], F.lit(False))), True).when(F.exists(offers, lambda o: o["stock"].isNotNull()), False)
+        return F.struct(F.array_min(stated).alias("b"), F.array_max(F.transform(offers, lambda o: F.coalesce(o["high"], o["amount"]))).alias("high"), stock.alias("stock"), first("quantity").alias("quantity"), first("sku").alias("sku"), F.size(stated).cast("long").alias("n"))
+
+    def whole(x: Column) -> Column:
+        b, above = x["b"], x["high"] > x["b"]["amount"]
+        return F.struct(
+            b["regular"].alias("regular"), F.when(b["sale"]["amount"] < b["amount"], b["sale"]).alias("sale"), F.when(above, x["high"]).alias("high_price"), F.coalesce(above, F.lit(False)).alias("is_range"),
+            x["stock"].alias("in_stock"), x["quantity"].alias("stock_quantity"), x["sku"].alias("offer_sku"), x["n"].alias("n_priced"),
+        )
+
+    d = d.withColumn("_list", F.transform("nodes", lambda r: G.nested_offers(G.get(r["node"], "offers"), _index(r))))
+    d = d.withColumn("_texts", F.transform("_list", lambda os: F.transform(os, texts)))
+    d = d.withColumn("_moneys", F.transform("_texts", lambda ts: F.transform(ts, moneys)))
+    d = d.withColumn("_priced", F.transform("_moneys", lambda ms: F.transform(ms, priced)))
+    d = d.withColumn("_best", F.transform("_priced", best))
+    return d.withColumn("offers", F.transform("_best", whole)).drop("_list", "_texts", "_moneys", "_priced", "_best")
+
+
+def node_offers(read: DataFrame, default_currency: str | None = None, default_unit: str | None = None) -> DataFrame:
+    """One row per product node and variant of the pages of read_markup: (page_id, url, source, pos, has_variants, variant) and what
+    its offers come to."""
+    d = _with_offers(_with_rows(_scanned(read)), default_currency, default_unit)
+    pairs = F.zip_with("nodes", "offers", lambda r, o: F.struct(r["source"].alias("source"), r["pos"].alias("pos"), r["has_variants"].alias("has_variants"), r["variant"].alias("variant"), o.alias("o")))
+    return d.select("page_id", "url", F.explode(pairs).alias("x")).select("page_id", "url", "x.source", "x.pos", "x.has_variants", "x.variant", "x.o.*")
 
 
 def price_issues(read: DataFrame) -> DataFrame:
-    """(page_id, source, pos, variant, severity, code) of prices as read_offers gives them."""
+    """(page_id, source, pos, variant, severity, code) of prices as node_offers gives them."""
     currency, unit = F.col("regular.currency"), F.col("regular.unit")
     issue = lambda ok, severity, code: F.when(ok, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code")))
     found = F.array_compact(F.array(issue(F.col("is_range"), "info", "price-range-only"), issue(F.col("regular.ambiguous"), "warning", "price-separator-ambiguous"), issue(currency == "", "warning", "price-currency-missing"), issue((F.upper(currency) == "IRR") & unit.isNull(), "warning", "price-unit-unknown")))
@@ -211,36 +244,49 @@ def _stated(value: Column, confidence: Column | float, blank: Column | None = No
     return F.when(value.isNotNull() & (F.lit(True) if blank is None else ~blank), F.struct(value.alias("value"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).alias("confidence")))
 
 
-def map_product_nodes(nodes: DataFrame, default_currency: str | None = None, default_unit: str | None = None) -> DataFrame:
-    """Product nodes as rows of fields, each struct(value, confidence): (page_id, source, pos, variant, has_variants, product_url, field...)."""
-    node, index, url = F.col("node"), F.col("index"), F.col("url")
+#: A product or variant as one source of a page has it: each field with its confidence, null where it says nothing.
+_SIZE = "struct<value:double,unit:string>"
+_KINDS = {
+    "images": "array<string>", "category_path": "array<string>", "tags": "array<string>", "weight": _SIZE, "dimensions": f"struct<length:{_SIZE},width:{_SIZE},height:{_SIZE}>", "attributes": ATTRIBUTES,
+    "price": f"struct<regular:{MONEY},sale:{MONEY}>", "in_stock": "boolean", "stock_quantity": "bigint",
+}
+ROW = "struct<source:int,pos:int,variant:int,has_variants:boolean,product_url:string," + ",".join(f"{f}:struct<value:{_KINDS.get(f, 'string')},confidence:double>" for f in FIELDS) + ">"
+
+
+def _row(source: Column, pos: Column, variant: Column, has_variants: Column, product_url: Column, values: dict[str, Column]) -> Column:
+    heads = {"source": source, "pos": pos, "variant": variant, "has_variants": has_variants, "product_url": product_url}
+    return F.struct(*[v.alias(k) for k, v in heads.items()], *[values[f].alias(f) for f in FIELDS]).cast(ROW)
+
+
+def map_node(r: Column, o: Column, index: Column, url: Column) -> Column:
+    """A node of _with_rows, and what its offers come to, as a ROW."""
+    node = r["node"]
     text = lambda k: G.as_text(G.get(node, k))
     length, width, height = (G.read_quantity(v, MILLIMETRES) for v in (F.coalesce(G.get(node, "depth"), G.get(node, "length")), G.get(node, "width"), G.get(node, "height")))
     maker = lambda k: G.read_name(G.resolve(G.get(node, k), index))
-    d = nodes.withColumns({
-        "product_url": canonical_url(F.coalesce(G.node_url(node, url), url)), "name": text("name"), "own_sku": text("sku"), "description": text("description"),
-        "short_description": F.coalesce(text("disambiguatingDescription"), text("abstract")), "gtin": G.read_gtin(node), "brand": F.coalesce(maker("brand"), maker("manufacturer")),
-        "images": G.read_images(G.get(node, "image"), url), "category_path": G.read_category_path(G.get(node, "category")), "tags": G.read_keywords(G.get(node, "keywords")),
-        "weight": G.read_quantity(G.get(node, "weight"), GRAMS), "dimensions": F.struct(length.alias("length"), width.alias("width"), height.alias("height")), "spec": G.read_properties(G.get(node, "additionalProperty")),
-    })
-    d = read_offers(d, default_currency, default_unit)
-    sure = F.when(F.col("source") == 0, CONFIDENCE["json-ld"]).otherwise(CONFIDENCE["microdata"])
-    folded = F.transform("axis_attributes", lambda a: fold_for_compare(a["name"]))
-    spec = F.filter("spec", lambda a: ~F.array_contains(folded, fold_for_compare(a["name"])))
-    attributes = F.when(F.col("variant").isNotNull(), F.when(F.size("axis_attributes") > 0, F.col("axis_attributes")).otherwise(F.col("spec"))).otherwise(F.concat("axis_attributes", spec))
-    kind = F.when(F.col("variant").isNotNull(), "variation").when(F.size("axis_attributes") > 0, "variable")
-    price = F.struct(_money(F.col("regular")).alias("regular"), _money(F.col("sale")).alias("sale"))
-    empty = lambda c: F.size(c) == 0
-    values = {c: _stated(F.col(c), sure) for c in ("name", "description", "short_description", "gtin", "brand", "weight", "in_stock", "stock_quantity")}
-    values |= {c: _stated(F.col(c), sure, empty(F.col(c))) for c in ("images", "category_path", "tags")}
-    values |= {"sku": _stated(F.coalesce("own_sku", "offer_sku"), sure), "attributes": _stated(attributes, sure, empty(attributes)), "kind": _stated(kind, sure)}
-    values |= {"dimensions": _stated(F.col("dimensions"), sure, F.coalesce("dimensions.length", "dimensions.width", "dimensions.height").isNull())}
-    values |= {"price": _stated(price, F.when(F.col("is_range"), CONFIDENCE["weak"]).otherwise(sure), F.col("regular").isNull())}
-    return d.select("page_id", "source", "pos", "variant", "has_variants", "product_url", *[values[f].alias(f) for f in FIELDS])
-
-
-def opengraph_rows(read: DataFrame, default_currency: str | None = None, default_unit: str | None = None) -> DataFrame:
-    """The product that a page's meta tags describe, in the form of map_product_nodes; only where they say it is one, or state a price."""
+    sure = F.when(r["source"] == 0, CONFIDENCE["json-ld"]).otherwise(CONFIDENCE["microdata"])
+    some = lambda c: let(c, lambda x: _stated(x, sure))
+    listed = lambda c: let(c, lambda x: _stated(x, sure, F.size(x) == 0))
+    url_of = canonical_url(F.coalesce(G.node_url(node, url), url))
+
+    def attributes(spec: Column) -> Column:
+        axes = r["axis_attributes"]
+        own = let(F.transform(axes, lambda a: fold_for_compare(a["name"])), lambda folded: F.filter(spec, lambda a: ~F.array_contains(folded, fold_for_compare(a["name"]))))
+        return F.when(r["variant"].isNotNull(), F.when(F.size(axes) > 0, axes).otherwise(spec)).otherwise(F.concat(axes, own))
+
+    price = F.struct(_money(o["regular"]).alias("regular"), _money(o["sale"]).alias("sale"))
+    values = {
+        "name": some(text("name")), "sku": some(F.coalesce(text("sku"), o["offer_sku"])), "description": some(text("description")), "short_description": some(F.coalesce(text("disambiguatingDescription"), text("abstract"))), "gtin": some(G.read_gtin(node)),
+        "brand": some(F.coalesce(maker("brand"), maker("manufacturer"))), "images": listed(G.read_images(G.get(node, "image"), url)), "category_path": listed(G.read_category_path(G.get(node, "category"))), "tags": listed(G.read_keywords(G.get(node, "keywords"))),
+        "weight": some(G.read_quantity(G.get(node, "weight"), GRAMS)), "dimensions": let(F.struct(length.alias("length"), width.alias("width"), height.alias("height")), lambda x: _stated(x, sure, F.coalesce(x["length"], x["width"], x["height"]).isNull())),
+        "attributes": listed(let(G.read_properties(G.get(node, "additionalProperty")), attributes)), "price": _stated(price, F.when(o["is_range"], CONFIDENCE["weak"]).otherwise(sure), o["regular"].isNull()), "in_stock": _stated(o["in_stock"], sure), "stock_quantity": _stated(o["stock_quantity"], sure),
+        "kind": _stated(F.when(r["variant"].isNotNull(), "variation").when(F.size(r["axis_attributes"]) > 0, "variable"), sure),
+    }
+    return _row(r["source"], r["pos"], r["variant"], r["has_variants"], url_of, values)
+
+
+def with_opengraph(read: DataFrame, default_currency: str | None = None, default_unit: str | None = None) -> DataFrame:
+    """read with opengraph: an array of the one ROW that a page's meta tags describe, empty unless they say that it is a product, or state a price."""
     every = lambda k: F.transform(F.filter("meta", lambda m: m["key"] == k), lambda m: m["value"])
     first = lambda *keys: F.coalesce(*[F.try_element_at(every(k), F.lit(1)) for k in keys])
     listed = lambda *keys: F.array_distinct(F.concat(*[every(k) for k in keys]))
@@ -249,7 +295,8 @@ def opengraph_rows(read: DataFrame, default_currency: str | None = None, default
         "_sale_currency": first("product:sale_price:currency"), "_was_currency": first("product:original_price:currency"), "_gtin": first("product:ean", "product:gtin13", "product:upc", "product:isbn"),
         "_category": first("product:category", "article:section"), "_weight": first("product:weight:value"), "_units": first("product:weight:units"), "_stock": first("product:availability", "og:availability"), "_url": first("og:url"),
     }
-    d = read.withColumns(tags).where(F.coalesce(F.col("_type").isin("product", "og:product", "product.item", "product.group"), F.lit(False)) | F.col("_price").isNotNull() | F.col("_sale").isNotNull())
+    d = read.withColumns(tags)
+    told = F.coalesce(F.col("_type").isin("product", "og:product", "product.item", "product.group"), F.lit(False)) | F.col("_price").isNotNull() | F.col("_sale").isNotNull()
     money = lambda c, currency: let(parse_money(c, F.coalesce(currency, F.lit(default_currency)), default_unit), _money)
     d = d.withColumns({"price_": money(F.coalesce("_price", "_og_price"), F.col("_currency")), "sale_": money(F.col("_sale"), F.coalesce("_sale_currency", "_currency")), "was_": money(F.col("_was"), F.coalesce("_was_currency", "_currency"))})
     pair = lambda r, s: F.struct(r.alias("regular"), s.cast(MONEY).alias("sale"))
@@ -266,78 +313,113 @@ def opengraph_rows(read: DataFrame, default_currency: str | None = None, default
         "price": _stated(price, sure, price["regular"].isNull()), "weight": _stated(F.when(weight["unit"].isin(*GRAMS), weight), sure), "category_path": _stated(F.array("_category"), sure, F.col("_category").isNull() | F.col("_category").rlike(r"^\d+$")),
         "description": none("string"), "tags": none("array<string>"), "dimensions": none(f"struct<length:{size},width:{size},height:{size}>"), "attributes": none(ATTRIBUTES), "stock_quantity": none("bigint"), "kind": none("string"),
     }
-    return d.select("page_id", F.lit(2).alias("source"), F.lit(0).alias("pos"), F.lit(None).cast("int").alias("variant"), F.lit(False).alias("has_variants"), canonical_url(F.coalesce(resolve_url(F.col("_url"), url, only_http=True), url)).alias("product_url"), *[values[f].alias(f) for f in FIELDS])
+    url_of = canonical_url(F.coalesce(resolve_url(F.col("_url"), url, only_http=True), url))
+    row = _row(F.lit(2), F.lit(0), F.lit(None), F.lit(False), url_of, values)
+    return d.select(*read.columns, F.when(told, F.array(row)).otherwise(F.array().cast(f"array<{ROW}>")).alias("opengraph"))
 
 
-def merge_readings(rows: DataFrame) -> DataFrame:
-    """Parents of all sources, one row per page and product: each field from its surest source, of equals the first; a page with one
-    product in each source has one product, whatever their addresses; owner: the node whose variants count."""
-    parents = rows.where("variant is null")
-    per = parents.groupBy("page_id", "source").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "product_url"))), lambda s: s["product_url"])).alias("u"))
-    of = lambda s: F.coalesce(F.max(F.when(F.col("source") == s, F.col("u"))), F.array().cast("array<string>"))
-    per = per.groupBy("page_id").agg(of(0).alias("u0"), of(1).alias("u1"), of(2).alias("u2"))
+def _merged(d: DataFrame) -> DataFrame:
+    """d (rows: ROWs of all sources, by source and pos) with merged: parents, one struct per product, in order: each field from its
+    surest source, of equals the first; a page with one product in each source has one product, whatever their addresses; owner:
+    the node whose variants count."""
+    addresses = lambda k: F.array_distinct(F.transform(F.filter("_parents", lambda r: r["source"] == k), lambda r: r["product_url"]))
     one = lambda a, b: (F.size(a) == 1) & (F.size(b) == 1)
-    per = per.withColumn("m1", F.when(one("u0", "u1"), F.col("u0")).otherwise(F.array_union("u0", "u1")))
-    d = parents.join(per, "page_id")
-    own = F.col("product_url")
-    key = F.when((F.col("source") == 1) & one("u0", "u1"), F.col("u0")[0]).when((F.col("source") == 2) & one("m1", "u2"), F.col("m1")[0]).otherwise(own)
-    place = F.struct("source", "pos")
-    best = [F.max_by(f, F.when(F.col(f).isNotNull(), F.struct(F.col(f)["confidence"].alias("c"), (-F.col("source")).alias("s"), (-F.col("pos")).alias("p")))).alias(f) for f in FIELDS]
-    return d.groupBy("page_id", key.alias("source_url")).agg(*best, F.min(place).alias("place"), F.min(F.when(F.col("has_variants"), place)).alias("owner"))
+    u0, u1, u2, first = (F.col(c) for c in ("_u0", "_u1", "_u2", "_u01"))
+    key = lambda r: F.when((r["source"] == 1) & one(u0, u1), u0[0]).when((r["source"] == 2) & one(first, u2), first[0]).otherwise(r["product_url"])
+
+    def best(xs: Column, f: str) -> Column:
+        stated = F.filter(F.transform(xs, lambda x, i: F.struct(x[f]["confidence"].alias("c"), (-i).alias("i"), x[f].alias("v"))), lambda s: s["v"].isNotNull())
+        return F.array_max(stated)["v"].alias(f)
+
+    def product(g: Column) -> Column:
+        owner = F.try_element_at(F.filter(g["rows"], lambda x: x["has_variants"]), F.lit(1))
+        return F.struct(g["k"].alias("source_url"), F.when(owner.isNotNull(), F.struct(owner["source"].alias("source"), owner["pos"].alias("pos"))).alias("owner"), *[best(g["rows"], f) for f in FIELDS])
+
+    d = d.withColumn("_parents", F.filter("rows", lambda r: r["variant"].isNull()))
+    d = d.withColumns({f"_u{k}": addresses(k) for k in (0, 1, 2)})
+    d = d.withColumn("_u01", F.when(one(u0, u1), u0).otherwise(F.array_union("_u0", "_u1")))
+    d = d.withColumn("_keys", F.transform("_parents", key))
+    groups = F.transform(F.array_distinct("_keys"), lambda k: F.struct(k.alias("k"), F.filter("_parents", lambda r, i: F.col("_keys")[i].eqNullSafe(k)).alias("rows")))
+    d = d.withColumn("_groups", groups)
+    return d.withColumn("merged", F.transform("_groups", product)).drop("_parents", "_u0", "_u1", "_u2", "_u01", "_keys", "_groups")
 
 
 def trim_self_crumb(path: Column, name: Column) -> Column:
     return F.when(fold_for_compare(F.try_element_at(path, F.lit(-1))) == fold_for_compare(name), F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0)))).otherwise(path)
 
 
-def apply_breadcrumb(products: DataFrame, scanned: DataFrame) -> DataFrame:
-    """products with the page's trail as their category where nothing surer states one; the product's own crumb is left off."""
-    trail = scanned.where(F.size("breadcrumb") > 0).groupBy("page_id").agg(F.min_by(F.struct("breadcrumb", "source"), "source").alias("_t"))
-    d = products.join(trail, "page_id", "left")
-    sure = F.when(F.col("_t.source") == 0, CONFIDENCE["json-ld-derived"]).otherwise(CONFIDENCE["microdata-derived"])
-    path = F.when(F.col("name").isNotNull(), trim_self_crumb(F.col("_t.breadcrumb"), F.col("name.value"))).otherwise(F.col("_t.breadcrumb"))
-    better = (F.size(path) > 0) & (sure > F.coalesce("category_path.confidence", F.lit(-1.0)))
-    return d.withColumn("category_path", F.when(better, F.struct(path.alias("value"), sure.alias("confidence"))).otherwise(F.col("category_path"))).drop("_t")
+def with_breadcrumb(p: Column, trail: Column) -> Column:
+    """The category of a merged product: the page's trail (breadcrumb, source) where nothing surer states one, without the product's own crumb."""
+    sure = F.when(trail["source"] == 0, CONFIDENCE["json-ld-derived"]).otherwise(CONFIDENCE["microdata-derived"])
+    path = F.when(p["name"].isNotNull(), trim_self_crumb(trail["breadcrumb"], p["name"]["value"])).otherwise(trail["breadcrumb"])
+    better = (F.size(path) > 0) & (sure > F.coalesce(p["category_path"]["confidence"], F.lit(-1.0)))
+    return F.when(better, F.struct(path.alias("value"), sure.alias("confidence"))).otherwise(p["category_path"])
 
 
-def finalize_products(parents: DataFrame, rows: DataFrame) -> DataFrame:
+def finish_products(merged: Column, rows: Column, trail: Column) -> Column:
     """Products and, behind each, its variations: a parent without a name goes with its variants; a variation has its parent's address
     and, without one of its own, its name."""
-    flat = lambda d: [F.col(f)["value"].alias(f) for f in FIELDS if f not in ("kind", "name")]
-    sure = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(f).alias("k"), F.col(f)["confidence"].alias("v")) for f in FIELDS]), lambda e: e["v"].isNotNull()))
-    named = parents.where("name is not null")
-    own = named.select("page_id", "source_url", F.lit(None).cast("int").alias("variant"), F.when(F.col("owner").isNotNull(), "variable").otherwise(F.coalesce("kind.value", F.lit("simple"))).alias("kind"), F.lit(None).cast("string").alias("parent_sku"), F.col("name.value").alias("name"), *flat(named), sure.alias("field_confidence"))
-    heads = named.where("owner is not null").select("page_id", F.col("owner.source").alias("source"), F.col("owner.pos").alias("pos"), "source_url", F.col("name").alias("_name"), F.col("sku.value").alias("_sku"))
-    kids = rows.where("variant is not null").join(heads, ["page_id", "source", "pos"]).withColumn("name", F.coalesce("name", "_name"))
-    kids = kids.select("page_id", "source_url", "variant", F.lit("variation").alias("kind"), F.col("_sku").alias("parent_sku"), F.col("name.value").alias("name"), *flat(kids), sure.alias("field_confidence"))
-    return own.unionByName(kids)
+    rest = [f for f in FIELDS if f not in ("kind", "name")]
+
+    def sure(confidences: dict[str, Column]) -> Column:
+        return F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(f).alias("k"), c.alias("v")) for f, c in confidences.items()]), lambda e: e["v"].isNotNull()))
+
+    def row(url: Column, variant: Column, kind: Column, parent_sku: Column, name: Column, fields: dict[str, Column]) -> Column:
+        stated = {f: (name if f == "name" else fields[f])["confidence"] for f in FIELDS}
+        heads = {"source_url": url, "variant": variant, "kind": kind, "parent_sku": parent_sku, "name": name["value"]}
+        return F.struct(*[v.alias(k) for k, v in heads.items()], *[fields[f]["value"].alias(f) for f in rest], sure(stated).alias("field_confidence"))
+
+    def family(p: Column) -> Column:
+        kind = F.when(p["owner"].isNotNull(), "variable").otherwise(F.coalesce(p["kind"]["value"], F.lit("simple")))
+        fields = {f: p[f] for f in FIELDS} | {"category_path": with_breadcrumb(p, trail)}
+        head = row(p["source_url"], F.lit(None).cast("int"), kind, F.lit(None).cast("string"), p["name"], fields)
+        kids = F.filter(rows, lambda r: r["variant"].isNotNull() & (r["source"] == p["owner"]["source"]) & (r["pos"] == p["owner"]["pos"]))
+        child = lambda r: row(p["source_url"], r["variant"], F.lit("variation"), p["sku"]["value"], F.coalesce(r["name"], p["name"]), {f: r[f] for f in FIELDS})
+        return F.concat(F.array(head), F.transform(kids, child))
+
+    return F.flatten(F.transform(F.filter(merged, lambda p: p["name"].isNotNull()), family))
+
+
+def extract_pages(pages: DataFrame, *, default_currency: str | None = None, default_unit: str | None = None) -> DataFrame:
+    """pages (page_id, url, html) as (page_id, url, products, discovered, issues), a row for each: everything above, within the row.
+
+    No page is joined, grouped or moved, so ids may be null or repeated, and the same code reads a stream of pages. products:
+    parents and behind each its variations (variant from 0); discovered: addresses of lists that no product of the page has;
+    issues: (severity, code). A null page has no products and the issue that it holds no structured data."""
+    url = F.col("url")
+    d = _with_offers(_with_rows(_scanned(read_markup(pages))), default_currency, default_unit)
+    d = with_opengraph(d, default_currency, default_unit)
+    d = d.withColumn("_mapped", F.transform("nodes", lambda r, i: map_node(r, F.col("offers")[i], _index(r), url)))
+    trail = lambda k: F.when(F.size(f"breadcrumb{k}") > 0, F.struct(F.col(f"breadcrumb{k}").alias("breadcrumb"), F.lit(k).alias("source")))
+    links = F.array_distinct(F.transform(F.concat("discovered0", "discovered1"), lambda x: canonical_url(x)))
+    d = d.select("page_id", "url", "blocks", F.concat("_mapped", "opengraph").alias("rows"), F.coalesce(trail(0), trail(1)).alias("trail"), links.alias("links"))
+    d = _merged(d)
+    d = d.withColumn("products", finish_products(F.col("merged"), F.col("rows"), F.col("trail")))
+    d = d.withColumn("discovered", F.filter("links", lambda u: u.isNotNull() & ~F.exists("products", lambda p: p["source_url"].eqNullSafe(u))))
+    issue = lambda severity, code: F.struct(severity.alias("severity"), code.alias("code"))
+    bad = F.transform(F.filter("blocks", lambda b: b["status"] != "ok"), lambda b: issue(F.when(b["status"] == "repaired", "info").otherwise("warning"), F.concat(F.lit("json-ld-"), b["status"])))
+    nameless = F.transform(F.filter("merged", lambda p: p["name"].isNull()), lambda p: issue(F.lit("warning"), F.lit("product-name-missing")))
+    nothing = F.filter(F.array(issue(F.lit("info"), F.lit("no-structured-data"))), lambda _: (F.size("products") == 0) & (F.size("discovered") == 0))
+    return d.select("page_id", "url", "products", "discovered", F.concat(bad, nameless, nothing).alias("issues"))
+
+
+def page_products(extracted: DataFrame) -> DataFrame:
+    """One row for each product and variation of extract_pages."""
+    return extracted.select("page_id", F.explode("products").alias("p")).select("page_id", "p.*")
 
 
 def extract_structured(pages: DataFrame, *, default_currency: str | None = None, default_unit: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(products, discovered, issues) of pages (page_id, url, html): everything above, composed. What the one parse of a page found,
-    its nodes, its rows and its products are each written once, since several tables are made of them."""
-    read = settled(read_markup(pages))
-    scanned = settled(scan_schema_nodes(read))
-    mapped = map_product_nodes(settled(product_nodes(scanned)), default_currency, default_unit)
-    rows = settled(mapped.unionByName(opengraph_rows(read, default_currency, default_unit)))
-    merged = settled(merge_readings(rows))
-    products = finalize_products(apply_breadcrumb(merged, scanned), rows)
-    discovered = discovered_minus_produced(scanned.select("page_id", F.explode("discovered").alias("link")).select("page_id", canonical_url(F.col("link")).alias("link")).distinct(), products)
-    bad = parse_blocks(read).select("page_id", F.explode("blocks.status").alias("s")).where("s <> 'ok'").select("page_id", F.when(F.col("s") == "repaired", "info").otherwise("warning").alias("severity"), F.concat(F.lit("json-ld-"), "s").alias("code"))
-    nameless = merged.where("name is null").select("page_id", F.lit("warning").alias("severity"), F.lit("product-name-missing").alias("code"))
-    found = products.select("page_id").unionByName(discovered.select("page_id")).distinct()
-    nothing = read.select("page_id").join(found, "page_id", "left_anti").select("page_id", F.lit("info").alias("severity"), F.lit("no-structured-data").alias("code"))
-    return products, discovered, bad.unionByName(nameless).unionByName(nothing)
-
-
-def discovered_minus_produced(links: DataFrame, products: DataFrame) -> DataFrame:
-    """Links of a page (page_id, link) that none of its products has."""
-    return links.join(products.select("page_id", F.col("source_url").alias("link")).distinct(), ["page_id", "link"], "left_anti")
+    """(products, discovered, issues) of pages (page_id, url, html); what extract_pages found is written once, since three tables
+    are made of it."""
+    d = settled(extract_pages(pages, default_currency=default_currency, default_unit=default_unit))
+    issues = d.select("page_id", F.explode("issues").alias("i")).select("page_id", "i.*")
+    return page_products(d), d.select("page_id", F.explode("discovered").alias("link")), issues
 
 
 def declared_count_issues(read: DataFrame, fetched: DataFrame) -> DataFrame:
     """(page_id, declared, fetched, code) where the first positive numberOfItems of a page's markup isn't the number of rows fetched for it."""
-    d = schema_pages(read).where("source = 0").select("page_id", G.first_of(F.transform("nodes", lambda n: F.when(G.as_number(G.get(n, "numberOfItems")) > 0, G.as_number(G.get(n, "numberOfItems"))))).alias("declared"))
+    d = parse_blocks(read).withColumn("_docs", _docs(0)).withColumns({"_index": G.id_index(F.col("_docs")), "_flat": G.flatten_graph(F.col("_docs"))})
+    d = d.select("page_id", G.first_of(F.transform(with_subjects(F.col("_flat"), F.col("_index")), lambda n: F.when(G.as_number(G.get(n, "numberOfItems")) > 0, G.as_number(G.get(n, "numberOfItems"))))).alias("declared"))
     n = fetched.groupBy("page_id").agg(F.count(F.lit(1)).alias("fetched"))
     d = d.where("declared is not null").join(n, "page_id", "left").withColumns({"declared": F.col("declared").cast("long"), "fetched": F.coalesce("fetched", F.lit(0).cast("long"))})
     return d.where("declared <> fetched").withColumn("code", F.lit("shopify-count-mismatch"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from souklens.sources.structured import extract_pages, page_products
+
 
 def landed(spark: SparkSession, path: str, glob: str = "*.parquet", files: int = 100) -> DataFrame:
     """A stream of the Parquet files of a folder, with the schema they have now."""
@@ -23,6 +25,12 @@ def stream_dedupe(sightings: DataFrame, fields: list[str], *, key: str, seq: str
     return sightings.groupBy(key).agg(*best, F.min(seq).alias("first_seq"), F.count(F.lit(1)).alias("n"))
 
 
+def stream_extract(pages: DataFrame, **options) -> DataFrame:
+    """Products and variations of a stream of pages (page_id, url, html), each page read within its row as in a batch: append mode,
+    no state, nothing moved between tasks."""
+    return page_products(extract_pages(pages, **options))
+
+
 def run_to_end(stream: DataFrame, out: str, checkpoint: str, *, mode: str = "append") -> None:
     """Reads what has landed and stops; a rerun goes on from the checkpoint."""
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
