@@ -1,7 +1,6 @@
-"""Whole pages: ids say nothing, markup may be anything, and a stream reads what a batch reads."""
+"""Whole pages: ids say nothing, and markup may be anything."""
 
 from souklens.sources import structured as S
-from souklens.streaming import catalog as C
 
 PRODUCT = '<script type="application/ld+json">{"@type":"Product","name":"N%d","url":"/p/%d","offers":{"price":"%d","priceCurrency":"EUR"}}</script>'
 PAGES = [
@@ -10,13 +9,9 @@ PAGES = [
 ]
 
 
-def test_pages_of_any_id_in_batch_and_stream(spark, tmp_path):
+def test_pages_of_any_id(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     read = S.extract_pages(pages)
     assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.page_id or 0, r.url or "", [p.name for p in r.products], [i.code for i in r.issues]) for r in read.collect())
     assert got == [(0, "", ["N5"], []), (0, "https://s.example/c", ["N4"], []), (1, "https://s.example/a", ["N1"], []), (1, "https://s.example/b", ["N2", "N3"], []), (7, "https://s.example/d", [], ["no-structured-data"]), (8, "https://s.example/e", ["M"], [])]
-    pages.write.parquet(f"{tmp_path}/in")
-    C.run_to_end(C.stream_extract(C.landed(spark, f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/state")
-    got = sorted((r.page_id or 0, r.source_url or "", r.name, r.price.regular.amount if r.price else None) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-    assert [(i, n, p) for i, _, n, p in got] == [(0, "N5", 9.0), (0, "N4", 8.0), (1, "N1", 5.0), (1, "N3", 7.0), (1, "N2", 6.0), (8, "M", None)]
