@@ -27,7 +27,7 @@ def stream_dedupe(sightings: DataFrame, fields: list[str], *, key: str, seq: str
 
 def stream_extract(pages: DataFrame, **options) -> DataFrame:
     """Products and variations of a stream of pages (page_id, url, html), each page read within its row as in a batch: append mode,
-    no state, nothing moved between tasks."""
+    no state, nothing moved between tasks. Not verified: no run of it has been seen to its end (README)."""
     return page_products(extract_pages(pages, **options))
 
 
