@@ -36,10 +36,12 @@ def project_target_fields(products: DataFrame, wanted: list[str], every: list[st
 
 
 def field_coverage(products: DataFrame, fields: list[str], *, scope: list[str] | None = None, wanted: list[str] | None = None) -> DataFrame:
-    """(scope, field, filled, total, reason): one pass, whatever the number of fields."""
-    counts = [F.struct(F.lit(f).alias("field"), F.count(F.when(F.trim(F.col(f).cast("string")) != "", True)).alias("filled"), F.count(F.lit(1)).alias("total"), F.lit(wanted is None or f in wanted).alias("on")) for f in fields]
+    """(scope, field, filled, total, reason): one pass, whatever the number of fields. Blanks and empty lists aren't filled; nor is
+    any field of an empty table."""
+    kinds = dict(products.dtypes)
+    counts = [F.struct(F.lit(f).alias("field"), F.count(F.when(has_value(f, kinds[f]), True)).alias("filled"), F.count(F.lit(1)).alias("total"), F.lit(wanted is None or f in wanted).alias("on")) for f in fields]
     d = products.groupBy(*(scope or [])).agg(F.array(*counts).alias("c")).select(*(scope or []), F.explode("c").alias("c")).select(*(scope or []), "c.*")
-    reason = F.when(~F.col("on"), "turned-off").when(F.col("filled") == F.col("total"), "filled").when(F.col("filled") == 0, "not-published").otherwise("partial")
+    reason = F.when(~F.col("on"), "turned-off").when((F.col("total") > 0) & (F.col("filled") == F.col("total")), "filled").when(F.col("filled") == 0, "not-published").otherwise("partial")
     return d.withColumn("reason", reason).drop("on")
 
 
@@ -112,11 +114,12 @@ def overlap_audit(log: DataFrame, *, most: int = 2, scope: str = "scan_id", star
 
 
 def walk_pagination(pages: DataFrame, seeds: DataFrame, *, max_pages: int = 20) -> DataFrame:
-    """(seed, url, hop): pages (url, next_url) followed from seeds (seed, url), each once, at most max_pages a seed."""
-    at = seeds.select("seed", "url", F.lit(1).alias("hop"))
-    pages, seen = settled(pages.select("url", "next_url")), at
+    """(seed, url, hop): pages (url, next_url) followed from seeds (seed, url), each once, at most max_pages a seed; repeated rows
+    of either count once."""
+    at = seeds.select("seed", "url", F.lit(1).alias("hop")).distinct()
+    pages, seen = settled(pages.select("url", "next_url").distinct()), at
     for hop in range(2, max_pages + 1):
-        at = at.join(pages.select("url", "next_url"), "url").where("next_url is not null").select("seed", F.col("next_url").alias("url"), F.lit(hop).alias("hop")).join(seen.select("seed", "url"), ["seed", "url"], "left_anti")
+        at = at.join(pages.select("url", "next_url"), "url").where("next_url is not null").select("seed", F.col("next_url").alias("url"), F.lit(hop).alias("hop")).distinct().join(seen.select("seed", "url"), ["seed", "url"], "left_anti")
         at = settled(at)
         if at.isEmpty():
             break
