@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from souklens.functions.text import canonical_url, clean_text, fold_for_compare, page_number, resolve_url
+from souklens.operators.reports import rule_table, score_targets
 from souklens.sources.markup import PageTree
 
 # Platforms, whether their catalogue can be read, and the marks that tell them (kind, what, weight, label), in order.
@@ -34,23 +36,29 @@ URL_ATTRS = ("data-url", "data-href", "data-next", "data-next-url", "data-next-p
 PAGE_ATTRS = ("data-page", "data-next-page", "data-paged", "data-current-page")
 SCROLLERS = ("infinitescroll", "infinite_scroll", "jscroll", "data-auto-load")
 
-FACTS = "page_id long, generator string, body array<string>, marks array<string>"
-CONTROLS = "page_id long, rel_next array<string>, nav array<string>, explicit boolean, buttons array<string>, attrs array<map<string,string>>, scroll boolean"
+FACTS = "generator string, body array<string>, marks array<string>"
+CONTROLS = "rel_next array<string>, nav array<string>, explicit boolean, buttons array<string>, attrs array<map<string,string>>, scroll boolean"
 
 
 def _parsed(pages: DataFrame, schema: str, read) -> DataFrame:
-    """One row per page (page_id, html) from read(tree), in one pass over Arrow batches."""
-    kinds = pages.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
+    """pages (html and more) with what read(tree) says of each, in one pass over Arrow batches: a page keeps its row, whatever
+    its id. Columns of the added names are replaced."""
+    new = pages.sparkSession.createDataFrame([], schema).schema
+    pages = pages.drop(*new.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(kinds)
+        arrow = to_arrow_schema(new)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows = [{"page_id": p["page_id"], **read(PageTree(p["html"] or ""))} for p in batch.slice(at, 256).to_pylist()]
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                part = batch.slice(at, 256)
+                found = pa.RecordBatch.from_pylist([read(PageTree(h or "")) for h in part.column("html").to_pylist()], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*part.columns, *found.columns], names=[*part.schema.names, *arrow.names])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, schema)
+    return pages.mapInArrow(run, T.StructType([*pages.schema, *new]))
+
+
+def _own(pages: DataFrame, *more: str) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), *more, "html")
 
 
 def _facts(tree: PageTree) -> dict:
@@ -62,7 +70,7 @@ def _facts(tree: PageTree) -> dict:
 
 def page_facts(pages: DataFrame) -> DataFrame:
     """(page_id, generator, body, marks): what rules ask of a page's elements."""
-    return _parsed(pages, FACTS, _facts)
+    return _parsed(_own(pages), FACTS, _facts).drop("html")
 
 
 def platform_rules(spark: SparkSession) -> DataFrame:
@@ -74,20 +82,19 @@ def detect_platforms(pages: DataFrame, rules: DataFrame | None = None, *, least:
     """(page_id, target, confidence, labels, adapter, rank) of pages (page_id, html): sums of the weights of marks found, at most 1, at
     least `least`; pages with none of them have one row: unknown.
 
-    Rules come in blocks of 500, each one row with an array; a page is multiplied only by the rules that fire."""
+    All is done within the page's row, in the pass that parses it: no exchange, null and repeated ids stay pages of their own, and
+    a null page is unknown."""
     rules = platform_rules(pages.sparkSession) if rules is None else rules
-    block = F.floor((F.row_number().over(W.orderBy("target", "rule_no")) - 1) / 500)
-    blocks = rules.withColumn("_b", block).groupBy("_b").agg(F.collect_list(F.struct("target", "rule_no", "kind", "needle", "weight", "label")).alias("_rules")).select("_rules")
-    d = pages.select(F.col("page_id").cast("long").alias("page_id"), F.lower("html").alias("_h")).join(page_facts(pages), "page_id").join(F.broadcast(blocks), F.lit(True))
+    table = rule_table(rules.select("target", "rule_no", "kind", "needle", "weight", "label"))
+    d = _parsed(_own(pages), FACTS, _facts).withColumn("_h", F.lower("html")).drop("html")
     has = lambda r: F.when(r["kind"] == "text", F.contains(F.col("_h"), r["needle"])).when(r["kind"] == "generator", F.contains(F.col("generator"), r["needle"])).when(r["kind"] == "body", F.array_contains("body", r["needle"])).otherwise(F.array_contains("marks", r["needle"]))
-    fired = d.select("page_id", F.explode(F.filter("_rules", lambda r: F.coalesce(has(r), F.lit(False)))).alias("r"))
-    labels = F.transform(F.array_sort(F.collect_list(F.struct("r.rule_no", "r.label"))), lambda x: x["label"])
-    found = fired.groupBy("page_id", "r.target").agg(F.least(F.lit(1.0), F.sum("r.weight")).alias("c"), labels.alias("labels")).where(F.col("c") >= least - 1e-9)
-    found = found.select("page_id", "target", (F.floor(F.col("c") * 100 + 0.5) / 100).alias("confidence"), "labels", F.col("target").isin(*ADAPTERS).alias("adapter"))
-    place = F.array_position(F.array(*map(F.lit, PLATFORM_RULES)), F.col("target"))
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("confidence"), place, "target")))
-    none = pages.select(F.col("page_id").cast("long").alias("page_id")).join(found, "page_id", "left_anti").select("page_id", F.lit("unknown").alias("target"), F.lit(0.0).alias("confidence"), F.array().cast("array<string>").alias("labels"), F.lit(False).alias("adapter"), F.lit(1).alias("rank"))
-    return ranked.unionByName(none)
+    d = d.select("page_id", F.filter(table, lambda r: F.coalesce(has(r), F.lit(False))).alias("_fired"))
+    place = lambda t: F.array_position(F.array(*map(F.lit, PLATFORM_RULES)), t)
+    shown = lambda t: F.struct((-F.floor(t["weight"] * 100 + 0.5) / 100).alias("less"), place(t["target"]).alias("place"), t["target"].alias("target"), t["labels"].alias("labels"))
+    found = F.array_sort(F.transform(F.filter(score_targets(F.col("_fired")), lambda t: t["weight"] >= least - 1e-9), shown))
+    none = F.array(F.struct(F.lit(-0.0).alias("less"), F.lit(0).cast("long").alias("place"), F.lit("unknown").alias("target"), F.array().cast("array<string>").alias("labels")))
+    d = d.select("page_id", found.alias("_found")).select("page_id", F.posexplode(F.when(F.size("_found") > 0, F.col("_found")).otherwise(none)).alias("_k", "t"))
+    return d.select("page_id", "t.target", F.abs("t.less").alias("confidence"), "t.labels", F.col("t.target").isin(*ADAPTERS).alias("adapter"), (F.col("_k") + 1).alias("rank"))
 
 
 def _controls(tree: PageTree) -> dict:
@@ -116,16 +123,21 @@ def _controls(tree: PageTree) -> dict:
     return {"rel_next": rel["link"][:1] + rel["a"][:1], "nav": nav, "explicit": any(more(n) for n in range(len(tree.nodes))), "buttons": buttons, "attrs": attrs, "scroll": scroll}
 
 
+def _listed(tree: PageTree) -> dict:
+    c = _controls(tree)
+    return c | {"attrs": [list(x.items()) for x in c["attrs"]]}
+
+
 def page_controls(pages: DataFrame) -> DataFrame:
     """(page_id, rel_next, nav, explicit, buttons, attrs, scroll): what a page says of its successor."""
-    return _parsed(pages, CONTROLS, lambda tree: {**(c := _controls(tree)), "attrs": [list(x.items()) for x in c["attrs"]]})
+    return _parsed(_own(pages), CONTROLS, _listed).drop("html")
 
 
 def detect_pagination(pages: DataFrame) -> DataFrame:
     """(page_id, strategy, next_url, current_page, last_page, automatable) of pages (page_id, url, html), the first that holds: a stated
     successor, a numbered link to the page after this one, a numbered list that ends here, a control that loads more (with the
     address in its attributes, or the number of a numbered link), endless scrolling, none."""
-    d = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.lower("html").alias("_h")).join(page_controls(pages), "page_id")
+    d = _parsed(_own(pages, "url"), CONTROLS, _listed).withColumn("_h", F.lower("html")).drop("html")
     link = lambda h: canonical_url(resolve_url(F.when(F.trim(h) != "", h), F.col("url"), only_http=True))
     d = d.withColumns({"current_page": F.coalesce(page_number(F.col("url")), F.lit(1).cast("long")), "_self": canonical_url(F.col("url")), "_rel": F.transform("rel_next", link), "_nav": F.transform("nav", link)})
     numbered = F.filter(F.transform("_nav", lambda u: F.struct(page_number(u).alias("page"), u.alias("url"))), lambda s: s["page"].isNotNull())

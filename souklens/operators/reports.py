@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from souklens.functions.numbers import to_ascii_digits
 from souklens.functions.text import clean_text, describe_confidence, fold_for_compare, url_part
@@ -58,17 +58,32 @@ def currency_unit_counts(products: DataFrame, prices: list[str]) -> DataFrame:
     return p.groupBy(F.coalesce("p.unit", F.when(F.col("p.currency") != "", F.col("p.currency")), F.lit("unknown")).alias("unit")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def rule_table(rules: DataFrame, *, most: int = 20_000) -> Column:
+    """Rules (target, rule_no, label, needle, weight and more) as one constant array, so that a page meets them within its row.
+    A table of rules is written by people: one of more than `most` rows is refused, never cut."""
+    rows = rules.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return F.from_json(F.lit(json.dumps([r.asDict() for r in rows])), T.ArrayType(rules.schema))
+
+
+def score_targets(fired: Column) -> Column:
+    """Array of (target, weight, labels) of the rules that fired: the sum of a target's weights, at most 1, labels by rule_no."""
+    own = lambda t: F.filter(fired, lambda r: r["target"] == t)
+    weight = lambda t: F.least(F.lit(1.0), F.aggregate(own(t), F.lit(0.0), lambda a, r: a + r["weight"]))
+    labels = lambda t: F.transform(F.array_sort(F.transform(own(t), lambda r: F.struct(r["rule_no"].alias("n"), r["label"].alias("l")))), lambda x: x["l"])
+    return F.transform(F.array_distinct(F.transform(fired, lambda r: r["target"])), lambda t: F.struct(t.alias("target"), weight(t).alias("weight"), labels(t).alias("labels")))
+
+
 def score_signals(pages: DataFrame, rules: DataFrame, *, page_id: str = "page_id", html: str = "html", least: float = 0.3) -> DataFrame:
     """(page_id, target, confidence, labels, rank) from rules (target, rule_no, label, needle, weight): sum of weights found in the
-    page, at most 1, at least `least`. Rules are dealt to blocks of 500, each one row with an array; a page meets every block
-    once and is multiplied only by the rules that fire."""
-    block = F.floor((F.row_number().over(W.orderBy("target", "rule_no")) - 1) / 500)
-    blocks = rules.withColumn("_b", block).groupBy("_b").agg(F.collect_list(F.struct("target", "rule_no", "label", "needle", "weight")).alias("_rules")).select("_rules")
-    low = pages.select(page_id, F.lower(html).alias("_h")).join(F.broadcast(blocks), F.lit(True))
-    d = low.select(page_id, F.explode(F.filter("_rules", lambda r: F.contains(F.col("_h"), r["needle"]))).alias("r"))
-    d = d.groupBy(page_id, "r.target").agg(F.least(F.lit(1.0), F.round(F.sum("r.weight"), 2)).alias("confidence"), F.transform(F.array_sort(F.collect_list(F.struct("r.rule_no", "r.label"))), lambda x: x["label"]).alias("labels"))
-    d = d.where(F.col("confidence") >= least)
-    return d.withColumn("rank", F.row_number().over(W.partitionBy(page_id).orderBy(F.desc("confidence"), "target")))
+    page, at most 1, at least `least`. All is done within the page's row, without an exchange: null and repeated ids stay pages of
+    their own."""
+    low = pages.select(page_id, F.lower(html).alias("_h"))
+    d = low.select(page_id, F.filter(rule_table(rules), lambda r: F.coalesce(F.contains(F.col("_h"), r["needle"]), F.lit(False))).alias("_fired"))
+    found = F.transform(score_targets(F.col("_fired")), lambda t: F.struct((-F.round(t["weight"], 2)).alias("less"), t["target"].alias("target"), t["labels"].alias("labels")))
+    d = d.select(page_id, F.posexplode(F.array_sort(F.filter(found, lambda t: -t["less"] >= least))).alias("_k", "t"))
+    return d.select(page_id, "t.target", (-F.col("t.less")).alias("confidence"), "t.labels", (F.col("_k") + 1).alias("rank"))
 
 
 # Marks of challenge pages, in the first 4,096 characters, and what each is evidence of.
