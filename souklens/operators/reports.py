@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from souklens.functions.numbers import to_ascii_digits
-from souklens.functions.text import clean_text, describe_confidence, fold_for_compare, url_part
+from souklens.functions.text import canonical_url, clean_text, describe_confidence, fold_for_compare, url_part
 from souklens.plans.lineage import settled
 
 
@@ -22,17 +22,46 @@ def matches_category(path: Column, wanted: str) -> Column:
 
 
 def apply_catalog_filter(products: DataFrame, *, kinds: list[str], category: str = "") -> DataFrame:
-    """products with verdict: kept, filtered-kind or filtered-category; variations follow their parent (parent_key)."""
-    verdict = F.when(~F.col("kind").isin(*kinds), "filtered-kind").when(~matches_category(F.col("category_path"), category), "filtered-category").otherwise("kept")
-    parents = products.where("kind <> 'variation'").withColumn("verdict", verdict)
-    fate = parents.select(F.col("sku").alias("parent_key"), F.col("verdict").alias("_v")).dropDuplicates(["parent_key"])
-    kids = products.where("kind = 'variation'").join(fate, "parent_key", "left").withColumn("verdict", F.coalesce("_v", F.lit("filtered-orphan"))).drop("_v")
-    return parents.unionByName(kids)
+    """products with verdict: kept, filtered-kind, filtered-category or, for variations without a parent, filtered-orphan.
+
+    Variations follow their parent: the product whose SKU, or whose canonical address where it has none, is the variation's
+    parent_key, else its parent_sku, else its own canonical address; the address of a parent that is kept counts too. Of several
+    such parents one that is kept decides, and keeps the others of its key. One aggregate over the parents, one join."""
+    own = F.when(~F.col("kind").isin(*kinds), "filtered-kind").when(~matches_category(F.col("category_path"), category), "filtered-category").otherwise("kept")
+    has = lambda c: [F.col(c)] if c in products.columns else []
+    address = [canonical_url(c) for c in has("source_url")]
+    none = F.lit(None).cast("string")
+    parent, variation = F.col("kind") != "variation", F.col("kind") == "variation"
+    mine, theirs = F.coalesce(*has("sku"), *address, none), F.coalesce(*has("parent_key"), *has("parent_sku"), *address, none)
+    d = products.withColumns({"verdict": F.when(parent, own), "_key": F.when(variation, theirs).otherwise(mine)})
+    keys = d.where(parent).select("verdict", F.explode(F.array_distinct(F.array("_key", *address))).alias("_key")).where("_key is not null")
+    fate = keys.groupBy("_key").agg(F.when(F.max(F.col("verdict") == "kept"), "kept").otherwise(F.max("verdict")).alias("_fate"))
+    d = d.join(fate, "_key", "left")
+    return d.withColumn("verdict", F.when(variation, F.coalesce("_fate", F.lit("filtered-orphan"))).when(F.col("_fate") == "kept", "kept").otherwise(F.col("verdict"))).drop("_key", "_fate")
+
+
+def filter_issues(filtered: DataFrame, *, kinds: list[str], category: str = "", off: list[str] | None = None, scope: list[str] | None = None) -> DataFrame:
+    """(scope, code, n, message): what apply_catalog_filter left out, by reason, and fields that are turned off (off) where products
+    remain. A reason without rows gives no row."""
+    scope = scope or []
+    kid, left = F.col("kind") == "variation", F.col("verdict") != "kept"
+    n = lambda c: F.count(F.when(c, 1))
+    told = (
+        ("filtered-by-product-type", n(~kid & (F.col("verdict") == "filtered-kind")), f" product(s) were left out because their type is not in {' / '.join(kinds)}."), ("filtered-by-category", n(~kid & (F.col("verdict") == "filtered-category")), f' product(s) were left out; they are not under "{category}".'),
+        ("filtered-variations", n(kid & left), " variation(s) went with the products they belong to. A variation without its parent cannot be imported."),
+    )
+    counts = [F.struct(F.lit(code).alias("code"), c.alias("n"), F.concat(c.cast("string"), F.lit(m)).alias("message")) for code, c, m in told]
+    if off:
+        counts.append(F.struct(F.lit("fields-turned-off").alias("code"), n(~left).alias("n"), F.lit(f"These fields are empty because the settings turn them off: {', '.join(off)}.").alias("message")))
+    return filtered.groupBy(*scope).agg(F.array(*counts).alias("c")).select(*scope, F.explode("c").alias("c")).select(*scope, "c.*").where("n > 0")
 
 
 def project_target_fields(products: DataFrame, wanted: list[str], every: list[str]) -> DataFrame:
-    """Unwanted fields become null; columns stay."""
-    return products.withColumns({f: F.lit(None).cast(products.schema[f].dataType) for f in every if f not in wanted})
+    """Unwanted fields become null, arrays empty, and their entries leave field_confidence; columns stay."""
+    off = [f for f in every if f not in wanted]
+    empty = lambda kind: (F.array() if isinstance(kind, T.ArrayType) else F.lit(None)).cast(kind)
+    d = products.withColumns({f: empty(products.schema[f].dataType) for f in off})
+    return d.withColumn("field_confidence", F.map_filter("field_confidence", lambda k, _: ~k.isin(*off))) if off and "field_confidence" in d.columns else d
 
 
 def field_coverage(products: DataFrame, fields: list[str], *, scope: list[str] | None = None, wanted: list[str] | None = None) -> DataFrame:
@@ -197,10 +226,23 @@ def verify_answers(answers: DataFrame, fragments: DataFrame) -> DataFrame:
 
 
 def fill_empty(products: DataFrame, answers: DataFrame, field: str, key: str = "product_key") -> DataFrame:
-    """products with a field filled from verified answers (key, value) only where it is empty; filled marks those rows."""
-    d = products.join(answers.select(key, F.col("value").alias("_v")), key, "left")
-    empty = F.coalesce(F.trim(field), F.lit("")) == ""
-    return d.withColumn("filled", empty & F.col("_v").isNotNull()).withColumn(field, F.when(empty, F.col("_v")).otherwise(F.col(field))).drop("_v")
+    """products with a field filled from verified answers (key, value and, if there are such columns, confidence and seq) only where
+    it is empty; filled marks those rows, whose layer becomes D and whose confidence of the field 0.3, if there are such columns.
+
+    A key has one answer: the surest, then the first, then the least value; empty ones are none. Rows without a key stay as they are."""
+    kinds = dict(answers.dtypes)
+    sure = -F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)) if "confidence" in kinds else F.lit(0.0)
+    seq = F.col("seq").cast("long") if "seq" in kinds else F.lit(0).cast("long")
+    order = F.struct(sure.alias("sure"), seq.isNull().alias("late"), seq.alias("seq"), F.col("value"))
+    best = answers.where(F.col(key).isNotNull() & has_value("value", kinds["value"])).groupBy(key).agg(F.min_by("value", order).alias("_v"))
+    d = products.join(best, key, "left").withColumn("filled", ~has_value(field, dict(products.dtypes)[field]) & F.col("_v").isNotNull())
+    new = {field: F.when(F.col("filled"), F.col("_v")).otherwise(F.col(field))}
+    if "layer" in products.columns:
+        new["layer"] = F.when(F.col("filled"), F.lit("D")).otherwise(F.col("layer"))
+    if "field_confidence" in products.columns:
+        rest = F.map_filter(F.coalesce("field_confidence", F.create_map().cast("map<string,double>")), lambda k, _: k != field)
+        new["field_confidence"] = F.when(F.col("filled"), F.map_concat(rest, F.create_map(F.lit(field), F.lit(0.3)))).otherwise(F.col("field_confidence"))
+    return d.withColumns(new).drop("_v")
 
 
 # Fields that decide whether a product needs more, kinds of errors that end a scan, names of layers.
@@ -257,11 +299,65 @@ def top_warnings(issues: DataFrame, n: int = 5, scope: str = "scan_id") -> DataF
 
 
 def scan_summary(products: DataFrame, pages: DataFrame, *, scope: str = "scan_id") -> DataFrame:
-    """(scope, rows, products, variations, pages, requests, status): one row per scan; a blocked one is so, else one that met its budget."""
-    p = products.groupBy(scope).agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("kind") != "variation", 1)).alias("products"), F.count(F.when(F.col("kind") == "variation", 1)).alias("variations"))
-    q = pages.groupBy(scope).agg(F.count(F.lit(1)).alias("requests"), F.count(F.when(F.col("block").isNull(), 1)).alias("pages"), F.max(F.col("block").isNotNull()).alias("_blocked"))
-    d = q.join(p, scope, "left").fillna(0, ["rows", "products", "variations"])
-    return d.withColumn("status", F.when(F.col("_blocked"), "blocked").otherwise("complete")).drop("_blocked")
+    """(scope, rows, products, variations, pages, requests, status): one row per scan of either table, null scans as one. A scan with
+    a blocked page is blocked; else, if pages has over_budget and one is, budget-reached; else complete. If products has duplicates,
+    their sum is there too."""
+    extra = [F.sum("duplicates").alias("duplicates")] if "duplicates" in products.columns else []
+    late = F.max(F.coalesce("over_budget", F.lit(False))) if "over_budget" in pages.columns else F.lit(False)
+    p = products.groupBy(scope).agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("kind") != "variation", 1)).alias("products"), F.count(F.when(F.col("kind") == "variation", 1)).alias("variations"), *extra)
+    q = pages.groupBy(F.col(scope).alias("_scan")).agg(F.count(F.lit(1)).alias("requests"), F.count(F.when(F.col("block").isNull(), 1)).alias("pages"), F.max(F.col("block").isNotNull()).alias("_blocked"), late.alias("_late"))
+    d = q.join(p, q["_scan"].eqNullSafe(p[scope]), "full").withColumn(scope, F.coalesce(scope, "_scan"))
+    d = d.fillna(0, ["rows", "products", "variations", "requests", "pages", *(["duplicates"] if extra else [])])
+    d = d.withColumn("status", F.when(F.col("_blocked"), "blocked").when(F.col("_late"), "budget-reached").otherwise("complete"))
+    return d.select(scope, "requests", "pages", "rows", "products", "variations", *(["duplicates"] if extra else []), "status")
+
+
+# Fields of the second tier; all others are of the first.
+TIER_2 = ("sku", "tags", "weight", "dimensions", "brand", "gtin")
+
+
+def report_fields(scans: DataFrame, products: DataFrame, issues: DataFrame, fields: list[str], *, wanted: list[str], scope: str = "scan_id") -> DataFrame:
+    """(scope, field, tier, filled, total, reason, sources, message): why each field of each of the scans (scope, one row each) is
+    as it is, in words. A scan without products, or without issues, has its rows too; an empty field of a scan that an error
+    ended is scan-failed. Everything is counted before it is joined: per scan and field, never per product."""
+    every = scans.select(scope, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(2 if f in TIER_2 else 1).alias("tier"), F.lit(f in wanted).alias("_on")) for f in fields])).alias("f")).select(scope, "f.*")
+    counted = field_coverage(products, fields, scope=[scope], wanted=wanted).select(scope, "field", "filled", "total")
+    d = every.join(counted, [scope, "field"], "left").fillna(0, ["filled", "total"]).join(field_sources(products, fields, scope=[scope]), [scope, "field"], "left")
+    d = d.join(blocking_issue(issues, scope=[scope]).select(scope, F.col("message").alias("_stop")), scope, "left")
+    none = F.col("filled") == 0
+    reason = F.when(~F.col("_on"), "turned-off").when((F.col("filled") == F.col("total")) & ~none, "filled").when(none & F.col("_stop").isNotNull(), "scan-failed").when(none, "not-published").otherwise("partial")
+    said = F.col("reason").isin("filled", "partial")
+    d = d.withColumn("reason", reason).withColumn("sources", F.when(said, F.coalesce("sources", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
+    by = F.array_join("sources", " and ")
+    message = (
+        F.when(F.col("reason") == "turned-off", F.concat(F.lit('Empty because "'), "field", F.lit('" is switched off in your settings. Turn it on and scan again to fill it.')))
+        .when(F.col("reason") == "filled", F.concat(F.lit("Filled for every product, from "), by, F.lit(".")))
+        .when(F.col("reason") == "scan-failed", F.concat(F.lit("Empty because the scan could not finish: "), "_stop"))
+        .when((F.col("reason") == "not-published") & (F.col("tier") == 1), "Empty because this shop’s pages do not publish it anywhere it can be read. If you can see it on the page yourself, a taught profile will pick it up.")
+        .when(F.col("reason") == "not-published", "Empty because the shop does not publish it. This is common and usually fine.")
+        .otherwise(F.concat(F.lit("Filled for "), F.col("filled").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" products, from "), by, F.lit(". The rest of the pages do not state it.")))
+    )
+    return d.withColumn("message", message).drop("_on", "_stop")
+
+
+def scan_report(scans: DataFrame, products: DataFrame, issues: DataFrame, fields: list[str], *, wanted: list[str], health: DataFrame | None = None, scope: str = "scan_id") -> DataFrame:
+    """(scope, n_products, n_asked, n_complete, summary, profile_note): one row per scan in words. health: scope, healthy and summary of
+    the scan's taught profile; a healthy one, or none, has no note. Fields are named in the order of `fields`."""
+    told = report_fields(scans, products, issues, fields, wanted=wanted, scope=scope)
+    place = F.array_position(F.array(*map(F.lit, fields)), F.col("field"))
+    bare = F.when((F.col("reason") == "not-published") & (F.col("tier") == 1), F.struct(place.alias("at"), F.col("field").alias("field")))
+    d = told.groupBy(scope).agg(F.max("total").alias("n_products"), F.count(F.when(F.col("reason") != "turned-off", 1)).alias("n_asked"), F.count(F.when(F.col("reason") == "filled", 1)).alias("n_complete"), F.array_sort(F.collect_list(bare)).alias("_bare"))
+    d = d.join(blocking_issue(issues, scope=[scope]).select(scope, F.col("message").alias("_stop")), scope, "left")
+    names = F.array_join(F.transform("_bare", lambda x: x["field"]), ", ")
+    tail = F.when(F.size("_bare") == 0, "Nothing here looks wrong.").otherwise(F.concat(names, F.lit(" came back empty everywhere, which usually means this shop does not publish them in a readable form.")))
+    full = F.concat(F.col("n_products").cast("string"), F.lit(" product(s) read. "), F.col("n_complete").cast("string"), F.lit(" of "), F.col("n_asked").cast("string"), F.lit(" requested fields are filled for every one of them. "), tail)
+    nothing = F.coalesce(F.concat(F.lit("The scan stopped: "), "_stop"), F.lit("No products were found on this page. If you can see products yourself, teach a profile, so that the layout is known."))
+    d = d.withColumn("summary", F.when(F.col("n_products") == 0, nothing).otherwise(full))
+    if health is None:
+        return d.select(scope, "n_products", "n_asked", "n_complete", "summary", F.lit(None).cast("string").alias("profile_note"))
+    ill = health.where(~F.coalesce("healthy", F.lit(True))).groupBy(scope).agg(F.min("summary").alias("_ill"))
+    note = F.concat(F.lit("The layout you taught for this site has stopped matching: "), "_ill", F.lit(" Teach this site again to point it at the right places."))
+    return d.join(ill, scope, "left").select(scope, "n_products", "n_asked", "n_complete", "summary", note.alias("profile_note"))
 
 
 def parse_answers(raw: DataFrame) -> DataFrame:

@@ -44,6 +44,60 @@ def shopify_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats.select("products", "variants", "image_rows", "handles_deduplicated", F.size("currency_units").cast("long").alias("n_units"), unit("EUR"), unit("rial"), unit("unknown"))
 
 
+@query
+def filtered_products(spark: SparkSession, d: str) -> DataFrame:
+    """The fate of each product and variation; kinds, categories and parents by SKU or address."""
+    return R.apply_catalog_filter(_kinds(_shop_products(spark, d)), kinds=["simple"], category="standard").select("seq", "kind", "verdict")
+
+
+@query
+def filter_issues(spark: SparkSession, d: str) -> DataFrame:
+    p = R.apply_catalog_filter(_kinds(_shop_products(spark, d)), kinds=["simple"], category="standard")
+    return R.filter_issues(p, kinds=["simple"], category="standard", off=["tags", "sku"])
+
+
+def _kinds(products: DataFrame) -> DataFrame:
+    return products.withColumn("kind", F.when((F.col("kind") == "simple") & (F.col("seq") % 30 == 10), "grouped").otherwise(F.col("kind")))
+
+
+@query
+def filled_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Products with several answers each: the surest fills what is empty, once."""
+    k = F.col("p_partkey")
+    p = read(spark, d, "part").select(k.alias("product_key"), F.when(k % 2 == 0, F.col("p_brand")).when(k % 2 == 1, F.lit(" ")).alias("brand"), F.lit("B").alias("layer"), F.create_map(F.lit("brand"), F.lit(0.9), F.lit("name"), F.lit(0.8)).alias("field_confidence"))
+    a = read(spark, d, "lineitem").select(F.col("l_partkey").alias("product_key"), (F.col("l_linenumber") % 3).alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit("a"), "l_orderkey", F.lit("-"), "l_linenumber").alias("value"))
+    return R.fill_empty(p, a, "brand").select("product_key", "brand", "filled", "layer", F.col("field_confidence")["brand"].alias("sure"), F.col("field_confidence")["name"].alias("sure_name"))
+
+
+@query
+def projected_fields(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_size").alias("stock_quantity"), F.array("p_brand").alias("tags"), F.create_map(F.lit("name"), F.lit(0.9), F.lit("tags"), F.lit(0.5)).alias("field_confidence"))
+    p = R.project_target_fields(p, ["name"], ["name", "stock_quantity", "tags"])
+    return p.select("p_partkey", "name", F.col("stock_quantity").cast("long").alias("stock_quantity"), F.size("tags").cast("long").alias("n_tags"), F.array_join(F.map_keys("field_confidence"), ",").alias("told"))
+
+
+def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    e = _log(spark, d)
+    k = F.col("seq")
+    products = e.where("scan_id % 5 > 0").select("scan_id", F.col("event_type").alias("name"), F.when(k % 3 == 0, F.col("event_type")).alias("brand"), F.lit(None).cast("string").alias("description"), F.array().cast("array<string>").alias("tags"), F.when(k % 2 == 0, "A").otherwise("B").alias("layer"), F.create_map(F.lit("name"), F.when(k % 2 == 0, F.lit(1.0)).otherwise(F.lit(0.5)), F.lit("brand"), F.lit(0.4)).alias("field_confidence"))
+    issues = e.where("scan_id % 7 = 0").select("scan_id", "seq", F.lit("c").alias("code"), F.concat(F.lit("m"), "seq").alias("message"), F.lit("error").alias("severity"), F.when(k % 2 == 0, "network").otherwise("other").alias("kind"))
+    return e.select("scan_id").distinct(), products, issues
+
+
+@query
+def report_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Why each field of each user's scan is as it is; a fifth of the scans has no products, a seventh ended early."""
+    out = R.report_fields(*_scans(spark, d), ["name", "brand", "description", "tags"], wanted=["name", "brand", "description"])
+    return out.select("scan_id", "field", F.col("tier").cast("long").alias("tier"), "filled", "total", "reason", "message")
+
+
+@query
+def scan_report(spark: SparkSession, d: str) -> DataFrame:
+    scans, products, issues = _scans(spark, d)
+    health = scans.select("scan_id", (F.col("scan_id") % 2 == 0).alias("healthy"), F.lit("2 fields are gone.").alias("summary"))
+    return R.scan_report(scans, products, issues, ["name", "brand", "description", "tags"], wanted=["name", "brand", "description"], health=health)
+
+
 def _cell(x: str) -> str:
     return rf"regexp_replace(regexp_replace(((floor({x} * 1000000 + 0.5) / 1000000)::DECIMAL(30, 6))::VARCHAR, '0+$', ''), '\.$', '')"
 
@@ -62,4 +116,25 @@ ORACLES = {
       SELECT seq, part::BIGINT AS part, place, handle, title, type, sku, n1, v1, n2, v2, price, compare_at, grams, image, position, policy, codes FROM v""",
     "shopify_stats": f"""WITH p AS ({_PARTS}) SELECT count(*) AS products, (count(*) FILTER (m IN (1, 2)) + 2 * count(*) FILTER (m IN (0, 3)))::BIGINT AS variants, count(*) FILTER (k % 2 = 0) AS image_rows, sum(n - 1)::BIGINT AS handles_deduplicated, 3::BIGINT AS n_units,
       (count(*) FILTER (m IN (1, 2)) + count(*) FILTER (m IN (1, 2) AND k % 5 = 0))::BIGINT AS eur, (2 * count(*) FILTER (m IN (0, 3) AND k % 3 = 0))::BIGINT AS rial, (2 * count(*) FILTER (m IN (0, 3) AND k % 3 > 0))::BIGINT AS unknown FROM p""",
+    "filtered_products": f"""{(_FATE := """WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS m, CASE WHEN p_partkey % 3 = 1 THEN 'grouped' ELSE 'simple' END AS kind, CASE WHEN p_partkey % 3 = 1 THEN 'filtered-kind' WHEN list_contains(string_split(lower(p_type), ' '), 'standard') THEN 'kept' ELSE 'filtered-category' END AS v FROM part),
+      f AS (SELECT k * 10 AS seq, kind, v AS verdict FROM p UNION ALL SELECT k * 10 + 1, 'variation', CASE WHEN m = 1 THEN 'filtered-orphan' ELSE v END FROM p WHERE m <> 2 UNION ALL SELECT k * 10 + 2, 'variation', v FROM p WHERE m IN (0, 3))""")} SELECT * FROM f""",
+    "filter_issues": f"""{_FATE}, c AS (SELECT count(*) FILTER (verdict = 'filtered-kind' AND kind <> 'variation') AS a, count(*) FILTER (verdict = 'filtered-category' AND kind <> 'variation') AS b, count(*) FILTER (verdict <> 'kept' AND kind = 'variation') AS v, count(*) FILTER (verdict = 'kept') AS n FROM f)
+      SELECT * FROM (SELECT 'filtered-by-product-type' AS code, a AS n, a || ' product(s) were left out because their type is not in simple.' AS message FROM c UNION ALL SELECT 'filtered-by-category', b, b || ' product(s) were left out; they are not under "standard".' FROM c UNION ALL
+        SELECT 'filtered-variations', v, v || ' variation(s) went with the products they belong to. A variation without its parent cannot be imported.' FROM c UNION ALL SELECT 'fields-turned-off', n, 'These fields are empty because the settings turn them off: tags, sku.' FROM c) WHERE n > 0""",
+    "filled_answers": """WITH a AS (SELECT l_partkey AS k, arg_min('a' || l_orderkey || '-' || l_linenumber, {'c': -(l_linenumber % 3), 's': l_orderkey * 10 + l_linenumber}) AS v FROM lineitem GROUP BY 1)
+      SELECT p_partkey AS product_key, CASE WHEN p_partkey % 2 = 0 THEN p_brand WHEN v IS NULL THEN ' ' ELSE v END AS brand, p_partkey % 2 = 1 AND v IS NOT NULL AS filled, CASE WHEN p_partkey % 2 = 1 AND v IS NOT NULL THEN 'D' ELSE 'B' END AS layer,
+        (CASE WHEN p_partkey % 2 = 1 AND v IS NOT NULL THEN 0.3 ELSE 0.9 END)::DOUBLE AS sure, 0.8::DOUBLE AS sure_name FROM part LEFT JOIN a ON k = p_partkey""",
+    "projected_fields": "SELECT p_partkey, p_name AS name, NULL::BIGINT AS stock_quantity, 0::BIGINT AS n_tags, 'name' AS told FROM part",
+    "report_fields": f"""{(_WHY := """WITH s AS (SELECT user_id AS scan_id, CASE WHEN user_id % 5 > 0 THEN count(*) ELSE 0 END AS total, CASE WHEN user_id % 5 > 0 THEN count(*) FILTER (event_id % 3 = 0) ELSE 0 END AS b, 'm' || min(event_id) FILTER (user_id % 7 = 0 AND event_id % 2 = 0) AS stop,
+        CASE WHEN bool_or(event_id % 2 = 0) THEN 'the shop’s own product API (certain)' END AS n1, CASE WHEN bool_or(event_id % 2 = 1) THEN 'the page’s structured data (probable)' END AS n2,
+        CASE WHEN bool_or(event_id % 6 = 0) THEN 'the shop’s own product API (rough)' END AS b1, CASE WHEN bool_or(event_id % 6 = 3) THEN 'the page’s structured data (rough)' END AS b2 FROM events GROUP BY 1),
+      f AS (SELECT scan_id, 'name' AS field, 1 AS tier, total AS filled, total, concat_ws(' and ', n1, n2) AS src, stop FROM s UNION ALL SELECT scan_id, 'brand', 2, b, total, concat_ws(' and ', b1, b2), stop FROM s UNION ALL SELECT scan_id, 'description', 1, 0, total, '', stop FROM s UNION ALL SELECT scan_id, 'tags', 2, 0, total, '', stop FROM s),
+      r AS (SELECT *, CASE WHEN field = 'tags' THEN 'turned-off' WHEN filled > 0 AND filled = total THEN 'filled' WHEN filled = 0 AND stop IS NOT NULL THEN 'scan-failed' WHEN filled = 0 THEN 'not-published' ELSE 'partial' END AS reason FROM f)""")}
+      SELECT scan_id, field, tier::BIGINT AS tier, filled, total, reason, CASE reason WHEN 'turned-off' THEN 'Empty because "tags" is switched off in your settings. Turn it on and scan again to fill it.' WHEN 'filled' THEN 'Filled for every product, from ' || src || '.' WHEN 'scan-failed' THEN 'Empty because the scan could not finish: ' || stop
+        WHEN 'not-published' THEN CASE tier WHEN 1 THEN 'Empty because this shop’s pages do not publish it anywhere it can be read. If you can see it on the page yourself, a taught profile will pick it up.' ELSE 'Empty because the shop does not publish it. This is common and usually fine.' END
+        ELSE 'Filled for ' || filled || ' of ' || total || ' products, from ' || src || '. The rest of the pages do not state it.' END AS message FROM r""",
+    "scan_report": f"""{_WHY}, g AS (SELECT scan_id, max(total) AS n, count(*) FILTER (reason <> 'turned-off') AS asked, count(*) FILTER (reason = 'filled') AS done, any_value(stop) AS stop, string_agg(field, ', ' ORDER BY array_position(['name', 'brand', 'description'], field)) FILTER (reason = 'not-published' AND tier = 1) AS bare FROM r GROUP BY 1)
+      SELECT scan_id, n AS n_products, asked AS n_asked, done AS n_complete, CASE WHEN n = 0 THEN coalesce('The scan stopped: ' || stop, 'No products were found on this page. If you can see products yourself, teach a profile, so that the layout is known.')
+        ELSE n || ' product(s) read. ' || done || ' of ' || asked || ' requested fields are filled for every one of them. ' || coalesce(bare || ' came back empty everywhere, which usually means this shop does not publish them in a readable form.', 'Nothing here looks wrong.') END AS summary,
+        CASE WHEN scan_id % 2 <> 0 THEN 'The layout you taught for this site has stopped matching: 2 fields are gone. Teach this site again to point it at the right places.' END AS profile_note FROM g""",
 }
