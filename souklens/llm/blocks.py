@@ -17,6 +17,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from souklens.plans.lineage import settled  # noqa: F401
 
+
+
+def hidden(df: DataFrame, *names: str) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """df whose columns that begin with _, as helper columns do, have other names meanwhile; what `names` are called meanwhile; and
+    the names to give back. A table without such columns stays as it is."""
+    taken, moved = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.startswith("_"):
+            moved[c] = "u" + c
+            while moved[c].lower() in taken:
+                moved[c] = "u" + moved[c]
+            taken.add(moved[c].lower())
+    return df.withColumnsRenamed(moved), [moved.get(x, x) for x in names], {new: c for c, new in moved.items()}
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 NULL_ID = np.iinfo(np.int64).max

@@ -1,8 +1,10 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
 Texts are put in one form (words of a-z, 0-9 and all that isn't ASCII, one blank between). Most texts have none of a few
-keywords and go no further. For the others, the rules of each keyword that occurs are looked at; those whose own plain piece
-occurs are matched as regular expressions, and the matches become intervals of words. Rules overlap on purpose; an interval is dropped when another one contains it, the
+keywords and go no further. For the others, the rules of each keyword that occurs are looked at; those of which a plain piece
+occurs are matched as regular expressions, and the matches become intervals of words. The pieces of a rule are taken from its
+pattern so that each match holds one of them, whichever alternatives it takes; each piece belongs to a keyword that it contains.
+Names that mean other things too (php 3, elastic 2) count with a version only where the text speaks of a license somewhere. Rules overlap on purpose; an interval is dropped when another one contains it, the
 longer before the shorter and, of equal ones, that of the rule which comes first.
 """
 
@@ -14,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .blocks import hidden
 from .license_signatures import signatures
 
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -68,52 +71,77 @@ FAMILIES = (
     ("proprietary", ("proprietary", "commercial"), ()),
 )
 
-#: A text with none of these words holds no match of any rule: each pattern has one of them in a part that isn't optional.
+#: Names that mean a license wherever they stand with a version.
+PLAIN = frozenset((
+    "gnu general public", "gnu gpl", "gpl", "gnu lesser general public", "gnu library general public", "gnu lgpl", "lgpl", "gnu affero general public", "gnu agpl", "agpl",
+    "gnu free documentation", "gfdl", "apache software foundation", "mozilla public", "eclipse public", "cddl", "eupl", "lppl",
+))
+
+#: Keywords of the plain pieces. A piece with none of them is led by its longest word (leads).
 KEYWORDS = (
     "licen", "permission", "permit", "warrant", "redistribut", "distribut", "unencumbered", "domain", "reserved", "spdx", "copyright", "copyleft",
     "liable", "damage", "software", "apache", "combined", "runtime", "skeleton", "font", "gpl", "derivative", "prominently", "invariant",
     "misrepresented", "irrevocabl", "copied", "php", "fuck", "functionality", "service", "lppl", "retain", "beer", "unicode", "legend", "nasa", "gemma",
-    "contribution", "mozilla", "eclipse", "ofl", "confidential", "proprietary", "reproduced", "unauthori", "government",
+    "contribution", "mozilla", "eclipse", "ofl", "confidential", "proprietary", "reproduced", "unauthori", "government", "gnu", "gfdl", "cddl", "eupl",
 )
 
 
 def rules() -> list[tuple[int, str, str, str, float]]:
-    """(order, label, keyword, pattern, weight): signatures first, then names with versions, identifiers and bare names."""
-    out = [(label, _literal(pattern).strip(), pattern, weight) for label, pattern, weight in signatures()]
+    """(order, label, needs, pattern, weight): signatures first, then names with versions, identifiers and bare names. needs: what the
+    text must hold somewhere besides the match; empty for most."""
+    out = [(label, "", pattern, weight) for label, pattern, weight in signatures()]
     lic = "licen[cs]e"
     for label, names, versions in FAMILIES:
         for name in names:
             for v in versions:
-                out.append((label, "licen", f"{name} (?:{lic} )?(?:version |v )?{v}(?: {lic})?(?: or (?:any )?later(?: version)?)?", 0.9))
-            out.append((label, "spdx", f"spdx {lic} identifier {name}(?: \\d+)*(?: only| or later)?", 1.0))
-            out.append((label, "licen", f"(?:licensed|released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?{name} {lic}", 0.95))
-            out.append((label, "licen", f"(?:the )?{name} {lic}", 0.8))
-            out.append((label, "licensed", f"licensed under (?:the )?{name}", 0.7))
+                out.append((label, "" if name in PLAIN else "licen", f"{name} (?:{lic} )?(?:version |v )?{v}(?: {lic})?(?: or (?:any )?later(?: version)?)?", 0.9))
+            out.append((label, "", f"spdx {lic} identifier {name}(?: \\d+)*(?: only| or later)?", 1.0))
+            out.append((label, "", f"(?:licensed|released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?{name} {lic}", 0.95))
+            out.append((label, "", f"(?:the )?{name} {lic}", 0.8))
+            out.append((label, "", f"licensed under (?:the )?{name}", 0.7))
     return [(k, label, keyword, pattern, weight) for k, (label, keyword, pattern, weight) in enumerate(out)]
 
 
-def _pieces(pattern: str) -> list[str]:
-    """Plain characters that any match of a pattern contains: outside of groups, sets and repeats."""
-    depth, pieces, escaped = 0, [""], False
-    for c in pattern:
-        depth += (c in "([" and not escaped) - (c in ")]" and not escaped)
-        if depth == 0 and not escaped and re.match("[a-z0-9 ]", c):
-            pieces[-1] += c
-            continue
-        if c in "?*{" and depth == 0:
-            pieces[-1] = pieces[-1][:-1]
-        pieces.append("")
-        escaped = c == "\\" and not escaped
-    return pieces
+def _keyword(piece: str) -> str:
+    return max((k for k in KEYWORDS if k in piece), key=len, default="")
+
+
+def pieces(pattern: str) -> frozenset[str]:
+    """Plain pieces of which every match of a pattern holds one: of the parts that aren't optional, the one whose pieces all have a
+    keyword, then whose shortest piece is longest. A choice has the pieces of all its alternatives."""
 
+    def rank(found: frozenset[str]) -> tuple:
+        return (all(_keyword(p) for p in found), min(map(len, found)))
 
-def _literal(pattern: str) -> str:
-    return max(_pieces(pattern), key=len)
+    def best(parts) -> frozenset[str] | None:
+        found, run = [], ""
+        for op, arg in [*parts, (None, None)]:
+            if str(op) == "LITERAL":
+                run += chr(arg)
+                continue
+            if run.strip():
+                found.append(frozenset([run]))
+            run, inner = "", None
+            if str(op) == "SUBPATTERN":
+                inner = best(arg[-1])
+            elif str(op) == "BRANCH":
+                ways = [best(way) for way in arg[1]]
+                inner = None if None in ways else frozenset().union(*ways)
+            elif str(op) in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+                inner = best(arg[2])
+            if inner:
+                found.append(inner)
+        return max(found, key=rank, default=None)
 
+    found = best(re._parser.parse(pattern))
+    if found is None:
+        raise ValueError(f"a rule without a plain piece: {pattern}")
+    return found
 
-def _gate(pattern: str) -> str:
-    """The longest of the keywords that stands in a piece; empty where a keyword stands in alternatives only."""
-    return max((k for k in KEYWORDS for piece in _pieces(pattern) if k in piece), key=len, default="")
+
+def lead(piece: str) -> str:
+    """The keyword that texts are asked for before a piece: one that it contains, else its longest word."""
+    return _keyword(piece) or max(piece.split(), key=len)
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -150,13 +178,15 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     of the added names are replaced, others pass through.
     """
     new = ("n_words", "base", "detections", "labels", "score")
+    docs, (text,), back = hidden(docs, text)
+    gates: dict[str, dict[str, list]] = {}
+    for k, label, needs, pattern, weight in rules():
+        for piece in sorted(pieces(pattern)):
+            gates.setdefault(needs or lead(piece), {}).setdefault(piece, []).append({"r": k, "l": label, "k": needs, "p": pattern, "w": weight})
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     d = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new), F.regexp_count(t, F.lit(_LETTER)).cast("long").alias("n_words"), t.alias("_t"), F.lower(t).alias("_low"))
-    d = d.withColumn("_hit", F.when(reduce(lambda a, b: a | b, [F.contains(F.col("_low"), F.lit(k)) for k in KEYWORDS]), F.col("_t")))
+    d = d.withColumn("_hit", F.when(reduce(lambda a, b: a | b, [F.contains(F.col("_low"), F.lit(k)) for k in sorted({*gates, "licen"})]), F.col("_t")))
     d = d.withColumn("_hit", F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("_hit", _UPPER, _UPPER.lower()), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" ")))
-    gates: dict[str, dict[str, list]] = {}
-    for k, label, key, pattern, weight in rules():
-        gates.setdefault(_gate(pattern) or key, {}).setdefault(_literal(pattern), []).append({"r": k, "l": label, "k": key, "p": pattern, "w": weight})
     # one literal: the optimizer folds it once
     tree = [{"gate": gate, "groups": [{"name": name, "rules": own} for name, own in groups.items()]} for gate, groups in gates.items()]
     rule = "array<struct<r:int,l:string,k:string,p:string,w:double>>"
@@ -164,7 +194,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     phrases = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(label).alias("l")) for p, label in BASE])
     hit = F.col("_hit")
     open_ = F.flatten(F.transform(F.filter(table, lambda g: F.contains(hit, g["gate"])), lambda g: g["groups"]))
-    named = F.flatten(F.transform(F.filter(open_, lambda g: F.contains(hit, g["name"])), lambda g: g["rules"]))
+    named = F.array_distinct(F.flatten(F.transform(F.filter(open_, lambda g: F.contains(hit, g["name"])), lambda g: g["rules"])))
     fired = F.filter(named, lambda r: F.contains(hit, r["k"]) & F.regexp_like(hit, F.concat(F.lit(" (?:"), r["p"], F.lit(") "))))
     spans = F.flatten(F.transform(fired, lambda r: F.transform(_spans(hit, r["p"]), lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), r["r"].alias("r"), r["l"].alias("l"), r["w"].alias("w")))))
     base = F.flatten(F.transform(F.filter(phrases, lambda r: F.contains(hit, r["p"])), lambda r: F.transform(_spans(hit, r["p"]), lambda x: F.struct(x["s"].alias("start"), r["l"].alias("label")))))
@@ -172,4 +202,4 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("detections", F.coalesce(_suppressed(F.col("_spans")), F.array().cast("array<struct<start:int,length:int,label:string,weight:double>>")))
     labels = F.array_sort(F.array_union(F.col("base.label"), F.col("detections.label")))
     score = F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.array_max("detections.weight"), F.lit(0.0)))
-    return d.withColumns({"labels": labels, "score": score}).drop("_hit", "_spans", "_t", "_low")
+    return d.withColumns({"labels": labels, "score": score}).drop("_hit", "_spans", "_t", "_low").withColumnsRenamed(back)

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .blocks import hidden
+
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,10 +47,11 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: f
     the added names, which are replaced.
     """
     new = ("size", "source_size", "target", "taken")
+    docs, (text, source, doc_id), back = hidden(docs, text, source, doc_id)
     names = [F.col(f"`{c}`") for c in docs.columns if c not in new]
     key = F.md5(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary"))
     d = docs.select(*names, word_count(F.col(f"`{text}`")).alias("size"), F.struct(F.col(f"`{source}`").isNull().alias("n"), F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("s")).alias("_src"), key.alias("_key"))
-    return _cut(d, names, doc_id, weights, share, cap)
+    return _cut(d, names, doc_id, weights, share, cap).withColumnsRenamed(back)
 
 
 def _cut(d: DataFrame, names: list, doc_id: str, weights, share, cap) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .blocks import settled
+from .blocks import hidden, settled
 
 WS = r"[\x20\x09-\x0D]+"
 SIGNALS = ("symbol_share", "dup_line_share", "repeat_share", "mean_word", "lone_share")
@@ -107,16 +107,17 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, *, text: str = "text",
     cases: null texts have no words and fail; null strata are one stratum; null ids carry no label; repeated ids are
     documents of their own and share labels; columns of the added names are replaced; empty tables give empty tables.
     """
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("base_failed", "kept", "_stratum")))
+    docs, (text, doc_id, stratum), back = hidden(docs, text, doc_id, stratum)
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("base_failed", "kept")))
     key = [doc_id, stratum, "_th"]
     small = docs.select(*{doc_id: 0, stratum: 0, text: 0}, F.xxhash64(F.col(f"`{text}`")).alias("_th")) if keep_text else docs
     signals = settled(text_signals(small, text).drop(text))
     cutoffs = risk_controlled_cutoffs(signals, labels, doc_id=doc_id, stratum=stratum, risk=risk, delta=delta)
     verdicts = with_verdicts(signals, cutoffs, stratum=stratum)
     if not keep_text:
-        return verdicts
+        return verdicts.withColumnsRenamed(back)
     v = verdicts.dropDuplicates(key).withColumnsRenamed({c: f"_v{k}" for k, c in enumerate(key)})
     new = [c for c in verdicts.columns if c not in key]
     d = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new)).withColumn("_th", F.xxhash64(F.col(f"`{text}`")))
     same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"_v{k}")) for k, c in enumerate(key)])
-    return d.join(v, same).drop("_th", *(f"_v{k}" for k in range(len(key))))
+    return d.join(v, same).drop("_th", *(f"_v{k}" for k in range(len(key)))).withColumnsRenamed(back)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import json
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .blocks import one, settled
+from .blocks import hidden, one, settled
 from .media_tiff import _bounded, _plus, _schema
 
 TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|title|svg|iframe|select|math|object)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", regex.S | regex.I)
@@ -38,6 +39,12 @@ MAIN_WORDS = regex.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|mai
 # names that differ from page to page, but for those of a grid's columns
 VOLATILE = regex.compile(r"^(?!(?:col|grid|span|row|cell|size|large|medium|small|[wmhp][trblxy]?)[-_]).*\d{2,}|^(?:post|postid|entry|article|item|node|page|story|content|id|p|t|comment)[-_]?\d+$", regex.I)
 ONCE = frozenset("html body article main".split())
+#: Elements nested deeper stand beside each other in the tree, each a block of its own, as browsers do at 512; nothing is left out.
+DEPTH = 250
+RELATED = regex.compile(r"^section\b.*(?:related|recommend)", regex.I)
+#: Class words of parts that may yet be the article's: modifiers (post comments-open, layout with-sidebar, section related-work).
+TALK = regex.compile(r"comment|repl(?:y|ies)|disqus|respond", regex.I)
+OWN = frozenset("article post entry story hentry".split())
 
 
 class Node:
@@ -50,9 +57,14 @@ class Node:
 def read_tree(page: str) -> Node:
     """The block elements of a page. parts: the page's text and children of an element in order; text as (text, in a link)."""
     root = Node("")
-    stack, tags, link, raw_out = [root], [""], 0, 0
+    stack, tags, link, open_ = [root], [""], 0, Counter()
+    doubtful: list[tuple[Node, bool]] = []
 
     def close(k: int) -> None:
+        for i in range(len(stack) - 1, k - 1, -1):
+            open_[tags[i]] -= 1
+            if stack[i] is stack[i - 1]:
+                stack[i].parts.append(Node("div"))
         del stack[k:], tags[k:]
 
     for m in TOKEN.finditer(page):
@@ -71,7 +83,7 @@ def read_tree(page: str) -> Node:
                 link = 0
             if tag in INLINE:
                 continue
-            k = next((i for i in range(len(tags) - 1, 0, -1) if tags[i] == tag), 0)
+            k = next((i for i in range(len(tags) - 1, 0, -1) if tags[i] == tag), 0) if open_[tag] else 0
             if k:
                 close(k)
                 link = 0
@@ -82,7 +94,7 @@ def read_tree(page: str) -> Node:
             elif tag == "br":
                 stack[-1].parts.append((" ", False))
             continue
-        if tag in CLOSES_P and "p" in tags:
+        if tag in CLOSES_P and open_["p"]:
             close(len(tags) - 1 - tags[::-1].index("p"))
         for i in range(len(tags) - 1, 0, -1):
             if tags[i] in SIBLINGS.get(tag, ()):
@@ -92,21 +104,60 @@ def read_tree(page: str) -> Node:
                 break
         names = {a.lower(): b or c or d for a, b, c, d in NAME.findall(m[4])}
         words = f"{names.get('class', '')} {names.get('id', '')}".strip()
-        inside = any(t in ("article", "main") for t in tags)
-        out = (tag in OUT_TAGS and not (tag in ("header", "figcaption") and inside)) or bool(words and OUT_WORDS.search(words)) or names.get("role", "") in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
+        inside = open_["article"] + open_["main"] > 0
+        named = bool(words and OUT_WORDS.search(words))
+        out = (tag in OUT_TAGS and not (tag in ("header", "figcaption") and inside)) or names.get("role", "") in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
+        sure, out = out, out or named
         if tag in ("body", "html", "article", "main") and tag not in OUT_TAGS:
-            out = tag == "article" and bool(regex.search(r"comment|reply", words, regex.I))
+            sure, out = True, tag == "article" and bool(regex.search(r"comment|reply", words, regex.I)) and not OWN & set(words.split())
         classes, name = ([x for x in sorted(names.get("class", "").split()) if not VOLATILE.search(x)][:3], names.get("id", "")) if tag not in ONCE else ([], "")
         label = ".".join([tag, *classes]) + ("#" + name if name and not VOLATILE.search(name) else "")
         node = Node("main" if names.get("role") == "main" else label, out)
+        if out and not sure:
+            doubtful.append((node, bool(TALK.search(words)) and not OWN & set(words.split())))
         stack[-1].parts.append(node)
         if tag not in VOID:
-            stack.append(node)
+            stack.append(node if len(stack) < DEPTH or (out and not stack[-1].out) else stack[-1])
             tags.append(tag)
+            open_[tag] += 1
             link = 0
+    if doubtful:
+        _keep_articles(root, doubtful)
     return root
 
 
+def _keep_articles(root: Node, doubtful: list[tuple[Node, bool]]) -> None:
+    """A class word alone drops no part that holds most of the page's text, nor a part named as related in which most of the text
+    isn't in links; what it encloses is judged on its own. doubtful: those parts and whether they are readers' talk, which is
+    never kept for its size, unless it encloses most text within an element named article or main."""
+    talk, asked = {id(n) for n, is_talk in doubtful if is_talk}, {id(n) for n, _ in doubtful}
+    text: dict[int, tuple[int, int, int]] = {}  # characters outside of parts that go for sure; those in links; those in articles
+
+    def add(n: Node, kids: list[Node]) -> None:
+        own = [len(" ".join(p[0].split())) for p in n.parts if not isinstance(p, Node)]
+        links = sum(c for c, p in zip(own, (p for p in n.parts if not isinstance(p, Node)), strict=True) if p[1])
+        below = [text[id(k)] for k in kids if not (k.out and (id(k) not in asked or id(k) in talk)) or text[id(k)][2]]
+        chars = sum(own) + sum(x[0] for x in below)
+        held = chars if n.label.split(".")[0].split("#")[0] in ("article", "main") and not n.out else sum(x[2] for x in below)
+        text[id(n)] = (chars, links + sum(x[1] for x in below), held)
+
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        kids = [p for p in n.parts if isinstance(p, Node)]
+        order.append((n, kids))
+        todo += kids
+    for n, kids in reversed(order):
+        add(n, kids)
+    every = text[id(root)][0]
+    for n, is_talk in doubtful:
+        chars, links, held = text[id(n)]
+        most = 2 * (held if is_talk else chars - links) > every
+        related = not is_talk and RELATED.search(n.label) and chars and 2 * links < chars
+        if most or related:
+            n.out = False
+
+
 def shape_of(page: Node) -> Node:
     """A page's tree with text lengths and runs of equal children folded: the wrapper of this page alone."""
     out = Node(page.label, page.out)
@@ -344,9 +395,10 @@ def extract_main_text(pages: DataFrame, *, url: str = "url", page: str = "html",
     empty table. The paths of the hosts' articles are broadcast only if they measure less than broadcast_mb; beyond that
     they are joined by host, each host dealt over 64 salts.
     """
+    pages, (url, page), back = hidden(pages, url, page)
     found = settled(infer_wrappers(pages, url=url, page=page).select(F.col("host").alias("_host"), F.col("articles").alias("_article")))
     size = found.agg(F.sum(F.length("_host") + F.length("_article"))).first()[0] or 0
-    d = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c not in ("text", "n_chars", "_host", "_article"))).withColumn("_host", host_of(F.col(f"`{url}`")))
+    d = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c not in ("text", "n_chars"))).withColumn("_host", host_of(F.col(f"`{url}`")))
     if size <= broadcast_mb * 1_000_000:
         d = d.join(F.broadcast(found), "_host", "left")
     else:
@@ -359,4 +411,4 @@ def extract_main_text(pages: DataFrame, *, url: str = "url", page: str = "html",
             text = ["\n".join(main_blocks(read_tree(h or ""), known[a])) for h, a in zip(batch.column(page).to_pylist(), batch.column("_article").to_pylist(), strict=True)]
             yield _plus(batch, {"text": pa.array(text, pa.string()), "n_chars": pa.array([len(t) for t in text], pa.int64())})
 
-    return d.mapInArrow(run, _schema(d, {"text": T.StringType(), "n_chars": T.LongType()})).drop("_host", "_article")
+    return d.mapInArrow(run, _schema(d, {"text": T.StringType(), "n_chars": T.LongType()})).drop("_host", "_article").withColumnsRenamed(back)

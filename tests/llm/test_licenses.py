@@ -2,7 +2,7 @@ import random
 import re
 
 from souklens.llm.license_signatures import signatures
-from souklens.llm.licenses import BASE, KEYWORDS, rules, scan_licenses
+from souklens.llm.licenses import BASE, KEYWORDS, lead, pieces, rules, scan_licenses
 
 
 def words_of(t):
@@ -69,3 +69,53 @@ def test_each_signature_is_found(spark):
         assert bare[k].n_words == words and sorted((d.start, d.length, d.label) for d in bare[k].detections) == kept
         assert any(start <= 1 and start + n >= words - 1 for start, n, _ in kept), p
     assert sum(label in bare[k].labels for k, (label, _, _) in enumerate(signatures())) > 0.95 * len(rows)
+
+
+def member(members):
+    """A character of a set, s before others."""
+    ops = [(str(op), v) for op, v in members]
+    if ops[0][0] == "NEGATE":
+        return "w"
+    return max((chr(v) if op == "LITERAL" else chr(v[0]) if op == "RANGE" else "3" for op, v in ops), key=lambda c: (c == "s", c))
+
+
+def ways(parts):
+    """Texts that a parsed pattern matches: every alternative once, optional parts left out and put in."""
+    out = [""]
+    for op, arg in parts:
+        if str(op) == "LITERAL":
+            own = [chr(arg)]
+        elif str(op) == "SUBPATTERN":
+            own = ways(arg[-1])
+        elif str(op) == "BRANCH":
+            own = [w for way in arg[1] for w in ways(way)]
+        elif str(op) in ("MAX_REPEAT", "MIN_REPEAT"):
+            own = [w * max(arg[0], 1) for w in ways(arg[2])] + ([""] if arg[0] == 0 else [])
+        else:
+            own = [member(arg)] if str(op) == "IN" else ["w"]
+        n = max(len(out), len(own))
+        out = [out[k % len(out)] + own[k % len(own)] for k in range(n)] if len(out) * len(own) > 4096 else [a + b for a in out for b in own]
+    return out
+
+
+def test_no_alternative_is_hidden_by_its_pieces():
+    """Whatever alternatives a match takes, it holds a piece of its rule, and the keyword of that piece."""
+    n = 0
+    for _, _, _, pattern, _ in rules():
+        found = pieces(pattern)
+        for w in ways(re._parser.parse(pattern)):
+            assert re.fullmatch(pattern, w), (pattern, w)
+            assert any(p in f" {w} " and lead(p) in w for p in found), (pattern, w, found)
+            n += 1
+    assert n > 3 * len(rules())
+
+
+def test_lost_alternatives_and_helper_names(spark):
+    texts = {"GPL version 3 or any later version": "gpl", "Apache Software Foundation version 2.0": "apache", "unless required by applicable law or agreed to in writing the work": None, "php 3.0 is out": ""}
+    df = spark.createDataFrame([(k, t, 1, 2, 3, 4) for k, t in enumerate(texts)], "doc_id long, text string, _t int, _low int, _hit int, _spans int")
+    got = scan_licenses(df)
+    assert got.columns[:6] == df.columns
+    for r in got.collect():
+        want = list(texts.values())[r.doc_id]
+        assert (r["_t"], r["_low"], r["_hit"], r["_spans"]) == (1, 2, 3, 4)
+        assert (r.labels == []) if want == "" else (want in r.labels if want else r.labels), r.text

@@ -70,3 +70,20 @@ def test_two_unnamed_templates(spark):
         rows.append((k, "http://a/", f"<html><body><div class=facts><p>quick facts</p></div><div class={part}><h1>t{k}</h1><p>{text}</div></body></html>", f"t{k}\n{text.strip()}"))
     got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()}
     assert got == {r[0]: r[3] for r in rows}
+
+
+def test_class_words_and_depth(spark):
+    """No class word empties an article, nested pages are read whole, and helper names don't clash."""
+    body = "<h1>t{k}</h1><p>" + "text {k} of some length " * 9 + "</p>"
+    talk = "<div class='comments'><p>" + "nice post " * 90 + "</p></div>"
+    want = lambda k: f"t{k}\n" + (f"text {k} of some length " * 9).strip()
+    rows = []
+    for k in range(8):
+        b = body.format(k=k)
+        rows.append((k, "http://a/", f"<body><div class='layout with-sidebar'>{b}<div class=sidebar><p>side</p></div></div>{talk}", want(k)))
+        rows.append((100 + k, "http://b/", f"<body><div class='post comments-open'>{b.replace('{k}', str(k))}</div>{talk}", want(k)))
+        rows.append((200 + k, "http://c/", f"<body><article>{b}<section class='related-work'><p>earlier work</p></section><div class=related><a href=/>more</a></div></article>", want(k) + "\nearlier work"))
+        rows.append((300 + k, "http://d/", "<div>" * 3000 + b + f"<nav>menu</nav>one<div>two</div>three" + "</div>" * 3000, want(k) + "\none\ntwo\nthree"))
+    df = spark.createDataFrame([(*r[:3], 5, 6) for r in rows], "page_id long, url string, html string, _host int, _article int").repartition(3)
+    got = {r.page_id: (r.text, r["_host"], r["_article"]) for r in extract_main_text(df).collect()}
+    assert got == {r[0]: (r[3], 5, 6) for r in rows}
