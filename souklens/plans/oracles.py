@@ -94,11 +94,12 @@ SELECT url_key AS product_key, 'n' || arg_max(seq, {{'a': CASE WHEN seq % 2 = 0
 
 
 def _structured() -> dict[str, str]:
+    from souklens.plans.enrich_queries import ORACLES as asked
     from souklens.plans.export_queries import ORACLES as tables
     from souklens.plans.page_queries import ORACLES as pages
     from souklens.plans.structured_queries import ORACLES as more
 
-    return more | pages | tables
+    return more | pages | tables | asked
 
 
 ORACLES |= _structured()
