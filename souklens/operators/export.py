@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from souklens.functions.numbers import convert_currency_unit, convert_dimension, convert_weight, format_decimal
 from souklens.functions.text import category_cell, clean_text, csv_field, escape_description, multi_value
+from souklens.operators.attributes import align_variations, clean_attributes
 from souklens.operators.keys import assign_handles
 from souklens.operators.resolve import link_variations
 from souklens.plans.lineage import settled
@@ -92,12 +93,14 @@ def money_cell(price: Column, currency: str, unit: str, strict: bool = False) ->
     return F.struct(cell.alias("cell"), code.alias("code"))
 
 
-def woo_import(products: DataFrame, *, currency: str = "USD", unit: str = "toman", weight: str = "kg", dimension: str = "cm", mode: str = "structured-only", default_in_stock: bool = True, published: str = "1", keep_orphans: bool = False, source_column: str | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def woo_import(products: DataFrame, *, currency: str = "USD", unit: str = "toman", weight: str = "kg", dimension: str = "cm", mode: str = "structured-only", default_in_stock: bool = True, published: str = "1", keep_orphans: bool = False, source_column: str | None = None, strict: bool = False, repair: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, issues, stats) of products as finalize_products and assign_skus give them, with weight, dimensions, attributes and seq:
     24 columns, four for each attribute of the widest product, one for the source if asked for.
 
     Variations stand with their parent (parent_sku), position from 0; a parent with variations is variable and has no price;
-    variations without a parent are dropped or kept, and reported. The width is one aggregate over the table."""
+    variations without a parent are dropped or kept, and reported. A parent and its variations share their slots, in the parent's
+    spelling; repair: values and attributes that the parent lacks are added to it, else reported (`align_variations`; no two rows
+    share a seq). The width is one aggregate over the table."""
     products = settled(products)
     d = link_variations(products.withColumn("sku", F.col("sku_out")))
     parents = products.where("kind <> 'variation'").withColumn("sku", F.col("sku_out"))
@@ -107,6 +110,12 @@ def woo_import(products: DataFrame, *, currency: str = "USD", unit: str = "toman
     kids = d.withColumns({"_type": F.lit("variation"), "_parent": F.coalesce("parent_key", "parent_sku", F.lit("")), "_position": text(place), "_orphan": F.col("parent_key").isNull()}).drop("parent_key")
     every = parents.withColumn("_orphan", F.lit(False)).unionByName(kids)
     every = every.withColumns({"_sale": money_cell(F.col("price.sale"), currency, unit, strict), "_regular": money_cell(F.col("price.regular"), currency, unit, strict)})
+    slots, worn, unlike = align_variations(parents.select(F.col("sku").alias("parent"), "attributes"), kids.where("not _orphan").select(F.col("_parent").alias("parent"), "seq", "attributes"), repair=repair)
+    every = every.withColumn("_group", F.when(F.col("_type") != "variation", F.col("sku")).when(~F.col("_orphan"), F.col("_parent")))
+    every = every.join(slots.withColumnRenamed("parent", "_group"), "_group", "left").join(worn, "seq", "left")
+    mine = F.transform("slots", lambda s, i: F.struct(s["name"].alias("name"), F.when(F.col("_type") != "variation", s["values"]).otherwise(F.array_compact(F.array(F.get("values", i)))).alias("values")))
+    alone = F.transform(clean_attributes("attributes"), lambda s: F.struct(s["name"].alias("name"), s["values"].alias("values")))
+    every = every.withColumn("attributes", F.when(F.col("_group").isNull(), alone).otherwise(mine)).drop("_group", "slots", "values")
     every = settled(every)  # rows, width, issues and stats are made of it
     rows = every if keep_orphans else every.where("not _orphan")
     priced = F.col("_type") != "variable"
@@ -130,6 +139,7 @@ def woo_import(products: DataFrame, *, currency: str = "USD", unit: str = "toman
         F.when(F.exists("category_path", lambda x: F.contains(x, F.lit(">"))), "category-separator-in-name"),
     ))
     issues = every.select("seq", "sku", "source_url", F.explode(found).alias("code"))
+    issues = issues.unionByName(every.select("seq", "sku", "source_url").join(unlike.select("seq", "code"), "seq"))
     stats = rows.agg(*[F.count(F.when(F.col("_type") == k, 1)).alias(k) for k in ("simple", "variable", "variation")], F.count(F.when(F.col("sku_generated"), 1)).alias("skus_generated"), F.count(F.when(F.col("sku_changed"), 1)).alias("skus_deduplicated"), F.coalesce(F.max(F.size("attributes")), F.lit(0)).alias("attribute_columns"))
     return out, issues, stats
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from souklens.operators import export as X, reports as R
+from souklens.operators.attributes import align_variations
+from souklens.operators.keys import assign_skus
 from souklens.plans.queries import _log, query, read
 
 
@@ -103,7 +105,63 @@ def _cell(x: str) -> str:
 
 
 _PARTS = "SELECT *, p_partkey AS k, p_partkey % 4 AS m, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS n FROM part"
+def _sized(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Brands with the sizes to 25 that they have, and their parts with a size in one of two spellings, every third with two tints."""
+    p, k = read(spark, d, "part"), F.col("p_partkey")
+    attribute = lambda name, values: F.struct(F.lit(name).alias("name"), values.alias("values"), F.lit(None).cast("boolean").alias("is_variation_axis"))
+    size = F.concat(F.when(k % 2 == 0, "s").otherwise("S"), F.col("p_size").cast("string"))
+    own = p.groupBy(F.col("p_brand").alias("parent")).agg(F.array_sort(F.collect_set(F.when(F.col("p_size") <= 25, F.concat(F.lit("S"), F.col("p_size").cast("string"))))).alias("v"))
+    kids = p.select(F.col("p_brand").alias("parent"), k.alias("seq"), F.array_compact(F.array(attribute("size", F.array(size)), F.when(k % 3 == 0, attribute("Tint", F.array(F.lit(" "), F.split("p_type", " ")[0], F.lit("x")))))).alias("attributes"))
+    return own.select("parent", F.array(attribute("Size", F.col("v"))).alias("attributes")), kids
+
+
+def _both(spark: SparkSession, d: str, show) -> DataFrame:
+    return show(*align_variations(*_sized(spark, d))).withColumn("repair", F.lit(True)).unionByName(show(*align_variations(*_sized(spark, d), repair=False)).withColumn("repair", F.lit(False)))
+
+
+@query
+def aligned_values(spark: SparkSession, d: str) -> DataFrame:
+    """What each part has in each of its brand's slots, with repair and without, and what was told of it."""
+
+    def show(_, values: DataFrame, issues: DataFrame) -> DataFrame:
+        codes = issues.groupBy("seq").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
+        return values.select("seq", F.get("values", F.lit(0)).alias("size"), F.get("values", F.lit(1)).alias("tint")).join(codes, "seq", "full").withColumn("codes", F.coalesce("codes", F.lit("")))
+
+    return _both(spark, d, show)
+
+
+@query
+def aligned_slots(spark: SparkSession, d: str) -> DataFrame:
+    """The slots of each brand, with repair and without: their values and whether parts differ by them."""
+    return _both(spark, d, lambda slots, *_: slots.select("parent", F.posexplode("slots").alias("slot", "s")).select("parent", F.col("slot").cast("long").alias("slot"), "s.name", F.array_join("s.values", ",").alias("values"), F.col("s.is_variation_axis").alias("axis")))
+
+
+@query
+def import_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Attribute columns of an import of products and variations that lack some of each other's attributes."""
+    p = _shop_products(spark, d).withColumns({"brand": F.lit(None).cast("string"), "dimensions": F.lit(None).cast("struct<length:struct<value:double,unit:string>,width:struct<value:double,unit:string>,height:struct<value:double,unit:string>>")})
+    rows, _, _ = X.woo_import(assign_skus(p.withColumn("attribute_values", F.flatten(F.transform("attributes", lambda a: a["values"])))), currency="EUR")
+    shown = [F.col(f"`Attribute {k} {what}`").alias(f"{what[0]}{k}") for k in (1, 2, 3) for what in ("name", "value(s)")]
+    return rows.select("seq", "Type", F.col("Position").alias("position"), *shown)
+
+
+_USES = """SELECT p_partkey AS seq, p_brand AS b, p_size, CASE WHEN p_partkey % 2 = 0 THEN 's' ELSE 'S' END || p_size AS v, p_size <= 25 AS has, p_partkey % 3 = 0 AS t, split_part(p_type, ' ', 1) AS tint,
+      row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) = 1 AS f, first_value(CASE WHEN p_partkey % 2 = 0 THEN 's' ELSE 'S' END || p_size) OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS fv,
+      row_number() OVER (PARTITION BY p_brand, p_partkey % 3 = 0 ORDER BY p_partkey) = 1 AS tf, row_number() OVER (PARTITION BY p_brand, p_partkey % 3 = 0, split_part(p_type, ' ', 1) ORDER BY p_partkey) = 1 AS tvf FROM part"""
 ORACLES = {
+    "aligned_values": f"""WITH u AS ({_USES}), c AS (SELECT *, CASE WHEN has THEN 'S' || p_size ELSE fv END AS m FROM u)
+      SELECT seq, m AS size, CASE WHEN t THEN tint END AS tint, array_to_string(list_sort(list_filter([CASE WHEN t THEN 'variation-multiple-values' END, CASE WHEN t AND tf THEN 'variation-attribute-not-on-parent' END, CASE WHEN t AND tvf THEN 'variation-value-added-to-parent' END,
+        CASE WHEN NOT has AND f THEN 'variation-value-added-to-parent' WHEN v <> m THEN 'variation-value-normalized' END], lambda x: x IS NOT NULL)), ',') AS codes, true AS repair FROM c UNION ALL
+      SELECT seq, CASE WHEN has THEN m ELSE v END, NULL, array_to_string(list_sort(list_filter([CASE WHEN t THEN 'variation-multiple-values' END, CASE WHEN t THEN 'variation-attribute-not-on-parent' END,
+        CASE WHEN NOT has THEN 'variation-value-not-on-parent' WHEN v <> m THEN 'variation-value-normalized' END], lambda x: x IS NOT NULL)), ','), false FROM c""",
+    "aligned_slots": f"""WITH u AS ({_USES}), o AS (SELECT b, coalesce(list_sort(list_distinct(list('S' || p_size) FILTER (has))), []) AS own, coalesce(list(v ORDER BY seq) FILTER (NOT has AND f), []) AS more, list(tint ORDER BY seq) FILTER (t AND tvf) AS tints FROM u GROUP BY b)
+      SELECT b AS parent, 0::BIGINT AS slot, 'Size' AS name, array_to_string(own || more, ',') AS values, true AS axis, true AS repair FROM o UNION ALL
+      SELECT b, 0, 'Size', array_to_string(own, ','), true, false FROM o UNION ALL SELECT b, 1, 'Tint', array_to_string(tints, ','), true, true FROM o WHERE tints IS NOT NULL""",
+    "import_slots": """WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS m, p_brand AS b FROM part)
+      SELECT k * 10 AS seq, CASE WHEN m IN (0, 3) THEN 'variable' ELSE 'simple' END AS "Type", '' AS position, CASE WHEN m = 0 THEN 'Size' ELSE 'Brand' END AS n1, CASE WHEN m = 0 THEN 'S, M' ELSE b END AS v1,
+        CASE m WHEN 0 THEN 'Brand' WHEN 3 THEN 'Size' ELSE '' END AS n2, CASE m WHEN 0 THEN b WHEN 3 THEN 'S, M' ELSE '' END AS v2, CASE WHEN m IN (0, 3) THEN 'Tint' ELSE '' END AS n3, CASE WHEN m IN (0, 3) THEN 'red' ELSE '' END AS v3 FROM p UNION ALL
+      SELECT k * 10 + 1, 'variation', '0', CASE WHEN m = 0 THEN 'Size' ELSE '' END, CASE WHEN m = 0 THEN 'S' ELSE '' END, CASE WHEN m = 3 THEN 'Size' ELSE '' END, CASE WHEN m = 3 THEN 'S' ELSE '' END, 'Tint', 'red' FROM p WHERE m IN (0, 3) UNION ALL
+      SELECT k * 10 + 2, 'variation', '1', CASE WHEN m = 0 THEN 'Size' ELSE '' END, CASE WHEN m = 0 THEN 'M' ELSE '' END, CASE WHEN m = 3 THEN 'Size' ELSE '' END, CASE WHEN m = 3 THEN 'M' ELSE '' END, '', '' FROM p WHERE m IN (0, 3)""",
     "shopify_import": f"""WITH p AS (SELECT *, 'w' || p_size || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS h, 'W' || p_size AS name, split_part(p_type, ' ', -1) AS last FROM ({_PARTS})),
       i AS (SELECT k, k % 2 = 0 AS has FROM p),
       v AS (SELECT k * 10 AS seq, 0 AS part, k * 10 AS place, h AS handle, name AS title, last AS type, CASE WHEN m < 3 THEN 'P' || k ELSE '' END AS sku, 'Title' AS n1, 'Default Title' AS v1, '' AS n2, '' AS v2, CASE WHEN k % 5 = 0 THEN {_cell("p_retailprice / 2")} ELSE {_cell("p_retailprice")} END AS price,
