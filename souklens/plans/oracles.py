@@ -97,9 +97,10 @@ def _structured() -> dict[str, str]:
     from souklens.plans.enrich_queries import ORACLES as asked
     from souklens.plans.export_queries import ORACLES as tables
     from souklens.plans.page_queries import ORACLES as pages
+    from souklens.plans.store_queries import ORACLES as stores
     from souklens.plans.structured_queries import ORACLES as more
 
-    return more | pages | tables | asked
+    return more | pages | tables | asked | stores
 
 
 ORACLES |= _structured()
