@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
-from .blocks import block_ranges, bucket_of, by_bucket, byte_values, chunked, in_sorted, one, pack, rolling, sized, sliding_argmin, spans_hash, texts_of, two
+from .blocks import block_ranges, bucket_of, by_bucket, byte_values, chunked, hidden, in_sorted, one, pack, rolling, sized, sliding_argmin, spans_hash, texts_of, two
 from .substring_rlz import ANSWER, _index_seeds, _rows
 
 STRINGS = "bucket long, _chunk long, a binary, b binary, c binary, d binary, e binary, f binary"
@@ -216,11 +216,12 @@ def bwt_dedup(docs: DataFrame, *, width: int = 200, gram: int = 24, text: str =
     A byte goes if a string of `width` bytes over it also starts anywhere else, in its own document too; every copy goes,
     the first included. Strings never cross documents and are judged on the input. Defined cases: a null text is empty;
     null and repeated ids are documents like others; shorter texts stay whole; an empty table gives an empty table; other
-    columns pass through, but for columns of the names that are added, which are replaced. What is kept may cut a UTF-8
+    columns pass through, but for columns of the names that are added, in any case, which are replaced. What is kept may cut a UTF-8
     character in two, hence bytes.
     """
     new = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_bytes": T.BinaryType()}
-    names = [c for c in docs.columns if c not in new and c != "_chunk"]
+    docs, (text, doc_id), back = hidden(docs, text, doc_id)
+    names = [c for c in docs.columns if c.lower() not in new]
     chunks, buckets = sized(docs, text, chunk_mb, bucket_mb)
     at = {"text": text, "width": width, "gram": gram}
     dealt = chunked(docs.select(*(f"`{c}`" for c in names)), chunks, doc_id, text).groupBy("_chunk")
@@ -230,4 +231,4 @@ def bwt_dedup(docs: DataFrame, *, width: int = 200, gram: int = 24, text: str =
     strings = dealt.cogroup(seeds.groupBy("_chunk")).applyInArrow(two(_send_strings, buckets=buckets, **at), STRINGS)
     places = strings.groupBy("bucket").applyInArrow(one(_index_strings, width=width), ANSWER)
     kinds = T.StructType([docs.schema[c] for c in names] + [T.StructField(k, v) for k, v in new.items()])
-    return dealt.cogroup(seeds.unionByName(places).groupBy("_chunk")).applyInArrow(two(_cut, names=names, **at), kinds)
+    return dealt.cogroup(seeds.unionByName(places).groupBy("_chunk")).applyInArrow(two(_cut, names=names, **at), kinds).withColumnsRenamed(back)

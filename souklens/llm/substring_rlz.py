@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .blocks import NULL_ID, block_ranges, bucket_of, by_bucket, chunked, ids_of, in_sorted, mix, one, pack, rolling, sized, sliding_argmin, texts_of, two, word_hashes, word_spans
+from .blocks import NULL_ID, block_ranges, bucket_of, by_bucket, chunked, hidden, ids_of, in_sorted, mix, one, pack, rolling, sized, sliding_argmin, texts_of, two, word_hashes, word_spans
 
 SEND = "bucket long, _chunk long, a binary, b binary, c binary, d binary"
 ANSWER = "_chunk long, a binary, b binary, c binary, d binary, e binary"
@@ -224,10 +224,11 @@ def rlz_dedup(docs: DataFrame, *, width: int = 20, gram: int = 8, text: str = "t
     A word goes if a window of `width` words over it also starts earlier: in a document of smaller id, or earlier in its
     own. Windows are judged on the input. Defined cases: a null text is empty; a null id sorts last; rows of one id are one
     place, so neither is earlier than the other; texts shorter than a window stay whole; an empty table gives an empty
-    table; other columns pass through, but for columns of the names that are added, which are replaced. Kept words are
+    table; other columns pass through, but for columns of the names that are added, in any case, which are replaced. Kept words are
     joined by one space. Windows around a seed that stands at more than `common` places are dealt over all buckets.
     """
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", "factors", "_chunk")]
+    docs, (text, doc_id), back = hidden(docs, text, doc_id)
+    names = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept_text", "factors")]
     chunks, buckets = sized(docs, text, chunk_mb, bucket_mb)
     at = {"text": text, "doc_id": doc_id, "width": width, "gram": gram}
     dealt = chunked(docs.select(*(f"`{c}`" for c in names)), chunks, doc_id, text).groupBy("_chunk")
@@ -235,5 +236,5 @@ def rlz_dedup(docs: DataFrame, *, width: int = 20, gram: int = 8, text: str = "t
     windows = dealt.cogroup(seeds.groupBy("_chunk")).applyInArrow(two(_send_windows, buckets=buckets, **at), SEND)
     places = windows.groupBy("bucket").applyInArrow(one(_index_windows), ANSWER)
     kinds = T.StructType([docs.schema[c] for c in names] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("factors", FACTOR)])
-    return dealt.cogroup(seeds.unionByName(places).groupBy("_chunk")).applyInArrow(two(_parse_blocks, names=names, **at), kinds)
+    return dealt.cogroup(seeds.unionByName(places).groupBy("_chunk")).applyInArrow(two(_parse_blocks, names=names, **at), kinds).withColumnsRenamed(back)
 

@@ -56,3 +56,11 @@ def test_columns_in_rounds():
         for x in range(count[k]):
             w = s[x : x + 6]
             assert got[k, x] == any(t[x - off[k] + o :][:6] == w and x - off[k] + o >= 0 for t, o in zip((a, b, c), off) if t is not s)
+
+
+def test_clashing_names_pass_through(spark):
+    rows = [(1, "x" * 50, 5, "u", 7, None), (None, None, 6, "v", 8, "w")]
+    df = spark.createDataFrame(rows, "`_id` long, `_text` string, `_chunk` long, u_chunk string, N_Bytes long, bucket string")
+    out = bwt_dedup(df, width=40, gram=12, text="_text", doc_id="_id")
+    assert out.columns == ["_id", "_text", "_chunk", "u_chunk", "bucket", "n_bytes", "n_removed", "n_spans", "kept_bytes"]
+    assert sorted(tuple(r)[2:8] for r in out.collect()) == [(5, "u", None, 50, 50, 1), (6, "v", "w", 0, 0, 0)]

@@ -93,3 +93,11 @@ def test_windows_of_a_common_seed_are_spread(spark):
     rows += [(1000 + k, x) for k, x in rows[:9]]
     got = rlz_dedup(spark.createDataFrame(rows, "doc_id long, text string"), chunk_mb=0.002, bucket_mb=0.003, common=20).withColumn("h", F.sha2(F.col("kept_text").cast("binary"), 256))
     assert {x.doc_id: (x.n_words, x.n_removed, x.h) for x in got.collect()} == brute(rows)
+
+
+def test_clashing_names_pass_through(spark):
+    text = " ".join(f"w{k}" for k in range(25))
+    df = spark.createDataFrame([(1, text, 5, "u", 7), (2, text, 6, "v", 8), (None, None, 7, "w", 9)], "`_id` long, `_text` string, `_chunk` long, u_chunk string, Factors long")
+    out = rlz_dedup(df, text="_text", doc_id="_id")
+    assert out.columns == ["_id", "_text", "_chunk", "u_chunk", "n_words", "n_removed", "kept_text", "factors"]
+    assert sorted(tuple(r)[2:6] for r in out.collect()) == [(5, "u", 25, 0), (6, "v", 25, 25), (7, "w", 0, 0)]
