@@ -134,9 +134,9 @@ def page_controls(pages: DataFrame) -> DataFrame:
 
 
 def detect_pagination(pages: DataFrame) -> DataFrame:
-    """(page_id, strategy, next_url, current_page, last_page, automatable) of pages (page_id, url, html), the first that holds: a stated
+    """(page_id, strategy, next_url, current_page, last_page, automatable, signals) of pages (page_id, url, html), the first that holds: a stated
     successor, a numbered link to the page after this one, a numbered list that ends here, a control that loads more (with the
-    address in its attributes, or the number of a numbered link), endless scrolling, none."""
+    address in its attributes, or the number of a numbered link), endless scrolling, none. signals: in words, what it was told by."""
     d = _parsed(_own(pages, "url"), CONTROLS, _listed).withColumn("_h", F.lower("html")).drop("html")
     link = lambda h: canonical_url(resolve_url(F.when(F.trim(h) != "", h), F.col("url"), only_http=True))
     d = d.withColumns({"current_page": F.coalesce(page_number(F.col("url")), F.lit(1).cast("long")), "_self": canonical_url(F.col("url")), "_rel": F.transform("rel_next", link), "_nav": F.transform("nav", link)})
@@ -145,18 +145,22 @@ def detect_pagination(pages: DataFrame) -> DataFrame:
     at = lambda page: F.try_element_at(F.filter("_links", lambda s: s["page"] == page), F.lit(1))["url"]
     rel = F.try_element_at(F.array_compact(F.col("_rel")), F.lit(1))
     words = F.array(*[fold_for_compare(F.lit(w)) for w in LOAD_MORE])
-    labelled = F.exists("buttons", lambda t: F.exists(words, lambda w: F.contains(fold_for_compare(clean_text(t)), w)))
-    stated = F.array_compact(F.flatten(F.transform("attrs", lambda a: F.transform(F.array(*map(F.lit, URL_ATTRS)), lambda k: link(F.try_element_at(a, k))))))
+    label = F.try_element_at(F.filter("buttons", lambda t: F.exists(words, lambda w: F.contains(fold_for_compare(clean_text(t)), w))), F.lit(1))
+    stated = F.filter(F.flatten(F.transform("attrs", lambda a: F.transform(F.array(*map(F.lit, URL_ATTRS)), lambda k: F.struct(link(F.try_element_at(a, k)).alias("url"), k.alias("k"))))), lambda x: x["url"].isNotNull())
     number = F.try_element_at(F.filter(F.flatten(F.transform("attrs", lambda a: F.transform(F.array(*map(F.lit, PAGE_ATTRS)), lambda k: F.trim(F.try_element_at(a, k))))), lambda t: t.rlike(r"^\d+$")), F.lit(1)).try_cast("long")
-    d = d.withColumns({"_next": at(F.col("current_page") + 1), "_stated": F.try_element_at(stated, F.lit(1)), "_number": number, "_more": F.col("explicit") | labelled, "_first": rel})
-    scroll = F.col("scroll") | F.exists(F.array(*map(F.lit, SCROLLERS)), lambda m: F.contains(F.col("_h"), m))
-    more_url = F.coalesce("_stated", F.when(F.col("_number") > F.col("current_page"), at(F.col("_number"))))
-    plan = lambda name, url: F.struct(F.lit(name).alias("strategy"), url.cast("string").alias("next_url"))
+    d = d.withColumns({"_next": at(F.col("current_page") + 1), "_stated": F.try_element_at(stated, F.lit(1)), "_number": number, "_label": clean_text(label), "_first": rel})
+    marker = F.try_element_at(F.filter(F.array(*map(F.lit, SCROLLERS)), lambda m: F.contains(F.col("_h"), m)), F.lit(1))
+    scroll = F.when(F.col("scroll"), "infinite-scroll markup").otherwise(F.concat(marker, F.lit(" in page scripts")))
+    more = F.when(F.col("explicit"), "load-more control").otherwise(F.concat(F.lit('control labelled "'), F.col("_label"), F.lit('"')))
+    where = F.concat(F.lit("next page URL in "), F.col("_stated.k"))
+    page, last = F.col("current_page").cast("string"), F.col("last_page").cast("string")
+    more_url = F.coalesce("_stated.url", F.when(F.col("_number") > F.col("current_page"), at(F.col("_number"))))
+    plan = lambda name, url, *told: F.struct(F.lit(name).alias("strategy"), url.cast("string").alias("next_url"), (F.array_compact(F.array(*told)) if told else F.array().cast("array<string>")).alias("signals"))
     chosen = (
-        F.when(F.col("_first") != F.col("_self"), plan("rel-next", F.col("_first"))).when(F.col("_next").isNotNull(), plan("numbered", F.col("_next")))
-        .when(F.col("current_page") >= F.col("last_page"), plan("none", F.lit(None))).when(F.col("_more"), plan("load-more", more_url)).when(scroll, plan("infinite-scroll", F.lit(None))).otherwise(plan("none", F.lit(None)))
+        F.when(F.col("_first") != F.col("_self"), plan("rel-next", F.col("_first"), F.lit('rel="next" link'))).when(F.col("_next").isNotNull(), plan("numbered", F.col("_next"), F.concat(F.lit("numbered pagination, page "), page, F.lit(" of "), last)))
+        .when(F.col("current_page") >= F.col("last_page"), plan("none", F.lit(None), F.concat(F.lit("numbered pagination exhausted at page "), last))).when(more.isNotNull(), plan("load-more", more_url, more, where)).when(scroll.isNotNull(), plan("infinite-scroll", F.lit(None), scroll)).otherwise(plan("none", F.lit(None)))
     )
-    return d.withColumn("p", chosen).select("page_id", "p.strategy", "p.next_url", "current_page", "last_page", F.col("p.next_url").isNotNull().alias("automatable"))
+    return d.withColumn("p", chosen).select("page_id", "p.strategy", "p.next_url", "current_page", "last_page", F.col("p.next_url").isNotNull().alias("automatable"), "p.signals")
 
 
 def shop_currency(html: Column, fallback: str | None = None) -> Column:

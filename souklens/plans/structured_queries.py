@@ -115,8 +115,7 @@ def platforms(spark: SparkSession, d: str) -> DataFrame:
     return D.detect_platforms(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html"))).select("page_id", "target", "confidence", F.array_join("labels", ",").alias("labels"), "adapter", F.col("rank").cast("long").alias("rank"))
 
 
-@query
-def pagination_plans(spark: SparkSession, d: str) -> DataFrame:
+def _paged(spark: SparkSession, d: str) -> DataFrame:
     """Pages that state their successor in every way there is."""
     o = read(spark, d, "orders")
     k, n = F.col("o_orderkey") % 7, (F.col("o_orderkey") % 3 + 1).cast("string")
@@ -126,7 +125,18 @@ def pagination_plans(spark: SparkSession, d: str) -> DataFrame:
         .when(k == 4, F.concat(F.lit('<a rel="prev next" href="'), F.lit("https://s.example.com/c/page/"), n, F.lit('/">'))).when(k == 5, '<a class="button">buy</a><div class="js-load-more">').otherwise("<p>x")
     )
     pages = o.select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("https://s.example.com/c/page/"), n, F.lit("/")).alias("url"), html.alias("html"))
-    return D.detect_pagination(pages)
+    return pages
+
+
+@query
+def pagination_plans(spark: SparkSession, d: str) -> DataFrame:
+    return D.detect_pagination(_paged(spark, d)).drop("signals")
+
+
+@query
+def pagination_signals(spark: SparkSession, d: str) -> DataFrame:
+    """What each plan was told by, in words."""
+    return D.detect_pagination(_paged(spark, d)).select("page_id", F.array_join("signals", "; ").alias("signals"))
 
 
 @query
@@ -202,6 +212,8 @@ ORACLES |= {
       SELECT page_id, 'woocommerce' AS target, 0.9::DOUBLE AS confidence, 'generator meta names WooCommerce,body class woocommerce-page' AS labels, true AS adapter, 1::BIGINT AS rank FROM a WHERE k = 0
       UNION ALL SELECT page_id, 'shopify', 0.3, 'shopify-features script', true, 1 FROM a WHERE k = 1 UNION ALL SELECT page_id, 'nextjs', 1.0, '__NEXT_DATA__ script,/_next/static asset path', true, 1 FROM a WHERE k = 2
       UNION ALL SELECT page_id, 'unknown', 0.0, '', false, 1 FROM a WHERE k = 3 UNION ALL SELECT page_id, 'opencart', 0.8, 'catalog/view/theme asset,index.php?route= link', false, 1 FROM a WHERE k = 4 UNION ALL SELECT page_id, 'shopify', 0.4, 'myshopify.com host', true, 2 FROM a WHERE k = 4""",
+    "pagination_signals": """SELECT o_orderkey AS page_id, CASE o_orderkey % 7 WHEN 0 THEN 'rel="next" link' WHEN 1 THEN CASE WHEN o_orderkey % 3 < 2 THEN 'numbered pagination, page ' || (o_orderkey % 3 + 1) || ' of 3' ELSE 'numbered pagination exhausted at page 3' END
+      WHEN 2 THEN 'control labelled "Load MORE products"; next page URL in data-next' WHEN 3 THEN 'infinite-scroll markup' WHEN 5 THEN 'load-more control' ELSE '' END AS signals FROM orders""",
     "pagination_plans": """WITH a AS (SELECT o_orderkey AS page_id, o_orderkey % 7 AS k, o_orderkey % 3 + 1 AS n, 'https://s.example.com/c/page/' AS u FROM orders),
       b AS (SELECT *, CASE k WHEN 0 THEN 'rel-next' WHEN 1 THEN CASE WHEN n < 3 THEN 'numbered' ELSE 'none' END WHEN 2 THEN 'load-more' WHEN 3 THEN 'infinite-scroll' WHEN 5 THEN 'load-more' ELSE 'none' END AS strategy,
         CASE k WHEN 0 THEN u || '9' WHEN 1 THEN CASE WHEN n < 3 THEN u || (n + 1) END WHEN 2 THEN u || n || '/x?page=4' END AS next_url FROM a)
