@@ -69,28 +69,29 @@ def format_decimal(c: Column, places: int = 6) -> Column:
 
 def detect_currency(c: Column) -> Column:
     """struct(currency, unit): the first token in order; a unit only from a word for it."""
-    folded = fold_for_compare(c)
-    kind = "struct<currency:string,unit:string>"
-    hit = None
-    for token, currency, unit, word in CURRENCIES:
-        ok = folded.rlike(rf"(?<![\p{{L}}\p{{N}}]){token}(?![\p{{L}}\p{{N}}])") if word else F.contains(folded, F.lit(token))
-        value = F.struct(F.lit(currency).alias("currency"), F.lit(unit).cast("string").alias("unit"))
-        hit = F.when(ok, value) if hit is None else hit.when(ok, value)
-    return hit.otherwise(F.lit(None).cast(kind))
 
+    def first(folded: Column) -> Column:
+        hit = F
+        for token, currency, unit, word in CURRENCIES:
+            ok = F.contains(folded, F.lit(token))
+            ok = ok & folded.rlike(rf"(?<![\p{{L}}\p{{N}}]){token}(?![\p{{L}}\p{{N}}])") if word else ok
+            hit = hit.when(ok, F.struct(F.lit(currency).alias("currency"), F.lit(unit).cast("string").alias("unit")))
+        return hit.otherwise(F.lit(None).cast("struct<currency:string,unit:string>"))
 
-def parse_money(c: Column, default_currency: str | Column | None = None, default_unit: str | None = None, ambiguous: str = "grouping", once: bool = False) -> Column:
+    return let(fold_for_compare(c), first)
+
+
+def parse_money(c: Column, default_currency: str | Column | None = None, default_unit: str | None = None, ambiguous: str = "grouping") -> Column:
     """struct(amount, currency, unit, ambiguous, unit_stated), null where the text has no number; without a currency it is empty. The
-    default unit is for IRR without one. once: each step is computed once, which within lambdas nothing else sees to."""
-    from .text import let
+    default unit is for IRR without one. Each step is computed once."""
 
-    def read(n: Column, d: Column) -> Column:
+    def read(s: Column) -> Column:
+        n, d = s["n"], s["d"]
         currency = F.coalesce(d["currency"], default_currency if isinstance(default_currency, Column) else F.lit(default_currency), F.lit(""))
         unit = F.coalesce(d["unit"], F.when(currency.isin("IRR", "IRT"), F.lit(default_unit)))
         return F.when(n["value"].isNotNull(), F.struct(n["value"].alias("amount"), currency.alias("currency"), unit.alias("unit"), n["ambiguous"].alias("ambiguous"), d["unit"].isNotNull().alias("unit_stated")))
 
-    n, d = parse_number(c, ambiguous), detect_currency(c)
-    return let(F.struct(n.alias("n"), d.alias("d")), lambda s: read(s["n"], s["d"])) if once else read(n, d)
+    return let(F.struct(parse_number(c, ambiguous).alias("n"), detect_currency(c).alias("d")), read)
 
 
 def convert_currency_unit(amount: Column, currency: Column, unit: Column, target: str) -> Column:
@@ -127,7 +128,7 @@ UNIT_WORDS = {
 
 
 def _named(table: dict[str, str], c: Column) -> Column:
-    return F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in table.items())), c)
+    return F.try_element_at(F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in table.items()))), c)
 
 
 def read_unit(text: Column, code: Column | None = None, unit_text: Column | None = None) -> Column:

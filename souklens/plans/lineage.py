@@ -28,6 +28,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df dealt evenly to tasks of about `rows` rows, two a core at least: for small files whose rows take long each, of which few tasks
+    would else read all."""
+    return df.repartition(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)))
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(id, component) for the ids in links (a, b): large-star and small-star steps until every id but the roots has one
     edge, to its root."""

@@ -189,7 +189,7 @@ def _index(r: Column) -> Column:
 def _with_offers(d: DataFrame, default_currency: str | None = None, default_unit: str | None = None) -> DataFrame:
     """_with_rows with offers: what the offers of each node come to: the cheapest one's regular and sale price (the first of equals), the
     range, whether any is in stock, the first stated quantity and SKU, and how many have a price."""
-    money = lambda text, currency: parse_money(text, F.coalesce(currency, F.lit(default_currency)), default_unit, once=True)
+    money = lambda text, currency: parse_money(text, F.coalesce(currency, F.lit(default_currency)), default_unit)
     texts = lambda o: F.struct(*[v.alias(x) for x, v in G.offer_texts(o).items()])
     moneys = lambda t: F.struct(t.alias("t"), money(t["now_text"], t["now_currency"]).alias("now"), money(t["list_text"], t["list_currency"]).alias("list"), money(t["high_text"], t["now_currency"]).alias("high"))
 
