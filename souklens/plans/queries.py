@@ -11,7 +11,7 @@ from souklens.functions import graph as G, numbers as N, text as T
 from souklens.operators import export as X, keys as K, reports as R, resolve as V
 from souklens.sources import api as A, markup as M
 from souklens.sources.structured import read_markup
-from souklens.plans.lineage import shared_folder
+from souklens.plans.lineage import shared_folder, spread
 from souklens.streaming import catalog as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +39,7 @@ def _pages(parts: DataFrame, body: Column) -> DataFrame:
 @query
 def jsonld_products(spark: SparkSession, d: str) -> DataFrame:
     """Product pages rendered from `part`, read back from JSON-LD, claimed and resolved."""
-    part = read(spark, d, "part")
+    part = spread(read(spark, d, "part"))
     doc = F.to_json(F.struct(F.lit("https://schema.org/Product").alias("@type"), F.col("p_name").alias("name"), F.concat(F.lit("P-"), "p_partkey").alias("sku"), F.struct(F.col("p_brand").alias("name")).alias("brand"), F.array(F.struct(F.format_string("%.2f", "p_retailprice").alias("price"), F.lit("USD").alias("priceCurrency"), F.lit("InStock").alias("availability"))).alias("offers")))
     nodes = M.dom_nodes(_pages(part, F.concat(F.lit('<script type="application/ld+json">'), doc, F.lit("</script>"))))
     p = M.offers_of(M.jsonld_products(M.jsonld_blocks(nodes)))
@@ -50,7 +50,7 @@ def jsonld_products(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def microdata_products(spark: SparkSession, d: str) -> DataFrame:
-    part = read(spark, d, "part")
+    part = spread(read(spark, d, "part"))
     body = F.concat(F.lit('<div itemscope itemtype="https://schema.org/Product"><h1 itemprop="name">'), _text("p_name"), F.lit('</h1><meta itemprop="brand" content="'), _text("p_brand"), F.lit('"><div itemprop="offers" itemscope itemtype="https://schema.org/Offer"><span itemprop="price" content="'), F.format_string("%.2f", "p_retailprice"), F.lit('">x</span></div></div>'))
     pages = _pages(part, body).withColumn("url", F.lit("https://shop.example.com/"))
     item = read_markup(pages).select("page_id", F.explode("items").alias("item")).select("page_id", F.parse_json("item").alias("v"))
@@ -61,13 +61,13 @@ def microdata_products(spark: SparkSession, d: str) -> DataFrame:
 @query
 def microdata_properties(spark: SparkSession, d: str) -> DataFrame:
     """The same pages in long form: each property with its nearest item."""
-    pages = read(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("<div itemscope itemtype='Product'>"), F.repeat(F.lit("<div>"), F.col("p_size").cast("int")), F.lit("<b itemprop='name'>"), _text("p_name"), F.lit("</b></div></div>")).alias("html"))
+    pages = spread(read(spark, d, "part")).select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("<div itemscope itemtype='Product'>"), F.repeat(F.lit("<div>"), F.col("p_size").cast("int")), F.lit("<b itemprop='name'>"), _text("p_name"), F.lit("</b></div></div>")).alias("html"))
     return M.microdata_properties(M.dom_nodes(pages)).select("page_id", "type", "prop", "value")
 
 
 @query
 def opengraph_products(spark: SparkSession, d: str) -> DataFrame:
-    part = read(spark, d, "part")
+    part = spread(read(spark, d, "part"))
     tag = lambda k, v: F.concat(F.lit(f'<meta property="{k}" content="'), v, F.lit('">'))
     kind = F.when(F.col("p_partkey") % 3 == 0, "website").otherwise("og:product")
     price = F.when(F.col("p_partkey") % 2 == 0, tag("product:price:amount", F.format_string("%.2f", "p_retailprice"))).otherwise("")
@@ -101,7 +101,7 @@ def parse_money_units(spark: SparkSession, d: str) -> DataFrame:
     k, x = F.pmod("p_partkey", F.lit(5)), F.format_number("p_retailprice", 2)
     text = F.when(k == 0, F.concat(x, F.lit(" تومان"))).when(k == 1, F.concat(x, F.lit(" rial"))).when(k == 2, F.concat(F.lit("$"), x)).when(k == 3, F.concat(x, F.lit(" EUR"))).otherwise(x)
     m = N.parse_money(text, default_currency="GBP")
-    return read(spark, d, "part").select("p_partkey", F.round(m["amount"], 2).alias("amount"), m["currency"].alias("currency"), m["unit"].alias("unit"), F.round(N.convert_currency_unit(m["amount"], m["currency"], m["unit"], "rial"), 2).alias("in_rial"))
+    return spread(read(spark, d, "part")).select("p_partkey", F.round(m["amount"], 2).alias("amount"), m["currency"].alias("currency"), m["unit"].alias("unit"), F.round(N.convert_currency_unit(m["amount"], m["currency"], m["unit"], "rial"), 2).alias("in_rial"))
 
 
 @query
