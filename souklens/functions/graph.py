@@ -27,11 +27,16 @@ def members(v: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()  # its schema would be that of all within it
 
 
 def is_text(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+    return F.coalesce(scalar_kind(v) == "STRING", F.lit(False))
+
+
+def scalar_kind(v: Column) -> Column:
+    """The type of a value that holds no others; null for objects and lists, whose schema would be that of all within."""
+    return F.when(~is_object(v) & F.try_variant_get(v, "$[0]", "variant").isNull(), F.schema_of_variant(v))
 
 
 def _nothing() -> Column:
@@ -52,7 +57,7 @@ def as_text(v: Column) -> Column:
     """A clean text, or a number as text; null for anything else and for blanks."""
 
     def text(x: Column) -> Column:
-        kind, raw = F.schema_of_variant(x), F.try_variant_get(x, "$", "string")
+        kind, raw = scalar_kind(x), F.try_variant_get(x, "$", "string")
         number = F.regexp_replace(F.regexp_replace(raw, r"^(-?\d+\.\d*?)0+$", "$1"), r"\.$", "")
         return F.when(kind == "STRING", clean_text(raw)).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"), number)
 

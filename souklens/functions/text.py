@@ -97,9 +97,11 @@ def encode_path(path: Column) -> Column:
 def canonical_url(c: Column) -> Column:
     """Lower-case scheme and host, no fragment, default port, tracking parameters or slash at a path's end; parameters in
     order of their names, form-encoded anew. What is no absolute URL comes back trimmed."""
-    t = F.trim(c)
-    scheme, host = F.lower(url_part(c, 1)), F.lower(url_part(c, 2))
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
+    return let(F.trim(c), lambda t: F.when(t.rlike(_URL), _canonical(t)).otherwise(t))
+
+
+def _canonical(c: Column) -> Column:
+    named_host = let(F.lower(url_part(c, 2)), lambda host: let(F.lower(url_part(c, 1)), lambda scheme: F.concat(scheme, F.lit("://"), F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host))))
     path = let(encode_path(url_part(c, 3)), lambda p: F.when(p.rlike("^/*$"), "/").otherwise(F.regexp_replace(p, "/+$", "")))
     decoded = lambda x: F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
     parts = F.filter(F.split(url_part(c, 4), "&"), lambda p: p != "")
@@ -108,7 +110,7 @@ def canonical_url(c: Column) -> Column:
     tracked = lambda n: reduce(lambda a, b: a | b, [F.startswith(n, F.lit(x)) for x in TRACKING_PREFIXES], n.isin(*TRACKING_PARAMS))
     kept = F.array_sort(F.filter(named, lambda s: ~tracked(F.lower(s["n"]))))
     query = F.array_join(F.transform(kept, lambda s: F.concat(F.url_encode(s["n"]), F.lit("="), F.url_encode(s["v"]))), "&")
-    return F.when(t.rlike(_URL), F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))).otherwise(t)
+    return F.concat(named_host, path, F.regexp_replace(F.concat(F.lit("?"), query), r"^\?$", ""))
 
 
 def resolve_url(href: Column, base: Column, only_http: bool = False) -> Column:

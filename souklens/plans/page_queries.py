@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from souklens.functions import text as T
-from souklens.plans.lineage import shared_folder
+from souklens.plans.lineage import shared_folder, spread
 from souklens.plans.queries import query, read
 from souklens.sources import embedded as E, profiles as P
 from souklens.streaming import state as S
@@ -27,7 +27,7 @@ CARDS = """<![foo[x]]><ul class="grid"><li class="tile card"><h3 class="title"><
 
 def carded_pages(spark: SparkSession, d: str) -> DataFrame:
     """A page of two cards for each part, and of a third one without a name for every third; every fifth has no id, and others' ids repeat."""
-    part = read(spark, d, "part")
+    part = spread(read(spark, d, "part"))
     html = F.lit(CARDS)
     promo = F.when(F.col("p_partkey") % 3 == 0, '<li class="card promo"><p>Only today').otherwise("")
     for mark, value in (("{k}", F.col("p_partkey").cast("string")), ("{p}", F.format_string("%.2f", "p_retailprice")), ("{promo}", promo)):
@@ -94,7 +94,7 @@ STATES = (
 
 def _rendered(spark: SparkSession, d: str, shapes: tuple[str, ...]) -> DataFrame:
     """A page for each part, in turn of each shape; every fifth has no id, and others' ids repeat."""
-    part, k = read(spark, d, "part"), F.col("p_partkey")
+    part, k = spread(read(spark, d, "part")), F.col("p_partkey")
     html = F.element_at(F.array(*map(F.lit, shapes)), (k % len(shapes) + 1).cast("int"))
     for mark, value in (("{k}", k.cast("string")), ("{b}", F.col("p_brand")), ("{p}", F.format_string("%.2f", "p_retailprice"))):
         html = F.replace(html, F.lit(mark), value)

@@ -230,7 +230,7 @@ def storefront_fields(node: Column, url: Column, currency: Column) -> Column:
 
 def _flat(d: DataFrame, keep: list[str]) -> DataFrame:
     """Rows of `rows`, each with its place (row, from 0), and the confidence of the shape."""
-    d = d.select(*keep, "source_url", "sure", F.posexplode("rows").alias("row", "r"))
+    d = d.select(*keep, "source_url", "sure", F.posexplode_outer("rows").alias("row", "r")).where("row is not null")  # outer: else a filter reads the rows once more
     r = lambda *names: [F.col(f"r.{n}").alias(n) for n in names]
     return d.select(*keep, "row", "source_url", *r("kind", "name", "description", "brand", "category_path", "tags", "images", "attributes", "sku", "in_stock"), F.col("r.price.regular").alias("regular"), F.col("r.price.sale").alias("sale"), F.when(F.col("r.grams").isNotNull(), F.struct(F.col("r.grams").alias("value"), F.lit("g").alias("unit"))).alias("weight"), F.col("sure").alias("confidence"))
 
@@ -246,7 +246,7 @@ def read_embedded_state(states: DataFrame) -> DataFrame:
     named = F.filter(addressed, lambda n: F.when(n["shape"] == "collection", G.as_text(G.get(node(n), "title"))).otherwise(_first_text(node(n), "title", "name")).isNotNull())
     d = states.withColumn("_n", named).withColumn("_u", F.transform("_n", lambda n: n["source_url"]))
     first = F.filter("_n", lambda n, i: F.array_position("_u", n["source_url"]) == i + 1)
-    d = d.select("page_id", "url", "currency", F.posexplode(first).alias("pos", "n")).select("page_id", "url", "currency", "pos", "n.*")
+    d = d.select("page_id", "url", "currency", F.posexplode_outer(first).alias("pos", "n")).where("pos is not null").select("page_id", "url", "currency", "pos", "n.*")
     shop = F.col("shape") == "collection"
     rows = F.when(shop, collection_fields(F.col("node"), url, F.col("currency"))).otherwise(storefront_fields(F.col("node"), url, F.col("currency")))
     d = d.withColumns({"rows": rows, "sure": F.when(shop, CONFIDENCE["api"]).otherwise(CONFIDENCE["json-ld-derived"])})

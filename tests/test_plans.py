@@ -23,3 +23,18 @@ def test_small_files_are_dealt_to_all_cores(spark):
     assert d.rdd.getNumPartitions() == 100
     assert sorted(r.id for r in d.collect()) == list(range(1000))
     assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_addresses_are_read_once(spark):
+    d = spark.createDataFrame([(" HTTP://A.example:80/p/?b=1&utm_source=x&a=2 ",), ("x",), (None,)], "u string").select(T.canonical_url(F.regexp_replace("u", "qqq", "")).alias("u"))
+    assert plan(d).count("qqq") == 1
+    assert [r.u for r in d.collect()] == ["http://a.example/p?a=2&b=1", "x", None]
+
+
+def test_no_filter_computes_what_is_exploded_again(spark):
+    from souklens.sources import embedded as E
+
+    states = spark.createDataFrame([(1, "https://s.example/", None, [("x", "collection", '{"title":"T","variants":[{"price":"1"}]}')])], E.STATES).repartition(1)
+    d = E.read_embedded_state(states)
+    assert not [x for x in plan(d).splitlines() if "Filter (" in x and "size(" in x[:400]]
+    assert [(r.name, r.regular.amount, r.row) for r in d.collect()] == [("T", 1.0, 0)]
