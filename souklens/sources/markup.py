@@ -132,7 +132,8 @@ def jsonld_products(blocks: DataFrame) -> DataFrame:
     whole pages and every field."""
     d = blocks.where("doc is not null").withColumn("_docs", F.array(F.try_parse_json("doc")))
     named = F.contains(F.col("doc"), F.lit('"@id"'))  # without names there is nothing to look up
-    d = d.select("page_id", "node_id", F.when(named, G.id_index(F.col("_docs"))).alias("_index"), F.posexplode(F.filter(G.flatten_graph(F.col("_docs")), G.is_product_node)).alias("pos", "_node"))
+    d = d.select("page_id", "node_id", F.when(named, G.id_index(F.col("_docs"))).alias("_index"), F.posexplode_outer(F.filter(G.flatten_graph(F.col("_docs")), G.is_product_node)).alias("pos", "_node"))
+    d = d.where("pos is not null")  # outer: else a filter opens the graph once more
     node, index = F.col("_node"), F.col("_index")
     text = lambda o, k: G.as_text(G.get(o, k)).alias(k)
     offer = lambda o: F.struct(*[text(o, k) for k in ("price", "priceCurrency", "availability", "lowPrice", "highPrice", "sku", "priceType")])
