@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from souklens.functions import graph as G
 from souklens.functions.numbers import availability, parse_number
 from souklens.functions.text import canonical_url, clean_text, fold_for_compare, let, normalize_type
-from souklens.plans.lineage import settled
 
-NODE = "page_id long, node_id int, parent_id int, depth int, tag string, attrs map<string,string>, text string"
+NODE = "page_id long, node_id int, parent_id int, depth int, tag string, attrs map<string,string>, text string, scope_id int"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 AUTO = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
 # Confidence of a value by where it was stated.
@@ -95,7 +94,8 @@ class PageTree(_Tree):
 
 
 def dom_nodes(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """One row per element: its own text, its parent, its depth; node_id counts in page order. Scripts stay, comments go.
+    """One row per element: its own text, its parent, its depth; node_id counts in page order; scope_id: the nearest element
+    above it with itemscope. Scripts stay, comments go.
 
     The only parse of a page; everything after it is relational. A null page has no elements.
     """
@@ -108,9 +108,12 @@ def dom_nodes(pages: DataFrame, page_id: str = "page_id", html: str = "html") ->
                     tree = _Tree()
                     tree.feed(page or "")
                     tree.close()
-                    rows += [(i, n, p, d, t, list(a.items()), "".join(x)) for n, p, d, t, a, x in tree.nodes]
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+                    scope: list[int | None] = []
+                    for n, p, d, t, a, x in tree.nodes:
+                        scope.append(None if p is None else p if "itemscope" in tree.nodes[p][4] else scope[p])
+                        rows.append((i, n, p, d, t, list(a.items()), "".join(x), scope[n]))
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32()]
+                cols = list(zip(*rows, strict=True)) if rows else [()] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in NODE.split(", ")])
 
     return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(html).alias("html")).mapInArrow(run, NODE)
@@ -158,27 +161,13 @@ def claims_of(rows: DataFrame, key: Column, fields: dict[str, Column], source: s
     return d.where("trim(c.value) <> ''").select("product_key", "c.field", "c.value", F.lit(CONFIDENCE[source]).alias("confidence"), F.lit(source).alias("source"), "seq")
 
 
-def microdata_properties(nodes: DataFrame, depth: int = 12) -> DataFrame:
-    """(page_id, item_id, type, prop, value): each property belongs to its nearest element with itemscope, however far up it is.
-
-    Found level by level; after each depth levels what is still open is written to the checkpoint folder, until nothing is.
-    """
-    nodes = settled(nodes)  # the parse; the steps below join it again and again
-    item = nodes.where(F.map_contains_key("attrs", F.lit("itemscope"))).select("page_id", F.col("node_id").alias("item_id"), F.col("attrs")["itemtype"].alias("type"))
-    up = nodes.select("page_id", F.col("node_id").alias("at"), F.col("parent_id").alias("up"), F.map_contains_key("attrs", F.lit("itemscope")).alias("scope"))
+def microdata_properties(nodes: DataFrame) -> DataFrame:
+    """(page_id, item_id, type, prop, value): each property belongs to its nearest element with itemscope, however far up it is."""
     a = F.col("attrs")
+    item = nodes.where(F.map_contains_key("attrs", F.lit("itemscope"))).select("page_id", F.col("node_id").alias("item_id"), a["itemtype"].alias("type"))
     value = F.coalesce(a["content"], F.when(F.col("tag").isin("img", "source", "video", "audio"), F.coalesce(a["src"], a["data-src"], a["data-lazy-src"])), F.when(F.col("tag").isin("a", "link", "area"), a["href"]), F.when(F.col("tag") == "time", a["datetime"]), F.when(F.col("tag").isin("data", "meter"), a["value"]), clean_text(F.col("text")))
-    open_ = nodes.where(F.map_contains_key("attrs", F.lit("itemprop"))).select("page_id", "node_id", F.explode(F.split(a["itemprop"], r"\s+")).alias("prop"), value.alias("value"), F.col("parent_id").alias("at"))
-    done = None
-    while True:
-        for _ in range(depth):
-            step = open_.join(up, ["page_id", "at"])
-            hit = step.where("scope").select("page_id", "node_id", "prop", "value", F.col("at").alias("item_id"))
-            done = hit if done is None else done.unionByName(hit)
-            open_ = step.where("not scope").select("page_id", "node_id", "prop", "value", F.col("up").alias("at"))
-        open_ = settled(open_.where("at is not null"))
-        if open_.isEmpty():
-            return done.join(item, ["page_id", "item_id"])
+    props = nodes.where(F.map_contains_key("attrs", F.lit("itemprop")) & F.col("scope_id").isNotNull()).select("page_id", F.col("scope_id").alias("item_id"), "node_id", F.explode(F.split(a["itemprop"], r"\s+")).alias("prop"), value.alias("value"))
+    return props.join(item, ["page_id", "item_id"]).select("page_id", "item_id", "node_id", "prop", "value", "type")
 
 
 def meta_tags(nodes: DataFrame) -> DataFrame:

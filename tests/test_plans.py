@@ -38,3 +38,12 @@ def test_no_filter_computes_what_is_exploded_again(spark):
     d = E.read_embedded_state(states)
     assert not [x for x in plan(d).splitlines() if "Filter (" in x and "size(" in x[:400]]
     assert [(r.name, r.regular.amount, r.row) for r in d.collect()] == [("T", 1.0, 0)]
+
+
+def test_items_are_found_without_a_join_a_level(spark):
+    from souklens.sources import markup as M
+
+    deep = "<i itemprop='a'>" + "<div itemscope itemtype='T'>" + "<p><b>" * 40 + "<i itemprop='x y'>v</i>"
+    d = M.microdata_properties(M.dom_nodes(spark.createDataFrame([(1, deep), (2, None)], "page_id long, html string")))
+    assert plan(d).count("Join Inner") == 1
+    assert sorted((r.page_id, r.type, r.prop, r.value) for r in d.collect()) == [(1, "T", "x", "v"), (1, "T", "y", "v")]
