@@ -108,7 +108,7 @@ def profile_products(matched: DataFrame, *, default_currency: str | None = None,
     """One product for each card with a name: (page_id, url, profile_id, card, source_url, kind, name, sku, images, regular, sale,
     in_stock, field_confidence), read with the least confidence that a page's own words have. A sale price needs a higher regular one;
     alone it is the regular one."""
-    d = matched.select("page_id", "url", "profile_id", F.posexplode("cards").alias("card", "c")).where("c.name is not null")
+    d = matched.select("page_id", "url", "profile_id", F.posexplode_outer("cards").alias("card", "c")).where("c.name is not null")  # outer: else a filter cleans the cards once more
     money = lambda f: let(parse_money(F.col(f"c.{f}"), default_currency, default_unit), lambda m: F.when(m.isNotNull(), F.struct(m["amount"].alias("amount"), m["currency"].alias("currency"), m["unit"].alias("unit"))))
     d = d.withColumns({"_regular": money("regularPrice"), "_sale": money("salePrice")})
     sale = F.when(F.col("_sale.amount") < F.col("_regular.amount"), F.col("_sale"))
@@ -141,7 +141,7 @@ def profile_issues(matched: DataFrame) -> DataFrame:
         issue(n == 0, "warning", "structure-changed", "profile-container-missed", F.concat(F.lit("The container "), F.col("container"), F.lit(" found no card on this page."))),
         *missed, issue((n > 0) & (lost < n), "warning", None, "profile-nameless-cards", F.concat((n - lost).cast("string"), F.lit(" of "), n.cast("string"), F.lit(" cards have no name and are left out."))),
     ).cast(f"array<{kind}>"))
-    return matched.select("page_id", "url", "profile_id", F.explode(found).alias("i")).select("page_id", "url", "profile_id", "i.*")
+    return matched.select("page_id", "url", "profile_id", F.explode_outer(found).alias("i")).where("i is not null").select("page_id", "url", "profile_id", "i.*")
 
 
 def extract_with_profiles(pages: DataFrame, profiles: DataFrame, *, default_currency: str | None = None, default_unit: str | None = None) -> tuple[DataFrame, DataFrame]:
