@@ -224,7 +224,8 @@ def node_offers(read: DataFrame, default_currency: str | None = None, default_un
     its offers come to."""
     d = _with_offers(_with_rows(_scanned(read)), default_currency, default_unit)
     pairs = F.zip_with("nodes", "offers", lambda r, o: F.struct(r["source"].alias("source"), r["pos"].alias("pos"), r["has_variants"].alias("has_variants"), r["variant"].alias("variant"), o.alias("o")))
-    return d.select("page_id", "url", F.explode(pairs).alias("x")).select("page_id", "url", "x.source", "x.pos", "x.has_variants", "x.variant", "x.o.*")
+    d = d.select("page_id", "url", F.explode_outer(pairs).alias("x")).where("x is not null")  # outer: else a filter computes the pairs once more
+    return d.select("page_id", "url", "x.source", "x.pos", "x.has_variants", "x.variant", "x.o.*")
 
 
 def price_issues(read: DataFrame) -> DataFrame:
