@@ -56,7 +56,8 @@ def store_nodes(responses: DataFrame, *, default_unit: str | None = None) -> Dat
     and place; those without an id all stay. Answers without success, and bodies that aren't lists of objects, hold none."""
     seq = F.col("seq").cast("long") if "seq" in responses.columns else F.lit(None).cast("long")
     ok = responses.where(F.coalesce(F.col("status").between(200, 299), F.lit(False))) if "status" in responses.columns else responses
-    d = ok.select("url", seq.alias("seq"), F.posexplode(F.from_json("body", f"array<{STORE_NODE}>")).alias("pos", "n")).where("n is not null and to_json(n) <> '{}'")
+    # outer: else a filter parses every body once more
+    d = ok.select("url", seq.alias("seq"), F.posexplode_outer(F.from_json("body", f"array<{STORE_NODE}>")).alias("pos", "n")).where("n is not null and to_json(n) <> '{}'")
     number = lambda c: F.regexp_extract(F.trim(F.col(c)), r"^0*(\d+)(?:\.0+)?$", 1)
     host = F.coalesce(profile_domain(F.col("url")), F.lit(""))
     named = lambda c: F.when(number(c) != "", F.concat(host, F.lit("\n"), number(c)))
