@@ -48,7 +48,9 @@ def _load(file: str | None, model: str | None) -> tuple:
             raise ValueError("pieces of this model cross white space")
         encoders = [lambda words: [e.ids for e in a.encode_batch_fast(words, add_special_tokens=False)], lambda words: [ids[2:] for ids in b.encode(["\n" + w for w in words], num_threads=1)]]
         sides = [(data, pa.array([len(d) for d in data], pa.int64()), pa.array([str(k) for k in range(len(data))])) for data in (bytes_a, [_piece_bytes(p) for p in pieces])]
-        _loaded[key] = WordTable(encoders), sides
+        bytes_b = [data for data, *_ in sides][1]
+        kept = lambda word, ids_a, ids_b: b"".join(map(bytes_a.__getitem__, ids_a)) == b"".join(map(bytes_b.__getitem__, ids_b)) == word.encode()
+        _loaded[key] = WordTable(encoders, check=kept), sides
     return _loaded[key]
 
 
@@ -106,29 +108,42 @@ def _batches(df: DataFrame, file: str | None, model: str | None, digest: bool, l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sides = _load(file, model)
         for no, batch in enumerate(_bounded(batches, "text", limit)):
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            (ids_a, len_a), (ids_b, len_b) = table.encode([" " + x if x else "" for x in texts])
-            lists = []
-            for ids, n in ((ids_a, len_a), (ids_b, len_b)):
-                lists.append(_lists(n, pa.array(ids, pa.int32())))
-            same = np.array([_same(x, a, b, sides) for x, a, b in zip(texts, lists[0], lists[1], strict=True)], bool)
-            if not same.all():
-                lists = [_lists(np.where(same, n, 0), pa.array(ids[np.repeat(same, n)], pa.int32())) for ids, n in ((ids_a, len_a), (ids_b, len_b))]
-            got = align(*lists, sides)
-            counts = pa.table({"pair": got["pair"]}).group_by("pair", use_threads=False).aggregate([([], "count_all")]).sort_by("pair").combine_chunks()
-            pairs = counts["pair"].combine_chunks()
-            groups = got["groups"]
-            if digest:
-                groups = pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups.to_pylist()], pa.string())
-            held = np.bincount(got["doc"].to_numpy(), minlength=len(texts))
-            cols = [batch.column("id"), pc.cast(pc.list_value_length(lists[0]), pa.int64()), pc.cast(pc.list_value_length(lists[1]), pa.int64()), got["n_groups"], got["n_links"], groups, _lists(held, pc.cast(pc.index_in(got["pair"], pairs), pa.int32())), _lists(held, pc.cast(got["times"], pa.int32()))]
-            docs = pa.StructArray.from_arrays(cols, names=["id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
-            own = pa.StructArray.from_arrays([pairs, pc.cast(counts["count_all"].combine_chunks(), pa.int64())], names=["pair", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + no], pa.int64()), _lists([len(texts)], docs), _lists([len(own)], own)], names=["batch", "docs", "pairs"])
+            docs, own = _aligned(batch, table, sides, digest)
+            yield pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + no], pa.int64()), _lists([len(docs)], docs), _lists([len(own)], own)], names=["batch", "docs", "pairs"])
 
     return df.mapInArrow(run, schema)
 
 
+#: Bytes of text that are encoded and joined at once, one document at least.
+STEP = 1 << 19
+
+
+def _aligned(batch: pa.RecordBatch, table: WordTable, sides: list, digest: bool, step: int = STEP) -> tuple[pa.Array, pa.Array]:
+    """The documents of a batch, and its distinct pairs with the documents that hold each. Documents are aligned a few at a time, so
+    that only their results, not their words, tokens and joins, are held for the whole batch."""
+    parts: list[list] = []
+    for few in _bounded([batch], "text", step):
+        texts = [x or "" for x in few.column("text").to_pylist()]
+        (ids_a, len_a), (ids_b, len_b) = table.encode([" " + x if x else "" for x in texts])
+        sure = table.sure
+        lists = [_lists(len_a, pa.array(ids_a, pa.int32())), _lists(len_b, pa.array(ids_b, pa.int32()))]
+        same = np.array([bool(x) and (bool(k) or _same(x, lists[0][i], lists[1][i], sides)) for i, (x, k) in enumerate(zip(texts, sure, strict=True))], bool)
+        if not same.all():
+            lists = [_lists(np.where(same, n, 0), pa.array(ids[np.repeat(same, n)], pa.int32())) for ids, n in ((ids_a, len_a), (ids_b, len_b))]
+        got = align(*lists, sides)
+        groups = got["groups"]
+        if digest:
+            groups = pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups.to_pylist()], pa.string())
+        held = pa.array(np.bincount(got["doc"].to_numpy(), minlength=len(texts)), pa.int64())
+        parts.append([*[pc.cast(pc.list_value_length(x), pa.int64()) for x in lists], got["n_groups"], got["n_links"], groups, held, got["pair"], pc.cast(got["times"], pa.int32())])
+    *cols, held, pair, times = [pa.concat_arrays(c) for c in zip(*parts, strict=True)]
+    counts = pa.table({"pair": pair}).group_by("pair", use_threads=False).aggregate([([], "count_all")]).sort_by("pair").combine_chunks()
+    pairs = counts["pair"].combine_chunks()
+    held = held.to_numpy()
+    docs = pa.StructArray.from_arrays([batch.column("id"), *cols, _lists(held, pc.cast(pc.index_in(pair, pairs), pa.int32())), _lists(held, times)], names=["id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
+    return docs, pa.StructArray.from_arrays([pairs, pc.cast(counts["count_all"].combine_chunks(), pa.int64())], names=["pair", "n"])
+
+
 def _same(text: str, a: pa.ListScalar, b: pa.ListScalar, sides: list) -> bool:
     """Whether both sides' joined bytes are a blank and the text."""
     want = b" " + text.encode()

@@ -1,13 +1,17 @@
 import hashlib
+import pathlib
 import random
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from tokenizers import Tokenizer
 
 from souklens.llm.queries import QUERIES
-from souklens.llm.token_align import _piece_bytes, align_tokens
+from souklens.llm.token_align import _aligned, _load, _piece_bytes, align_tokens
 from souklens.llm.word_table import byte_level
 
 A = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -69,3 +73,40 @@ def test_query(spark, tmp_path):
     want = [(*r[:7], hashlib.sha256(r[7].encode()).hexdigest() if r[7] else "") for r in brute(rows)]
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+MEMORY = """
+import random, sys
+import pyarrow as pa
+from souklens.llm import token_align as ta
+r = random.Random(3)
+rows = [" ".join(r.choice(["the", "cat,", "straightforwardly", "and"]) + str(r.randint(0, 3000)) for _ in range(300)) for _ in range(1500)]
+batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows)], names=["id", "text"])
+ta.TaskContext = type("Task", (), {"get": staticmethod(lambda: type("One", (), {"partitionId": lambda self: 0})())})
+df = type("Rows", (), {"dtypes": [("id", "bigint")], "mapInArrow": lambda self, run, schema: run})()
+ta.T = type("Types", (), {"_parse_datatype_string": staticmethod(lambda s: None)})
+out = list(ta._batches(df, None, None, True, 1 << 22)(iter([batch])))
+print(pa.default_memory_pool().max_memory() / batch.nbytes)
+"""
+
+
+def test_memory_of_a_batch():
+    """Beside its results a batch of documents holds the words, tokens and joins of a few of them only."""
+    done = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, check=True, cwd=pathlib.Path(__file__).parents[2])
+    assert float(done.stdout) < 24
+
+
+def test_steps_of_a_batch():
+    table, sides = _load(None, None)
+    rows = texts()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows)], names=["id", "text"])
+    whole, *others = (_aligned(batch, table, sides, True, step) for step in (1 << 30, 1, 300))
+    assert all(a.equals(b) for other in others for a, b in zip(whole, other, strict=True))
+
+
+def test_words_that_lose_bytes():
+    """A text all of whose words keep their bytes is known by them; others are compared whole."""
+    table, sides = _load(None, None)
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2, 3], pa.int64()), pa.array(["a b", "a ▁ b", "", "a　 b"])], names=["id", "text"])
+    docs, _ = _aligned(batch, table, sides, False)
+    assert docs.field(1).to_pylist() == [len(tokens(t)[0]) for t in batch.column("text").to_pylist()]
