@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from souklens.functions.text import canonical_url, short_hash, slugify
+from souklens.functions.text import canonical_url, let, short_hash, slugify
 from souklens.plans.lineage import settled
 
 
@@ -30,25 +33,29 @@ def unique_in_order(rows: DataFrame, candidate: str, *, scope: list[str] | None
 
     A candidate can only meet candidates that are its root and a number. Roots are found by taking a last number off while
     what remains is a candidate itself. Where no candidate of a root ends in a number, the suffix is a row number, native
-    and spread by the row's root; only roots with both go to a group function, each whole to one task.
+    and spread by the candidate; only roots with both go to a group function, each whole to one task. Candidates are read once for the
+    distinct ones, and once more to be numbered. Rows without a candidate or scope are left out.
     """
     scope = scope or []
     d = rows.withColumns({"_candidate": F.col(candidate), "_key": F.lower(candidate) if fold_case else F.col(candidate), "_late": F.col(late).cast("int") if late else F.lit(0)})
-    names = d.select(*scope, F.col("_key").alias("_stem")).distinct()
-    roots = d.select(*scope, "_key").distinct().withColumn("_root", F.col("_key"))
+    d = d.where(reduce(and_, [F.col(c).isNotNull() for c in (*scope, "_key")]))
+    roots = settled(d.select(*scope, "_key").distinct().withColumn("_root", F.col("_key")))
+    names = roots.select(*scope, F.col("_key").alias("_stem"), F.lit(True).alias("_is"))
     numbered = F.regexp_extract("_root", r"^(.+)-\d+$", 1)
     while True:
-        step = settled(roots.withColumn("_stem", numbered).join(names.withColumn("_is", F.lit(True)), [*scope, "_stem"], "left"))
-        roots = step.select(*scope, "_key", F.when(F.col("_is"), F.col("_stem")).otherwise(F.col("_root")).alias("_root"))
+        step = settled(roots.withColumn("_stem", numbered).join(names, [*scope, "_stem"], "left"))
         if step.where("_is").isEmpty():
             break
-    mixed = roots.where("_root <> _key").select(*scope, "_root").distinct().withColumn("_mixed", F.lit(True))
-    d = d.join(roots, [*scope, "_key"]).join(mixed, [*scope, "_root"], "left")
+        roots = step.select(*scope, "_key", F.when(F.col("_is"), F.col("_stem")).otherwise(F.col("_root")).alias("_root"))
     n = F.row_number().over(W.partitionBy(*scope, "_key").orderBy("_late", "seq"))
-    plain = d.where("_mixed is null").withColumn("unique", F.when(n == 1, F.col("_candidate")).otherwise(F.concat("_candidate", F.lit("-"), n.cast("string"))))
-    few = d.where("_mixed")
+    native = F.when(n == 1, F.col("_candidate")).otherwise(F.concat("_candidate", F.lit("-"), n.cast("string")))
+    mixed = roots.where("_root <> _key").select(*scope, "_root").distinct()
+    if mixed.isEmpty():
+        return d.withColumn("unique", native).drop("_candidate", "_key", "_late")
+    d = d.join(roots.join(mixed, [*scope, "_root"]), [*scope, "_key"], "left")
+    few = d.where("_root is not null")
     fixed = few.groupBy(*scope, "_root").applyInArrow(_suffix_group, T.StructType([*few.schema, T.StructField("unique", T.StringType())]))
-    return plain.unionByName(fixed).drop("_candidate", "_key", "_late", "_root", "_mixed")
+    return d.where("_root is null").withColumn("unique", native).unionByName(fixed).drop("_candidate", "_key", "_late", "_root")
 
 
 def parent_sku(url: Column, prefix: str = "P123") -> Column:
@@ -90,10 +97,10 @@ def assign_handles(products: DataFrame, *, prefix: str | None = None, scope: lis
     """Parents with handle: slug of the name (a hash of it where the slug isn't ASCII), else of the SKU, else a hash of the URL;
     a-z, 0-9 and dashes, at most 255, unique. tries names a column for the number of taken names before the one found."""
     clean = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9-]+", "-"), "^-+|-+$", "")
-    pick = lambda c: F.when(clean(slugify(c, True, 10)) != "", clean(slugify(c, True, 10)))
+    pick = lambda c: let(clean(slugify(c, True, 10)), lambda v: F.when(v != "", v))
     base = F.coalesce(pick(F.col("name")), pick(F.col("sku")), short_hash(F.col("source_url"), 12))
     base = base if prefix is None else F.concat(clean(F.lit(prefix)), F.lit("-"), base)
-    d = products.where("kind <> 'variation'").withColumn("_h", F.regexp_replace(F.substring(base, 1, 255), "-+$", ""))
+    d = settled(products.where("kind <> 'variation'").withColumn("_h", F.regexp_replace(F.substring(base, 1, 255), "-+$", "")))  # slugs take longest, and are read twice below
     d = unique_in_order(d, "_h", scope=scope).withColumnRenamed("unique", "handle")
     if tries is not None:
         suffix = F.substring(F.col("handle"), F.length("_h") + 2, F.length("handle"))

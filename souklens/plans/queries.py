@@ -175,7 +175,7 @@ def dedupe_products(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _products(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").select(F.concat(F.lit("https://shop.example.com/p/"), "p_partkey").alias("source_url"), F.when(F.col("p_partkey") % 4 > 0, F.concat(F.lit("B"), F.regexp_extract("p_brand", r"(\d+)$", 1))).alias("sku"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.lit("simple").alias("kind"), F.col("p_retailprice").alias("regular"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_retailprice") / 2).alias("sale"), (F.col("p_partkey") % 7 > 0).alias("in_stock"), F.split("p_type", " ").alias("category_path"), F.lit(None).cast("string").alias("parent_sku"), F.col("p_partkey").alias("seq"), F.col("p_size"))
+    return spread(read(spark, d, "part")).select(F.concat(F.lit("https://shop.example.com/p/"), "p_partkey").alias("source_url"), F.when(F.col("p_partkey") % 4 > 0, F.concat(F.lit("B"), F.regexp_extract("p_brand", r"(\d+)$", 1))).alias("sku"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.lit("simple").alias("kind"), F.col("p_retailprice").alias("regular"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_retailprice") / 2).alias("sale"), (F.col("p_partkey") % 7 > 0).alias("in_stock"), F.split("p_type", " ").alias("category_path"), F.lit(None).cast("string").alias("parent_sku"), F.col("p_partkey").alias("seq"), F.col("p_size"))
 
 
 @query
