@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from souklens.operators import export as X, reports as R
 from souklens.operators.attributes import align_variations
 from souklens.operators.keys import assign_skus
+from souklens.plans.lineage import spread
 from souklens.plans.queries import _log, query, read
 
 
 def _shop_products(spark: SparkSession, d: str) -> DataFrame:
     """Every part as a product, names repeated; two variations each for half of them, linked by SKU or address; some without a parent."""
-    p, k = read(spark, d, "part"), F.col("p_partkey")
+    p, k = spread(read(spark, d, "part")), F.col("p_partkey")
     none, flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
     money = lambda c, currency, unit: F.struct(c.cast("double").alias("amount"), F.lit(currency).alias("currency"), unit.alias("unit"))
     attribute = lambda name, axis, *v: F.struct(F.lit(name).alias("name"), F.array(*v).alias("values"), axis.alias("is_variation_axis"))
