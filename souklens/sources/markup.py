@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -15,6 +16,11 @@ from souklens.functions.text import canonical_url, clean_text, fold_for_compare,
 NODE = "page_id long, node_id int, parent_id int, depth int, tag string, attrs map<string,string>, text string, scope_id int"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 AUTO = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+# Tags as they are mostly written: small letters, values in double quotes without references. What the general parser makes of them
+# is known beforehand. Not of elements whose content isn't markup.
+PLAIN_TAG = re.compile(r'<(?!(?:script|style|title|textarea|iframe|noembed|noframes|noscript|plaintext|xmp)[ >])([a-z][a-z0-9]*)((?: [a-z][a-z0-9:_-]*(?:="[^"&]*")?)*)>')
+PLAIN_ATTRIBUTE = re.compile(r' ([a-z][a-z0-9:_-]*)(?:="([^"]*)")?')
+PLAIN_END = re.compile(r"</([a-z][a-z0-9]*)>")
 # Confidence of a value by where it was stated.
 CONFIDENCE = {"api": 1.0, "json-ld": 0.95, "json-ld-derived": 0.8, "microdata": 0.7, "microdata-derived": 0.6, "opengraph": 0.5, "profile": 0.4, "weak": 0.35, "answer": 0.3}
 
@@ -36,6 +42,23 @@ class _Tree(HTMLParser):
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         return self.parse_bogus_comment(i, report)  # what isn't markup here is a comment, whatever it says
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # nobody asks for lines
+
+    def parse_starttag(self, i: int) -> int:
+        m = PLAIN_TAG.match(self.rawdata, i)
+        if m is None:
+            return super().parse_starttag(i)
+        self.handle_starttag(m[1], PLAIN_ATTRIBUTE.findall(m[2]) if m[2] else [])
+        return m.end()
+
+    def parse_endtag(self, i: int) -> int:
+        m = PLAIN_END.match(self.rawdata, i) if self.cdata_elem is None else None
+        if m is None:
+            return super().parse_endtag(i)
+        self.handle_endtag(m[1])
+        return m.end()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         while self.open and self.nodes[self.open[-1]][3] in AUTO.get(tag, ()):
             self._shut(len(self.open) - 1)

@@ -95,13 +95,15 @@ def read_markup(pages: DataFrame) -> DataFrame:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("scripts", pa.list_(pa.struct([("type", pa.string()), ("text", pa.string())]))), ("items", pa.list_(pa.string())), ("meta", pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())])))])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows = []
-                for page in batch.slice(at, 256).to_pylist():
-                    tree = PageTree(page["html"] or "")
-                    scripts = [{"type": a.get("type", ""), "text": tree.text_of(n)} for n, (_, _, _, tag, a, _) in enumerate(tree.nodes) if tag == "script" and "ld+json" in a.get("type", "").lower() or tag == "script" and "json+ld" in a.get("type", "").lower()]
-                    meta = [{"key": (a.get("property") or a.get("name") or "").strip().lower(), "value": a.get("content", "").strip()} for _, _, _, tag, a, _ in tree.nodes if tag == "meta"]
-                    rows.append({"page_id": page["page_id"], "url": page["url"], "scripts": scripts, "items": [json.dumps(x, ensure_ascii=False) for x in microdata_items(tree, page["url"] or "")], "meta": [m for m in meta if m["key"] and m["value"]]})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                b, scripts, items, meta = batch.slice(at, 256), [], [], []
+                for url, html in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
+                    tree = PageTree(html or "")
+                    kinds = [(n, x[4].get("type", "")) for n, x in enumerate(tree.nodes) if x[3] == "script"]
+                    scripts.append([{"type": kind, "text": tree.text_of(n)} for n, kind in kinds if "ld+json" in kind.lower() or "json+ld" in kind.lower()])
+                    stated = [((a.get("property") or a.get("name") or "").strip().lower(), a.get("content", "").strip()) for _, _, _, tag, a, _ in tree.nodes if tag == "meta"]
+                    meta.append([{"key": key, "value": value} for key, value in stated if key and value])
+                    items.append([json.dumps(x, ensure_ascii=False) for x in microdata_items(tree, url or "")])
+                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *(pa.array(c, schema.field(n).type) for n, c in (("scripts", scripts), ("items", items), ("meta", meta)))], schema=schema)
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, READ)
 
