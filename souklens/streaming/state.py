@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE_VERSION = 1
@@ -38,9 +37,10 @@ class _Versioned(StatefulProcessor):
 
     def known(self, state) -> tuple | None:
         """The key's state without its version; None if there is none yet."""
-        if not state.exists():
+        held = state.get()
+        if held is None:
             return None
-        version, *rest = state.get()
+        version, *rest = held
         if version != self.version:
             raise ForeignState(f"state of version {version}; this code reads version {self.version}")
         return tuple(rest)
@@ -49,11 +49,6 @@ class _Versioned(StatefulProcessor):
         pass
 
 
-def _sorted(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
-    parts = [r for r in rows if len(r)]
-    return pd.concat(parts).sort_values(by, kind="stable", ignore_index=True) if parts else pd.DataFrame()
-
-
 class _Latch(_Versioned):
     def __init__(self, seq: str, version: int):
         super().__init__(version)
@@ -62,17 +57,14 @@ class _Latch(_Versioned):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.first = handle.getValueState("blocked", "version int, seq long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.known(self.first)
-        d = _sorted(rows, self.seq)
-        if not len(d):
-            return
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known, d = self.known(self.first), list(rows)
         limit = known[0] if known else None
-        hit = d.loc[d["block"].notna(), self.seq].min()
-        if hit == hit and (limit is None or hit < limit):
+        hit = min((r[self.seq] for r in d if r["block"] is not None), default=None)
+        if hit is not None and (limit is None or hit < limit):
             limit = int(hit)
             self.first.update((self.version, limit))
-        yield d if limit is None else d[d[self.seq] < limit]
+        yield from (r for r in d if limit is None or r[self.seq] < limit)
 
 
 def stream_block_latch(responses: DataFrame, *, scope: str = "scan_id", seq: str = "seq", version: int = STATE_VERSION) -> DataFrame:
@@ -80,39 +72,40 @@ def stream_block_latch(responses: DataFrame, *, scope: str = "scan_id", seq: str
     after in this or any later file is gone, also after a restart. A late row from before the block still comes. Rows without a
     seq or a scope can't be placed: those without a seq are left out, those without a scope are one scope."""
     d = responses.where(F.col(seq).isNotNull())
-    return d.groupBy(scope).transformWithStateInPandas(_Latch(seq, version), d.schema, "Append", "None")
+    return d.groupBy(scope).transformWithState(_Latch(seq, version), d.schema, "Append", "None")
 
 
 SCANS = "pages long, repeats long, products long, last_seq long, status string"
 
 
 class _Scans(_Versioned):
-    def __init__(self, scope: str, kind: T.DataType, version: int):
+    def __init__(self, scope: str, version: int):
         super().__init__(version)
-        self.scope = scope
+        self.row = Row(scope, *(c.split()[0] for c in SCANS.split(", ")))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.total = handle.getValueState("total", "version int, pages long, repeats long, products long, last_seq long, status string")
         self.visited = handle.getMapState("visited", "url string", "seq long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pages, repeats, products, last, status = self.known(self.total) or (0, 0, 0, -1, "running")
-        before = (pages, repeats, products, last, status)
-        for r in _sorted(rows, "seq").itertuples(index=False):
-            if status != "running":
-                break
-            last = max(last, int(r.seq))
-            if r.block == r.block and r.block is not None:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.known(self.total)
+        pages, repeats, products, last, status = before = known or (0, 0, 0, -1, "running")
+        read: set[str] = set()  # in this micro-batch; nobody asks the store of them, or of a scan that it doesn't know
+        for r in sorted(rows, key=lambda r: r["seq"]) if status == "running" else ():
+            last = max(last, r["seq"])
+            if r["block"] is not None:
                 status = "blocked"
-            elif self.visited.containsKey((r.url,)):
+                break
+            if r["url"] in read or known and self.visited.containsKey((r["url"],)):
                 repeats += 1
             else:
-                self.visited.updateValue((r.url,), (int(r.seq),))
-                pages, products = pages + 1, products + int(r.n_products)
+                self.visited.updateValue((r["url"],), (r["seq"],))
+                pages, products = pages + 1, products + r["n_products"]
+            read.add(r["url"])
         now = (pages, repeats, products, last, status)
         if now != before:
             self.total.update((self.version, *now))
-            yield pd.DataFrame([(key[0], *now)], columns=[self.scope, *(c.split()[0] for c in SCANS.split(", "))])
+            yield self.row(key[0], *now)
 
 
 def stream_scans(pages: DataFrame, *, scope: str = "scan_id", version: int = STATE_VERSION) -> DataFrame:
@@ -121,7 +114,7 @@ def stream_scans(pages: DataFrame, *, scope: str = "scan_id", version: int = STA
     blocked and takes no more rows, also after a restart. Update mode."""
     d = pages.where(F.col("seq").isNotNull()).select(F.col(scope), F.col("seq").cast("long").alias("seq"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("n_products").cast("long"), F.lit(0).cast("long")).alias("n_products"), "block")
     out = T.StructType([d.schema[scope], *T._parse_datatype_string(SCANS).fields])
-    return d.groupBy(scope).transformWithStateInPandas(_Scans(scope, d.schema[scope].dataType, version), out, "Update", "None")
+    return d.groupBy(scope).transformWithState(_Scans(scope, version), out, "Update", "None")
 
 
 class _Products(_Versioned):
@@ -133,28 +126,30 @@ class _Products(_Versioned):
         self.best = handle.getMapState("best", "field string", "version int, value string, confidence double, seq long", ttlDurationMs=self.ttl)
         self.seen = handle.getValueState("seen", "version int, first_seq long, n long", ttlDurationMs=self.ttl)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, n = self.known(self.seen) or (None, 0)
-        held = {f: self.best.getValue((f,))[1:] if self.best.containsKey((f,)) else None for f in self.fields}
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.known(self.seen)
+        first, n = known or (None, 0)
+        held = {f: (self.best.getValue((f,))[1:] if known and self.best.containsKey((f,)) else None) for f in self.fields}
         before, was = dict(held), first
-        for part in rows:
-            n += len(part)
-            seqs = [int(s) for s in part[self.seq].dropna()]
-            first = min([*seqs, *([] if first is None else [first])], default=None)
+        for r in rows:
+            n, seq = n + 1, r[self.seq]
+            if seq is None:
+                continue
+            first = seq if first is None else min(first, seq)
             for f in self.fields:
-                for value, sure, seq in zip(part[f], part[f"{f}_conf"], part[self.seq], strict=True):
-                    if value is None or value != value or not str(value).strip() or seq != seq:
-                        continue
-                    new = (str(value), float(sure) if sure == sure and sure is not None else -1.0, int(seq))
-                    old = held[f]
-                    if old is None or (new[1], -new[2]) > (old[1], -old[2]):
-                        held[f] = new
+                value, sure = r[f], r[f"{f}_conf"]
+                if value is None or not value.strip():
+                    continue
+                new = (value, float(sure) if sure is not None and sure == sure else -1.0, seq)
+                old = held[f]
+                if old is None or (new[1], -new[2]) > (old[1], -old[2]):
+                    held[f] = new
         self.seen.update((self.version, first, n))
         for f in self.fields:
             if held[f] is not None and held[f] != before[f]:
                 self.best.updateValue((f,), (self.version, *held[f]))
         if held != before or first != was:
-            yield pd.DataFrame([(key[0], *[held[f][0] if held[f] else None for f in self.fields], first, n)], columns=[self.key, *self.fields, "first_seq", "n"])
+            yield Row(self.key, *self.fields, "first_seq", "n")(key[0], *[held[f][0] if held[f] else None for f in self.fields], first, n)
 
 
 def stream_products(sightings: DataFrame, fields: list[str], *, key: str, seq: str, version: int = STATE_VERSION, ttl_ms: int | None = None) -> DataFrame:
@@ -164,7 +159,7 @@ def stream_products(sightings: DataFrame, fields: list[str], *, key: str, seq: s
     rows is kept (for good if None). Update mode."""
     d = sightings.select(key, F.col(seq).cast("long").alias(seq), *[F.col(f).cast("string").alias(f) for f in fields], *[F.col(f"{f}_conf").cast("double").alias(f"{f}_conf") for f in fields])
     out = T.StructType([d.schema[key], *[T.StructField(f, T.StringType()) for f in fields], T.StructField("first_seq", T.LongType()), T.StructField("n", T.LongType())])
-    return d.groupBy(key).transformWithStateInPandas(_Products(key, fields, seq, version, ttl_ms), out, "Update", "ProcessingTime" if ttl_ms else "None")
+    return d.groupBy(key).transformWithState(_Products(key, fields, seq, version, ttl_ms), out, "Update", "ProcessingTime" if ttl_ms else "None")
 
 
 def run_batches(stream: DataFrame, out: str, checkpoint: str, *, mode: str) -> None:
