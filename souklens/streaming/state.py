@@ -20,9 +20,10 @@ class ForeignState(ValueError):
     """State that another version of this code has written."""
 
 
-def stream_session(spark: SparkSession, partitions: int = 8) -> SparkSession:
+def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
     """A session of the same cluster for streams with state: their store on disk, and the number of partitions it is dealt to for
-    good, since a checkpoint can't be dealt anew."""
+    good, since a checkpoint can't be dealt anew (one a core, 8 at least)."""
+    partitions = partitions or max(8, spark.sparkContext.defaultParallelism)
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     own.conf.set("spark.sql.shuffle.partitions", str(partitions))

@@ -48,3 +48,9 @@ def test_a_latch_asks_once_and_passes_rows_on():
     assert [r.seq for r in latch.handleInputRows(("a",), iter([page(5, "u"), page(4, "u", "captcha"), page(2, "u")]), None)] == [2]
     assert latch.first.held == (1, 4) and latch.first.calls == 2
     assert [r.seq for r in latch.handleInputRows(("a",), iter([page(3, "u"), page(9, "u")]), None)] == [3] and latch.first.calls == 3
+
+
+def test_state_is_dealt_to_all_cores(spark, monkeypatch):
+    assert S.stream_session(spark).conf.get("spark.sql.shuffle.partitions") == "8" and S.stream_session(spark, 2).conf.get("spark.sql.shuffle.partitions") == "2"
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 12)
+    assert S.stream_session(spark).conf.get("spark.sql.shuffle.partitions") == "12"
