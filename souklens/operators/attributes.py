@@ -50,12 +50,12 @@ def align_variations(parents: DataFrame, variations: DataFrame, *, repair: bool
     variation's values of one attribute the first counts, of its attributes of one name the last. issues: (parent, seq, code,
     attribute, value) with what was changed, added or, without repair, left as it can't work.
 
-    Rows without a parent, or of one that isn't there, have no values. Null attributes, names and values are empty. Variations are
-    read once to fold their distinct values and once to take what these mean; none of a parent's meet in one task."""
-    own = parents.where("parent is not null").select("parent", clean_attributes("attributes").alias("slots"))
+    Rows without a parent, or of one that isn't there, have no values. Null attributes, names and values are empty. Attributes
+    are cleaned once, read from there to fold their distinct values and again to take what these mean; none of a parent's meet in one task."""
+    own = settled(parents.where("parent is not null").select("parent", clean_attributes("attributes").alias("slots")))  # read five times below
     kids = variations.join(own.select("parent"), "parent", "left_semi")
     worn = kids.select("parent", "seq", F.posexplode(clean_attributes("attributes")).alias("pos", "a")).select("parent", "seq", "pos", "a.key", "a.name", F.size("a.values").alias("n"), F.try_element_at("a.values", F.lit(1)).alias("value"))
-    used = worn.where("value is not null").withColumn("fold", fold_for_compare(F.col("value")))
+    used = settled(worn.where("value is not null").withColumn("fold", fold_for_compare(F.col("value"))))  # texts are cleaned and folded once
     means = settled(_meanings(own, used, repair))  # slots, values and issues are made of it
 
     value, first = F.col("value"), F.col("first")
