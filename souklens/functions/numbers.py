@@ -61,10 +61,9 @@ def format_decimal(c: Column, places: int = 6) -> Column:
     """No exponent, no zeros at the end; empty for null and what isn't finite. Whole numbers beyond 38 digits are left as the
     double's own text."""
     rounded = round_to(c, places)
-    text = F.when(F.abs(rounded) < 1e30, rounded.try_cast(f"decimal(38,{places})").cast("string")).otherwise(rounded.cast("string"))
-    text = F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")).otherwise(text)
-    text = F.when(text == "-0", "0").otherwise(text)
-    return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), "").otherwise(text)
+    exact = rounded.try_cast(f"decimal(38,{places})").cast("string")
+    exact = F.rtrim(F.rtrim(exact, F.lit("0")), F.lit(".")) if places else exact  # has a point, then
+    return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), "").otherwise(F.when(F.abs(rounded) < 1e30, exact).otherwise(rounded.cast("string")))
 
 
 def detect_currency(c: Column) -> Column:

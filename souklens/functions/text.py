@@ -56,9 +56,13 @@ def fold_for_compare(c: Column, normalise: bool = False) -> Column:
 
 
 def slugify(c: Column, ascii_only: bool = False, digits: int = 8) -> Column:
-    """Letters and digits of the folded text, dashes between. ascii_only: where the slug isn't ASCII, a hash of the text instead."""
-    slug = F.regexp_replace(F.regexp_replace(fold_for_compare(c), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
-    return F.when(has_non_ascii(slug), short_hash(c, digits)).otherwise(slug) if ascii_only else slug
+    """Letters and digits of the folded text, dashes between. ascii_only: where the slug isn't ASCII, a hash of the text instead.
+    A text of plain ASCII has nothing to fold but case."""
+    dashed = lambda x, other: F.btrim(F.regexp_replace(x, other, "-"), F.lit("-"))
+    folded = dashed(fold_for_compare(c), r"[^\p{L}\p{N}]+")
+    if ascii_only:
+        folded = let(folded, lambda s: F.when(has_non_ascii(s), short_hash(c, digits)).otherwise(s))
+    return F.when(has_non_ascii(c), folded).otherwise(dashed(F.lower(c), "[^a-z0-9]+"))
 
 
 def short_hash(c: Column, n: int = 8) -> Column:

@@ -93,16 +93,26 @@ def assign_skus(products: DataFrame, *, prefix: str = "P123", ascii_only: bool =
     return out.withColumns({"sku_generated": F.col("_own").isNull(), "sku_changed": F.col("sku_out") != F.col("_c")}).drop("_c", "_v", "_own", "_url")
 
 
-def assign_handles(products: DataFrame, *, prefix: str | None = None, scope: list[str] | None = None, tries: str | None = None) -> DataFrame:
-    """Parents with handle: slug of the name (a hash of it where the slug isn't ASCII), else of the SKU, else a hash of the URL;
-    a-z, 0-9 and dashes, at most 255, unique. tries names a column for the number of taken names before the one found."""
+def base_handle(prefix: str | None = None) -> Column:
+    """The handle that a product would have if all were free: a-z, 0-9 and dashes, at most 255."""
     clean = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9-]+", "-"), "^-+|-+$", "")
     pick = lambda c: let(clean(slugify(c, True, 10)), lambda v: F.when(v != "", v))
     base = F.coalesce(pick(F.col("name")), pick(F.col("sku")), short_hash(F.col("source_url"), 12))
     base = base if prefix is None else F.concat(clean(F.lit(prefix)), F.lit("-"), base)
-    d = settled(products.where("kind <> 'variation'").withColumn("_h", F.regexp_replace(F.substring(base, 1, 255), "-+$", "")))  # slugs take longest, and are read twice below
+    return F.regexp_replace(F.substring(base, 1, 255), "-+$", "")
+
+
+def number_handles(d: DataFrame, *, scope: list[str] | None = None, tries: str | None = None) -> DataFrame:
+    """d with handle, unique, in place of its base_handle _h."""
     d = unique_in_order(d, "_h", scope=scope).withColumnRenamed("unique", "handle")
     if tries is not None:
         suffix = F.substring(F.col("handle"), F.length("_h") + 2, F.length("handle"))
         d = d.withColumn(tries, F.when(F.col("handle") == F.col("_h"), 0).otherwise(suffix.try_cast("long") - 1).cast("long"))
     return d.drop("_h")
+
+
+def assign_handles(products: DataFrame, *, prefix: str | None = None, scope: list[str] | None = None, tries: str | None = None) -> DataFrame:
+    """Parents with handle: slug of the name (a hash of it where the slug isn't ASCII), else of the SKU, else a hash of the URL;
+    a-z, 0-9 and dashes, at most 255, unique. tries names a column for the number of taken names before the one found."""
+    d = settled(products.where("kind <> 'variation'").withColumn("_h", base_handle(prefix)))  # slugs take longest, and are read twice below
+    return number_handles(d, scope=scope, tries=tries)

@@ -199,3 +199,14 @@ def test_choose_layer(spark):
         (None, "markup", None, 1, False, False),
     }
     assert choose_layer(df.limit(0)).count() == 0
+
+
+def test_a_number_is_made_a_text_once(spark):
+    """Its expression names the decimal once, however long the tests around it are."""
+    from souklens.functions.numbers import format_decimal
+
+    d = spark.range(1).select(format_decimal(F.col("id").cast("double")).alias("x"))
+    assert d._jdf.queryExecution().analyzed().toString().lower().count("decimal(38,6)") == 1
+    values = [None, -0.0, -1e-9, 0.1, 100.0, -1200.50, 1e22, 1e30, float("nan"), float("-inf")]
+    got = [r.x for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(format_decimal(F.col("v")).alias("x")).collect()]
+    assert got == ["", "0", "0", "0.1", "100", "-1200.5", "10000000000000000000000", "1.0E30", "", ""]
