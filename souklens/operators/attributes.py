@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from souklens.functions.text import clean_text, fold_for_compare
-from souklens.plans.lineage import settled
+from souklens.plans.lineage import join_hint, settled
 
 _AT = "parent", "key", "fold"
 
@@ -20,20 +20,21 @@ def clean_attributes(attributes: str | Column) -> Column:
     return F.coalesce(F.transform(some, each), F.array().cast("array<struct<name:string,values:array<string>,is_variation_axis:boolean,key:string>>"))
 
 
-def _meanings(own: DataFrame, used: DataFrame, repair: bool) -> DataFrame:
+def _meanings(own: DataFrame, used: DataFrame, repair: bool, hint: str) -> DataFrame:
     """What each distinct value that variations have means to its parent: (parent, key, fold, slot, sname, opens, kept, target, first).
     slot: its place, null without one; opens: the first use of a slot that the parent lacks; kept: spellings that the parent has;
-    target: the last of them; first: where it was seen first. Values are folded to distinct ones before anything meets."""
+    target: the last of them; first: where it was seen first. Values are folded to distinct ones before anything meets. hint: how
+    what is made of `own` is joined."""
     seen = used.groupBy(*_AT).agg(F.min(F.struct("seq", "pos", "value", "name")).alias("first"))
     slots = own.select("parent", F.size("slots").alias("_n"), F.posexplode_outer("slots").alias("i", "s"))
     known = slots.where("s is not null").groupBy("parent", F.col("s.key").alias("key")).agg(F.min(F.struct("i", "s.name", "s.values")).alias("k"))
     spelled = known.select("parent", "key", F.posexplode("k.values").alias("vpos", "v")).groupBy("parent", "key", fold_for_compare(F.col("v")).alias("fold"))
     spelled = spelled.agg(F.collect_set("v").alias("kept"), F.max_by("v", "vpos").alias("target"))
-    d = seen.join(known.select("parent", "key", F.col("k.i").alias("_i"), F.col("k.name").alias("_name")), ["parent", "key"], "left").join(spelled, list(_AT), "left")
+    d = seen.join(known.select("parent", "key", F.col("k.i").alias("_i"), F.col("k.name").alias("_name")).hint(hint), ["parent", "key"], "left").join(spelled.hint(hint), list(_AT), "left")
     fresh = d.where("_i is null").groupBy("parent", "key").agg(F.min("first").alias("opens"))
     if repair:
         n = own.select("parent", F.size("slots").alias("_n"))
-        fresh = fresh.join(n, "parent").withColumn("_new", F.col("_n") + F.row_number().over(W.partitionBy("parent").orderBy("opens")) - 1).drop("_n")
+        fresh = fresh.join(n.hint(hint), "parent").withColumn("_new", F.col("_n") + F.row_number().over(W.partitionBy("parent").orderBy("opens")) - 1).drop("_n")
     else:
         fresh = fresh.withColumn("_new", F.lit(None).cast("int"))
     d = d.join(fresh, ["parent", "key"], "left")
@@ -51,12 +52,14 @@ def align_variations(parents: DataFrame, variations: DataFrame, *, repair: bool
     attribute, value) with what was changed, added or, without repair, left as it can't work.
 
     Rows without a parent, or of one that isn't there, have no values. Null attributes, names and values are empty. Attributes
-    are cleaned once, read from there to fold their distinct values and again to take what these mean; none of a parent's meet in one task."""
+    are cleaned once, read from there to fold their distinct values and again to take what these mean; none of a parent's meet in one task.
+    Parents and meanings are broadcast if they are small, by count; variations never are."""
     own = settled(parents.where("parent is not null").select("parent", clean_attributes("attributes").alias("slots")))  # read five times below
-    kids = variations.join(own.select("parent"), "parent", "left_semi")
+    hint = join_hint(own)
+    kids = variations.join(own.select("parent").hint(hint), "parent", "left_semi")
     worn = kids.select("parent", "seq", F.posexplode(clean_attributes("attributes")).alias("pos", "a")).select("parent", "seq", "pos", "a.key", "a.name", F.size("a.values").alias("n"), F.try_element_at("a.values", F.lit(1)).alias("value"))
     used = settled(worn.where("value is not null").withColumn("fold", fold_for_compare(F.col("value"))))  # texts are cleaned and folded once
-    means = settled(_meanings(own, used, repair))  # slots, values and issues are made of it
+    means = settled(_meanings(own, used, repair, hint))  # slots, values and issues are made of it
 
     value, first = F.col("value"), F.col("first")
     is_first = (first["seq"] == F.col("seq")) & (first["pos"] == F.col("pos"))
@@ -65,7 +68,7 @@ def align_variations(parents: DataFrame, variations: DataFrame, *, repair: bool
     alike = F.coalesce(F.col("target"), first["value"]) if repair else F.coalesce(F.col("target"), value)
     missing = F.when(F.col("target").isNull(), F.when(is_first, "variation-value-added-to-parent") if repair else F.lit("variation-value-not-on-parent"))
     code = F.when(F.col("slot").isNull() | kept, None).otherwise(F.coalesce(missing, F.when(alike != value, "variation-value-normalized")))
-    d = used.join(means, list(_AT)).withColumns({"cell": F.when(F.col("slot").isNotNull(), F.when(kept, value).otherwise(alike)), "code": code, "opening": opening})
+    d = used.join(means.hint(join_hint(means)), list(_AT)).withColumns({"cell": F.when(F.col("slot").isNotNull(), F.when(kept, value).otherwise(alike)), "code": code, "opening": opening})
     codes = F.array_compact(F.array(F.when(F.col("n") > 1, "variation-multiple-values"), F.when(F.coalesce("opening", F.lit(False)), "variation-attribute-not-on-parent"), F.col("code")))
     issues = d.select("parent", "seq", F.explode(codes).alias("code"), F.col("name").alias("attribute"), "value")
 

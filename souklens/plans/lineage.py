@@ -34,6 +34,13 @@ def spread(df: DataFrame, rows: int = 20_000) -> DataFrame:
     return df.repartition(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)))
 
 
+def join_hint(df: DataFrame, most: int = 4_000_000) -> str:
+    """The hint for df as the smaller side of a join: broadcast if its rows have `most` characters at most, counted as JSON; else
+    merge. Of a df that was exploded or read from a checkpoint Spark may guess far too little, and what it broadcasts passes the driver."""
+    size = df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return "broadcast" if size <= most else "merge"
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(id, component) for the ids in links (a, b): large-star and small-star steps until every id but the roots has one
     edge, to its root."""
